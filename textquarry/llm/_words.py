@@ -17,6 +17,8 @@ PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_MARKS = _SPACE.copy()
+_MARKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,10 +47,10 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _hash_buffer(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _hash_buffer(buffer: bytes, marks: bool) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words of a buffer that ends in white space."""
     data = np.frombuffer(buffer, np.uint8)
-    space = _SPACE[data]
+    space = (_MARKS if marks else _SPACE)[data]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
@@ -75,8 +77,8 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of `texts` in order, and the number of words of each text."""
+def hash_words(texts: list[bytes], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of `texts` in order, and the number of words of each text. With `marks`, ASCII punctuation separates words too."""
     hashes, counts = [], np.zeros(len(texts), np.int64)
     group: list[bytes] = []
     owners: list[int] = []
@@ -85,7 +87,7 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     def flush() -> None:
         nonlocal size
         if group:
-            starts, found = _hash_buffer(b"\n".join(group) + b"\n")
+            starts, found = _hash_buffer(b"\n".join(group) + b"\n", marks)
             ends = np.cumsum([len(x) + 1 for x in group])
             np.add.at(counts, np.asarray(owners), np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(group)))
             hashes.append(found)

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_components
 from .line_dedup import dedup_lines
+from .media import read_media, store_media
 from .mixing import mix_sources
+from .packing import pack_sequences
+from .quality import score_quality
+from .scoring import backoff_scores
+from .tokens import token_counts
+from .toxicity import score_toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,19 +29,68 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir), n=5, percent=80)
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = read_media(store_media(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    files = F.array_join(F.transform("media", F.hex), "")
+    return media.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.aggregate("media", F.lit(0).cast("long"), lambda n, f: n + F.octet_length(f)).alias("media_bytes"),
+        F.sha2(F.unhex(files), 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.drop("text")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.drop("text")
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = backoff_scores(documents(spark, sf_dir), order=2, backoff=0.4, least=2)
+    return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_media_columns": op5_media_columns,
     "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -71,4 +128,49 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op4_ngram_jaccard": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+            FROM words
+        ), sizes AS (
+            SELECT doc_id, count(s) AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
+        ), shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+            FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared s JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+            WHERE 100 * s.n >= 80 * (p.n + q.n - s.n)
+        ), reach AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+        )
+        SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+    """,
+    "op10_lm_scores": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), places AS (
+            SELECT doc_id, unnest(w) AS word, unnest([NULL] || w[:-2]) AS context FROM words WHERE len(w) > 0
+        ), one AS (SELECT word, count(*) AS n FROM places GROUP BY word),
+        two AS (SELECT context, word, count(*) AS n FROM places WHERE context IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+        scored AS (
+            SELECT doc_id, CASE WHEN p.context IS NULL THEN ln(o.n / (SELECT count(*) FROM places))
+                WHEN t.n IS NOT NULL THEN ln(t.n) - ln(c.n)
+                ELSE ln(0.4) + ln(o.n / (SELECT count(*) FROM places)) END AS s
+            FROM places p JOIN one o ON o.word = p.word LEFT JOIN one c ON c.word = p.context
+            LEFT JOIN two t ON t.context = p.context AND t.word = p.word
+        )
+        SELECT doc_id, count(s) AS n_words, round(coalesce(sum(s), 0), 4) AS log_score,
+               round(sum(s) / nullif(count(s), 0), 6) AS mean_log_score
+        FROM documents LEFT JOIN scored USING (doc_id) GROUP BY doc_id
+    """,
 }
