@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import search
+from . import pages, search
 
-MODULES = (search,)
+MODULES = (search, pages)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
