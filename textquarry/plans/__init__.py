@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import pages, search
+from . import pages, search, texts
 
-MODULES = (search, pages)
+MODULES = (search, pages, texts)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
