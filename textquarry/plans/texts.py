@@ -182,7 +182,7 @@ def ocr1_reading_order(spark, d):
 def ocr2_reflow_vertical(spark, d):
     """The first 60 characters of each document set one a line, a blank line for a blank: a layout's sample, the rest of the text plays no part in it."""
     flat = F.trim(F.regexp_replace(F.substring("text", 1, 60), r"(?U)\s+", " "))
-    letters = F.transform(F.regexp_extract_all(flat, F.lit("."), F.lit(0)), F.trim)
+    letters = F.transform(F.regexp_extract_all(flat, F.lit("."), F.lit(0)), lambda x: F.trim(x))
     return table(spark, d, "documents").select("doc_id", K.reflow_vertical(F.array_join(letters, "\n")).alias("text"))
 
 

@@ -1,0 +1 @@
+"""Readers of files and writers of results."""

@@ -1,0 +1 @@
+"""Search and state over files and rows that arrive."""
