@@ -9,10 +9,11 @@ distinct sets, and verified on whole texts.
 
 What is asked for is which documents links connect, so not all pairs are
 needed. A first round verifies each group with the first one of its size band
-in each posting, which joins copies and near copies of large groups with few
-pairs; a second one verifies every remaining pair of sets that meet in a
-posting and are not connected yet. A pair left out is connected already, so
-no link between two components is lost, and no group's pairs are all emitted.
+in each posting; a second one lets each set take a few partners that bitmaps of
+the sets do not rule out, which joins the near copies of large groups; the last
+one verifies every remaining pair of sets that meet in a posting, can link, and
+are not connected yet. A pair left out is connected already, so no link between
+two components is lost, and no group's pairs are all emitted.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from ._words import U, batches, lists, longs, mix, shingle_sets
 WORDS, PERCENT = 5, 80
 LEAST_FREQUENT, MOST_FREQUENT = 16, 1 << 21  # of the shingles put last in the order: rows of each, and how many
 POSTINGS = 1 << 20  # rows of postings a task holds
+BITMAP = 512
+PARTNERS = 4  # pairs a set takes part in, per posting, before large components have formed
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -86,7 +89,7 @@ def _sign(frequent, n: int, percent: int):
                 lengths = [prefix_length(len(s), percent) if len(s) else 0 for s in sets]
                 heads = [s[: 2 * p + 16] for s, p in zip(sets, lengths, strict=True)]
                 flags = np.split(_held(last, np.concatenate(heads)), np.cumsum([len(h) for h in heads])[:-1])
-                prefixes, keys, first, second = [], [], [], []
+                prefixes, keys, first, second, maps = [], [], [], [], []
                 for s, p, head, flag in zip(sets, lengths, heads, flags, strict=True):
                     prefix = head[~flag][:p]
                     if len(prefix) < p:
@@ -96,23 +99,38 @@ def _sign(frequent, n: int, percent: int):
                     keys.append(int(mix(np.array([np.sum(mix(prefix ^ U(0x5851F42D4C957F2D)), dtype=U) + U(len(s))], U))[0]))
                     first.append(np.sum(mix(s ^ U(0xA3B195354A39B70D)), dtype=U))
                     second.append(np.sum(mix(s ^ U(0x1B03738712FAD5C9)), dtype=U))
+                    maps.append(bitmap(s))
                 # a prefix goes along once per task and group: copies collapse before the exchange
                 new = [not (k in known or known.add(k)) and p > 0 for k, p in zip(keys, lengths, strict=True)]
                 if len(known) > POSTINGS:
                     known.clear()
                 shown = lists([x if go else x[:0] for x, go in zip(prefixes, new, strict=True)])
                 part = part.drop_columns(["text"])
-                for name, values in (("n", pa.array([len(s) for s in sets], pa.int32())), ("set_a", pa.array(longs(np.array(first, U)))), ("set_b", pa.array(longs(np.array(second, U)))), ("group", pa.array(longs(np.array(keys, U)))), ("prefix", shown)):
+                for name, values in (("n", pa.array([len(s) for s in sets], pa.int32())), ("set_a", pa.array(longs(np.array(first, U)))), ("set_b", pa.array(longs(np.array(second, U)))), ("group", pa.array(longs(np.array(keys, U)))), ("bits", pa.array(maps, pa.binary())), ("prefix", shown)):
                     part = part.append_column(name, values)
                 yield part
 
     return run
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A set's parity bitmap: each element flips one bit. Two bitmaps differ in at most as many bits as the sets in elements."""
+    flips = np.bincount((s >> U(64 - BITMAP.bit_length() + 1)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def near(n: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether bitmaps a and b (rows of 64-bit words) leave sets of sizes n and m the overlap: their difference is at most what the overlap allows."""
+    return (100 + percent) * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n + m)
+
+
 def may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of sizes n and m that share an element at positions at and bt can have the overlap."""
-    most = np.minimum(at, bt) + 1 + np.minimum(n - at, m - bt) - 1
-    return (100 + percent) * most >= percent * (n + m)
+    """Whether sets of sizes n and m whose first shared element stands at positions at and bt can have the overlap.
+
+    Pairs that link pass where their first shared element is posted; that they,
+    or others, may fail at later ones loses nothing.
+    """
+    return (100 + percent) * np.minimum(n - at, m - bt) >= percent * (n + m)
 
 
 def _table(parts: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
@@ -147,37 +165,42 @@ def _post(percent: int):
     return run
 
 
-def _cross(percent: int):
-    """Distinct pairs of unconnected nodes that meet in a posting and can link."""
+def _cross(percent: int, partners: int | None):
+    """Distinct pairs of unconnected nodes that meet in a posting and can link by size, position and bitmap; with `partners`, each node takes part as the smaller one in at most so many per posting."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, node, n, pos, comp = _table(parts, ["token", "node", "n", "pos", "comp"])
+        found = list(parts)
+        token, node, n, pos, comp = _table(iter(found), ["token", "node", "n", "pos", "comp"])
+        bits = np.frombuffer(b"".join(b"".join(b.column(5).to_pylist()) for b in found), U).reshape(len(token), -1) if len(token) else np.empty((0, BITMAP // 64), U)
         order = np.lexsort((node, n, token))
-        token, node, n, pos, comp = token[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order]
+        token, node, n, pos, comp, bits = token[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order], bits[order]
         starts = _starts(token)
-        found: list[np.ndarray] = []
-        size = 0
+        ends = np.repeat(starts[1:], np.diff(starts))
+        left, taken = np.arange(len(token)), np.zeros(len(token), np.int64)
+        pairs: list[np.ndarray] = []
+        size = step = 0
 
         def out() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate([*found, np.empty((2, 0), np.int64)], axis=1), axis=1)
-            found.clear()
-            return pa.record_batch({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
-
-        if len(token):
-            mixed = np.minimum.reduceat(comp, starts[:-1]) != np.maximum.reduceat(comp, starts[:-1])
-            for k in np.flatnonzero(mixed).tolist():
-                lo, hi = starts[k], starts[k + 1]
-                ends = lo + np.searchsorted(percent * n[lo:hi], 100 * n[lo:hi], side="right")
-                for i in range(lo, hi - 1):
-                    j = np.arange(i + 1, ends[i - lo])
-                    j = j[comp[j] != comp[i]]
-                    j = j[may_link(n[i], pos[i], n[j], pos[j], percent)]
-                    if len(j):
-                        found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
-                        size += len(j)
-                if size > POSTINGS:
-                    yield out()
-                    size = 0
+            once = np.unique(np.concatenate([*pairs, np.empty((2, 0), np.int64)], axis=1), axis=1)
+            pairs.clear()
+            return pa.record_batch({"a": pa.array(once[0]), "b": pa.array(once[1])})
+
+        while len(left):  # every row with the row `step` behind it in its posting, while that one is not too large
+            step += 1
+            left = left[left + step < ends[left]]
+            left = left[percent * n[left + step] <= 100 * n[left]]
+            if partners is not None:
+                left = left[taken[left] < partners]
+            i = left[comp[left] != comp[left + step]]
+            i = i[may_link(n[i], pos[i], n[i + step], pos[i + step], percent)]
+            i = i[near(n[i], bits[i], n[i + step], bits[i + step], percent)]
+            if len(i):
+                taken[i] += 1
+                pairs.append(np.stack([np.minimum(node[i], node[i + step]), np.maximum(node[i], node[i + step])]))
+                size += len(i)
+            if size > POSTINGS:
+                yield out()
+                size = 0
         yield out()
 
     return run
@@ -242,6 +265,25 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """labels (node, comp) after components merged (node: an old one, comp: the new one)."""
+    found = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left")
+    return cut(found.select("node", F.coalesce("top", "comp").alias("comp")), "jaccard-labels")
+
+
+def _meeting(postings: DataFrame, classes: DataFrame, labels: DataFrame, width: int) -> DataFrame:
+    """Rows token, node, n, pos, comp, bits of postings, and of groups of several sets, where different components meet; dealt by token."""
+    nodes = classes.join(labels, "node")
+    own = nodes.select(F.col("group").alias("token"), "group", F.lit(0).alias("pos"), "comp")
+    met = postings.select("token", "group", "pos").join(nodes.select("group", "comp").distinct(), "group").select("token", "group", "pos", "comp")
+    narrow = met.union(own.select("token", "group", "pos", "comp"))
+    mixed = narrow.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    mixed = cut(mixed, "jaccard-mixed")
+    entries = postings.select("token", "group", "pos").union(classes.select(F.col("group").alias("token"), "group", F.lit(0).alias("pos")).distinct())
+    entries = entries.join(broadcast_if(mixed, 1 << 20), "token", "left_semi")
+    return entries.join(nodes.select("group", "node", "n", "comp", "bits"), "group").select("token", "node", "n", "pos", "comp", "bits").repartition(width, "token")
+
+
 def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id.
 
@@ -258,11 +300,11 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n, percent))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    signed = cut(keyed.mapInArrow(_sign(frequent, n, percent), "doc_id long, text_hash long, n int, set_a long, set_b long, group long, prefix array<long>"), "jaccard-signed")
+    signed = cut(keyed.mapInArrow(_sign(frequent, n, percent), "doc_id long, text_hash long, n int, set_a long, set_b long, group long, bits binary, prefix array<long>"), "jaccard-signed")
 
     rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
-    classes = signed.where("n > 0").groupBy("group", "n", "set_a", "set_b").agg(rep.alias("rep"))
-    classes = cut(classes.select("group", "n", "set_a", "set_b", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.text_hash").alias("rep_text"), F.coalesce("rep.doc_id", "set_a").alias("node")), "jaccard-classes")
+    classes = signed.where("n > 0").groupBy("group", "n", "set_a", "set_b").agg(rep.alias("rep"), F.min("bits").alias("bits"))
+    classes = cut(classes.select("group", "n", "set_a", "set_b", "bits", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.text_hash").alias("rep_text"), F.coalesce("rep.doc_id", "set_a").alias("node")), "jaccard-classes")
 
     groups = signed.where(F.size("prefix") > 0).groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = groups.select("group", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -276,18 +318,13 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     inside = classes.join(leads, "group").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     first = components(verified(stars.union(inside), classes, docs, n, percent))
 
-    labelled = classes.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    labelled = cut(labelled.select("group", "n", "node", "comp", "rep_doc", "rep_text", "set_a", "set_b"), "jaccard-labelled")
-    nodes = labelled.select("group", "node", "comp")
-    meeting = postings.select("token", "group", "n", "pos").join(nodes, "group").select("token", "node", "n", "pos", "comp")
-    own = labelled.select(F.col("group").alias("token"), "node", "n", F.lit(0).alias("pos"), "comp")
-    several = own.join(own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "token", "left_semi")
-    crossed = meeting.union(several).repartition(width, "token").mapInArrow(_cross(percent), "a long, b long")
-    links = verified(crossed, labelled, docs, n, percent)
-    comp = nodes.select("node", "comp").distinct()
-    over = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("comp_b")), "b")
-    second = components(over.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
-    final = labelled.join(second.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").withColumn("top", F.coalesce("top", "comp"))
+    labels = _relabelled(classes.select("node", F.col("node").alias("comp")).distinct(), first)
+    for partners in (PARTNERS, None):
+        crossed = _meeting(postings, classes, labels, width).mapInArrow(_cross(percent, partners), "a long, b long")
+        links = verified(crossed, classes, docs, n, percent)
+        over = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("comp_b")), "b")
+        labels = _relabelled(labels, components(over.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))))
+    final = classes.join(labels, "node").withColumnRenamed("comp", "top")
     names = final.groupBy("top").agg(F.min("rep_doc").alias("component_id"))
     named = cut(final.join(names, "top").select("n", "set_a", "set_b", "component_id"), "jaccard-named")
     out = signed.select("doc_id", "n", "set_a", "set_b").join(named, ["n", "set_a", "set_b"], "left")
