@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.kinds import KINDS, kind_of
 from ..functions.text import collapse_ws, extension, strip_ws
@@ -50,7 +51,7 @@ def read_text_corpus(spark: SparkSession, paths: str, separators: str = ";") ->
     return files.withColumn("text", decode_text(F.col("content"))).drop("content")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_named(content: pd.Series, charset: pd.Series) -> pd.Series:
     """Bytes by a charset's name; null where the name or the bytes are wrong."""
 
@@ -72,7 +73,7 @@ def decode_html(df: DataFrame, content_col: str, charset_col: str | None = None)
     wide = F.substring(content, 1, 2).isin(F.unhex(F.lit("FFFE")), F.unhex(F.lit("FEFF")))
     marked = F.substring(content, 1, 3) == F.unhex(F.lit("EFBBBF"))
     valid = F.is_valid_utf8(content.cast("string"))
-    fallback = F.when(valid, content.cast("string")).otherwise(F.coalesce(F.decode(content, "windows-1252"), F.decode(content, "ISO-8859-1")))
+    fallback = F.when(valid, content.cast("string")).otherwise(F.coalesce(decode_named(content, F.lit("cp1252")), F.decode(content, "ISO-8859-1")))
     name = F.coalesce(F.nullif(header, F.lit("")), F.nullif(own, F.lit("")), F.lit("utf-8"))
     usual = wide | marked | (name.isin("utf-8", "utf8") & valid)
     df = df.withColumn("__charset", name).withColumn("__usual", usual)
@@ -302,7 +303,7 @@ def read_mailbox(spark: SparkSession, path: str) -> DataFrame:
         raw = read_files(spark, path).select("path", F.lit(0).cast("long").alias("pos"), decode_text(F.col("content")).alias("raw"))
     else:
         lines = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
-        raw = lines.withColumn("pos", F.monotonically_increasing_id()).where(F.trim("raw") != "").select("path", "pos", "raw")
+        raw = lines.withColumn("pos", F.monotonically_increasing_id()).where(F.trim("raw") != "").select("path", "pos", F.regexp_replace("raw", r"\A[^\n]*\n", "").alias("raw"))
     return raw.mapInPandas(_mime, "path string, pos long, subject string, sender string, date string, text string, html string, attachments array<string>, n_pdf int")
 
 

@@ -44,7 +44,7 @@ def export_results(hits: DataFrame, path: str, formats: tuple[str, ...] = ("txt"
 
 def exclude_exports(files: DataFrame, exported: DataFrame) -> DataFrame:
     """files without those below a path of an export (path), so that a search does not read its own results."""
-    parents = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.substring_index("path", "/", n))
+    parents = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.call_function("substring_index", F.col("path"), F.lit("/"), n))
     folders = files.select("path", F.explode(parents).alias("parent"))
     below = folders.join(exported.select(F.regexp_replace("path", "/+$", "").alias("parent")), "parent", "left_semi").select("path")
     return files.join(below, "path", "left_anti")
