@@ -116,3 +116,15 @@ def test_merge_stores(spark):
     assert rows == {("k", "1"), ("k__altra-copia", "2"), ("o", "1"), ("n", "3")}
     base = spark.createDataFrame([("k", "1")], "key string, digest string")
     assert {(r["key"], r["digest"]) for r in V.merge_stores(a, b, base).collect()} == {("k", "2"), ("o", "1"), ("n", "3")}
+
+
+def test_search_summary(spark):
+    from textquarry.operators.incremental import search_summary
+
+    media = spark.createDataFrame([("m/clip_locale.mp4",), ("m/senza_sidecar.mp3",)], "path string")
+    reports = spark.createDataFrame([("m/clip_locale.rtad.txt", "Scheda\n[00:12] gol di cross dalla destra\n")], "path string, text string")
+    hits = reports.where(F.col("text").contains("cross")).select(F.col("path").alias("report_path"))
+    assert tuple(search_summary(media, T.pair_media_reports(media, reports), hits, max_new=0).first()) == (2, 1, 0, 1)
+    orphan = spark.createDataFrame([("m/solo_report.rtad.txt", "[00:05] Pronto al cross, si muove\n")], "path string, text string")
+    hits = orphan.select(F.col("path").alias("report_path"))
+    assert tuple(search_summary(media.limit(0), T.pair_media_reports(media.limit(0), orphan), hits).first()) == (0, 1, 0, 0)

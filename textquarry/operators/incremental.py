@@ -33,8 +33,12 @@ def reports_if_absent(new: DataFrame, existing: DataFrame, key: str) -> DataFram
 
 def search_summary(media: DataFrame, pairs: DataFrame, hits: DataFrame, max_new: int = 30) -> DataFrame:
     """One row: total media, cache_hits (reports with a hit), transcribed (new work up to `max_new`), skipped_limit."""
-    new = pairs.where("media_path IS NOT NULL AND report_path IS NULL")
-    counts = new.agg(F.count(F.lit(1)).alias("new"))
-    found = hits.agg(F.count_distinct("report_path").alias("cache_hits"))
-    total = media.agg(F.count(F.lit(1)).alias("total"))
-    return total.join(found, how="left").join(counts, how="left").select("total", "cache_hits", F.least("new", F.lit(max_new)).alias("transcribed"), F.greatest(F.col("new") - max_new, F.lit(0)).alias("skipped_limit"))
+    files = media.select(F.lit("total").alias("counter"), F.lit(None).cast("string").alias("path"))
+    new = pairs.where("media_path IS NOT NULL AND report_path IS NULL").select(F.lit("new").alias("counter"), F.col("media_path").alias("path"))
+    found = hits.select(F.lit("hit").alias("counter"), F.col("report_path").alias("path"))
+    counted = files.union(new).union(found).agg(
+        F.count_if(F.col("counter") == "total").alias("total"),
+        F.count_distinct(F.when(F.col("counter") == "hit", F.col("path"))).alias("cache_hits"),
+        F.count_if(F.col("counter") == "new").alias("new"),
+    )
+    return counted.select("total", "cache_hits", F.least("new", F.lit(max_new)).alias("transcribed"), F.greatest(F.col("new") - max_new, F.lit(0)).alias("skipped_limit"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse_ws, contains_all, fold, ocr_fold, strip_ws
 
 Matcher = Callable[[Column, list[str]], Column]
-STAMP = r"^\s*\[(?:(\d+):)?(\d{1,2}):(\d{2}(?:\.\d+)?)\]"
 
 
 def match_all_terms(df: DataFrame, text_col: str, terms: list[str], matcher: Matcher = contains_all) -> DataFrame:

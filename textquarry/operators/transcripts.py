@@ -43,9 +43,6 @@ def transcript_coverage(reports: DataFrame, text_col: str = "text", duration_col
     return reports.withColumns({"last_sec": last, "incomplete": short & ~silent, "single_stamp": (F.size(stamps) == 1) & ~silent, "stuck": still & ~silent})
 
 
-SECTION = r"(?m)^===[ \t]*(.*?)[ \t]*===[ \t]*$"
-
-
 def split_sections(reports: DataFrame, doc: str, text_col: str = "text") -> DataFrame:
     """doc, pos, title, body of `=== title ===` sections; what stands before the first has pos 0 and an empty title."""
     parts = F.split(text_col, r"(?m)(?=^===[ \t]*.*?[ \t]*===[ \t]*$)")
