@@ -18,13 +18,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, exchange_width, text_bytes
+from ._shared import exchange_width, text_bytes
 from ._words import U, hash_words, runs
+from .mixing import word_count
 
 ORDER, BACKOFF, LEAST_COUNT = 2, 0.4, 2
 BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys: the first whole, then gaps of 6 bytes, or of 8 if one needs more (the first byte tells)."""
+    gaps = np.diff(keys)
+    wide = bool((gaps >> U(48)).any())
+    body = gaps.tobytes() if wide else gaps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return bytes([wide]) + keys[:1].tobytes() + body
+
+
+def unpack_keys(packed: bytes) -> np.ndarray:
+    data = np.frombuffer(packed, np.uint8)
+    body = data[9:].reshape(-1, 8 if data[0] else 6)
+    gaps = np.zeros((len(body) + 1, 8), np.uint8)
+    gaps[0] = data[1:9]
+    gaps[1:, : body.shape[1]] = body
+    return np.cumsum(gaps.view(U).ravel(), dtype=U)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as 32-bit numbers, or 64-bit ones if one needs more (the first byte tells)."""
+    wide = bool((counts >> 32).any())
+    return bytes([wide]) + counts.astype("<u8" if wide else "<u4").tobytes()
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed[1:], "<u8" if packed[0] else "<u4").astype(np.int64)
+
+
 def texts_of(table: pa.Table) -> list[bytes]:
     return [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
 
@@ -46,7 +74,7 @@ def _ask(order: int, bits: int):
         for k in range(1, order + 1):
             keys, n = np.unique(grams(words, counts, k)[0], return_counts=True)
             ends = np.searchsorted((keys >> U(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1)) if bits else np.array([0, len(keys)])
-            rows += [(k, p, block, keys[a:b].tobytes(), n[a:b].astype("<u4").tobytes()) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+            rows += [(k, p, block, pack_keys(keys[a:b]), pack_counts(n[a:b])) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
         columns = zip(*rows, strict=True) if rows else [()] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, ASKED.types, strict=True)], schema=ASKED)
 
@@ -54,17 +82,16 @@ def _ask(order: int, bits: int):
 
 
 ASKED = pa.schema({"gram": pa.int32(), "part": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "counts": pa.binary()})
-ANSWERED = pa.schema({"gram": pa.int32(), "part": pa.int32(), "block": pa.int64(), "counts": pa.binary(), "mass": pa.int64()})
+ANSWERED = pa.schema({"gram": pa.int32(), "part": pa.int32(), "block": pa.int64(), "counts": pa.binary()})
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(k, U) for k in table.column("keys").to_pylist()]
-    own = np.concatenate([np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()]).astype(np.int64)
+    keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
+    own = np.concatenate([unpack_counts(c) for c in table.column("counts").to_pylist()])
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, weights=own)[at].astype("<u8")
+    total = np.bincount(at, weights=own).astype(np.int64)[at]
     parts = np.split(total, np.cumsum([len(k) for k in keys])[:-1])
-    mass = [int(x.sum()) for x in np.split(own, np.cumsum([len(k) for k in keys])[:-1])]
-    return pa.table([table.column("gram"), table.column("part"), table.column("block"), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(mass, pa.int64())], schema=ANSWERED)
+    return pa.table([table.column("gram"), table.column("part"), table.column("block"), pa.array([pack_counts(p) for p in parts], pa.binary())], schema=ANSWERED)
 
 
 SCORED = pa.schema({"doc_id": pa.int64(), "n_words": pa.int64(), "log_score": pa.float64()})
@@ -76,7 +103,7 @@ def _score(order: int, backoff: float, least: int, total: int):
         order_rows = answers.sort_by([("gram", "ascending"), ("part", "ascending")])
         by_gram: dict[int, list[np.ndarray]] = {}
         for k, c in zip(order_rows.column("gram").to_pylist(), order_rows.column("counts").to_pylist(), strict=True):
-            by_gram.setdefault(k, []).append(np.frombuffer(c, "<u8"))
+            by_gram.setdefault(k, []).append(unpack_counts(c))
         held = np.zeros((order, len(words)))  # count of the k-gram that ends at each word
         score = np.empty(0)
         for k in range(1, order + 1):
@@ -116,8 +143,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     dealt = rows.repartition(exchange_width(spark, size, BLOCK_BYTES), "block")
     asked = dealt.groupBy("block").applyInArrow(_ask(order, bits), "gram int, part int, block long, keys binary, counts binary")
-    answered = asked.groupBy("part", "gram").applyInArrow(_answer, "gram int, part int, block long, counts binary, mass long")
-    answered = cut(answered, "ngram-answers")
-    total = answered.where("gram = 1").agg(F.sum("mass")).first()[0] or 1
+    answered = asked.groupBy("part", "gram").applyInArrow(_answer, "gram int, part int, block long, counts binary")
+    total = docs.agg(F.sum(word_count(F.col("text")))).first()[0] or 1
     scored = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(order, backoff, least, total), "doc_id long, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.col("log_score") / F.nullif("n_words", F.lit(0)))
