@@ -47,19 +47,23 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _hash_buffer(buffer: bytes, marks: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of a buffer that ends in white space."""
+def _hash_buffer(buffer: bytes, marks: bool, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the words of a buffer that ends in white space, and a row of hashes: of the words, then of each word's first bytes for each of `prefixes`."""
     data = np.frombuffer(buffer, np.uint8)
     space = (_MARKS if marks else _SPACE)[data]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return starts, np.empty(0, U)
+        return starts, np.empty((1 + len(prefixes), 0), U)
     power, inverse = _power_tables(len(data))
     total = np.zeros(len(data) + 1, U)
     np.cumsum(_VALUE[data] * power[: len(data)], out=total[1:])
-    raw = (total[ends] - total[starts]) * inverse[starts]
-    return starts, mix(raw + (ends - starts).astype(U) * U(0xA0761D6478BD642F))
+    rows = []
+    for k in (0, *prefixes):
+        stops = np.minimum(starts + k, ends) if k else ends
+        raw = (total[stops] - total[starts]) * inverse[starts]
+        rows.append(mix(raw + (stops - starts).astype(U) * U(0xA0761D6478BD642F) + U(k)))
+    return starts, np.stack(rows)
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -77,8 +81,8 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def hash_words(texts: list[bytes], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of `texts` in order, and the number of words of each text. With `marks`, ASCII punctuation separates words too."""
+def hash_words(texts: list[bytes], marks: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of `texts` in order, and the number of words of each text. With `marks`, ASCII punctuation separates words too; with `prefixes`, rows of hashes of words and of their first bytes."""
     hashes, counts = [], np.zeros(len(texts), np.int64)
     group: list[bytes] = []
     owners: list[int] = []
@@ -87,7 +91,7 @@ def hash_words(texts: list[bytes], marks: bool = False) -> tuple[np.ndarray, np.
     def flush() -> None:
         nonlocal size
         if group:
-            starts, found = _hash_buffer(b"\n".join(group) + b"\n", marks)
+            starts, found = _hash_buffer(b"\n".join(group) + b"\n", marks, prefixes)
             ends = np.cumsum([len(x) + 1 for x in group])
             np.add.at(counts, np.asarray(owners), np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(group)))
             hashes.append(found)
@@ -103,7 +107,8 @@ def hash_words(texts: list[bytes], marks: bool = False) -> tuple[np.ndarray, np.
             owners.append(i)
             size += len(piece) + 1
     flush()
-    return (np.concatenate(hashes) if hashes else np.empty(0, U)), counts
+    every = np.concatenate(hashes, axis=1) if hashes else np.empty((1 + len(prefixes), 0), U)
+    return (every if prefixes else every[0]), counts
 
 
 def runs(words: np.ndarray, n: int) -> np.ndarray:

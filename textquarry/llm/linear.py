@@ -1,7 +1,7 @@
 """Hashed-text features and the small linear fits of the classifiers.
 
 A document's features are the distinct hashed words it holds (ASCII punctuation
-separates words) and, of its shape, one bucket each of a few ratios. Fits use a
+separates words), their first letters, and, of its shape, one bucket each of a few ratios. Fits use a
 bounded sample of labelled rows and the most telling features of that sample;
 scoring runs over all rows.
 """
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from ._words import batches, hash_words
 
 SPACE_BITS = 18
+PREFIXES = (4, 5)  # first bytes of a word that are features too: stems, in any language
 SHAPES, BUCKETS = 6, 16
 FEATURES = (1 << SPACE_BITS) + SHAPES * BUCKETS
-SAMPLE, SELECTED = 8192, 1024
+SAMPLE, SELECTED = 8192, 256
+LEAST_SCORE = 15.0  # chi-square that chance gives one feature in ten thousand
 
 _UPPER = np.zeros(256, np.int64)
 _UPPER[65:91] = 1
@@ -33,11 +35,12 @@ _DIGIT[48:58] = 1
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of all distinct features of each text, rows ascending. A text without words has its shape alone."""
-    words, counts = hash_words(texts, marks=True)
+    hashes, counts = hash_words(texts, marks=True, prefixes=PREFIXES)
+    words = hashes[0]
     owner = np.repeat(np.arange(len(texts)), counts)
-    slots = (words >> np.uint64(64 - SPACE_BITS)).astype(np.int64)
-    pairs = np.unique(owner * FEATURES + slots)
-    distinct = np.bincount(pairs // FEATURES, minlength=len(texts))
+    slots = (hashes >> np.uint64(64 - SPACE_BITS)).astype(np.int64)
+    distinct = np.bincount(np.unique(owner * FEATURES + slots[0]) // FEATURES, minlength=len(texts))
+    pairs = np.unique((owner * FEATURES + slots).ravel())
     again = np.zeros(len(texts), np.int64)
     if len(words) > 1:
         np.add.at(again, owner[1:][(words[1:] == words[:-1]) & (owner[1:] == owner[:-1])], 1)
@@ -72,11 +75,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: dict[str, F.Col
     rows = picked.select("doc_id", "text", *out).mapInArrow(_featurise, f"doc_id long, {fields}, features array<int>").toArrow()
     rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending")]))
     values = rows.column("features").combine_chunks()
-    return [np.asarray(x, np.int64) for x in values.to_pylist()], {c: rows.column(c).to_numpy() for c in columns}
+    if len(values) == 0:
+        return [], {c: rows.column(c).to_numpy() for c in columns}
+    offsets = values.offsets.to_numpy()
+    flat = values.values.to_numpy().astype(np.int64)
+    return np.split(flat[offsets[0] : offsets[-1]], offsets[1:-1] - offsets[0]), {c: rows.column(c).to_numpy() for c in columns}
 
 
 def select_features(found: list[np.ndarray], target: np.ndarray, most: int = SELECTED) -> np.ndarray:
-    """The `most` features with the largest chi-square against target > 0; of ties, the smallest."""
+    """The `most` features with the largest chi-square against target > 0, none that chance explains; of ties, the smallest."""
     held = np.bincount(np.concatenate(found), minlength=FEATURES).astype(float) if found else np.zeros(FEATURES)
     positive = [f for f, t in zip(found, target, strict=True) if t > 0]
     hits = np.bincount(np.concatenate(positive), minlength=FEATURES).astype(float) if positive else np.zeros(FEATURES)
@@ -85,7 +92,7 @@ def select_features(found: list[np.ndarray], target: np.ndarray, most: int = SEL
     spread = expected * (1 - held / n) * (1 - p / n) + 1e-9
     score = np.where(held >= 2, (hits - expected) ** 2 / spread, 0.0)
     best = np.lexsort((np.arange(FEATURES), -score))[:most]
-    return np.sort(best[score[best] > 0])
+    return np.sort(best[score[best] >= LEAST_SCORE])
 
 
 def dense(found: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
@@ -102,7 +109,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def descend(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int = 300, rate: float = 0.1) -> np.ndarray:
+def descend(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int = 150, rate: float = 0.2) -> np.ndarray:
     """Adam from `start` with a rate that falls to 0."""
     w, m, v = start.astype(float), np.zeros(len(start)), np.zeros(len(start))
     for t in range(1, steps + 1):
@@ -115,10 +122,12 @@ def descend(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, ste
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     """Weights and, last, intercept of a logistic regression with an L2 penalty on weights."""
     n = max(1, len(y))
+    x = x.astype(np.float32)
+    xt = np.ascontiguousarray(x.T)
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        miss = sigmoid(x @ w[:-1] + w[-1]) - y
-        return np.append(x.T @ miss / n + penalty * w[:-1] / n, miss.sum() / n)
+        miss = sigmoid(x @ w[:-1].astype(np.float32) + w[-1]) - y
+        return np.append(xt @ miss.astype(np.float32) / n + penalty * w[:-1] / n, miss.sum() / n)
 
     return descend(gradient, np.zeros(x.shape[1] + 1))
 

@@ -26,12 +26,15 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, penalty: float =
     def thresholds(t: np.ndarray) -> np.ndarray:
         return t[0] + np.concatenate([[0.0], np.cumsum(np.exp(t[1:]))])
 
+    x = x.astype(np.float32)
+    xt = np.ascontiguousarray(x.T)
+
     def gradient(w: np.ndarray) -> np.ndarray:
         # likelihood of each threshold's binary question; steps keep thresholds in order
-        miss = sigmoid((x @ w[:-k])[:, None] - thresholds(w[-k:])[None, :]) - above
+        miss = sigmoid((x @ w[:-k].astype(np.float32))[:, None] - thresholds(w[-k:])[None, :]) - above
         by_threshold = -miss.sum(axis=0) / n
         steps = np.exp(w[-k + 1 :]) * by_threshold[::-1].cumsum()[::-1][1:] if k > 1 else np.empty(0)
-        return np.concatenate([x.T @ miss.sum(axis=1) / n + penalty * w[:-k] / n, [by_threshold.sum()], steps])
+        return np.concatenate([xt @ miss.sum(axis=1).astype(np.float32) / n + penalty * w[:-k] / n, [by_threshold.sum()], steps])
 
     start = np.zeros(x.shape[1] + k)
     start[-k] = -1.0

@@ -22,7 +22,7 @@ CATEGORIES = {
     "contempt": ("disgusting", "pathetic", "scum", "trash", "worthless"),
 }
 FOLDS = 5
-CUT = 0.5
+CUT = 0.3
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -64,8 +64,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, sele
 
     Fitted on at most `bound` labelled rows; null labels count as 0. Null text
     is empty and scored by its shape alone, null ids and repeated rows are
-    scored row by row. Without labels every probability comes from intercepts
-    of 0 and is below `cut` only if `cut` is above 0.5: toxic is then false.
+    scored row by row. Without labels nothing is toxic.
     An empty table gives an empty result; columns of `docs` named like results
     or `__scored` are replaced.
     """
