@@ -24,19 +24,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import KNOWN, tokenizer
+from .tokens import Memo, tokenizer
 
 SIZE, GROUP = 2048, 1 << 21
+BATCH = 512  # documents tokenized at a time
+UNITS_KNOWN = 500_000  # units a worker remembers in each of two generations
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 WHITE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the blank before it, or white space up to that blank: each holds whole pre-tokens of a byte-level BPE.
 UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+BLANK = re.compile(f"[{WHITE}]")
 PIECE_SCHEMA = pa.schema({"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()})
 
 
 @functools.cache
-def known_units(path: str) -> dict[str, bytes]:
-    return {}
+def known_units(path: str) -> Memo:
+    return Memo(UNITS_KNOWN)
 
 
 @functools.cache
@@ -48,17 +51,29 @@ def packed_ids(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def encode_units(path: str, units: list[str]) -> list[bytes]:
+    """Ids of each unit. Units without white space inside are encoded some hundred at a time, a line each: a line break is a token of its own between them."""
+    own, out = tokenizer(path), dict.fromkeys(units, b"")
+    (line_break,) = own.encode("\n", add_special_tokens=False).ids
+    plain = [u for u in units if not BLANK.match(u[-1])]
+    rest = [u for u in units if BLANK.match(u[-1])]
+    groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+    for group, found in zip(groups, own.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(found.ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == line_break), len(ids)).tolist()
+        flat = ids.tobytes()
+        out.update(zip(group, (flat[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends, strict=False)), strict=True))
+    for unit, found in zip(rest, own.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        out[unit] = packed_ids(found.ids)
+    return [out[u] for u in units]
+
+
 def token_ids(path: str, texts: list[str]) -> list[bytes]:
     """Token ids of each text as little-endian 32-bit numbers. A worker encodes a unit once; texts with special strings are encoded whole."""
-    known, special, own = known_units(path), special_strings(path), tokenizer(path)
+    special = special_strings(path)
     units = [None if any(s in t for s in special) else UNITS.findall(t) for t in texts]
-    new = list({u for found in units if found for u in found if u not in known})
-    if len(known) + len(new) > KNOWN:
-        known.clear()
-        new = list({u for found in units if found for u in found})
-    for unit, found in zip(new, own.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[unit] = packed_ids(found.ids)
-    return [packed_ids(own.encode(t, add_special_tokens=False).ids) if found is None else b"".join(map(known.__getitem__, found)) for t, found in zip(texts, units, strict=True)]
+    known = known_units(path).learn(set().union(*(found for found in units if found)), functools.partial(encode_units, path))
+    return [packed_ids(tokenizer(path).encode(t, add_special_tokens=False).ids) if found is None else b"".join(map(known.__getitem__, found)) for t, found in zip(texts, units, strict=True)]
 
 
 def assign(lengths: list[int], size: int = SIZE, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
@@ -114,8 +129,8 @@ def _pack(path: str, end_id: int, size: int, group: int, linear: float, quadrati
                 rows.clear()
 
         for batch in parts:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 docs, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(docs, token_ids(path, texts), strict=True):
                     ids += packed_ids([end_id])

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from ._shared import cut
 from ._words import batches
 
 HUGE, CHUNK, OVERLAP, MARGIN, WIDEN = 1 << 15, 1 << 14, 1 << 10, 64, 16
-KNOWN = 200_000  # words whose count a worker remembers
+KNOWN = 250_000  # words a worker remembers in each of two generations
 
 
 @functools.cache
@@ -38,19 +38,41 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Memo:
+    """What a worker remembers by key: two generations of bounded size, so that keys in use stay."""
+
+    def __init__(self, most: int = KNOWN) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+        self.most = most
+
+    def learn(self, keys: set, make: Callable[[list], list]) -> dict:
+        """A table that holds all the keys; `make` gives values of those not known."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        new = []
+        for k in keys - self.young.keys():
+            if k in self.old:
+                self.young[k] = self.old[k]
+            else:
+                new.append(k)
+        self.young.update(zip(new, make(new), strict=True))
+        return self.young
+
+
 @functools.cache
-def known_words(path: str) -> dict[bytes, int]:
-    return {}
+def known_words(path: str) -> Memo:
+    return Memo()
 
 
 def count_whole(path: str, texts: list[bytes]) -> list[int]:
     """Tokens of each text. No token spans ASCII white space, so a text has the tokens of its words; a worker encodes a word once."""
-    known, words = known_words(path), [t.split() for t in texts]
-    new = list({w for own in words for w in own if w not in known})
-    if len(known) + len(new) > KNOWN:
-        known.clear()
-        new = list({w for own in words for w in own})
-    known.update(zip(new, map(len, tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+    words = [t.split() for t in texts]
+
+    def count(new: list[bytes]) -> list[int]:
+        return [len(e) for e in tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+
+    known = known_words(path).learn({w for own in words for w in own}, count)
     return [sum(map(known.__getitem__, own)) for own in words]
 
 
