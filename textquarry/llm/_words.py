@@ -135,7 +135,7 @@ def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
             yield np.empty(0, U)
 
 
-def batches(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def batches(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch with about `most` bytes of text each, and their texts as UTF-8 (null: empty)."""
     column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
     at, size = 0, 0
