@@ -79,9 +79,9 @@ def test_clip(spark):
 
 def test_pairs(spark):
     media = spark.createDataFrame([("m/clip_locale.mp4",), ("m/senza.mp3",)], "path string")
-    reports = spark.createDataFrame([("m/clip_locale.rtad.txt", "x"), ("m/solo_report.rtad.txt", "y")], "path string, text string")
+    reports = spark.createDataFrame([("m/clip_locale.report.txt", "x"), ("m/solo_report.report.txt", "y")], "path string, text string")
     rows = {(r["media_path"], r["report_path"]) for r in T.pair_media_reports(media, reports).collect()}
-    assert rows == {("m/clip_locale.mp4", "m/clip_locale.rtad.txt"), ("m/senza.mp3", None), (None, "m/solo_report.rtad.txt")}
+    assert rows == {("m/clip_locale.mp4", "m/clip_locale.report.txt"), ("m/senza.mp3", None), (None, "m/solo_report.report.txt")}
 
 
 def test_marks(spark):
@@ -122,9 +122,9 @@ def test_search_summary(spark):
     from textquarry.operators.incremental import search_summary
 
     media = spark.createDataFrame([("m/clip_locale.mp4",), ("m/senza_sidecar.mp3",)], "path string")
-    reports = spark.createDataFrame([("m/clip_locale.rtad.txt", "Scheda\n[00:12] gol di cross dalla destra\n")], "path string, text string")
+    reports = spark.createDataFrame([("m/clip_locale.report.txt", "Scheda\n[00:12] gol di cross dalla destra\n")], "path string, text string")
     hits = reports.where(F.col("text").contains("cross")).select(F.col("path").alias("report_path"))
     assert tuple(search_summary(media, T.pair_media_reports(media, reports), hits, max_new=0).first()) == (2, 1, 0, 1)
-    orphan = spark.createDataFrame([("m/solo_report.rtad.txt", "[00:05] Pronto al cross, si muove\n")], "path string, text string")
+    orphan = spark.createDataFrame([("m/solo_report.report.txt", "[00:05] Pronto al cross, si muove\n")], "path string, text string")
     hits = orphan.select(F.col("path").alias("report_path"))
     assert tuple(search_summary(media.limit(0), T.pair_media_reports(media.limit(0), orphan), hits).first()) == (0, 1, 0, 0)

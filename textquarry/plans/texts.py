@@ -257,7 +257,7 @@ def trn6_map_chunks(spark, d):
 
 def media_files(spark, d):
     media = table(spark, d, "pages").select(F.concat(F.lit("m/"), (F.col("page_id") % 9).cast("string"), F.lit("/clip"), F.floor(F.col("page_id") / 2).cast("string"), F.when(F.col("page_id") % 2 == 0, ".mp4").otherwise(".png")).alias("path"))
-    reports = table(spark, d, "pages").where("page_id % 3 <> 1").select(F.concat(F.lit("m/"), (F.col("page_id") % 9).cast("string"), F.lit("/clip"), F.floor(F.col("page_id") / 2).cast("string"), F.when(F.col("page_id") % 3 == 0, F.when(F.col("page_id") % 2 == 0, ".mp4").otherwise(".png")).otherwise(""), F.lit(".rtad.txt")).alias("path"), F.col("html").alias("text"))
+    reports = table(spark, d, "pages").where("page_id % 3 <> 1").select(F.concat(F.lit("m/"), (F.col("page_id") % 9).cast("string"), F.lit("/clip"), F.floor(F.col("page_id") / 2).cast("string"), F.when(F.col("page_id") % 3 == 0, F.when(F.col("page_id") % 2 == 0, ".mp4").otherwise(".png")).otherwise(""), F.lit(".report.txt")).alias("path"), F.col("html").alias("text"))
     return media, reports
 
 
