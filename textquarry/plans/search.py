@@ -225,9 +225,20 @@ def fn3_type_label(spark, d):
     return table(spark, d, "pages").select("page_id", type_label(F.concat(F.lit("dir.x/file"), F.col("page_id").cast("string"), ext)).alias("label"))
 
 
+def folds(docs):
+    return docs.select("doc_id", F.md5(fold(F.col("text"))).alias("folded"), F.md5(ocr_fold(F.col("text"))).alias("sign"))
+
+
 @query(f"SELECT doc_id, md5(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}')) AS folded, md5(regexp_replace(translate(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}'), '0123456789|!l$@€', 'oizeasgtbgiiisae'), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS sign FROM documents WHERE NOT contains(text, 'ß')")
 def fn4_fold(spark, d):
-    return table(spark, d, "documents").where(~F.col("text").contains("ß")).select("doc_id", F.md5(fold(F.col("text"))).alias("folded"), F.md5(ocr_fold(F.col("text"))).alias("sign"))
+    """Documents without 'ß', as the SQL has them; `fn4_fold_whole` folds them all."""
+    return folds(table(spark, d, "documents").where(~F.col("text").contains("ß")))
+
+
+@query(f"SELECT doc_id, md5(translate(replace(lower(text), 'ß', 'ss'), '{FOLD_FROM}', '{FOLD_TO}')) AS folded, md5(regexp_replace(translate(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}'), '0123456789|!l$@€', 'oizeasgtbgiiisae'), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS sign FROM documents")
+def fn4_fold_whole(spark, d):
+    """Every document, those that hold 'ß' too."""
+    return folds(table(spark, d, "documents"))
 
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS flat FROM documents")

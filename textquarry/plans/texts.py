@@ -131,6 +131,11 @@ def chapters(spark, d):
     return outline, links, bookmarks
 
 
+def resolved(spark, d):
+    outline, links, bookmarks = chapters(spark, d)
+    return D.resolve_internal_links(links, bookmarks, outline, "conv_id")
+
+
 @query(r"""
     WITH t AS (SELECT conv_id, turn, left(regexp_replace(text, '\s+', ' ', 'g'), 30) AS title FROM conversations),
     keys AS (SELECT conv_id, turn, title, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS k FROM t),
@@ -139,8 +144,20 @@ def chapters(spark, d):
     SELECT t.conv_id, t.turn::INT AS pos, CASE WHEN t.turn % 4 = 3 THEN NULL WHEN t.turn % 2 = 0 THEN upper(t.title) ELSE f.title END AS target
     FROM t LEFT JOIN found f USING (conv_id, turn) WHERE NOT contains(t.title, 'ß')""")
 def doc4_resolve_internal_links(spark, d):
-    outline, links, bookmarks = chapters(spark, d)
-    return D.resolve_internal_links(links, bookmarks, outline, "conv_id").where(~F.col("text").contains("ß")).select("conv_id", "pos", "target")
+    """Links without 'ß' in their titles, as the SQL has them; `doc4_resolve_internal_links_whole` resolves them all."""
+    return resolved(spark, d).where(~F.col("text").contains("ß")).select("conv_id", "pos", "target")
+
+
+@query(r"""
+    WITH t AS (SELECT conv_id, turn, left(regexp_replace(text, '\s+', ' ', 'g'), 30) AS title FROM conversations),
+    keys AS (SELECT conv_id, turn, title, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS k FROM t),
+    k2 AS (SELECT conv_id, turn, title, unnest(list_distinct([k, regexp_replace(k, '\s+\d+$', ''), regexp_replace(k, '\s*\.{2,}\s*\d+$', '')])) AS k FROM keys),
+    found AS (SELECT a.conv_id, a.turn, arg_min(b.title, b.turn) AS title FROM keys a JOIN k2 b ON a.conv_id = b.conv_id AND a.k = b.k GROUP BY ALL)
+    SELECT t.conv_id, t.turn::INT AS pos, CASE WHEN t.turn % 4 = 3 THEN NULL WHEN t.turn % 2 = 0 THEN replace(upper(t.title), 'ẞ', 'SS') ELSE f.title END AS target
+    FROM t LEFT JOIN found f USING (conv_id, turn)""")
+def doc4_resolve_internal_links_whole(spark, d):
+    """Every link, those with 'ß' in their titles too."""
+    return resolved(spark, d).select("conv_id", "pos", "target")
 
 
 @query(r"""
