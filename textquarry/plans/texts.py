@@ -118,7 +118,7 @@ def doc2_restore_spaces(spark, d):
 @query()
 def doc3_annotate_headings(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    outline = docs.select("doc_id", F.posexplode(F.slice(F.filter(F.split("text", "\n"), lambda x: F.char_length(x) >= 3), 1, 20)).alias("pos", "line")).select("doc_id", "pos", F.lit(1).alias("level"), F.substring("line", 1, 30).alias("title"))
+    outline = docs.select("doc_id", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.char_length(x) >= 3)).alias("pos", "line")).select("doc_id", "pos", F.lit(1).alias("level"), F.substring("line", 1, 30).alias("title"))
     return D.annotate_headings(docs, outline, "doc_id").select("doc_id", F.md5("text").alias("text_md5"), F.regexp_count("text", F.lit(r"(?m)^\[H1\] ")).alias("headings"))
 
 
@@ -193,14 +193,27 @@ def ocr1_reading_order(spark, d):
     return K.reading_order(boxes)
 
 
+def reflowed(docs):
+    """Letters of each document set one a line, a blank line for a blank, and put back into words."""
+    flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
+    letters = F.transform(F.regexp_extract_all(flat, F.lit("."), F.lit(0)), lambda x: F.trim(x))
+    return docs.select("doc_id", K.reflow_vertical(F.array_join(letters, "\n")).alias("text"))
+
+
 @query(r"""
     WITH v AS (SELECT doc_id, regexp_extract_all(trim(regexp_replace(left(text, 60), '\s+', ' ', 'g')), '.') AS c FROM documents)
     SELECT doc_id, CASE WHEN len(list_filter(c, lambda x: x <> ' ')) >= 4 THEN array_to_string(string_split(array_to_string(c, ''), ' '), chr(10) || chr(10)) ELSE array_to_string(list_transform(c, lambda x: trim(x)), chr(10)) END AS text FROM v""")
 def ocr2_reflow_vertical(spark, d):
-    """The first 60 characters of each document set one a line, a blank line for a blank: a layout's sample, the rest of the text plays no part in it."""
-    flat = F.trim(F.regexp_replace(F.substring("text", 1, 60), r"(?U)\s+", " "))
-    letters = F.transform(F.regexp_extract_all(flat, F.lit("."), F.lit(0)), lambda x: F.trim(x))
-    return table(spark, d, "documents").select("doc_id", K.reflow_vertical(F.array_join(letters, "\n")).alias("text"))
+    """The first 60 characters of each document, as the SQL has them; `ocr2_reflow_vertical_whole` takes the whole text."""
+    return reflowed(table(spark, d, "documents").withColumn("text", F.substring("text", 1, 60)))
+
+
+@query(r"""
+    WITH v AS (SELECT doc_id, regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '.') AS c FROM documents)
+    SELECT doc_id, CASE WHEN len(list_filter(c, lambda x: x <> ' ')) >= 4 THEN array_to_string(string_split(array_to_string(c, ''), ' '), chr(10) || chr(10)) ELSE array_to_string(list_transform(c, lambda x: trim(x)), chr(10)) END AS text FROM v""")
+def ocr2_reflow_vertical_whole(spark, d):
+    """Every letter of each document set one a line, a blank line for a blank."""
+    return reflowed(table(spark, d, "documents"))
 
 
 @query(r"""
