@@ -34,3 +34,25 @@ def test_headings_of_all_lines(spark, tmp_path):
     text = "\n".join(f"Capitolo {i:02d}" for i in range(45))
     d = folder(tmp_path, documents=spark.createDataFrame([(1, text)], "doc_id long, text string"))
     assert plans.QUERIES["doc3_annotate_headings"](spark, d).first()["headings"] == 45
+
+
+def test_all_phrases_are_restored(spark, tmp_path):
+    """A phrase beyond the 200th by alphabet is glued and restored; all texts are as a plain chain over all phrases makes them."""
+    import re
+    from hashlib import md5
+
+    passages = [f"a{i:03d} parola fine" for i in range(230)] + ["zeta\u00a0x ultima fine", "zeta ultima fine", "zeta $ul fine", "ab c", "a b", "zetaultima ok\\d x", "", "solo", " zeta x"]
+    texts = ["dice zeta\nultima qui", "zetaultima", "uno zeta ultima, due", "a b c a\nb", "(a229parola) a229\nparola", "zetaultima ok\\d", "zeta\n$ul", "zeta\u00a0x\nultima", "niente", "", None]
+    d = folder(tmp_path, documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), benchmark=spark.createDataFrame(list(enumerate(passages)), "item_id long, text string"))
+    phrases = sorted({" ".join(re.split(r"[ \t\n\x0b\f\r]+", p)[:2]) for p in passages})
+
+    def plain(t):
+        for p in phrases:
+            t = t.replace(p, p.replace(" ", "")) if p else t
+        for p in sorted((p for p in phrases if len(p.split()) > 1), key=lambda p: (-len(p), p)):
+            t = re.sub(r"(?<![^\W\d_])" + r"[ \t\n\x0b\f\r]?".join(map(re.escape, p.split())) + r"(?![^\W\d_])", lambda _, p=p: " ".join(p.split()), t)
+        return t
+
+    rows = {r["doc_id"]: r["text_md5"] for r in plans.QUERIES["doc2_restore_spaces"](spark, d).collect()}
+    assert rows == {i: t if t is None else md5(plain(t).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert plain(texts[4]) == "(a229 parola) a229 parola"

@@ -51,6 +51,39 @@ def restore_spaces(text: Column, phrases: list[str]) -> Column:
     return text
 
 
+def phrase_hits(docs: DataFrame, phrases: DataFrame, text_col: str = "text", block: int = 1000) -> DataFrame:
+    """docs with `phrases`: those of the table's `phrase` column whose letters stand in the text without its blanks; the rest cannot change it.
+
+    The table goes to tasks in blocks of about `block` phrases, each met by every text.
+    """
+    bare = F.array_distinct(F.array(F.regexp_replace("phrase", " ", ""), F.regexp_replace("phrase", r"(?U)[\s\x1c-\x1f]+", "")))
+    own = phrases.where("phrase <> ''").select("phrase").distinct().withColumn("bare", bare)
+    number = F.floor((F.row_number().over(Window.orderBy("phrase")) - 1) / block)
+    blocks = own.withColumn("__block", number).groupBy("__block").agg(F.collect_list(F.struct("phrase", "bare")).alias("__phrases"))
+    texts = docs.select(F.md5(text_col).alias("__text"), F.regexp_replace(text_col, r"\s+", "").alias("__bare")).dropDuplicates(["__text"])
+    held = F.filter("__phrases", lambda p: F.exists(p["bare"], lambda b: F.col("__bare").contains(b)))
+    hits = texts.crossJoin(F.broadcast(blocks)).select("__text", F.transform(held, lambda p: p["phrase"]).alias("p")).where(F.size("p") > 0)
+    lists = hits.groupBy("__text").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("phrases"))
+    return docs.withColumn("__text", F.md5(text_col)).join(lists, "__text", "left").drop("__text").withColumn("phrases", F.coalesce("phrases", F.array().cast("array<string>")))
+
+
+def glue_phrases(text: Column, phrases: Column) -> Column:
+    """The text with each phrase of the list, in its order, written without blanks."""
+    return F.aggregate(phrases, text, lambda t, p: F.replace(t, p, F.replace(p, F.lit(" "), F.lit(""))))
+
+
+def restore_listed(text: Column, phrases: Column) -> Column:
+    """`restore_spaces` by a column of phrases."""
+    words = F.transform(phrases, lambda p: F.trim(F.regexp_replace(p, r"(?U)[\s\x1c-\x1f]+", " ")))
+    several = F.filter(F.transform(F.arrays_zip(phrases.alias("p"), words.alias("w")), lambda x: F.struct((-F.char_length(x["p"])).alias("n"), x["p"].alias("p"), x["w"].alias("w"))), lambda x: x["w"].contains(" "))
+
+    def put(t: Column, x: Column) -> Column:
+        glued = F.concat(F.lit(r"(?<!\p{L})\Q"), F.replace(x["w"], F.lit(" "), F.lit(r"\E\s?\Q")), F.lit(r"\E(?!\p{L})"))
+        return F.regexp_replace(t, glued, F.replace(F.replace(x["w"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$")))
+
+    return F.aggregate(F.array_sort(several), text, put)
+
+
 def annotate_headings(docs: DataFrame, outline: DataFrame, doc: str, text_col: str = "text") -> DataFrame:
     """doc, text with `[Hn] title` on a paragraph of its own at each title's first place in the body, not on index lines, not over another."""
     titles = outline.where(F.char_length("title") >= 3).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title"))).alias("titles"))

@@ -107,12 +107,10 @@ def doc1_outline_from_index(spark, d):
 @query()
 def doc2_restore_spaces(spark, d):
     """Documents with the first two words of every benchmark passage glued, and their spaces restored by those phrases."""
-    words = F.split("text", r"\s+")
-    phrases = [r[0] for r in table(spark, d, "benchmark").select(F.array_join(F.slice(words, 1, 2), " ")).distinct().orderBy(F.lit(1)).limit(200).collect()]
-    text = F.col("text")
-    for p in phrases:
-        text = F.replace(text, F.lit(p), F.lit(p.replace(" ", "")))
-    return table(spark, d, "documents").withColumn("glued", text).select("doc_id", F.md5(D.restore_spaces(F.col("glued"), phrases)).alias("text_md5"))
+    phrases = table(spark, d, "benchmark").select(F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("phrase"))
+    docs = D.phrase_hits(table(spark, d, "documents").select("doc_id", "text"), phrases)
+    docs = docs.withColumn("glued", D.glue_phrases(F.col("text"), F.col("phrases")))
+    return docs.select("doc_id", F.md5(D.restore_listed(F.col("glued"), F.col("phrases"))).alias("text_md5"))
 
 
 @query()
