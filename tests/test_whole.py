@@ -56,3 +56,26 @@ def test_all_phrases_are_restored(spark, tmp_path):
     rows = {r["doc_id"]: r["text_md5"] for r in plans.QUERIES["doc2_restore_spaces"](spark, d).collect()}
     assert rows == {i: t if t is None else md5(plain(t).encode()).hexdigest() for i, t in enumerate(texts)}
     assert plain(texts[4]) == "(a229 parola) a229 parola"
+
+
+def test_profiles_of_any_number(spark, tmp_path):
+    from textquarry.operators import search as S
+    from textquarry.streaming import arrivals as A
+
+    docs = spark.createDataFrame([(1, "parola zeta", "it"), (2, "parola", "en"), (3, "altro", "it")], "doc_id long, text string, lang string")
+    profiles = spark.createDataFrame([(f"p{i % 1005}", ["parola"], None) for i in range(1007)] + [("z", ["ZETA"], "it"), ("e", [], None)], "name string, terms array<string>, profile_lang string")
+    want = sorted([(f"p{i % 1005}", k) for i in range(1007) for k in (1, 2)] + [("z", 1)])
+    assert sorted((r["name"], r["doc_id"]) for r in S.run_profiles(docs, profiles).collect()) == want
+    docs.write.parquet(f"{tmp_path}/in")
+    found = A.standing_search(A.arrivals(spark, f"{tmp_path}/in", docs.schema), profiles.drop("profile_lang"), ["doc_id"])
+    A.to_parquet(found, f"{tmp_path}/out", f"{tmp_path}/mark").awaitTermination()
+    assert sorted((r["name"], r["doc_id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want
+
+
+def test_glossary_of_any_number(spark, tmp_path):
+    from hashlib import md5
+
+    d = folder(tmp_path, documents=spark.createDataFrame([(1, "dice W10004, qui"), (None, "w00000"), (1, "niente"), (4, "the W00001"), (5, None)], "doc_id long, text string"), benchmark=spark.range(10_005).selectExpr("id AS item_id", "format_string('w%05d %s', id, if(id = 1, 'taht', 'xy')) AS text"))
+    rows = {(r["doc_id"], r["text_md5"]) for r in plans.QUERIES["sea6_apply_glossary"](spark, d).collect()}
+    assert rows == {(k, md5(t.encode()).hexdigest()) for k, t in ((1, "dice yx, qui"), (None, "yx"), (4, "the that"))}
+    assert [tuple(r) for r in plans.QUERIES["sea7_match_with_glossary"](spark, d).collect()] == [(4, True)]

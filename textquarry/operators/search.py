@@ -96,6 +96,16 @@ def apply_glossary(text: Column, mapping: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(mapping, fold(t)), t)), "")
 
 
+def with_glossary(docs: DataFrame, text_col: str, rules: DataFrame, order_col: str) -> DataFrame:
+    """docs with `mapping`: the rules of any number that stand in each text, by a join on the folded token; null if none does."""
+    keyed = docs.withColumn("__text", F.md5(text_col))
+    tokens = F.transform(F.regexp_extract_all(text_col, F.lit(r"(?U)\w+"), F.lit(0)), fold)
+    words = keyed.dropDuplicates(["__text"]).select("__text", F.explode(F.array_distinct(tokens)).alias("key"))
+    single = normalize_glossary(rules, order_col).where(F.col("key").rlike(r"^(?U)\w+$")).select("key", F.coalesce("replace", F.lit("")).alias("replace"))
+    found = words.join(single, "key").groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct("key", "replace"))).alias("mapping"))
+    return keyed.join(found, "__text", "left").drop("__text")
+
+
 def match_with_glossary(df: DataFrame, text_col: str, terms: list[str], mapping: Column) -> DataFrame:
     """Rows that match as they are or after the glossary; by_glossary tells those that need it."""
     raw = contains_all(F.col(text_col), terms)
@@ -151,14 +161,23 @@ def recent_queries(history: DataFrame, text_col: str, time_col: str, n: int = 20
     return last.orderBy(F.desc("last_used"), text_col).limit(n)
 
 
-def run_profiles(docs: DataFrame, profiles: DataFrame, text_col: str = "text", most: int = 1000) -> DataFrame:
-    """Every document with every profile (name, terms, lang or null) that it matches; docs pass once over a list of at most `most` profiles."""
-    small = profiles.limit(most + 1)
-    if small.count() > most:
-        raise ValueError(f"at most {most} profiles run in one go")
+def match_profiles(docs: DataFrame, profiles: DataFrame, text_col: str, most: int) -> DataFrame:
+    """Every document with every profile whose terms it holds; docs pass once over blocks of at most `most` profiles, of which there may be any number."""
     low = F.lower(F.col(text_col))
-    match = (F.size("terms") > 0) & F.forall("terms", lambda t: low.contains(F.lower(t)))
-    return docs.join(F.broadcast(profiles), match & (F.col("profile_lang").isNull() | (F.col("profile_lang") == F.col("lang"))))
+    columns = profiles.columns
+    if profiles.count() <= most:
+        return docs.join(F.broadcast(profiles), (F.size("terms") > 0) & F.forall("terms", lambda t: low.contains(F.lower(t))))
+    number = F.floor((F.row_number().over(Window.orderBy(*columns)) - 1) / most)
+    blocks = profiles.withColumn("__block", number).groupBy("__block").agg(F.collect_list(F.struct(*columns)).alias("__profiles")).drop("__block")
+    met = docs.withColumn("__low", F.lower(text_col)).crossJoin(F.broadcast(blocks))
+    held = F.filter("__profiles", lambda p: (F.size(p["terms"]) > 0) & F.forall(p["terms"], lambda t: F.col("__low").contains(F.lower(t))))
+    return met.select(*docs.columns, F.inline(held))
+
+
+def run_profiles(docs: DataFrame, profiles: DataFrame, text_col: str = "text", most: int = 1000) -> DataFrame:
+    """Every document with every profile (name, terms, lang or null) that it matches; any number of profiles, in blocks of at most `most`."""
+    found = match_profiles(docs, profiles, text_col, most)
+    return found.where(F.col("profile_lang").isNull() | (F.col("profile_lang") == F.col("lang")))
 
 
 def merge_profiles(base: DataFrame, extra: DataFrame) -> DataFrame:

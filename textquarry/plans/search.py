@@ -105,16 +105,14 @@ def sea5_normalize_glossary(spark, d):
         LEFT JOIN firsts ON key = translate(lower(token), '{FOLD_FROM}', '{FOLD_TO}') AND regexp_full_match(key, '[\\p{{L}}\\p{{N}}_]+'))
     SELECT doc_id, md5(string_agg(token, '' ORDER BY pos)) AS text_md5 FROM changed GROUP BY doc_id HAVING bool_or(hit)""")
 def sea6_apply_glossary(spark, d):
-    docs = table(spark, d, "documents")
-    changed = S.apply_glossary(F.col("text"), S.glossary_map(glossary(spark, d), "item_id"))
-    tokens = F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0))
-    mapping = S.glossary_map(glossary(spark, d), "item_id")
-    return docs.where(F.exists(tokens, lambda t: F.map_contains_key(mapping, fold(t)))).select("doc_id", F.md5(changed).alias("text_md5"))
+    docs = S.with_glossary(table(spark, d, "documents").select("doc_id", "text"), "text", glossary(spark, d), "item_id")
+    return docs.where("mapping IS NOT NULL").select("doc_id", F.md5(S.apply_glossary(F.col("text"), F.col("mapping"))).alias("text_md5"))
 
 
 @query()
 def sea7_match_with_glossary(spark, d):
-    return S.match_with_glossary(table(spark, d, "documents").select("doc_id", "text"), "text", ["THAT", "the"], S.glossary_map(glossary(spark, d), "item_id")).drop("text")
+    docs = S.with_glossary(table(spark, d, "documents").select("doc_id", "text"), "text", glossary(spark, d), "item_id")
+    return S.match_with_glossary(docs, "text", ["THAT", "the"], F.col("mapping")).drop("text", "mapping")
 
 
 @query()

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.text import contains_all, strip_ws
+from ..operators.search import match_profiles
 
 
 def arrivals(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
@@ -31,12 +32,8 @@ def search_arrivals(docs: DataFrame, terms: list[str], keys: list[str], text_col
 
 
 def standing_search(docs: DataFrame, profiles: DataFrame, keys: list[str], text_col: str = "text", most: int = 1000) -> DataFrame:
-    """name, keys of every saved profile (name, terms) that an arriving document matches; at most `most` profiles, held by every task."""
-    if profiles.limit(most + 1).count() > most:
-        raise ValueError(f"at most {most} profiles stand at a time")
-    low = F.lower(F.col(text_col))
-    match = (F.size("terms") > 0) & F.forall("terms", lambda t: low.contains(F.lower(t)))
-    return docs.join(F.broadcast(profiles), match).select("name", *keys)
+    """name, keys of every saved profile (name, terms) that an arriving document matches; profiles stand in blocks of at most `most`, held by every task."""
+    return match_profiles(docs, profiles, text_col, most).select("name", *keys)
 
 
 def latest_stream(rows: DataFrame, key: str, time: str, tie: str) -> DataFrame:
