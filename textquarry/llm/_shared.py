@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST = 16 << 20  # bytes of a table that all executors may get
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a new local one."""
+    """The folder named in spark.checkpoint.dir, which driver and executors share. Without it there is none, and no local one would do on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -29,9 +29,10 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `max_rows` rows, else as it is. `df` should be cheap to count."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if(df: DataFrame) -> DataFrame:
+    """`df` (of numbers) with a broadcast hint if it takes at most BROADCAST bytes, else as it is. `df` should be cheap to count."""
+    most = BROADCAST // (24 + 8 * len(df.columns))
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:

@@ -62,7 +62,7 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -
     chain = Window.partitionBy("key").orderBy("sha")
     pages = (
         chains.withColumn("slot", F.shiftrightunsigned("key", 64 - fine_bits))
-        .join(broadcast_if(slots, 1 << 16), "slot")
+        .join(broadcast_if(slots), "slot")
         .withColumn("link", F.row_number().over(chain))
         .withColumn("repeated", F.sum("group_size").over(Window.partitionBy("key")) > 1)
         .drop("slot")
@@ -72,7 +72,7 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -
     pages = cut(pages, "dedup-pages", ["repeated"])
     repeated = pages.where("repeated")
 
-    keys = broadcast_if(repeated.select("key").distinct(), 1 << 21)
+    keys = broadcast_if(repeated.select("key").distinct())
     suspects = row.select(key.alias("key"), F.sha2("norm", 256).alias("sha"), "norm").join(keys, "key", "left_semi")
     proof = suspects.groupBy("key", "sha", "norm").agg(F.count(F.lit(1)).alias("n")).groupBy("key", "sha").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
     owned = repeated.join(proof, ["key", "sha"], "left")

@@ -31,7 +31,7 @@ from ._words import U, batches, lists, longs, mix, shingle_sets
 WORDS, PERCENT = 5, 80
 LEAST_FREQUENT, MOST_FREQUENT = 16, 1 << 21  # of the shingles put last in the order: rows of each, and how many
 POSTINGS = 1 << 20  # rows of postings a task holds
-BITMAP = 512
+LEAST_BITMAP = 1024
 PARTNERS = 4  # pairs a set takes part in, per posting, before large components have formed
 
 
@@ -40,7 +40,22 @@ def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1
 
 
-def _count_prefixes(n: int, percent: int):
+def _held(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
+def _count(n: int, percent: int, frequent=None):
+    """Shingles and in how many sets they are: those of prefixes by hash alone; with `frequent`, those that follow where a prefix holds frequent ones."""
+
+    def asked(s: np.ndarray) -> np.ndarray:
+        p = prefix_length(len(s), percent)
+        if frequent is None:
+            return s[:p]
+        late = int(_held(frequent.value, s[:p]).sum())
+        return s[p : p + 2 * late + 16] if 4 * late < p else s[p:]
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
 
@@ -51,7 +66,7 @@ def _count_prefixes(n: int, percent: int):
 
         for batch in parts:
             for _, texts in batches(batch):
-                waiting += [s[: prefix_length(len(s), percent)].copy() for s in shingle_sets(texts, n) if len(s)]
+                waiting += [asked(s).copy() for s in shingle_sets(texts, n) if len(s)]
                 if sum(map(len, waiting)) > POSTINGS:
                     yield out()
         yield out()
@@ -60,23 +75,33 @@ def _count_prefixes(n: int, percent: int):
 
 
 def frequent_shingles(docs: DataFrame, n: int, percent: int) -> np.ndarray:
-    """Sorted hashes of the shingles that most documents hold in their prefixes: at most MOST_FREQUENT, counted over all documents."""
-    counts = docs.select("text").mapInArrow(_count_prefixes(n, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counts = cut(counts.where(F.col("n") >= LEAST_FREQUENT), "jaccard-frequent")
-    least, held = 64, 0
-    for power, rows in sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()), reverse=True):
-        held += rows
-        if held > MOST_FREQUENT:
-            break
-        least = power
-    tokens = counts.where(F.floor(F.log2("n")) >= least).select("token").toArrow().column("token").to_numpy()
-    return np.sort(np.ascontiguousarray(tokens).view(U))
+    """Sorted hashes of the shingles that most documents hold: at most MOST_FREQUENT, counted over all documents.
 
+    A first count takes the prefixes that hashes alone would give. Where many of
+    a set's prefix are frequent its prefix moves on to shingles that nobody has
+    counted yet, so a second count takes those.
+    """
 
-def _held(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(x), bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+    def most(counts: DataFrame) -> np.ndarray:
+        least, held = 64, 0
+        for power, rows in sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()), reverse=True):
+            held += rows
+            if held > MOST_FREQUENT:
+                break
+            least = power
+        tokens = counts.where(F.floor(F.log2("n")) >= least).select("token").toArrow().column("token").to_numpy()
+        return np.sort(np.ascontiguousarray(tokens).view(U))
+
+    def count(frequent=None) -> DataFrame:
+        counts = docs.select("text").mapInArrow(_count(n, percent, frequent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        return cut(counts.where(F.col("n") >= LEAST_FREQUENT), "jaccard-frequent")
+
+    first = count()
+    shared = docs.sparkSession.sparkContext.broadcast(most(first))
+    every = first.union(count(shared)).groupBy("token").agg(F.sum("n").alias("n"))
+    found = most(every)
+    shared.unpersist()
+    return found
 
 
 def _sign(frequent, n: int, percent: int):
@@ -114,14 +139,45 @@ def _sign(frequent, n: int, percent: int):
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A set's parity bitmap: each element flips one bit. Two bitmaps differ in at most as many bits as the sets in elements."""
-    flips = np.bincount((s >> U(64 - BITMAP.bit_length() + 1)).astype(np.int64), minlength=BITMAP) & 1
-    return np.packbits(flips.astype(np.uint8)).tobytes()
-
-
-def near(n: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether bitmaps a and b (rows of 64-bit words) leave sets of sizes n and m the overlap: their difference is at most what the overlap allows."""
-    return (100 + percent) * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n + m)
+    """A set's parity bitmap, of at least as many bits as elements: each element flips one bit. Two bitmaps of one length differ in at most as many bits as the sets in elements."""
+    size = max(LEAST_BITMAP, 1 << (len(s) - 1).bit_length() if len(s) else 1)
+    flips = np.bincount((s & U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of many sets, one table for each length. A long one folds to half by XOR of its halves."""
+
+    def __init__(self, maps: list[bytes]) -> None:
+        self.length = np.array([len(m) for m in maps], np.int64)
+        self.row = np.zeros(len(maps), np.int64)
+        self.tables = {}
+        for length in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == length)
+            self.row[own] = np.arange(len(own))
+            self.tables[length] = np.frombuffer(b"".join(maps[i] for i in own.tolist()), U).reshape(len(own), -1)
+
+    def _rows(self, at: np.ndarray, length: int) -> np.ndarray:
+        out = np.empty((len(at), length // 8), U)
+        for own in np.unique(self.length[at]).tolist():
+            here = self.length[at] == own
+            bits = self.tables[own][self.row[at[here]]]
+            while bits.shape[1] > length // 8:
+                half = bits.shape[1] // 2
+                bits = bits[:, :half] ^ bits[:, half:]
+            out[here] = bits
+        return out
+
+    def near(self, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether sets i and j (n[i] <= n[j]) can have the overlap: their difference is at most what it allows."""
+        out = np.empty(len(i), bool)
+        for length in np.unique(self.length[i]).tolist():
+            here = np.flatnonzero(self.length[i] == length)
+            for at in range(0, len(here), max(1, (1 << 24) // length)):
+                some = here[at : at + max(1, (1 << 24) // length)]
+                apart = np.bitwise_count(self._rows(i[some], length) ^ self._rows(j[some], length)).sum(axis=1, dtype=np.int64)
+                out[some] = (100 + percent) * apart <= (100 - percent) * (n[i[some]] + n[j[some]])
+        return out
 
 
 def may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray, percent: int) -> np.ndarray:
@@ -171,9 +227,12 @@ def _cross(percent: int, partners: int | None):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(parts)
         token, node, n, pos, comp = _table(iter(found), ["token", "node", "n", "pos", "comp"])
-        bits = np.frombuffer(b"".join(b"".join(b.column(5).to_pylist()) for b in found), U).reshape(len(token), -1) if len(token) else np.empty((0, BITMAP // 64), U)
         order = np.lexsort((node, n, token))
-        token, node, n, pos, comp, bits = token[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order], bits[order]
+        maps = [m for b in found for m in b.column(5).to_pylist()]
+        found.clear()
+        bits = Bitmaps([maps[k] for k in order.tolist()])
+        del maps
+        token, node, n, pos, comp = token[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order]
         starts = _starts(token)
         ends = np.repeat(starts[1:], np.diff(starts))
         left, taken = np.arange(len(token)), np.zeros(len(token), np.int64)
@@ -193,7 +252,7 @@ def _cross(percent: int, partners: int | None):
                 left = left[taken[left] < partners]
             i = left[comp[left] != comp[left + step]]
             i = i[may_link(n[i], pos[i], n[i + step], pos[i + step], percent)]
-            i = i[near(n[i], bits[i], n[i + step], bits[i + step], percent)]
+            i = i[bits.near(n, i, i + step, percent)]
             if len(i):
                 taken[i] += 1
                 pairs.append(np.stack([np.minimum(node[i], node[i + step]), np.maximum(node[i], node[i + step])]))
@@ -206,16 +265,31 @@ def _cross(percent: int, partners: int | None):
     return run
 
 
+def exact_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Per text its distinct shingles as ascending ranks of the shingles themselves, no hashes: words are numbered by their bytes."""
+    numbers: dict[bytes, int] = {}
+    rows, owners = [], []
+    for i, text in enumerate(texts):
+        words = np.array([numbers.setdefault(w, len(numbers) + 1) for w in text.lower().split()], np.int32)
+        short = np.zeros(n, np.int32)
+        short[: min(n, len(words))] = words[:n]
+        rows.append(np.lib.stride_tricks.sliding_window_view(words, n) if len(words) >= n else short[None, :] if len(words) else np.empty((0, n), np.int32))
+        owners.append(np.full(len(rows[-1]), i))
+    every = np.ascontiguousarray(np.concatenate([*rows, np.empty((0, n), np.int32)]))
+    _, rank = np.unique(every.view(np.dtype((np.void, 4 * n))).ravel(), return_inverse=True)
+    pairs = np.unique(np.concatenate([*owners, np.empty(0, np.int64)]).astype(np.int64) << 32 | rank)
+    return np.split(pairs & 0xFFFFFFFF, np.searchsorted(pairs >> 32, np.arange(1, len(texts))))
+
+
 def _verify(n: int, percent: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part, _ in batches(batch, "text_a", 1 << 21):
                 a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
                 texts: dict[int, bytes] = {}
                 for ids, column in ((a, part.column(2)), (b, part.column(3))):
                     texts |= zip(ids.tolist(), column.cast(pa.binary()).to_pylist(), strict=True)
-                sets = dict(zip(texts, shingle_sets(list(texts.values()), n), strict=True))
+                sets = dict(zip(texts, exact_sets(list(texts.values()), n), strict=True))
                 linked = []
                 for x, y in zip(a.tolist(), b.tolist(), strict=True):
                     s, t = sets[x], sets[y]
@@ -231,7 +305,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perc
     """Those of the pairs (a, b) of nodes whose whole texts link."""
     pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "rep_doc", "rep_text"), "node")
-    needed = broadcast_if(cut(needed.select("node", "rep_doc", "rep_text").dropDuplicates(["node"]), "jaccard-needed"), 1 << 20)
+    needed = broadcast_if(cut(needed.select("node", "rep_doc", "rep_text").dropDuplicates(["node"]), "jaccard-needed"))
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     texts = own.join(needed, (F.col("hash") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep_doc")))
     texts = cut(texts.select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
@@ -280,7 +354,7 @@ def _meeting(postings: DataFrame, classes: DataFrame, labels: DataFrame, width:
     mixed = narrow.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     mixed = cut(mixed, "jaccard-mixed")
     entries = postings.select("token", "group", "pos").union(classes.select(F.col("group").alias("token"), "group", F.lit(0).alias("pos")).distinct())
-    entries = entries.join(broadcast_if(mixed, 1 << 20), "token", "left_semi")
+    entries = entries.join(broadcast_if(mixed), "token", "left_semi")
     return entries.join(nodes.select("group", "node", "n", "comp", "bits"), "group").select("token", "node", "n", "pos", "comp", "bits").repartition(width, "token")
 
 
@@ -296,15 +370,21 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     sets. Rows without an id link by text, but give components no name: null if
     no other does. An empty table gives an empty result; other columns are ignored.
     """
+    return components_of(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def components_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """`jaccard_components` with text_hash and stays: whether the row is the one (or like the one) that stays of its component."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n, percent))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     signed = cut(keyed.mapInArrow(_sign(frequent, n, percent), "doc_id long, text_hash long, n int, set_a long, set_b long, group long, bits binary, prefix array<long>"), "jaccard-signed")
 
+    node_of = F.xxhash64("n", "set_a", "set_b")
     rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     classes = signed.where("n > 0").groupBy("group", "n", "set_a", "set_b").agg(rep.alias("rep"), F.min("bits").alias("bits"))
-    classes = cut(classes.select("group", "n", "set_a", "set_b", "bits", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.text_hash").alias("rep_text"), F.coalesce("rep.doc_id", "set_a").alias("node")), "jaccard-classes")
+    classes = cut(classes.select("group", "n", "set_a", "set_b", "bits", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.text_hash").alias("rep_text"), node_of.alias("node")), "jaccard-classes")
 
     groups = signed.where(F.size("prefix") > 0).groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = groups.select("group", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -316,7 +396,9 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     met = postings.where("leader <> group").select("leader", "group").distinct()
     stars = met.join(leads, "group").withColumnRenamed("lead", "a").join(leads.select(F.col("group").alias("leader"), F.col("lead").alias("b")), "leader").select("a", "b")
     inside = classes.join(leads, "group").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    first = components(verified(stars.union(inside), classes, docs, n, percent))
+    of_id = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(node_of).alias("a"), F.max(node_of).alias("b"), F.collect_set(node_of).alias("all")).where("a <> b")
+    alike = of_id.select("a", F.explode("all").alias("b")).where("a <> b")
+    first = components(verified(stars.union(inside), classes, docs, n, percent).union(alike))
 
     labels = _relabelled(classes.select("node", F.col("node").alias("comp")).distinct(), first)
     for partners in (PARTNERS, None):
@@ -325,15 +407,26 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
         over = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("comp_b")), "b")
         labels = _relabelled(labels, components(over.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))))
     final = classes.join(labels, "node").withColumnRenamed("comp", "top")
-    names = final.groupBy("top").agg(F.min("rep_doc").alias("component_id"))
-    named = cut(final.join(names, "top").select("n", "set_a", "set_b", "component_id"), "jaccard-named")
-    out = signed.select("doc_id", "n", "set_a", "set_b").join(named, ["n", "set_a", "set_b"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    stays = F.min(F.struct(F.col("rep_doc").isNull(), "rep_doc", "rep_text"))
+    names = final.groupBy("top").agg(F.min("rep_doc").alias("component_id"), stays.alias("stays"))
+    named = cut(final.join(names, "top").select("n", "set_a", "set_b", "component_id", F.col("stays.rep_doc").alias("keep_doc"), F.col("stays.rep_text").alias("keep_text")), "jaccard-named")
+    out = signed.select("doc_id", "text_hash", "n", "set_a", "set_b").join(named, ["n", "set_a", "set_b"], "left")
+    stay = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("text_hash") == F.col("keep_text")))
+    return out.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), stay.alias("stays"))
 
 
 def near_duplicates_removed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """`docs` without near copies: of each component the row with the least doc_id stays (of repeated rows one); texts without words stay."""
-    ids = jaccard_components(docs, n, percent)
-    stay = ids.where("n_shingles = 0 OR component_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """`docs` without near copies: of each component the row with the least doc_id stays (null ids last, then by the text's hash).
+
+    Texts without words stay, each as it is; of rows alike in doc_id and text one
+    does. Null text counts as empty. An empty table gives an empty one; other
+    columns go along, those named `__near_...` are replaced.
+    """
+    stay = components_of(docs, n, percent).where("stays").select("doc_id", "text_hash").distinct()
+
+    def keys(df: DataFrame, hashed: Column) -> DataFrame:
+        return df.withColumn("__near_null", F.col("doc_id").isNull()).withColumn("__near_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("__near_hash", hashed)
+
+    names = ["__near_null", "__near_id", "__near_hash"]
+    own = keys(docs.drop(*names), F.xxhash64(F.coalesce("text", F.lit(""))))
+    return own.join(keys(stay, F.col("text_hash")).select(*names), names, "left_semi").dropDuplicates(names).select(*[c for c in docs.columns if c not in names])

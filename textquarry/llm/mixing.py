@@ -99,10 +99,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
     offset = F.pmod(F.xxhash64(F.lit(seed), "__mix_null", "__mix_source"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     last = F.col("__mix_row0") + F.row_number().over(in_cell)
     return (
-        keyed.join(broadcast_if(salts, SMALL), [*where, "__mix_class"])
+        keyed.join(broadcast_if(salts), [*where, "__mix_class"])
         .withColumn("__mix_salt", F.pmod(F.col("__mix_hash"), F.col("__mix_salts")))
         .drop("__mix_salts")
-        .join(broadcast_if(plan.drop("__mix_salts"), SMALL), cell)
+        .join(broadcast_if(plan.drop("__mix_salts")), cell)
         .withColumn("__mix_last", last)
         .withColumn("mix_copies", (F.floor(offset + F.col("__mix_last") * rate) - F.floor(offset + (F.col("__mix_last") - 1) * rate)).cast("long"))
         .select(*docs.columns, *NAMES)
