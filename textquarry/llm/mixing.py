@@ -3,7 +3,9 @@
 Every document of a source is expected `target / source size` times. The
 expected copies are prefix-summed in one order of the source's documents, a
 random offset of the source is added, and a document is emitted once for each
-integer that its stretch of the sum crosses.
+integer that its stretch of the sum crosses. Texts are read once for their
+sizes; all else works on narrow rows, and the mix reads texts once more to take
+them.
 
 The order is by size class, then salt, then size and id. A class of n documents
 has about sqrt(n) salts, so that a hot source, or one size that fills it, is
@@ -21,7 +23,6 @@ from ._shared import broadcast_if, cut
 
 WORDS = r"[^\x20\x09-\x0D]+"
 CLASSES_PER_OCTAVE = 8
-SMALL = 1 << 18  # rows of the table of cells up to which it is broadcast
 NAMES = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
@@ -30,8 +31,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def source_targets(sized: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
-    """Per source: n, source_size, target.
+def source_targets(classes: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+    """Per source (`source`, null as it is) of a table of sizes (source, n, mix_size): n, source_size, target.
 
     Sources in code point order (null last) weigh `weights`, repeating. Targets
     share the total size by weight; one above `most` times its source's size
@@ -40,7 +41,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], most: float) ->
     reach their stop in the order of size / weight, so running sums in that
     order give the level.
     """
-    sources = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("source_size"))
+    sources = classes.groupBy("source").agg(F.sum("n").alias("n"), F.sum("mix_size").alias("source_size"))
     everything = Window.partitionBy()
     order = everything.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
@@ -58,58 +59,72 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], most: float) ->
     )
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 17) -> DataFrame:
-    """All rows of `docs` with mix_size, mix_source_size, mix_target and mix_copies (how often the mix takes the row).
-
-    Null text has size 0, null source is a source of its own, null ids rank
-    first in their cell; rows that repeat get their own copies each; an empty
-    table gives an empty one. A source of size 0 has target 0 and no copies.
-    Columns of `docs` named like the four results or starting with `__mix` are replaced.
-    """
-    docs = docs.drop(*NAMES, *[c for c in docs.columns if c.startswith("__mix")])
-    sized = docs.withColumn("mix_size", word_count(F.col("text")))
+def _rows(docs: DataFrame, seed: int) -> DataFrame:
+    """The one pass over texts: doc_id, source, mix_size, and two hashes that name a row by all three."""
+    own = ["doc_id", F.col("source").isNull(), "source", F.col("text").isNull(), "text"]
+    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("mix_size"), F.xxhash64(F.lit(seed), *own).alias("__mix_a"), F.xxhash64(F.lit(seed + 1), *own).alias("__mix_b"))
     size_class = F.floor(F.log2(F.col("mix_size") + F.lit(1.0)) * CLASSES_PER_OCTAVE).cast("int")
-    keyed = sized.select(
-        "*",
-        F.col("source").isNull().alias("__mix_null"),
-        F.coalesce(F.col("source"), F.lit("")).alias("__mix_source"),
-        size_class.alias("__mix_class"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("__mix_hash"),
-    )
+    return cut(narrow.select("*", F.col("source").isNull().alias("__mix_null"), F.coalesce("source", F.lit("")).alias("__mix_source"), size_class.alias("__mix_class")), "mix-rows")
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
+    narrow = _rows(docs, seed)
     where = ["__mix_null", "__mix_source"]
-    targets = source_targets(keyed.select("source", "mix_size"), weights, most)
-    narrow = keyed.select(*where, "__mix_class", "__mix_hash")
-    classes = narrow.groupBy(*where, "__mix_class").agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("__mix_salts"))
+    classes = narrow.groupBy(*where, "__mix_class").agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("mix_size"))
+    classes = cut(classes.withColumn("__mix_salts", F.ceil(F.sqrt("n"))), "mix-classes")
+    targets = source_targets(classes.select(F.when(~F.col("__mix_null"), F.col("__mix_source")).alias("source"), "n", "mix_size"), weights, most)
+    salted = narrow.join(broadcast_if(classes.select(*where, "__mix_class", "__mix_salts")), [*where, "__mix_class"])
+    salted = salted.withColumn("__mix_salt", F.pmod("__mix_a", "__mix_salts"))
     cell = [*where, "__mix_class", "__mix_salt"]
-    salt = F.pmod(F.col("__mix_hash"), F.col("__mix_salts")).alias("__mix_salt")
-    cells = narrow.join(classes, [*where, "__mix_class"]).groupBy(*where, "__mix_class", salt, "__mix_salts").agg(F.count(F.lit(1)).alias("__mix_n"))
+    cells = salted.groupBy(*cell).agg(F.count(F.lit(1)).alias("__mix_n"))
     # rows before a cell: those of earlier classes of its source, then those of earlier salts of its class
-    by_class = cells.groupBy(*where, "__mix_class").agg(F.sum("__mix_n").alias("__mix_in_class"))
     earlier = Window.partitionBy(*where).orderBy("__mix_class").rowsBetween(Window.unboundedPreceding, -1)
-    by_class = by_class.withColumn("__mix_before", F.coalesce(F.sum("__mix_in_class").over(earlier), F.lit(0))).drop("__mix_in_class")
+    by_class = classes.select(*where, "__mix_class", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__mix_before"))
     in_class = Window.partitionBy(*where, "__mix_class").orderBy("__mix_salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("__mix_row0", F.coalesce(F.sum("__mix_n").over(in_class), F.lit(0)))
-    cells = cells.join(by_class, [*where, "__mix_class"]).withColumn("__mix_row0", F.col("__mix_row0") + F.col("__mix_before")).drop("__mix_before", "__mix_n")
-    plan = cells.join(targets.select(F.col("source").isNull().alias("__mix_null"), F.coalesce("source", F.lit("")).alias("__mix_source"), "source_size", "target"), where)
-    plan = cut(plan.withColumnRenamed("source_size", "mix_source_size").withColumnRenamed("target", "mix_target"), "mix-cells")
-    salts = plan.select(*where, "__mix_class", "__mix_salts").distinct()
+    cells = cells.withColumn("__mix_row0", F.coalesce(F.sum("__mix_n").over(in_class), F.lit(0))).drop("__mix_n")
+    cells = cells.join(by_class, [*where, "__mix_class"]).withColumn("__mix_row0", F.col("__mix_row0") + F.col("__mix_before")).drop("__mix_before")
+    plan = cells.join(targets.select(F.col("source").isNull().alias("__mix_null"), F.coalesce("source", F.lit("")).alias("__mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")), where)
+    plan = cut(plan, "mix-cells")
 
-    in_cell = Window.partitionBy(*cell).orderBy("mix_size", F.col("doc_id").asc_nulls_first())
+    in_cell = Window.partitionBy(*cell).orderBy("mix_size", F.col("doc_id").asc_nulls_first(), "__mix_a", "__mix_b")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.lit(seed), "__mix_null", "__mix_source"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     last = F.col("__mix_row0") + F.row_number().over(in_cell)
     return (
-        keyed.join(broadcast_if(salts), [*where, "__mix_class"])
-        .withColumn("__mix_salt", F.pmod(F.col("__mix_hash"), F.col("__mix_salts")))
-        .drop("__mix_salts")
-        .join(broadcast_if(plan.drop("__mix_salts")), cell)
+        salted.join(broadcast_if(plan), cell)
         .withColumn("__mix_last", last)
         .withColumn("mix_copies", (F.floor(offset + F.col("__mix_last") * rate) - F.floor(offset + (F.col("__mix_last") - 1) * rate)).cast("long"))
-        .select(*docs.columns, *NAMES)
+        .select("doc_id", "source", *NAMES, "__mix_a", "__mix_b")
     )
 
 
-def emit_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of `docs` with more than 0 copies, each as often as it has copies, columns as in `docs`."""
-    mixed = mix_sources(docs, **options).where(F.col("mix_copies") > 0)
-    return mixed.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 17) -> DataFrame:
+    """Per row of `docs`: doc_id, source, mix_size, mix_source_size, mix_target and mix_copies (how often the mix takes the row).
+
+    Null text has size 0, null source is a source of its own, null ids rank
+    first in their cell, ties go by a hash of the text; rows that repeat get
+    their own copies each; an empty table gives an empty one. A source of size 0
+    has target 0 and no copies. Other columns are ignored.
+    """
+    return _mixed(docs, weights, most, seed).drop("__mix_a", "__mix_b")
+
+
+def emit_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 17) -> DataFrame:
+    """The mix itself: rows of `docs` with more than 0 copies, each as often as it has copies, columns as in `docs`.
+
+    Nulls, ties and empty tables are as in `mix_sources`. Rows alike in doc_id,
+    source and text share their copies evenly, whatever their other columns
+    hold. Columns of `docs` that start with `__mix` are left out.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("__mix")])
+    names = ["__mix_a", "__mix_b"]
+    taken = _mixed(docs, weights, most, seed).groupBy(*names).agg(F.sum("mix_copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_twins")).where("__mix_copies > 0")
+    own = ["doc_id", F.col("source").isNull(), "source", F.col("text").isNull(), "text"]
+    named = docs.select("*", F.xxhash64(F.lit(seed), *own).alias("__mix_a"), F.xxhash64(F.lit(seed + 1), *own).alias("__mix_b"))
+    held = named.join(broadcast_if(cut(taken, "mix-taken")), names)
+    one = held.where("__mix_twins = 1")
+    turn = F.row_number().over(Window.partitionBy(*names).orderBy(*names)) - 1
+    more = held.where("__mix_twins > 1").withColumn("__mix_turn", turn)
+    share = F.expr("__mix_copies div __mix_twins") + F.when(F.col("__mix_turn") < F.col("__mix_copies") % F.col("__mix_twins"), 1).otherwise(0)
+    more = more.withColumn("__mix_copies", share).drop("__mix_turn").where("__mix_copies > 0")
+    return one.unionByName(more).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)

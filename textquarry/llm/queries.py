@@ -25,7 +25,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(documents(spark, sf_dir).select("doc_id", "source", "text"), weights=(5.0, 2.0, 1.0), most=3.0)
+    mixed = mix_sources(documents(spark, sf_dir), weights=(5.0, 2.0, 1.0), most=3.0)
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
