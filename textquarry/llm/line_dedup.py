@@ -5,7 +5,9 @@ once and one for lines seen twice; tasks send only slices that they touched,
 and slices of all tasks merge by OR, with AND of two once-slices adding to
 twice. A second pass sends on only lines that the twice filter suspects. Their
 keys are grouped as text, which confirms repeats exactly and gives the first
-document; the filter's errors only add suspects.
+document; the filter's errors only add suspects. Documents without a suspect
+stay where they are read; only those with one are shuffled, to meet their list
+of lines to drop.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import exchange_width, text_bytes
-from ._words import batches
+from ._shared import cut, exchange_width, text_bytes
+from ._words import batches, claim
 
 SPACE = b" \t\n\r\x0b\x0c"
 SLICE_BITS = 1 << 16
@@ -48,6 +50,7 @@ def put(filter_: np.ndarray, at: np.ndarray) -> None:
 
 def _mark(bits: int, least: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lines")
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in parts:
             for _, texts in batches(batch):
@@ -83,6 +86,7 @@ def _merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _suspect(filter_, bits: int, least: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lines")
         twice = np.frombuffer(filter_.value, np.uint8)
         for batch in parts:
             for part, texts in batches(batch):
@@ -102,8 +106,33 @@ def _suspect(filter_, bits: int, least: int):
     return run
 
 
+def _parted(filter_, bits: int, least: int, suspected: bool):
+    """Rows of which a line is suspected (or none is). Rows without one get n_lines and n_dropped."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lines")
+        twice = np.frombuffer(filter_.value, np.uint8)
+        for batch in parts:
+            for part, texts in batches(batch):
+                keys = [{*line_keys(text, least)} - {None} for text in texts]
+                owner = np.repeat(np.arange(len(texts)), [len(k) for k in keys])
+                hashes = np.array([xxhash.xxh3_64_intdigest(k) for own in keys for k in own], np.uint64)
+                hit = np.zeros(len(texts), bool)
+                if len(hashes):
+                    hit[owner[held(twice, positions(hashes, bits))]] = True
+                rows = np.flatnonzero(hit == suspected)
+                part = part.take(pa.array(rows))
+                if not suspected:
+                    part = part.append_column("n_lines", pa.array([texts[i].count(b"\n") + 1 for i in rows.tolist()], pa.int64()))
+                    part = part.append_column("n_dropped", pa.array(np.zeros(len(rows), np.int64)))
+                yield part
+
+    return run
+
+
 def _apply(text_at: int, drop_at: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lines")
         for batch in parts:
             texts = batch.column(text_at).cast(pa.binary()).to_pylist()
             drops = batch.column(drop_at).to_pylist()
@@ -123,20 +152,24 @@ def _apply(text_at: int, drop_at: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, least: int = 10, bits: int | None = None) -> DataFrame:
-    """Lines to drop: line_doc, line_text (hash of the text), drop (their numbers). For `dedup_lines`."""
+def twice_filter(docs: DataFrame, least: int, bits: int | None):
+    """The filter of lines seen twice, as a broadcast, and its bits: at most MOST_BITS, whatever the input."""
     spark = docs.sparkSession
-    size = text_bytes(docs)
-    bits = bits or min(MOST_BITS, max(LEAST_BITS, 1 << (size // 32).bit_length()))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("line_doc"), F.xxhash64("text").alias("line_text"), "text")
-    marks = rows.select("text").mapInArrow(_mark(bits, least), "slice int, once binary, twice binary")
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, 1 << (text_bytes(docs) // 32).bit_length()))
+    marks = docs.select("text").mapInArrow(_mark(bits, least), "slice int, once binary, twice binary")
     merged = marks.repartition(exchange_width(spark, bits // SLICE_BITS, 256), "slice").mapInArrow(_merge, "slice int, twice binary")
     twice = bytearray(bits // 8)
-    for k, part in merged.collect():  # at most MOST_BITS, whatever the input
+    for k, part in merged.collect():
         twice[k * len(part) : (k + 1) * len(part)] = part
-    suspects = rows.mapInArrow(_suspect(spark.sparkContext.broadcast(bytes(twice)), bits, least), "line_doc long, line_text long, line_no int, line_key string")
+    return spark.sparkContext.broadcast(bytes(twice)), bits
+
+
+def repeated_lines(rows: DataFrame, filter_, bits: int, least: int) -> DataFrame:
+    """Lines to drop of rows (line_doc, line_text, text): line_doc, line_text (hash of the text), drop (their numbers)."""
+    suspects = rows.mapInArrow(_suspect(filter_, bits, least), "line_doc long, line_text long, line_no int, line_key string")
     ends = suspects.groupBy("line_key").agg(F.min("line_doc").alias("first_doc"), F.max("line_doc").alias("last_doc"))
-    ends = ends.where("first_doc < last_doc").drop("last_doc")
+    # a table of its own, so that the rows of a very common line may be split over tasks
+    ends = cut(ends.where("first_doc < last_doc").drop("last_doc"), "line-repeats")
     return suspects.join(ends, "line_key").where("line_doc > first_doc").groupBy("line_doc", "line_text").agg(F.collect_set("line_no").alias("drop"))
 
 
@@ -148,12 +181,19 @@ def dedup_lines(docs: DataFrame, least: int = 10, bits: int | None = None) -> Da
     lines everywhere but in the smallest doc_id that holds them; there they all
     stay. Null or empty text is one empty line. Rows with one doc_id count as
     one document; rows without one as one that comes last. An empty table gives
-    an empty result; columns named n_lines or n_dropped are replaced.
+    an empty result; columns named n_lines or n_dropped are replaced, those that
+    start with `__line` left out.
     """
-    docs = docs.drop("n_lines", "n_dropped")
-    drops = repeated_lines(docs, least, bits)
-    keyed = docs.withColumn("__line_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("__line_text", F.xxhash64("text"))
-    drops = drops.select(F.col("line_doc").alias("__line_doc"), F.col("line_text").alias("__line_text"), F.col("drop").alias("__drop"))
-    joined = keyed.join(drops, ["__line_doc", "__line_text"], "left").select(*docs.columns, "__drop")
+    docs = docs.drop("n_lines", "n_dropped", *[c for c in docs.columns if c.startswith("__line")])
+    filter_, bits = twice_filter(docs, least, bits)
+    keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64("text"))
+    rows = docs.select(keys[0].alias("line_doc"), keys[1].alias("line_text"), "text")
+    drops = repeated_lines(rows, filter_, bits, least).toDF("__line_doc", "__line_text", "__line_drop")
+
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(_apply(docs.columns.index("text"), len(docs.columns)), f"{fields}, n_lines long, n_dropped long")
+    clean = docs.mapInArrow(_parted(filter_, bits, least, False), f"{fields}, n_lines long, n_dropped long")
+    suspected = docs.mapInArrow(_parted(filter_, bits, least, True), fields)
+    keyed = suspected.withColumn("__line_doc", keys[0]).withColumn("__line_text", keys[1])
+    joined = keyed.join(drops, ["__line_doc", "__line_text"], "left").select(*docs.columns, "__line_drop")
+    told = joined.mapInArrow(_apply(docs.columns.index("text"), len(docs.columns)), f"{fields}, n_lines long, n_dropped long")
+    return clean.unionByName(told).withColumn("text", F.coalesce("text", F.lit("")))
