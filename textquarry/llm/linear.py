@@ -13,10 +13,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._words import batches, hash_words
+from ._shared import cut
+from ._words import batches, claim, hash_words
 
 SPACE_BITS = 18
 PREFIXES = (4, 5)  # first bytes of a word that are features too: stems, in any language
@@ -65,44 +66,40 @@ def _featurise(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.drop_columns(["text"]).append_column("features", pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.astype(np.int32))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, columns: dict[str, F.Column], bound: int = SAMPLE) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
-    """Features and `columns` (expressions over labels and text) of at most `bound` labelled documents, chosen by a hash of their id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, columns: dict[str, Column], bound: int = SAMPLE) -> DataFrame:
+    """doc_id, `columns` (expressions over labels, as int) and features of at most `bound` labelled documents, chosen by a hash of their id; of rows with one id, one text. Written to the shared folder."""
     used = [c for c in labels.columns if c != "doc_id"]
     chosen = labels.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(bound)
     picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.select("doc_id", *used)), "doc_id")
+    one = picked.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), *[F.first(c).alias(c) for c in used])
     out = [F.coalesce(e.cast("int"), F.lit(0)).alias(c) for c, e in columns.items()]
     fields = ", ".join(f"`{c}` int" for c in columns)
-    rows = picked.select("doc_id", "text", *out).mapInArrow(_featurise, f"doc_id long, {fields}, features array<int>").toArrow()
+    return cut(one.select("doc_id", "text", *out).mapInArrow(_featurise, f"doc_id long, {fields}, features array<int>"), "labelled-sample")
+
+
+def select_features(sample: DataFrame, target: Column, most: int = SELECTED) -> np.ndarray:
+    """The `most` features with the largest chi-square against `target`, none that chance explains; of ties, the smallest. At most `most` rows reach the driver."""
+    yes = F.coalesce(target.cast("int"), F.lit(0))
+    n, p = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum(yes), F.lit(0))).first()
+    if not n:
+        return np.empty(0, np.int64)
+    counts = sample.select(yes.alias("yes"), F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("held"), F.sum("yes").alias("hits"))
+    expected = F.col("held") * (p / n)
+    spread = expected * (1 - F.col("held") / n) * (1 - p / n) + 1e-9
+    best = counts.where("held >= 2").select("feature", ((F.col("hits") - expected) ** 2 / spread).alias("score")).where(F.col("score") >= LEAST_SCORE)
+    return np.array(sorted(r[0] for r in best.orderBy(F.desc("score"), "feature").limit(most).collect()), np.int64)
+
+
+def dense(sample: DataFrame, chosen: np.ndarray, columns: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Rows by chosen features of the sample, by ascending doc_id, and `columns`: at most its bound times `chosen` numbers."""
+    own = F.array_intersect("features", F.array(*[F.lit(int(f)) for f in chosen]).cast("array<int>"))
+    rows = sample.select("doc_id", *columns, own.alias("own")).toArrow()
     rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending")]))
-    values = rows.column("features").combine_chunks()
-    if len(values) == 0:
-        return [], {c: rows.column(c).to_numpy() for c in columns}
-    offsets = values.offsets.to_numpy()
-    flat = values.values.to_numpy().astype(np.int64)
-    return np.split(flat[offsets[0] : offsets[-1]], offsets[1:-1] - offsets[0]), {c: rows.column(c).to_numpy() for c in columns}
-
-
-def select_features(found: list[np.ndarray], target: np.ndarray, most: int = SELECTED) -> np.ndarray:
-    """The `most` features with the largest chi-square against target > 0, none that chance explains; of ties, the smallest."""
-    held = np.bincount(np.concatenate(found), minlength=FEATURES).astype(float) if found else np.zeros(FEATURES)
-    positive = [f for f, t in zip(found, target, strict=True) if t > 0]
-    hits = np.bincount(np.concatenate(positive), minlength=FEATURES).astype(float) if positive else np.zeros(FEATURES)
-    n, p = max(1, len(found)), len(positive)
-    expected = held * p / n
-    spread = expected * (1 - held / n) * (1 - p / n) + 1e-9
-    score = np.where(held >= 2, (hits - expected) ** 2 / spread, 0.0)
-    best = np.lexsort((np.arange(FEATURES), -score))[:most]
-    return np.sort(best[score[best] >= LEAST_SCORE])
-
-
-def dense(found: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
-    place = np.full(FEATURES, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    out = np.zeros((len(found), len(chosen)), np.float32)
-    for i, f in enumerate(found):
-        at = place[f]
-        out[i, at[at >= 0]] = 1
-    return out
+    place = {int(f): i for i, f in enumerate(chosen)}
+    x = np.zeros((len(rows), len(chosen)), np.float32)
+    for i, found in enumerate(rows.column("own").to_pylist()):
+        x[i, [place[f] for f in found]] = 1
+    return x, {c: rows.column(c).to_numpy() for c in columns}
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -133,18 +130,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarr
 
 
 def score_rows(chosen: np.ndarray, weights: np.ndarray, finish: Callable[[np.ndarray], dict[str, np.ndarray]]):
-    """A mapInArrow function: columns but `__scored`, whose texts are scored, and what `finish` makes of texts x models sums of weights (features by models)."""
+    """A mapInArrow function: all columns, and what `finish` makes of texts x models sums of weights (features by models) of the column text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("linear")
         place = np.full(FEATURES, -1, np.int64)
         place[chosen] = np.arange(len(chosen))
         for batch in parts:
-            for part, texts in batches(batch, "__scored"):
+            for part, texts in batches(batch):
                 rows, found = features(texts)
                 at = place[found]
                 rows, at = rows[at >= 0], at[at >= 0]
                 sums = np.stack([np.bincount(rows, weights=w[at], minlength=len(texts)) for w in weights.T], axis=1)
-                part = part.drop_columns(["__scored"])
                 for name, values in finish(sums).items():
                     part = part.append_column(name, pa.array(values))
                 yield part

@@ -19,22 +19,32 @@ SELECT_FROM, CUT = 1, 0.5
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Shared weights and ascending thresholds; thresholds are a first one and the logs of positive steps."""
+    """Shared weights and ascending thresholds that maximise the likelihood of the grades, less the penalty on weights.
+
+    With s the score and t the thresholds, P(grade = k) = F(t[k] - s) -
+    F(t[k - 1] - s), F logistic. Thresholds are a first one and the logs of
+    positive steps, so they stay in order.
+    """
     n, k = max(1, len(grade)), grades - 1
-    above = (grade[:, None] > np.arange(k)[None, :]).astype(float)
+    x = x.astype(np.float32)
+    xt = np.ascontiguousarray(x.T)
+    grade = grade.astype(np.int64)
 
     def thresholds(t: np.ndarray) -> np.ndarray:
         return t[0] + np.concatenate([[0.0], np.cumsum(np.exp(t[1:]))])
 
-    x = x.astype(np.float32)
-    xt = np.ascontiguousarray(x.T)
-
     def gradient(w: np.ndarray) -> np.ndarray:
-        # likelihood of each threshold's binary question; steps keep thresholds in order
-        miss = sigmoid((x @ w[:-k].astype(np.float32))[:, None] - thresholds(w[-k:])[None, :]) - above
-        by_threshold = -miss.sum(axis=0) / n
-        steps = np.exp(w[-k + 1 :]) * by_threshold[::-1].cumsum()[::-1][1:] if k > 1 else np.empty(0)
-        return np.concatenate([xt @ miss.sum(axis=1).astype(np.float32) / n + penalty * w[:-k] / n, [by_threshold.sum()], steps])
+        t = np.concatenate([[-np.inf], thresholds(w[-k:]), [np.inf]])
+        s = x @ w[:-k].astype(np.float32)
+        upper, lower = sigmoid(t[grade + 1] - s), sigmoid(t[grade] - s)
+        mass = np.maximum(upper - lower, 1e-12)
+        by_score = (1 - upper - lower).astype(np.float32)  # of -log P: (f(upper) - f(lower)) / mass
+        by_threshold = np.zeros(grades + 1)
+        np.add.at(by_threshold, grade + 1, -upper * (1 - upper) / mass / n)
+        np.add.at(by_threshold, grade, lower * (1 - lower) / mass / n)
+        inner = by_threshold[1:-1]
+        steps = np.exp(w[len(w) - k + 1 :]) * inner[::-1].cumsum()[::-1][1:]
+        return np.concatenate([xt @ by_score / n + penalty * w[:-k] / n, [inner.sum()], steps])
 
     start = np.zeros(x.shape[1] + k)
     start[-k] = -1.0
@@ -45,19 +55,21 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, penalty: float =
 def score_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, selected: int = SELECTED, select_from: int = SELECT_FROM, cut: float = CUT) -> DataFrame:
     """`docs` with expected_grade, p_at_least_1 ... and kept (probability of grade >= `select_from` is at least `cut`).
 
-    The grade of a labelled row is 0 if its quality is 0, else 1 if it is toxic,
-    else 2; null labels count as 0. Fitted on at most `bound` labelled rows.
-    Null text is empty and scored by its shape, null ids and repeated rows row
-    by row. Without labels thresholds keep their start and all rows are kept.
-    An empty table gives an empty result; columns named like results are replaced.
+    The table of labels has two marks of 0 or 1, so the graded rating is made of
+    both: 0 if quality is 0, else 1 if toxic, else 2; null labels count as 0.
+    Fitted on at most `bound` labelled rows, one per doc_id. Null text is scored
+    by its shape, null ids and repeated rows row by row. Without labels
+    thresholds keep their start and all rows are kept. An empty table gives an
+    empty result; columns named like results are replaced.
     """
     names = ["expected_grade", *[f"p_at_least_{k}" for k in range(1, GRADES)], "kept"]
-    docs = docs.drop(*names, "__scored")
+    docs = docs.drop(*names)
     grade = F.when(F.coalesce("quality", F.lit(0)) <= 0, 0).when(F.coalesce("toxic", F.lit(0)) > 0, 1).otherwise(2)
-    found, y = labelled_sample(docs, labels.select("doc_id", "quality", "toxic"), {"grade": grade}, bound)
+    sample = labelled_sample(docs, labels.select("doc_id", "quality", "toxic"), {"grade": grade}, bound)
     half = selected // 2  # features that tell each threshold's two sides apart
-    chosen = np.unique(np.concatenate([select_features(found, y["grade"] > k, half) for k in range(GRADES - 1)]))
-    weights, thresholds = fit_ordinal(dense(found, chosen), y["grade"], GRADES)
+    chosen = np.unique(np.concatenate([select_features(sample, F.col("grade") > k, half) for k in range(GRADES - 1)]))
+    x, y = dense(sample, chosen, ["grade"])
+    weights, thresholds = fit_ordinal(x, y["grade"], GRADES)
 
     def finish(sums: np.ndarray) -> dict[str, np.ndarray]:
         tail = sigmoid(sums[:, :1] - thresholds[None, :])
@@ -65,4 +77,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, selec
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     types = ", ".join(f"{n} double" for n in names[:-1])
-    return docs.withColumn("__scored", F.col("text")).mapInArrow(score_rows(chosen, weights[:, None], finish), f"{fields}, {types}, kept boolean")
+    return docs.mapInArrow(score_rows(chosen, weights[:, None], finish), f"{fields}, {types}, kept boolean")

@@ -3,9 +3,9 @@
 Categories are predicted one after another. Each is a logistic regression on
 the text's features and on the probabilities of all earlier categories; in
 training those are out-of-fold predictions, so a later link learns from
-probabilities as good as it will meet. The last link is toxicity itself. The
-table of labels grades toxicity alone, so the earlier categories are weak
-labels: a toxic document that holds one of the category's seed words.
+probabilities as good as it will meet. The table of labels grades two
+categories, poor quality and toxicity, in this order: the last link is
+toxicity itself.
 """
 
 from __future__ import annotations
@@ -16,11 +16,7 @@ from pyspark.sql import functions as F
 
 from .linear import SAMPLE, SELECTED, dense, fit_logistic, labelled_sample, score_rows, select_features, sigmoid
 
-#: Seed words of the weakly labelled categories, in the order of the chain.
-CATEGORIES = {
-    "insult": ("clown", "idiot", "loser", "moron", "stupid"),
-    "contempt": ("disgusting", "pathetic", "scum", "trash", "worthless"),
-}
+CATEGORIES = ("low_quality", "toxic")  # in the order of the chain
 FOLDS = 5
 CUT = 0.3
 
@@ -60,24 +56,23 @@ def chain_finish(names: list[str], tails: list[np.ndarray], cut: float):
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, selected: int = SELECTED, cut: float = CUT) -> DataFrame:
-    """`docs` with p_insult, p_contempt, p_toxic and toxic (p_toxic >= cut).
+    """`docs` with p_low_quality, p_toxic and toxic (p_toxic >= cut).
 
-    Fitted on at most `bound` labelled rows; null labels count as 0. Null text
-    is empty and scored by its shape alone, null ids and repeated rows are
-    scored row by row. Without labels nothing is toxic.
-    An empty table gives an empty result; columns of `docs` named like results
-    or `__scored` are replaced.
+    Fitted on at most `bound` labelled rows, one per doc_id, and at most
+    `selected` features for each category; null labels count as 0. Null text is
+    scored by its shape alone, null ids and repeated rows are scored row by row.
+    Without labels nothing is toxic. An empty table gives an empty result;
+    columns of `docs` named like results are replaced.
     """
-    names = [*CATEGORIES, "toxic"]
-    docs = docs.drop(*[f"p_{n}" for n in names], "toxic", "__scored")
-    words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
-    targets = {c: (F.col("toxic") > 0) & F.arrays_overlap(words, F.array(*[F.lit(w) for w in seeds])) for c, seeds in CATEGORIES.items()}
-    found, y = labelled_sample(docs, labels.select("doc_id", "toxic"), targets | {"toxic": F.col("toxic") > 0}, bound)
-    chosen = select_features(found, y["toxic"], selected)
-    links = fit_chain(dense(found, chosen), [y[n] for n in names])
+    names = list(CATEGORIES)
+    docs = docs.drop(*[f"p_{n}" for n in names], "toxic")
+    targets = {"low_quality": F.col("quality") <= 0, "toxic": F.col("toxic") > 0}
+    sample = labelled_sample(docs, labels.select("doc_id", "quality", "toxic"), targets, bound)
+    chosen = np.unique(np.concatenate([select_features(sample, F.col(n) > 0, selected) for n in names]))
+    x, y = dense(sample, chosen, names)
+    links = fit_chain(x, [y[n] for n in names])
     weights = np.stack([w[: len(chosen)] for w in links], axis=1)
     tails = [w[len(chosen) :] for w in links]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    run = score_rows(chosen, weights, chain_finish(names, tails, cut if len(found) else 2.0))
-    scored = docs.withColumn("__scored", F.col("text")).mapInArrow(run, f"{fields}, {', '.join(f'p_{n} double' for n in names)}, toxic boolean")
-    return scored
+    run = score_rows(chosen, weights, chain_finish(names, tails, cut if len(x) else 2.0))
+    return docs.mapInArrow(run, f"{fields}, {', '.join(f'p_{n} double' for n in names)}, toxic boolean")
