@@ -7,7 +7,7 @@ batch of texts costs a few array operations and no work per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,22 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _VALUE = mix((_LOWER + 1).astype(U) * U(0xD1342543DE82EF95))
 _powers: list[np.ndarray] = [np.empty(0, U), np.empty(0, U)]
+_memory: list[Callable[[], None]] = []
+_owner: list[str] = []
+
+
+def remembers(clear: Callable[[], None]) -> None:
+    """Registers how to clear what a worker remembers between tasks."""
+    _memory.append(clear)
+
+
+def claim(owner: str) -> None:
+    """To be called first in a task: a worker that served another operator before forgets what it remembered for it."""
+    if _owner != [owner]:
+        _owner[:] = [owner]
+        for clear in _memory:
+            clear()
+        pa.default_memory_pool().release_unused()
 
 
 def _power_tables(n: int) -> list[np.ndarray]:

@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._words import claim, remembers
 from .tokens import Memo, tokenizer
 
 SIZE, GROUP = 2048, 1 << 21
 BATCH = 512  # documents tokenized at a time
-UNITS_KNOWN = 500_000  # units a worker remembers in each of two generations
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 WHITE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the blank before it, or white space up to that blank: each holds whole pre-tokens of a byte-level BPE.
@@ -39,7 +39,10 @@ PIECE_SCHEMA = pa.schema({"doc_id": pa.int64(), "start": pa.int64(), "length": p
 
 @functools.cache
 def known_units(path: str) -> Memo:
-    return Memo(UNITS_KNOWN)
+    return Memo()
+
+
+remembers(known_units.cache_clear)
 
 
 @functools.cache
@@ -105,6 +108,7 @@ def assign(lengths: list[int], size: int = SIZE, linear: float = LINEAR, quadrat
 
 def _pack(path: str, end_id: int, size: int, group: int, linear: float, quadratic: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         base, counter = TaskContext.get().partitionId() << 32, 0
         rows: list[tuple] = []
         rests: list[tuple] = []  # doc_id, ids of the rest, its start, the document's tokens

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import cut
-from ._words import batches
+from ._words import batches, claim, remembers
 
 HUGE, CHUNK, OVERLAP, MARGIN, WIDEN = 1 << 15, 1 << 14, 1 << 10, 64, 16
-KNOWN = 250_000  # words a worker remembers in each of two generations
+KNOWN, ENTRY = 48 << 20, 160  # bytes of what a worker remembers in each of two generations; of them, what an entry takes beside its key
 
 
 @functools.cache
@@ -39,24 +39,27 @@ def tokenizer(path: str):
 
 
 class Memo:
-    """What a worker remembers by key: two generations of bounded size, so that keys in use stay."""
+    """What a worker remembers by key: two generations of about `most` bytes each, so that keys in use stay."""
 
     def __init__(self, most: int = KNOWN) -> None:
         self.young: dict = {}
         self.old: dict = {}
+        self.size = 0
         self.most = most
 
     def learn(self, keys: set, make: Callable[[list], list]) -> dict:
         """A table that holds all the keys; `make` gives values of those not known."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
         new = []
         for k in keys - self.young.keys():
             if k in self.old:
                 self.young[k] = self.old[k]
+                self.size += ENTRY + len(k)
             else:
                 new.append(k)
         self.young.update(zip(new, make(new), strict=True))
+        self.size += sum(ENTRY + len(k) for k in new)
         return self.young
 
 
@@ -65,6 +68,9 @@ def known_words(path: str) -> Memo:
     return Memo()
 
 
+remembers(known_words.cache_clear)
+
+
 def count_whole(path: str, texts: list[bytes]) -> list[int]:
     """Tokens of each text. No token spans ASCII white space, so a text has the tokens of its words; a worker encodes a word once."""
     words = [t.split() for t in texts]
@@ -78,6 +84,7 @@ def count_whole(path: str, texts: list[bytes]) -> list[int]:
 
 def _count(path: str):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens")
         for batch in parts:
             for part, texts in batches(batch):
                 yield part.drop_columns(["text"]).append_column("n_tokens", pa.array(count_whole(path, texts), pa.int64()))
@@ -88,7 +95,7 @@ def _count(path: str):
 def _chunks(chunk: int, overlap: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 text, at, no = row["text"], 0, 0
                 while True:
                     end = len(text) if at + chunk + overlap >= len(text) else at + chunk
@@ -106,8 +113,9 @@ ZONES = "left_at array<long>, left_n array<int>, right_at array<long>, right_n a
 
 def _encode(path: str, overlap: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens")
         for batch in parts:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 found = tokenizer(path).encode(row["text"], add_special_tokens=False)
                 words, starts = np.array(found.word_ids, object), np.array([a for a, _ in found.offsets], np.int64)
                 first = np.flatnonzero(words[1:] != words[:-1]) + 1  # tokens that start a pre-token
