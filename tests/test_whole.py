@@ -13,21 +13,21 @@ def test_fold_takes_sharp_s(spark, tmp_path):
     from hashlib import md5
 
     d = folder(tmp_path, documents=spark.createDataFrame([(1, "Große Straße"), (2, "Caffè")], "doc_id long, text string"))
-    rows = {r["doc_id"]: (r["folded"], r["sign"]) for r in plans.QUERIES["fn4_fold_whole"](spark, d).collect()}
+    rows = {r["doc_id"]: (r["folded"], r["sign"]) for r in plans.QUERIES["fn4_fold"](spark, d).collect()}
     want = {1: ("grosse strasse", "großestraße"), 2: ("caffe", "caffe")}
     assert rows == {k: tuple(md5(x.encode()).hexdigest() for x in v) for k, v in want.items()}
 
 
 def test_links_take_sharp_s(spark, tmp_path):
     d = folder(tmp_path, conversations=spark.createDataFrame([(1, 0, "Große Straße"), (1, 1, "Maß"), (1, 2, "Ende"), (1, 3, "Fuß")], "conv_id long, turn long, text string"))
-    rows = {r["pos"]: r["target"] for r in plans.QUERIES["doc4_resolve_internal_links_whole"](spark, d).collect()}
+    rows = {r["pos"]: r["target"] for r in plans.QUERIES["doc4_resolve_internal_links"](spark, d).collect()}
     assert rows == {0: "GROSSE STRASSE", 1: "Maß", 2: "ENDE", 3: None}
 
 
 def test_reflow_takes_the_whole_text(spark, tmp_path):
     text = " ".join(f"parola{i}" for i in range(40))
     d = folder(tmp_path, documents=spark.createDataFrame([(1, text)], "doc_id long, text string"))
-    assert plans.QUERIES["ocr2_reflow_vertical_whole"](spark, d).first()["text"] == text.replace(" ", "\n\n")
+    assert plans.QUERIES["ocr2_reflow_vertical"](spark, d).first()["text"] == text.replace(" ", "\n\n")
 
 
 def test_headings_of_all_lines(spark, tmp_path):

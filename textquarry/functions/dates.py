@@ -115,6 +115,13 @@ PARSERS: list[DateParser] = [w3c, rfc822, iso8601, asctime, perforce, hungarian,
 
 
 def parse_feed_date(text: Column, parsers: list[DateParser] | None = None) -> Column:
-    """UTC timestamp of the first format that fits, else null. The session's time zone must be UTC."""
-    plain = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    return F.coalesce(*[p(plain) for p in (PARSERS if parsers is None else parsers)])
+    """UTC timestamp of the first format that fits, else null. The session's time zone must be UTC.
+
+    The parsers run as the function of a one-element array: all of them together
+    are far more code than one generated method may hold, and as a function they
+    are not generated at all.
+    """
+    def first(plain: Column) -> Column:
+        return F.coalesce(*[p(plain) for p in (PARSERS if parsers is None else parsers)])
+
+    return F.get(F.transform(F.array(F.trim(F.regexp_replace(text, r"(?U)\s+", " "))), first), F.lit(0))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,10 +112,11 @@ def _rows_of_page(page: pd.DataFrame) -> pd.DataFrame:
     words = page[page["t"].fillna("").str.strip() != ""].sort_values(["y", "x"], kind="stable")
     heights = sorted(h for h in words["h"].dropna() if h > 0)
     if heights:
-        slack = max(8.0, 0.65 * heights[len(heights) // 2])
-    else:
-        gaps = sorted(g for g in words["y"].diff().dropna() if g > 1)
-        slack = max(8.0, 0.7 * gaps[len(gaps) // 2]) if gaps else 20.0
+        height = heights[len(heights) // 2]
+    else:  # guessed from the gaps between the distinct places of words
+        gaps = np.sort(np.diff(np.unique(words["y"].round(1))))
+        height = 0.7 * gaps[len(gaps) // 2] if len(gaps) else 20.0
+    slack = max(8.0, 0.65 * height)
     rows: list[list[tuple[float, str]]] = []
     mean, held = 0.0, 0
     for t, x, y in zip(words["t"], words["x"], words["y"], strict=True):
@@ -156,65 +158,97 @@ def dedupe_lines(docs: DataFrame, doc: str, text_col: str = "text") -> DataFrame
     return kept.groupBy(doc).agg(strip_ws(F.regexp_replace(text, "\n{3,}", "\n\n")).alias("text"))
 
 
-def repair_tokens(docs: DataFrame, doc: str, hints: list[str], text_col: str = "text") -> DataFrame:
-    """doc, text: tokens of 4 or more folded letters that match a hint, alone or with the next token, become the hint in the token's case."""
-    table = [h.lower() for h in hints]
+TOKENS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
+LEAST_TOKEN = 4
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from ..functions.text import ACCENTED, CONFUSED, PLAIN
 
-        signs = str.maketrans(ACCENTED + "".join(CONFUSED), PLAIN + "".join(CONFUSED.values()))
+def _hint_matcher(hints: list[str]) -> Callable[[str], str | None]:
+    """The hint that a token of LEAST_TOKEN or more folded letters is, as it stands, reversed, or with errors; the first of several."""
+    from ..functions.text import ACCENTED, CONFUSED, PLAIN
+
+    table = str.maketrans(ACCENTED + "".join(CONFUSED), PLAIN + "".join(CONFUSED.values()))
 
-        def fold(t: str) -> str:
-            return "".join(c for c in t.lower().translate(signs) if c.isalnum())
+    def fold(t: str) -> str:
+        return "".join(c for c in t.lower().translate(table) if c.isalnum())
 
-        folded = [(fold(h), h) for h in table]
+    folded = [(fold(h), h) for h in hints if len(fold(h)) >= LEAST_TOKEN]
 
-        def match(sign: str) -> str | None:
-            if len(sign) < 4:
-                return None
-            return next((h for f, h in folded if sign == f or abs(len(sign) - len(f)) <= 3 and fuzzy_in(sign, f)), None)
+    @functools.lru_cache(maxsize=1 << 16)
+    def match(token: str) -> str | None:
+        sign = fold(token)
+        if len(sign) < LEAST_TOKEN:
+            return None
+        return next((h for f, h in folded if sign in (f, f[::-1]) or abs(len(sign) - len(f)) <= 3 and fuzzy_in(sign, f)), None)
 
-        def styled(hint: str, token: str) -> str:
-            return hint.upper() if token.isupper() else hint.capitalize() if token[:1].isupper() else hint
+    return match
+
+
+def repair_tokens(docs: DataFrame, doc: str, hints: list[str], text_col: str = "text") -> DataFrame:
+    """doc, text: tokens of 4 or more folded letters that match a hint, or else do so glued to the next token with white space between, become the hint in the token's case. All other signs stay as they are; null text is empty."""
+
+    def styled(hint: str, token: str) -> str:
+        return hint.upper() if token.isupper() else hint.capitalize() if token[:1].isupper() and token[1:].islower() else hint.lower()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        match = _hint_matcher(hints)
+
+        def mended(text: str) -> str:
+            tokens, out, i = TOKENS.findall(text), [], 0
+            while i < len(tokens):
+                step, hint = 1, match(tokens[i]) if tokens[i].isalnum() else None
+                if not hint and tokens[i].isalnum() and i + 2 < len(tokens) and tokens[i + 1].strip() == "" and "\n" not in tokens[i + 1]:
+                    hint = match(tokens[i] + tokens[i + 2])
+                    step = 3 if hint else 1
+                out.append(styled(hint, tokens[i]) if hint else tokens[i])
+                i += step
+            return "".join(out)
 
         for pdf in parts:
-            out = []
-            for text in pdf["text"].fillna(""):
-                lines = []
-                for line in text.split("\n"):
-                    tokens, fixed, i = line.split(), [], 0
-                    while i < len(tokens):
-                        both = match(fold(tokens[i] + tokens[i + 1])) if i + 1 < len(tokens) and not match(fold(tokens[i])) else None
-                        alone = match(fold(tokens[i]))
-                        fixed.append(styled(alone or both, tokens[i]) if alone or both else tokens[i])
-                        i += 2 if both and not alone else 1
-                    lines.append(" ".join(fixed))
-                out.append("\n".join(lines))
-            yield pdf.assign(text=out)
+            yield pdf.assign(text=pdf["text"].fillna("").map(mended))
 
     return docs.select(doc, F.col(text_col).alias("text")).mapInPandas(run, f"{doc} {docs.schema[doc].dataType.simpleString()}, text string")
 
 
 def candidate_score(text: Column, hit: Column) -> Column:
-    """Letters weighed by their share, words of two or more letters (at most 80), a bonus for hints; under 3 letters -0.5."""
+    """Letters weighed by their share among letters and other signs (digits and white space count as neither), words of two or more signs (at most 80), a bonus for hints; under 3 letters -0.5."""
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    other = F.char_length(F.regexp_replace(text, r"(?U)\s", "")) - letters
-    words = F.least(F.lit(80), F.regexp_count(text, F.lit(r"\p{L}{2,}")))
+    other = F.regexp_count(text, F.lit(r"(?U)[^\p{L}\p{Nd}\s]"))
+    words = F.least(F.lit(80), F.regexp_count(text, F.lit(r"(?U)\S{2,}")))
     score = letters * letters / F.greatest(letters + other, F.lit(1)) + 2 * words + F.when(hit, 500.0).otherwise(0.0)
     return F.when(letters < 3, -0.5).otherwise(score)
 
 
-def best_candidate(candidates: DataFrame, item: str, hints: list[str], text_col: str = "text") -> DataFrame:
-    """item, text, score: the best of an item's candidates after covered ones are dropped, or all that survive joined if that scores higher."""
-    flat = candidates.select(item, F.monotonically_increasing_id().alias("no"), F.col(text_col).alias("text"), F.lower(collapse_ws(F.col(text_col))).alias("flat")).where("flat <> ''")
-    other = flat.select(item, F.col("no").alias("no2"), F.col("flat").alias("flat2"))
-    covers = F.col("flat2").contains(F.col("flat")) & ((F.char_length("flat2") > F.char_length("flat")) | (F.col("no2") < F.col("no")))
-    left = flat.join(other, (flat[item] == other[item]) & covers, "left_anti")
-    hit = match_ocr_exactly(F.col("text"), hints) if hints else F.lit(False)
-    scored = left.withColumn("score", candidate_score(F.col("text"), hit))
-    best = F.max_by(F.struct("text", "score"), F.struct("score", -F.col("no"))).alias("best")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "\n")
-    out = scored.groupBy(item).agg(best, joined.alias("text"))
-    out = out.withColumn("score", candidate_score(F.col("text"), hit))
-    return out.select(item, F.when(F.col("score") > F.col("best.score"), F.col("text")).otherwise(F.col("best.text")).alias("text"), F.greatest("score", F.col("best.score")).alias("score"))
+def best_candidate(candidates: DataFrame, item: str, hints: list[str], text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """item, text, score: the best of an item's candidates, or all of them joined if that scores higher or alone holds the hints.
+
+    Candidates come in the order of `order_col` (else of the text). One that is
+    in an earlier one, or is an earlier one with little more (up to a quarter, or
+    12 characters in all), goes; one that holds an earlier one takes its place.
+    An item's candidates are a handful of readings of one picture; they are
+    folded as one array, without pairs. Empty candidates do not count.
+    """
+    order = F.col(order_col) if order_col else F.col(text_col)
+    rows = candidates.select(item, order.alias("no"), F.regexp_replace(text_col, r"(?U)^\s+|\s+$", "").alias("text")).where("text <> ''")
+    rows = rows.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("no", "text", F.lower(collapse_ws(F.col("text"))).alias("flat")))).alias("all"))
+    size = F.char_length
+
+    def covered(a: Column, b: Column) -> Column:
+        return F.contains(b["flat"], a["flat"]) | (F.contains(a["flat"], b["flat"]) & (size(a["flat"]) <= F.greatest(F.lit(12), F.floor(size(b["flat"]) * 1.25).cast("int"))))
+
+    def add(kept: Column, c: Column) -> Column:
+        at = F.array_position(F.transform(kept, lambda u: covered(c, u) | covered(u, c)), F.lit(True)).cast("int")
+        u = F.get(kept, at - 1)
+        return F.when(at == 0, F.concat(kept, F.array(c))).when(covered(c, u), kept).otherwise(F.transform(kept, lambda x, i: F.when(i == at - 1, c).otherwise(x)))
+
+    kept = F.aggregate("all", F.slice("all", 1, 0), add)
+    rows = rows.withColumn("kept", F.transform(kept, lambda c: c["text"]))
+
+    def hit(text: Column) -> Column:
+        return match_ocr_exactly(F.concat_ws("\n", text, F.reverse(text)), hints) if hints else F.lit(False)
+
+    ranked = F.transform("kept", lambda t, i: F.struct(candidate_score(t, hit(t)).alias("score"), (-i).alias("i"), t.alias("text")))
+    rows = rows.select(item, F.size("kept").alias("n"), F.array_max(ranked).alias("best"), F.array_join("kept", "\n").alias("joined"))
+    rows = rows.withColumn("score", candidate_score(F.col("joined"), hit(F.col("joined"))))
+    alone = hit(F.col("joined")) & ~hit(F.col("best.text"))
+    whole = (F.col("n") > 1) & (alone | (F.col("score") > F.col("best.score")))
+    return rows.select(item, F.when(whole, F.col("joined")).otherwise(F.col("best.text")).alias("text"), F.when(whole, F.col("score")).otherwise(F.col("best.score")).alias("score"))

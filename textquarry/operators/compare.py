@@ -10,12 +10,16 @@ from ..functions.text import collapse_ws
 ENVELOPE = r"(?i)docusign envelope id:\s*((?:[0-9a-f][\s-]*){32})"
 
 
+#: Abbreviations whose last dot ends no clause.
+ABBREVIATIONS = ("S.p.A.", "S.r.l.")
+CLAUSE_END = r"(?<=[.;!?])" + "".join(rf"(?<!\Q{a}\E)" for a in ABBREVIATIONS) + r"\s+"
+PAGE_NUMBER = r"^\d{1,2}\s+(?=\d+\))"
+
+
 def clauses(flat: Column) -> Column:
-    """Clauses of a text with white space collapsed: cut after . ; ! ? and a blank, but not within S.p.A., S.r.l. or decimals."""
-    kept = F.replace(F.replace(flat, F.lit("S.p.A."), F.lit("S\x01p\x01A\x01")), F.lit("S.r.l."), F.lit("S\x01r\x01l\x01"))
-    kept = F.regexp_replace(kept, r"(?<=\d)\.(?=\d)", "\x01")
-    parts = F.transform(F.split(kept, r"(?<=[.;!?])\s+"), lambda p: F.regexp_replace(F.replace(p, F.lit("\x01"), F.lit(".")), r"^[ -]+|[ -]+$", ""))
-    return F.filter(F.transform(parts, lambda p: collapse_ws(F.regexp_replace(p, r"^\d{1,2}\s+(?=\d+\))", ""))), lambda p: p != "")
+    """Clauses of a text with white space collapsed: cut at a blank behind . ; ! ? that does not close an abbreviation; blanks and dashes at the ends, and a page number before `N)`, go. A dot within a decimal has no blank behind it."""
+    shorn = F.transform(F.split(flat, CLAUSE_END), lambda p: collapse_ws(F.regexp_replace(F.trim(p, F.lit(" -")), PAGE_NUMBER, "")))
+    return F.filter(shorn, lambda p: p != "")
 
 
 def envelope_ids(flat: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import running
 from ..functions.text import collapse_ws
 
 SENT, STORED, SLICE = 80_000, 400_000, 8_000
@@ -54,13 +55,13 @@ def context_pack(docs: DataFrame, title: str, outline: str, text: str, sent: int
 
 
 def attachment_budget(attachments: DataFrame, owner: str, order: str, text_col: str = "text", cap: int = ROOM) -> DataFrame:
-    """Adds kept_chars and state (whole, cut, omitted): attachments share `cap` characters in order; one with 200 or less left is omitted."""
+    """Adds kept_chars and state (whole, cut, omitted): attachments share `cap` characters in the order of an integer column; one with 200 or less left is omitted."""
     size = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
-    before = Window.partitionBy(owner).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    room = F.lit(cap) - F.coalesce(F.sum(size).over(before), F.lit(0))
+    attachments = running(attachments, [owner], order, size.cast("long"), "__used")
+    room = F.lit(cap) - F.col("__used")
     # once one is cut nothing is left, so the sum of whole sizes tells the room of every one before that
     state = F.when(room <= LEAST_ROOM, "omitted").when(size > room, "cut").otherwise("whole")
-    return attachments.withColumn("__room", room).withColumn("state", state).withColumn("kept_chars", F.when(F.col("state") == "omitted", 0).otherwise(F.least(size, F.col("__room"))).cast("long")).drop("__room")
+    return attachments.withColumn("__room", room).withColumn("state", state).withColumn("kept_chars", F.when(F.col("state") == "omitted", 0).otherwise(F.least(size, F.col("__room"))).cast("long")).drop("__room", "__used")
 
 
 def focus_slice(docs: DataFrame, outline: DataFrame, questions: DataFrame, doc: str, sent: int = SENT, size: int = SLICE) -> DataFrame:

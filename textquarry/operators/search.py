@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.text import collapse_ws, contains_all, fold, ocr_fold, strip_ws
 
@@ -161,17 +164,49 @@ def recent_queries(history: DataFrame, text_col: str, time_col: str, n: int = 20
     return last.orderBy(F.desc("last_used"), text_col).limit(n)
 
 
+def terms_found(docs: DataFrame, text_col: str, terms: list[str]) -> DataFrame:
+    """docs with `found`: the distinct places in `terms` (lower case) of those that stand in the text, case aside; one pass over each text, however many terms there are."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        known = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            known.add_word(term, i)
+        known.make_automaton()
+        for batch in parts:
+            at = batch.schema.get_field_index(text_col)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                hits = [sorted({i for _, i in known.iter(t.lower())}) if t else [] for t in part.column(at).to_pylist()]
+                yield part.append_column("found", pa.array(hits, pa.list_(pa.int32())))
+
+    if not terms:
+        return docs.withColumn("found", F.array().cast("array<int>"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{fields}found array<int>")
+
+
 def match_profiles(docs: DataFrame, profiles: DataFrame, text_col: str, most: int) -> DataFrame:
-    """Every document with every profile whose terms it holds; docs pass once over blocks of at most `most` profiles, of which there may be any number."""
-    low = F.lower(F.col(text_col))
-    columns = profiles.columns
-    if profiles.count() <= most:
-        return docs.join(F.broadcast(profiles), (F.size("terms") > 0) & F.forall("terms", lambda t: low.contains(F.lower(t))))
-    number = F.floor((F.row_number().over(Window.orderBy(*columns)) - 1) / most)
-    blocks = profiles.withColumn("__block", number).groupBy("__block").agg(F.collect_list(F.struct(*columns)).alias("__profiles")).drop("__block")
-    met = docs.withColumn("__low", F.lower(text_col)).crossJoin(F.broadcast(blocks))
-    held = F.filter("__profiles", lambda p: (F.size(p["terms"]) > 0) & F.forall(p["terms"], lambda t: F.col("__low").contains(F.lower(t))))
-    return met.select(*docs.columns, F.inline(held))
+    """Every document with every profile (terms, and what else it holds) all of whose terms stand in its text, case aside; a profile without terms matches nothing.
+
+    Profiles are taken in numbered blocks of at most `most`, of which there may
+    be any number; documents are read once for each. A block's terms are looked
+    for in one pass over a text; those found meet the profiles by their first
+    term, and the profile's other terms are checked in the array of what was found.
+    """
+    out = None
+    rows = profiles.where("size(terms) > 0").toLocalIterator()
+    schema = profiles.schema
+    while block := list(itertools.islice(rows, most)):
+        places: dict[str, int] = {}
+        asked = [[places.setdefault(t.lower(), len(places)) for t in r["terms"]] for r in block]
+        found = terms_found(docs.drop("found"), text_col, list(places))
+        own = docs.sparkSession.createDataFrame([(*r, a[0], a) for r, a in zip(block, asked, strict=True)], StructType([*schema.fields, StructField("__first", IntegerType()), StructField("__asked", ArrayType(IntegerType()))]))
+        met = found.withColumn("__first", F.explode("found")).join(F.broadcast(own), "__first")
+        held = met.where(F.size(F.array_except("__asked", "found")) == 0).select(*[c for c in docs.columns if c != "found"], *profiles.columns)
+        out = held if out is None else out.unionByName(held)
+    return docs.join(profiles.limit(0)) if out is None else out
 
 
 def run_profiles(docs: DataFrame, profiles: DataFrame, text_col: str = "text", most: int = 1000) -> DataFrame:

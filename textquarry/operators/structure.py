@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import running
 from ..functions.text import collapse_ws
 
 INDEX_LINE = r"(?m)([^\n.][^\n]{0,58}?[^\n. ])\s*\.{2,}[. ]*\s*(\d{1,4})\b"
@@ -23,10 +24,11 @@ def display_names(files: DataFrame, path_col: str) -> DataFrame:
 
 
 def unique_names(files: DataFrame, order_col: str, style: str = "save") -> DataFrame:
-    """Adds file_name from stem and ext: ` (1)`, ` (2)` after the first (save), or `-2`, `-3` (convert)."""
-    n = F.row_number().over(Window.partitionBy("stem", "ext").orderBy(order_col))
+    """Adds file_name from stem and ext: ` (1)`, ` (2)` after the first (save), or `-2`, `-3` (convert), in the order of an integer column."""
+    files = running(files, ["stem", "ext"], order_col, F.lit(1), "__earlier")
+    n = F.col("__earlier") + 1
     suffix = F.concat(F.lit(" ("), (n - 1).cast("string"), F.lit(")")) if style == "save" else F.concat(F.lit("-"), n.cast("string"))
-    return files.withColumn("file_name", F.concat("stem", F.when(n == 1, "").otherwise(suffix), F.col("ext")))
+    return files.withColumn("file_name", F.concat("stem", F.when(n == 1, "").otherwise(suffix), F.col("ext"))).drop("__earlier")
 
 
 def outline_from_index(docs: DataFrame, doc: str, text_col: str = "text", pages: list[int] | None = None, most: int = 500) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import pages, search, streams, texts
+from . import files, pages, search, streams, texts
 
-MODULES = (search, pages, texts, streams)
+MODULES = (search, pages, texts, streams, files)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

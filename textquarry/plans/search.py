@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.kinds import type_label
 from ..functions.text import clip_words, collapse_ws, fold, format_clock, long_date, nth_position, ocr_fold, parse_clock, size_label
 from ..operators import search as S
-from ._tables import table
+from ._tables import shared_folder, table
 
 TERMS = ["the", "and"]
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -109,12 +109,29 @@ def sea6_apply_glossary(spark, d):
     return docs.where("mapping IS NOT NULL").select("doc_id", F.md5(S.apply_glossary(F.col("text"), F.col("mapping"))).alias("text_md5"))
 
 
-@query()
+@query("WITH " + GLOSSARY_SQL + f""", tokens AS (
+        SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos
+        FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS t FROM documents)),
+    changed AS (
+        SELECT doc_id, string_agg(coalesce(replace, token), '' ORDER BY pos) AS after FROM tokens
+        LEFT JOIN firsts ON key = translate(lower(token), '{FOLD_FROM}', '{FOLD_TO}') AND regexp_full_match(key, '[\\p{{L}}\\p{{N}}_]+') GROUP BY doc_id),
+    told AS (SELECT doc_id, contains(lower(text), 'that') AND contains(lower(text), 'the') AS raw, contains(lower(after), 'that') AND contains(lower(after), 'the') AS fixed FROM documents JOIN changed USING (doc_id))
+    SELECT doc_id, NOT raw AS by_glossary FROM told WHERE raw OR fixed""")
 def sea7_match_with_glossary(spark, d):
     docs = S.with_glossary(table(spark, d, "documents").select("doc_id", "text"), "text", glossary(spark, d), "item_id")
     return S.match_with_glossary(docs, "text", ["THAT", "the"], F.col("mapping")).drop("text", "mapping")
 
 
+@query(rf"""
+    WITH f AS (SELECT doc_id, lower(text) AS low, regexp_replace(translate(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}'), '0123456789|!l$@€', 'oizeasgtbgiiisae'), '[^\p{{L}}\p{{N}}]', '', 'g') AS sign FROM documents),
+    forms AS (SELECT doc_id, unnest([low, reverse(low), sign, reverse(sign), regexp_replace(low, '\s+', '', 'g'), reverse(regexp_replace(low, '\s+', '', 'g'))]) AS form FROM f),
+    held AS (SELECT doc_id, bool_or(contains(form, 'disgusting')) AS a, bool_or(contains(form, 'worthless') OR contains(form, 'worthiess')) AS b FROM forms GROUP BY doc_id)
+    SELECT doc_id FROM held WHERE a AND b""")
+def sea8_exact_forms(spark, d):
+    """The first stage of tolerant matching alone: the terms as they are, reversed, folded, or without blanks."""
+    return table(spark, d, "documents").where(S.match_ocr_exactly(F.col("text"), ["disgusting", "worthless"])).select("doc_id")
+
+
 @query()
 def sea8_match_ocr_tolerant(spark, d):
     from ..operators.cleanup import match_ocr_tolerant
@@ -147,12 +164,20 @@ def sea13_dedupe_to_message(spark, d):
     return S.dedupe_to_message(raw, ["conv_id"], ["turn"])
 
 
-@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, lower(event_type), event_type, event_id) AS place FROM events")
+@query("SELECT event_id, row_number() OVER (ORDER BY ts DESC NULLS LAST, lower(event_type || '-' || event_id), event_type || '-' || event_id) AS place FROM events")
 def sea14_sort_results(spark, d):
+    """All events from the newest to the oldest, written in this order and read back with their places."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("ts"), F.lower("event_type"), "event_type", "event_id")
-    return table(spark, d, "events").select("event_id", "event_type", F.row_number().over(order).alias("place"))
+    folder = shared_folder(spark, "sea14")
+    name = F.concat("event_type", F.lit("-"), F.col("event_id").cast("string"))
+    ordered = S.sort_results(table(spark, d, "events").select("event_id", name.alias("name"), "ts"), "newest", "ts", "name")
+    at = F.monotonically_increasing_id()
+    ordered.select("event_id", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("i")).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(parts.select("part", before.alias("before")), "part").select("event_id", (F.col("before") + F.col("i") + 1).alias("place"))
 
 
 @query("SELECT doc_id, source, lang FROM documents WHERE contains(lower(concat_ws(' ', source, lang)), 'rc1 en')")
@@ -167,11 +192,11 @@ def sea16_recent_queries(spark, d):
 
 @query(r"""
     SELECT item_id, doc_id FROM (SELECT item_id, lower(string_split(text, ' ')[1]) AS a, lower(string_split(text, ' ')[2]) AS b FROM benchmark) p
-    JOIN documents d ON contains(lower(d.text), a) AND contains(lower(d.text), b) WHERE d.lang = 'en'""")
+    JOIN documents d ON contains(lower(d.text), a) AND contains(lower(d.text), b) WHERE item_id % 2 = 0 OR d.lang = 'en'""")
 def sea17_run_profiles(spark, d):
     words = F.split("text", " ")
-    profiles = table(spark, d, "benchmark").select("item_id", F.slice(words, 1, 2).alias("terms"), F.lit("en").alias("profile_lang"))
-    return S.run_profiles(table(spark, d, "documents"), profiles).select("item_id", "doc_id")
+    profiles = table(spark, d, "benchmark").select("item_id", F.slice(words, 1, 2).alias("terms"), F.when(F.col("item_id") % 2 == 1, "en").alias("profile_lang"))
+    return S.run_profiles(table(spark, d, "documents").select("doc_id", "lang", "text"), profiles).select("item_id", "doc_id")
 
 
 def profiles_of(df, parity):
@@ -227,15 +252,8 @@ def folds(docs):
     return docs.select("doc_id", F.md5(fold(F.col("text"))).alias("folded"), F.md5(ocr_fold(F.col("text"))).alias("sign"))
 
 
-@query(f"SELECT doc_id, md5(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}')) AS folded, md5(regexp_replace(translate(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}'), '0123456789|!l$@€', 'oizeasgtbgiiisae'), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS sign FROM documents WHERE NOT contains(text, 'ß')")
-def fn4_fold(spark, d):
-    """Documents without 'ß', as the SQL has them; `fn4_fold_whole` folds them all."""
-    return folds(table(spark, d, "documents").where(~F.col("text").contains("ß")))
-
-
 @query(f"SELECT doc_id, md5(translate(replace(lower(text), 'ß', 'ss'), '{FOLD_FROM}', '{FOLD_TO}')) AS folded, md5(regexp_replace(translate(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}'), '0123456789|!l$@€', 'oizeasgtbgiiisae'), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS sign FROM documents")
-def fn4_fold_whole(spark, d):
-    """Every document, those that hold 'ß' too."""
+def fn4_fold(spark, d):
     return folds(table(spark, d, "documents"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import running
 from ..operators import cleanup as K
 from ..operators import compare as C
 from ..operators import conversations as V
@@ -32,17 +33,13 @@ def query(sql: str | None = None):
 
 
 def groups(spark, d):
-    """Documents that begin alike, in groups of at most 12, all of them dealt by rank within their beginning."""
-    docs = table(spark, d, "documents").withColumn("head", F.substring("text", 1, 40))
-    n = F.row_number().over(Window.partitionBy("head").orderBy("doc_id")) - 1
-    docs = docs.withColumn("grp", F.concat(F.md5("head"), F.lit("-"), F.floor(n / 12).cast("string")))
-    size = F.count(F.lit(1)).over(Window.partitionBy("grp"))
-    return docs.withColumn("size", size).where("size > 1").select("grp", "doc_id", "text", "n_chars", "lang", "source")
+    """All documents, in groups of at most 12 that begin alike: the first 40 characters, and the rank within them."""
+    docs = running(table(spark, d, "documents").withColumn("head", F.substring("text", 1, 40)), ["head"], "doc_id", F.lit(1), "n")
+    return docs.withColumn("grp", F.concat(F.md5("head"), F.lit("-"), F.floor(F.col("n") / 12).cast("string"))).select("grp", "doc_id", "text", "n_chars", "lang", "source")
 
 
 GROUPS_SQL = r"""ranked AS (SELECT *, left(text, 40) AS head, row_number() OVER (PARTITION BY left(text, 40) ORDER BY doc_id) - 1 AS n FROM documents),
-    named AS (SELECT md5(head) || '-' || (n // 12) AS grp, * FROM ranked),
-    grouped AS (SELECT * FROM named QUALIFY count(*) OVER (PARTITION BY grp) > 1)"""
+    grouped AS (SELECT md5(head) || '-' || (n // 12) AS grp, * FROM ranked)"""
 CLAUSES_SQL = GROUPS_SQL + r""",
     flat AS (SELECT grp, doc_id, regexp_replace(replace(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), 'S.p.A.', 'S' || chr(1) || 'p' || chr(1) || 'A' || chr(1)), 'S.r.l.', 'S' || chr(1) || 'r' || chr(1) || 'l' || chr(1)), '(\d)\.(\d)', '\1' || chr(1) || '\2', 'g') AS t FROM grouped),
     cut AS (SELECT grp, doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.;!?])\s+', '\1' || chr(2), 'g'), chr(2)),
@@ -60,7 +57,7 @@ def cmp1_explode_clauses(spark, d):
     return C.explode_clauses(groups(spark, d), ["grp", "doc_id"])
 
 
-@query()
+@query("SELECT doc_id, 'Docusign Envelope ID: ' || regexp_replace(upper(md5(text)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS envelope FROM documents")
 def cmp2_envelope_ids(spark, d):
     """Documents headed by an envelope id made of their hash."""
     digits = F.concat(F.substring(F.md5("text"), 1, 12), F.lit(" - "), F.substring(F.md5("text"), 13, 20))
@@ -134,18 +131,6 @@ def resolved(spark, d):
     return D.resolve_internal_links(links, bookmarks, outline, "conv_id")
 
 
-@query(r"""
-    WITH t AS (SELECT conv_id, turn, left(regexp_replace(text, '\s+', ' ', 'g'), 30) AS title FROM conversations),
-    keys AS (SELECT conv_id, turn, title, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS k FROM t),
-    k2 AS (SELECT conv_id, turn, title, unnest(list_distinct([k, regexp_replace(k, '\s+\d+$', ''), regexp_replace(k, '\s*\.{2,}\s*\d+$', '')])) AS k FROM keys),
-    found AS (SELECT a.conv_id, a.turn, arg_min(b.title, b.turn) AS title FROM keys a JOIN k2 b ON a.conv_id = b.conv_id AND a.k = b.k GROUP BY ALL)
-    SELECT t.conv_id, t.turn::INT AS pos, CASE WHEN t.turn % 4 = 3 THEN NULL WHEN t.turn % 2 = 0 THEN upper(t.title) ELSE f.title END AS target
-    FROM t LEFT JOIN found f USING (conv_id, turn) WHERE NOT contains(t.title, 'ß')""")
-def doc4_resolve_internal_links(spark, d):
-    """Links without 'ß' in their titles, as the SQL has them; `doc4_resolve_internal_links_whole` resolves them all."""
-    return resolved(spark, d).where(~F.col("text").contains("ß")).select("conv_id", "pos", "target")
-
-
 @query(r"""
     WITH t AS (SELECT conv_id, turn, left(regexp_replace(text, '\s+', ' ', 'g'), 30) AS title FROM conversations),
     keys AS (SELECT conv_id, turn, title, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS k FROM t),
@@ -153,8 +138,7 @@ def doc4_resolve_internal_links(spark, d):
     found AS (SELECT a.conv_id, a.turn, arg_min(b.title, b.turn) AS title FROM keys a JOIN k2 b ON a.conv_id = b.conv_id AND a.k = b.k GROUP BY ALL)
     SELECT t.conv_id, t.turn::INT AS pos, CASE WHEN t.turn % 4 = 3 THEN NULL WHEN t.turn % 2 = 0 THEN replace(upper(t.title), 'ẞ', 'SS') ELSE f.title END AS target
     FROM t LEFT JOIN found f USING (conv_id, turn)""")
-def doc4_resolve_internal_links_whole(spark, d):
-    """Every link, those with 'ß' in their titles too."""
+def doc4_resolve_internal_links(spark, d):
     return resolved(spark, d).select("conv_id", "pos", "target")
 
 
@@ -183,7 +167,9 @@ def doc6_toc_title(spark, d):
 # ---------------------------------------------------------------- cleanup
 
 
-@query()
+@query(r"""
+    WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS t, generate_subscripts(regexp_split_to_array(text, '\s+'), 1) - 1 AS i FROM documents)
+    SELECT doc_id AS page_id, row_number() OVER (PARTITION BY doc_id ORDER BY i // 10)::INT AS line_no, string_agg(t, ' ' ORDER BY i) AS line FROM w WHERE t <> '' GROUP BY doc_id, i // 10""")
 def ocr1_reading_order(spark, d):
     """Words of each document as boxes on a page, ten to a row, rows a little askew."""
     words = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", r"\s+")).alias("i", "t"))
@@ -198,18 +184,10 @@ def reflowed(docs):
     return docs.select("doc_id", K.reflow_vertical(F.array_join(letters, "\n")).alias("text"))
 
 
-@query(r"""
-    WITH v AS (SELECT doc_id, regexp_extract_all(trim(regexp_replace(left(text, 60), '\s+', ' ', 'g')), '.') AS c FROM documents)
-    SELECT doc_id, CASE WHEN len(list_filter(c, lambda x: x <> ' ')) >= 4 THEN array_to_string(string_split(array_to_string(c, ''), ' '), chr(10) || chr(10)) ELSE array_to_string(list_transform(c, lambda x: trim(x)), chr(10)) END AS text FROM v""")
-def ocr2_reflow_vertical(spark, d):
-    """The first 60 characters of each document, as the SQL has them; `ocr2_reflow_vertical_whole` takes the whole text."""
-    return reflowed(table(spark, d, "documents").withColumn("text", F.substring("text", 1, 60)))
-
-
 @query(r"""
     WITH v AS (SELECT doc_id, regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '.') AS c FROM documents)
     SELECT doc_id, CASE WHEN len(list_filter(c, lambda x: x <> ' ')) >= 4 THEN array_to_string(string_split(array_to_string(c, ''), ' '), chr(10) || chr(10)) ELSE array_to_string(list_transform(c, lambda x: trim(x)), chr(10)) END AS text FROM v""")
-def ocr2_reflow_vertical_whole(spark, d):
+def ocr2_reflow_vertical(spark, d):
     """Every letter of each document set one a line, a blank line for a blank."""
     return reflowed(table(spark, d, "documents"))
 

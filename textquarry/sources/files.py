@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.kinds import KINDS, kind_of
-from ..functions.text import collapse_ws, extension, strip_ws
+from ..functions.markup import strip_html
+from ..functions.text import extension, strip_ws
 
 ARCHIVE_CAP, MEMBER_CAP, MEMBERS = 80 << 20, 4 << 20, 400
 TEXT_CAP, PDF_CAP = 40 << 20, 80 << 20
@@ -166,9 +167,7 @@ def read_archive_members(files: DataFrame) -> DataFrame:
 
 def xml_text(xml: Column) -> Column:
     """Text of a fragment of XML: tags off, entities decoded, white space collapsed."""
-    from ..operators.pages import signs, usual_entities
-
-    return collapse_ws(signs(usual_entities(F.regexp_replace(xml, r"<[^>]*>", ""))))
+    return strip_html(xml, blocks=False)
 
 
 def epub_paragraphs(files: DataFrame, chapters: int = CHAPTERS, paragraphs: int = PARAGRAPHS) -> DataFrame:
@@ -256,66 +255,87 @@ EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def read_packaged_docs(spark: SparkSession, paths: str) -> DataFrame:
-    """path, pos, text of all documents whose extension has a reader."""
-    files, out = read_files(spark, paths), None
+def packaged_docs(files: DataFrame) -> DataFrame:
+    """path, pos, text of those of the files (path, content) whose extension has a reader."""
+    out = None
     for reader in EXTRACTORS.values():
         rows = reader(files)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def read_packaged_docs(spark: SparkSession, paths: str) -> DataFrame:
+    """path, pos, text of all documents whose extension has a reader."""
+    return packaged_docs(read_files(spark, paths))
+
+
 # -------------------------------------------------------------------- mailboxes
 
 
-def _mime(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
-        rows = []
-        for path, pos, raw in zip(pdf["path"], pdf["pos"], pdf["raw"], strict=True):
-            message = email.message_from_string(re.sub(r"\AFrom [^\n]*\n", "", raw), policy=email.policy.default)
-            texts, attached, pdfs = [], [], 0
-            for part in message.walk():
-                if part.is_multipart():
-                    continue
-                try:
-                    payload = part.get_payload(decode=True) or b""
-                except (LookupError, ValueError):
-                    payload = b""
-                name = part.get_filename()
-                if name or part.get_content_disposition() == "attachment":
-                    attached.append(name or "")
-                    pdfs += payload.startswith(b"%PDF")
-                elif part.get_content_maintype() == "text" and not payload.startswith(b"%PDF") and b"\0" not in payload[:PAYLOAD]:
-                    charset = part.get_content_charset() or "utf-8"
+def _decoded(payload: bytes, charset: str | None) -> str:
+    """Text of a part by its charset; UTF-8 if it names none or an unknown one and the bytes are UTF-8, else Latin-1."""
+    try:
+        return payload.decode(charset, "replace") if charset else payload.decode()
+    except LookupError:
+        return _decoded(payload, None)
+    except UnicodeDecodeError:
+        return payload.decode("latin-1")
+
+
+def _mime(payload_cap: int | None):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for path, pos, raw in zip(pdf["path"], pdf["pos"], pdf["raw"], strict=True):
+                message = email.message_from_bytes(raw, policy=email.policy.default)
+                texts, attached, pdfs = [], [], 0
+                for part in message.walk():
+                    if part.is_multipart():
+                        continue
                     try:
-                        texts.append((part.get_content_subtype(), payload[:PAYLOAD].decode(charset, "replace")))
-                    except LookupError:
-                        texts.append((part.get_content_subtype(), payload[:PAYLOAD].decode("latin-1")))
-            get = lambda h: str(message[h]) if message[h] is not None else ""  # noqa: E731, B023
-            rows.append((path, pos, get("subject"), get("from"), get("date"), "\n".join(t for k, t in texts if k != "html"), "\n".join(t for k, t in texts if k == "html"), attached, pdfs))
-        yield pd.DataFrame(rows, columns=["path", "pos", "subject", "sender", "date", "text", "html", "attachments", "n_pdf"])
-
-
-def read_mailbox(spark: SparkSession, path: str) -> DataFrame:
-    """path, pos, subject, sender, date, text, html, attachments, n_pdf: a row per message of `.mbox` files of any size, which are split over tasks message by message, or `.eml` files. pos grows along a mailbox, with gaps."""
-    lower = path.lower().rstrip("/")
-    if lower.endswith(".eml"):
-        raw = read_files(spark, path).select("path", F.lit(0).cast("long").alias("pos"), decode_text(F.col("content")).alias("raw"))
+                        payload = (part.get_payload(decode=True) or b"")[:payload_cap]
+                    except (LookupError, ValueError):
+                        payload = b""
+                    name = part.get_filename()
+                    if name or part.get_content_disposition() == "attachment":
+                        attached.append(name or "")
+                        pdfs += payload.startswith(b"%PDF")
+                    elif part.get_content_maintype() == "text" and not payload.startswith(b"%PDF") and b"\0" not in payload:
+                        texts.append((part.get_content_subtype(), _decoded(payload, part.get_content_charset())))
+                get = lambda h: str(message[h]) if message[h] is not None else ""  # noqa: E731, B023
+                rows.append((path, pos, get("subject"), get("from"), get("date"), "\n".join(t for k, t in texts if k != "html"), "\n".join(t for k, t in texts if k == "html"), attached, pdfs))
+            yield pd.DataFrame(rows, columns=["path", "pos", "subject", "sender", "date", "text", "html", "attachments", "n_pdf"])
+
+    return run
+
+
+def read_mailbox(spark: SparkSession, path: str, payload_cap: int | None = PAYLOAD) -> DataFrame:
+    """path, pos, subject, sender, date, text, html, attachments, n_pdf: a row per message of `.mbox` files of any size, which are split over tasks message by message, or `.eml` files.
+
+    Messages are parsed as bytes, so bodies of any charset stay whole. pos grows
+    along a mailbox, with gaps. Of a part the first `payload_cap` bytes are
+    read, all of them if it is None.
+    """
+    if path.lower().rstrip("/").endswith(".eml"):
+        raw = read_files(spark, path).select("path", F.lit(0).cast("long").alias("pos"), F.col("content").alias("raw"))
     else:
-        lines = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
-        raw = lines.withColumn("pos", F.monotonically_increasing_id()).where(F.trim("raw") != "").select("path", "pos", F.regexp_replace("raw", r"\A[^\n]*\n", "").alias("raw"))
-    return raw.mapInPandas(_mime, "path string, pos long, subject string, sender string, date string, text string, html string, attachments array<string>, n_pdf int")
+        # the text source hands bytes on as they are; a row starts behind "From " and holds that line's rest first
+        lines = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("raw"))
+        at = F.position(F.lit(b"\n"), F.col("raw"))
+        rest = F.substring("raw", at + 1, F.length("raw"))
+        raw = lines.withColumn("pos", F.monotonically_increasing_id()).where(at > 0).select("path", "pos", rest.alias("raw")).where(F.length("raw") > 0)
+    return raw.mapInPandas(_mime(payload_cap), "path string, pos long, subject string, sender string, date string, text string, html string, attachments array<string>, n_pdf int")
 
 
 # --------------------------------------------------------------- JSON documents
 
 
-def read_transcript_json(spark: SparkSession, path: str, offset_unit: float = 100.0) -> DataFrame:
-    """path, pos, start, text of segments: `transcription`, `segments`, or a bare list; start is a clock, else an offset in `offset_unit`, else `start`, else 0."""
+def transcript_rows(files: DataFrame, offset_unit: float = 100.0) -> DataFrame:
+    """path, pos, start, text of segments of JSON files (path, content): `transcription`, `segments`, or a bare list; start is a clock, else an offset in `offset_unit`, else `start`, else 0."""
     from ..functions.text import parse_clock
 
     item = "struct<text string, start double, timestamps struct<`from` string>, offsets struct<`from` double>>"
-    files = read_files(spark, path).select("path", strip_ws(decode_text(F.col("content"))).alias("json"))
+    files = files.select("path", strip_ws(decode_text(F.col("content"))).alias("json"))
     body = F.from_json("json", f"struct<transcription array<{item}>, segments array<{item}>>")
     bare = F.when(F.col("json").startswith("["), F.from_json("json", f"array<{item}>"))
     rows = files.select("path", F.posexplode(F.coalesce(bare, body["transcription"], body["segments"])).alias("i", "s"))
@@ -324,10 +344,22 @@ def read_transcript_json(spark: SparkSession, path: str, offset_unit: float = 10
     return rows.select("path", F.row_number().over(Window.partitionBy("path").orderBy("i")).alias("pos"), "start", "text")
 
 
-def read_conversations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Headers (conv_id, kind, title, created, updated) and turns (conv_id, turn, role, text, model) of JSON files; roles user and model alone."""
-    schema = "v int, kind string, path string, title string, created string, updated string, turns array<struct<role string, text string, model string>>"
-    raw = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.col("_metadata.file_name").alias("conv_id"), "*")
+def read_transcript_json(spark: SparkSession, path: str, offset_unit: float = 100.0) -> DataFrame:
+    """`transcript_rows` of the files below a path."""
+    return transcript_rows(read_files(spark, path), offset_unit)
+
+
+CONVERSATION = "v int, kind string, path string, title string, created string, updated string, turns array<struct<role string, text string, model string>>"
+
+
+def conversation_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Headers (conv_id, kind, title, created, updated) and turns (conv_id, turn, role, text, model) of rows of conv_id and CONVERSATION; roles user and model alone."""
     headers = raw.select("conv_id", "kind", "path", "title", F.try_to_timestamp("created").alias("created"), F.try_to_timestamp("updated").alias("updated"))
     turns = raw.select("conv_id", F.posexplode("turns").alias("turn", "t")).select("conv_id", "turn", "t.role", "t.text", "t.model")
     return headers, turns.where(F.col("role").isin("user", "model"))
+
+
+def read_conversations(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """`conversation_rows` of JSON files, a conversation each; without `multi_line`, of files with a conversation in each line, its title as conv_id."""
+    raw = spark.read.schema(CONVERSATION).option("multiLine", str(multi_line).lower()).json(path)
+    return conversation_rows(raw.select((F.col("_metadata.file_name") if multi_line else F.col("title")).alias("conv_id"), "*"))
