@@ -16,28 +16,40 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not reject."""
+    """Documents that the classifier chain does not reject.
+
+    Null and empty texts are scored by their shape, null ids and rows alike each by itself; without labels all stay; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_toxicity(docs.select(*COLUMNS), labels).where("NOT toxic").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that a document before them holds; n_chars follows the text."""
+    """Documents without lines that a document before them holds; n_chars follows the text.
+
+    No row goes: one whose lines all do has an empty text, as a null one has. Rows of one id are one document, rows without an id one that comes last; ties cannot be, since rows alike lose the same lines.
+    """
     return dedup_lines(docs.select(*COLUMNS)).selectExpr("doc_id", "text", "lang", "source", "cast(char_length(text) AS bigint) AS n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the least doc_id, null ids last, then by the text's hash.
+
+    Texts without words stay, each as it is; of rows alike in id and text one does.
+    """
     return near_duplicates_removed(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources; a document stands there as often as the mix takes it."""
+    """The mix of sources; a document stands there as often as the mix takes it.
+
+    Null text has no words, null source is a source of its own, null ids and ties are ordered by a hash of the text, rows alike get their own copies.
+    """
     return emit_mix(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences."""
+    """Pieces of sequences; null and empty texts are the end mark alone, null ids and rows alike are packed row by row."""
     return pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
