@@ -2,7 +2,9 @@
 
 A payload (a text's bytes, filled up to rows of 576) becomes ARGB pixels, four
 samples each, 144 to a row; rows are cut into frames of bounded size, each a
-WebP file. The stored form is an array of files in a column.
+WebP file that takes a palette, references and the colour cache, or predictor
+and cross-colour transforms where its pixels call for them. The stored form is
+an array of files in a column.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._words import batches
-from .webp import code_lengths, decode_many, encode_plain
+from .webp import code_lengths, decode_many, encode_many
 
 ROW, FILL = 576, 255
 WIDTH = ROW // 4
@@ -56,17 +58,29 @@ def _store(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts:
         for part, texts in batches(batch, "__text"):
             frames = [frames_of(payload_of(t)) for t in texts]
-            files = encode_plain([f for own in frames for f in own], code)
+            files = encode_many([f for own in frames for f in own], code)
             offsets = np.cumsum([0, *(len(own) for own in frames)]).astype(np.int32)
             part = part.drop_columns(["__text"]).append_column("n_bytes", pa.array([len(t) for t in texts], pa.int64()))
             yield part.append_column("media", pa.ListArray.from_arrays(pa.array(offsets), pa.array(files, pa.binary())))
 
 
+def _parts(batch: pa.RecordBatch, at: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `most` bytes of files in its column `at`."""
+    start = size = 0
+    for i in range(batch.num_rows):
+        own = batch.column(at)[i]
+        size += sum(len(f.as_buffer()) for f in own.values) if own.is_valid else 0
+        if size > most:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts:
         at = batch.schema.get_field_index("media")
-        for start in range(0, batch.num_rows, 1024):
-            part = batch.slice(start, 1024)
+        for part in _parts(batch, at):
             stored = part.column(at).to_pylist()
             images = iter(decode_many([f for own in stored for f in own or ()]))
             payloads, features = [], []

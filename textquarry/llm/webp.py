@@ -314,6 +314,64 @@ def encode_plain(images: list[np.ndarray], lengths: np.ndarray) -> list[bytes]:
     return out
 
 
+def entropy(images: np.ndarray) -> float:
+    """Bits of an image's four channels under codes of their own, without the codes."""
+    bits = 0.0
+    for shift in (0, 8, 16, 24):
+        counts = np.bincount((images >> np.uint32(shift) & np.uint32(255)).ravel(), minlength=1)
+        counts = counts[counts > 0]
+        bits += float((counts * (np.log2(counts.sum()) - np.log2(counts))).sum())
+    return bits
+
+
+CODES = 2600  # bits that an image's own codes take, about
+MOST_COLOURS, FEW, REPEATED, POOR = 256, 0.375, 0.3, 6.5
+SIZE_BITS = 5
+
+
+def choose(image: np.ndarray, plain: np.ndarray) -> tuple[tuple, int, bool] | None:
+    """Transforms, bits of the colour cache and whether to use references, by what the image holds; None if its literals under the given code (lengths of bytes) are the least.
+
+    Few colours make a palette (a colour takes 32 bits, an index 8 at most). An
+    image whose pixels recur takes references and the colour cache. Else the
+    transforms are weighed by the entropy of what they leave, where the given
+    code takes more than POOR bits a sample.
+    """
+    pixels = image.size
+    ordered = np.sort(image, axis=None)
+    colours = 1 + int(np.count_nonzero(ordered[1:] != ordered[:-1]))
+    if colours <= min(MOST_COLOURS, FEW * pixels):
+        return (("palette",),), 0, True
+    if colours <= REPEATED * pixels:
+        return (), 6, True
+    cost = sum(int(plain[(image >> np.uint32(shift) & np.uint32(255)).astype(np.int64)].sum()) for shift in (0, 8, 16, 24))
+    if cost <= 4 * POOR * pixels:
+        return None
+    grid = (blocks(image.shape[0], SIZE_BITS), blocks(image.shape[1], SIZE_BITS))
+    best = None
+    for mode in (1, 2):
+        modes = np.full(grid, mode)
+        left = predict(image, SIZE_BITS, modes, forward=True)
+        a, r, g, b = split(left)
+        # how red and blue follow green, in 32nds, as least squares over signed residuals
+        signed_g = signed(g)
+        norm = max(1, int((signed_g * signed_g).sum()))
+        factors = [int(np.clip(round(32 * float((signed_g * signed(c)).sum()) / norm), -128, 127)) for c in (r, b)]
+        elements = np.full(grid, int(merge(255, 0, factors[1] & 255, factors[0] & 255)), np.uint32)
+        for transforms, rest in (((("predictor", SIZE_BITS, modes),), left), ((("predictor", SIZE_BITS, modes), ("cross", SIZE_BITS, elements)), cross(left, SIZE_BITS, elements, forward=True))):
+            bits = entropy(rest) + CODES
+            if bits < cost:
+                cost, best = bits, (transforms, 0, True)
+    return best
+
+
+def encode_many(images: list[np.ndarray], lengths: np.ndarray) -> list[bytes]:
+    """Each image as a file, with what `choose` takes for it, or as plain literals under the given code."""
+    chosen = [choose(image, lengths) for image in images]
+    plain = iter(encode_plain([image for image, how in zip(images, chosen, strict=True) if how is None], lengths))
+    return [next(plain) if how is None else encode(image, *how) for image, how in zip(images, chosen, strict=True)]
+
+
 # ------------------------------------------------------------------- decoding
 
 
@@ -439,10 +497,33 @@ def predicted(mode: int, left, top, right, corner) -> np.ndarray:
     return plain[mode]() if mode < len(plain) else np.array([255, 0, 0, 0])
 
 
+def _predict_even(given: np.ndarray, mode: int, forward: bool) -> np.ndarray:
+    """`predict` where all blocks take the pixel above (2) or to the left (1): whole rows or columns at a time. The first row goes by the left, the first column by the pixel above, the first pixel by black."""
+    first = np.array([255, 0, 0, 0])
+    out = np.empty_like(given)
+    if forward:
+        out[0, 0] = given[0, 0] - first
+        out[0, 1:] = given[0, 1:] - given[0, :-1]
+        out[1:, 0] = given[1:, 0] - given[:-1, 0]
+        out[1:, 1:] = given[1:, 1:] - (given[:-1, 1:] if mode == 2 else given[1:, :-1])
+    else:
+        out[:] = given
+        out[0, 0] += first
+        out[0] = np.cumsum(out[0], axis=0)
+        if mode == 2:
+            out = np.cumsum(out, axis=0)
+        else:
+            out[:, 0] = np.cumsum(out[:, 0], axis=0)
+            out[1:] = np.cumsum(out[1:], axis=1)
+    return merge(*np.moveaxis(out & 255, 2, 0))
+
+
 def predict(image: np.ndarray, size_bits: int, modes: np.ndarray, forward: bool) -> np.ndarray:
     """Residuals of an image (forward) or the image of its residuals."""
     height, width = image.shape
     given = split(image.ravel()).T.reshape(height, width, 4)
+    if (modes == 2).all() or (modes == 1).all():
+        return _predict_even(given, int(modes.flat[0]), forward)
     out = np.zeros_like(given)
     known = given if forward else out
     for y in range(height):
