@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import exchange_width, text_bytes
-from ._words import U, hash_words, runs
+from ._words import U, claim, hash_words, runs
 from .mixing import word_count
 
 ORDER, BACKOFF, LEAST_COUNT = 2, 0.4, 2
@@ -68,13 +68,15 @@ def grams(words: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray
 
 def _ask(order: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
+        claim("scoring")
         words, counts = hash_words(texts_of(table))
         block = table.column("block")[0].as_py()
         rows = []
         for k in range(1, order + 1):
             keys, n = np.unique(grams(words, counts, k)[0], return_counts=True)
-            ends = np.searchsorted((keys >> U(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1)) if bits else np.array([0, len(keys)])
-            rows += [(k, p, block, pack_keys(keys[a:b]), pack_counts(n[a:b])) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+            part = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            starts = np.flatnonzero(np.diff(part, prepend=-1))  # of the ranges that the block has n-grams in
+            rows += [(k, int(part[a]), block, pack_keys(keys[a:b]), pack_counts(n[a:b])) for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True)]
         columns = zip(*rows, strict=True) if rows else [()] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, ASKED.types, strict=True)], schema=ASKED)
 
@@ -99,6 +101,7 @@ SCORED = pa.schema({"doc_id": pa.int64(), "n_words": pa.int64(), "log_score": pa
 
 def _score(order: int, backoff: float, least: int, total: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        claim("scoring")
         words, counts = hash_words(texts_of(docs))
         order_rows = answers.sort_by([("gram", "ascending"), ("part", "ascending")])
         by_gram: dict[int, list[np.ndarray]] = {}
