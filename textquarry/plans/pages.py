@@ -68,12 +68,27 @@ def web4_classify_links(spark, d):
     return P.page_links(table(spark, d, "pages")).select("page_id", "pos", "href", "kind", "target")
 
 
-@query("SELECT page_id, url AS base FROM pages")
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://b.example/' || page_id || '/' WHEN 1 THEN 'https://c.example/' || page_id WHEN 2 THEN 'https://o.example/' || page_id ELSE url END AS base FROM pages""")
 def web5_page_base(spark, d):
-    return table(spark, d, "pages").select("page_id", P.page_base(F.col("html"), F.col("url")).alias("base"))
+    """Pages that name their base by a base tag, a canonical link, or og:url, and some that do not."""
+    page, kind = F.col("page_id").cast("string"), F.col("page_id") % 4
+    canonical = F.concat(F.lit('<link href="https://c.example/'), page, F.lit('" rel="alternate canonical">'))
+    og = F.concat(F.lit("<meta content='https://o.example/"), page, F.lit("' property='og:url'>"))
+    base = F.concat(F.lit('<base href="https://b.example/'), page, F.lit('/">'))
+    tags = F.when(kind == 0, F.concat(og, canonical, base)).when(kind == 1, F.concat(og, canonical)).when(kind == 2, og).otherwise('<base href="/local/">')
+    html = F.regexp_replace("html", "<head>", F.concat(F.lit("<head>"), tags))
+    return table(spark, d, "pages").select("page_id", P.page_base(html, F.col("url")).alias("base"))
 
 
-@query()
+#: Pages as `web6` makes them, each paragraph's number between two signs.
+NUMBERED = """numbered_html AS (
+        SELECT page_id, url, list_reduce(list_transform(range(0, len(string_split(html, '<p>'))), lambda i: CASE WHEN i = 0 THEN '' ELSE chr(4) || 'p' || i || chr(5) END || string_split(html, '<p>')[i + 1]), lambda a, b: a || b) AS html FROM pages),"""
+
+
+@query("WITH " + NUMBERED + LINES_SQL.replace("FROM pages)", "FROM numbered_html)") + r""", shown AS (
+        SELECT page_id, pos, regexp_extract_all(line, '\x04([^\x05]*)\x05', 1) AS ids, nullif(trim(regexp_replace(line, '\x04[^\x05]*\x05', '', 'g')), '') AS marker FROM clean),
+    named AS (SELECT page_id, pos, ids, first_value(marker IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS marker FROM shown)
+    SELECT page_id, id, arg_min(marker, pos) AS marker FROM (SELECT page_id, pos, unnest(ids) AS id, marker FROM named) WHERE marker IS NOT NULL GROUP BY page_id, id""")
 def web6_page_anchors(spark, d):
     """Anchors of the pages with an id given to every paragraph, by its place."""
     pages = table(spark, d, "pages").withColumn("html", F.array_join(F.transform(F.split("html", "<p>"), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit('<p id="p'), i.cast("string"), F.lit('">'), p))), ""))
@@ -100,12 +115,18 @@ def illustrated(spark, d):
     return table(spark, d, "pages").withColumn("html", F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.lit("</p>"), picture(i))), ""))
 
 
-@query()
+#: Two pictures that differ in their endings alone are one.
+IMAGES_SQL = r"""i AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root, unnest(range(0, len(string_split(html, '</p>')))) AS i FROM pages),
+    once AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS pos FROM i WHERE i % 2 = 0 OR i % 5 IN (0, 4)),
+    images AS (SELECT page_id, pos::INT AS pos, root || '/img/' || CASE WHEN i % 5 = 4 THEN 'icon-' ELSE '' END || (i // 2) || CASE WHEN i % 2 = 1 THEN '.webp' ELSE '.jpg' END AS url, (i * 40 + 20)::INT AS width, 200 AS height, 'n ' || i AS alt, i FROM once WHERE pos <= 40)"""
+
+
+@query("WITH " + IMAGES_SQL + " SELECT * EXCLUDE i FROM images")
 def web9_page_images(spark, d):
     return P.page_images(illustrated(spark, d))
 
 
-@query()
+@query("WITH " + IMAGES_SQL + " SELECT * EXCLUDE i FROM images WHERE i % 5 <> 4")
 def web10_drop_icons(spark, d):
     return P.drop_icons(P.page_images(illustrated(spark, d)))
 
@@ -123,12 +144,17 @@ def web12_page_media_flags(spark, d):
 
 
 @query(r"""
-    WITH h AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS host, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages)
-    SELECT page_id, regexp_matches(path, '\.(jpg|jpeg|jfif|png|bmp|gif|tif|tiff|webp|ico)$') OR regexp_matches(lower(url), '/image/|/images/|/img/|/media/|/photo|format=(jpg|png|webp)|f_auto|\.(jpg|jpeg|png|webp|gif)') AS is_image,
-           regexp_matches(path, '\.(mp3|mp4|wav|avi|mkv|mov|flac|ogg)$') AS is_media, regexp_matches(path, '\.(m3u8|mpd)$') AS is_manifest,
-           host IN ('youtube.com', 'x.com', 'vimeo.com') AS is_media_page, host IN ('netflix.com', 'dazn.com') AS is_protected, '' AS youtube_id FROM h""")
+    WITH u AS (SELECT page_id, page_id % 6 AS k, left(md5(url), 11) AS id FROM pages)
+    SELECT page_id, k = 5 AS is_image, k = 3 AS is_post, k = 4 AS is_media, k = 0 AS is_manifest, k IN (1, 2, 3) AS is_media_page, k = 0 AS is_protected, CASE WHEN k IN (1, 2) THEN id ELSE '' END AS youtube_id FROM u""")
 def web13_classify_urls(spark, d):
-    return P.classify_urls(table(spark, d, "pages").select("page_id", "url"), "url").drop("url", "is_post")
+    """Addresses of six kinds, made of the pages' own."""
+    page, own = F.col("page_id").cast("string"), F.substring(F.md5("url"), 1, 11)
+    kinds = (
+        F.concat(F.lit("https://www.netflix.com/t/"), own, F.lit("/live.M3U8?x=1")), F.concat(F.lit("https://www.youtube.com/watch?a=b&v="), own), F.concat(F.lit("https://youtu.be/"), own, F.lit("?t=3")),
+        F.concat(F.lit("https://x.com/someone/status/"), page), F.concat(F.lit("http://cdn.example.com/"), own, F.lit(".mp4?x=1")), F.concat(F.lit("https://example.org/"), own, F.lit(".PNG#x")),
+    )
+    url = F.get(F.array(*kinds), (F.col("page_id") % 6).cast("int"))
+    return P.classify_urls(table(spark, d, "pages").select("page_id", url.alias("url")), "url").drop("url")
 
 
 @query("WITH " + HEADS_SQL + r""", follows AS (

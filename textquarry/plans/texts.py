@@ -96,7 +96,11 @@ def indexed(spark, d):
     return table(spark, d, "documents").withColumn("text", F.concat(F.array_join(entries, "\n"), F.lit("\n\n"), "text"))
 
 
-@query()
+@query(r"""
+    WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 4 AND NOT contains(left(x, 40), '..')) AS l FROM documents),
+    e AS (SELECT doc_id, trim(regexp_replace(rtrim(left(unnest(l), 40), '. '), '\s+', ' ', 'g')) AS label, generate_subscripts(l, 1) AS page FROM l),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS pos FROM e WHERE length(label) >= 2)
+    SELECT doc_id, pos, label || ' (p. ' || page || ')' AS title, page FROM n WHERE pos <= 500""")
 def doc1_outline_from_index(spark, d):
     return D.outline_from_index(indexed(spark, d), "doc_id")
 
@@ -262,17 +266,23 @@ def trn6_map_chunks(spark, d):
 
 
 def media_files(spark, d):
-    media = table(spark, d, "pages").select(F.concat(F.lit("m/"), (F.col("page_id") % 9).cast("string"), F.lit("/clip"), F.floor(F.col("page_id") / 2).cast("string"), F.when(F.col("page_id") % 2 == 0, ".mp4").otherwise(".png")).alias("path"))
+    """A medium for most pages, a report for two thirds, named after the whole file or its stem; reports of media that are not here are orphans."""
+    media = table(spark, d, "pages").where("page_id % 5 <> 4").select(F.concat(F.lit("m/"), (F.col("page_id") % 9).cast("string"), F.lit("/clip"), F.floor(F.col("page_id") / 2).cast("string"), F.when(F.col("page_id") % 2 == 0, ".mp4").otherwise(".png")).alias("path"))
     reports = table(spark, d, "pages").where("page_id % 3 <> 1").select(F.concat(F.lit("m/"), (F.col("page_id") % 9).cast("string"), F.lit("/clip"), F.floor(F.col("page_id") / 2).cast("string"), F.when(F.col("page_id") % 3 == 0, F.when(F.col("page_id") % 2 == 0, ".mp4").otherwise(".png")).otherwise(""), F.lit(".report.txt")).alias("path"), F.col("html").alias("text"))
     return media, reports
 
 
-@query()
+MEDIA_SQL = """named AS (SELECT *, 'm/' || (page_id % 9) || '/clip' || (page_id // 2) AS stem, CASE WHEN page_id % 2 = 0 THEN '.mp4' ELSE '.png' END AS ext FROM pages),
+    pairs AS (SELECT page_id, html, CASE WHEN page_id % 5 <> 4 THEN stem || ext END AS media_path, CASE WHEN page_id % 3 <> 1 THEN stem || CASE WHEN page_id % 3 = 0 THEN ext ELSE '' END || '.report.txt' END AS report_path FROM named)"""
+
+
+@query("WITH " + MEDIA_SQL + " SELECT media_path, report_path FROM pairs WHERE media_path IS NOT NULL OR report_path IS NOT NULL")
 def trn7_pair_media_reports(spark, d):
     return T.pair_media_reports(*media_files(spark, d))
 
 
-@query()
+@query("WITH " + MEDIA_SQL + """ SELECT count(media_path) AS total, count(*) FILTER (WHERE report_path IS NOT NULL AND contains(lower(html), 'the')) AS cache_hits,
+    least(count(*) FILTER (WHERE media_path IS NOT NULL AND report_path IS NULL), 30) AS transcribed, greatest(count(*) FILTER (WHERE media_path IS NOT NULL AND report_path IS NULL) - 30, 0) AS skipped_limit FROM pairs""")
 def sea19_search_reports(spark, d):
     """Reports made of pages, searched for a term: totals of one search."""
     from ..operators.search import contains_all
