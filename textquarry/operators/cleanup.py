@@ -184,7 +184,7 @@ def _hint_matcher(hints: list[str]) -> Callable[[str], str | None]:
 
 
 def repair_tokens(docs: DataFrame, doc: str, hints: list[str], text_col: str = "text") -> DataFrame:
-    """doc, text: tokens of 4 or more folded letters that match a hint, or else do so glued to the next token with white space between, become the hint in the token's case. All other signs stay as they are; null text is empty."""
+    """doc, text: tokens of 4 or more folded letters that match a hint, or else do so glued to the next token with white space between, become the hint in the token's case. A next token that matches by itself is not glued. All other signs stay as they are; null text is empty."""
 
     def styled(hint: str, token: str) -> str:
         return hint.upper() if token.isupper() else hint.capitalize() if token[:1].isupper() and token[1:].islower() else hint.lower()
@@ -196,7 +196,7 @@ def repair_tokens(docs: DataFrame, doc: str, hints: list[str], text_col: str = "
             tokens, out, i = TOKENS.findall(text), [], 0
             while i < len(tokens):
                 step, hint = 1, match(tokens[i]) if tokens[i].isalnum() else None
-                if not hint and tokens[i].isalnum() and i + 2 < len(tokens) and tokens[i + 1].strip() == "" and "\n" not in tokens[i + 1]:
+                if not hint and tokens[i].isalnum() and i + 2 < len(tokens) and tokens[i + 1].strip() == "" and "\n" not in tokens[i + 1] and not match(tokens[i + 2]):
                     hint = match(tokens[i] + tokens[i + 2])
                     step = 3 if hint else 1
                 out.append(styled(hint, tokens[i]) if hint else tokens[i])

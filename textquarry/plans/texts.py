@@ -461,7 +461,8 @@ def cnv5_attachment_budget(spark, d):
     return V.attachment_budget(table(spark, d, "documents"), "source", "doc_id").select("doc_id", "state", "kept_chars")
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, text, instr(substr(lower(text), 2001), lower(substr(text, 2500, 12))) AS place FROM documents WHERE length(text) > 2600)
+    SELECT doc_id, md5(substr(text, (2000 + place)::BIGINT, 800)) AS slice_md5 FROM d""")
 def cnv6_focus_slice(spark, d):
     """A slice of every document longer than 2000 characters, by a question that names a word beyond them and a page."""
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -470,7 +471,10 @@ def cnv6_focus_slice(spark, d):
     return V.focus_slice(docs, outline, questions, "doc_id", 2000, 800).select("doc_id", F.md5("slice").alias("slice_md5"))
 
 
-@query()
+@query("WITH " + CHATS_SQL + """, l AS (SELECT DISTINCT conv_id, 0 AS rank, 0 AS turn, 'https://example.org/' || conv_id || '/0' AS url, 'qui' AS label FROM turns
+        UNION ALL SELECT conv_id, 1, turn, 'https://example.org/' || conv_id || '/' || turn, 'fonte' FROM turns WHERE turn <> 0
+        UNION ALL SELECT conv_id, 2, turn, 'https://www.esa.int/' || turn, 'esa.int' FROM turns)
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY rank, turn) AS pos, url, label FROM l""")
 def cnv7_extract_links(spark, d):
     """Links of turns to which addresses made of their place were added."""
     turns = chats(spark, d)[0].withColumn("text", F.concat("text", F.lit("\n- fonte: https://example.org/"), "conv_id", F.lit("/"), "turn", F.lit(".\nVedi [qui](https://example.org/"), "conv_id", F.lit("/0) e https://www.esa.int/"), "turn", F.lit(".")))
@@ -513,9 +517,11 @@ def cnv11_render_transcript(spark, d):
     return V.render_transcript(*chats(spark, d)).select("conv_id", F.md5("transcript").alias("transcript_md5"))
 
 
-@query("WITH " + CHATS_SQL + r""" SELECT conv_id::VARCHAR || '/' || title AS name, first_value(conv_id) OVER (PARTITION BY lower(title) ORDER BY conv_id % 4 = 0 DESC, updated DESC, conv_id) AS conv_id FROM headers WHERE NOT regexp_matches(title, '[/\\]|\n')""")
+@query("WITH " + CHATS_SQL + r""" SELECT conv_id::VARCHAR || '/' || t AS name, first_value(conv_id) OVER (PARTITION BY lower(t) ORDER BY conv_id % 4 = 0 DESC, updated DESC, conv_id) AS conv_id
+    FROM (SELECT *, regexp_replace(title, '[/\\\n]', '_', 'g') AS t FROM headers)""")
 def cnv12_match_export(spark, d):
-    headers = chats(spark, d)[1].where(~F.col("title").rlike(r"[/\\\n]"))
+    """Exports of all conversations; signs that no file name may hold are `_` in titles and names."""
+    headers = chats(spark, d)[1].withColumn("title", F.regexp_replace("title", r"[/\\\n]", "_"))
     exports = headers.select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), "title", F.lit(".chat.txt")).alias("name"))
     found = V.match_export(exports, headers.withColumn("current", F.col("conv_id") % 4 == 0))
     return found.withColumn("name", F.regexp_replace("name", r"\.chat\.txt$", ""))
