@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import pages as P
-from ._tables import table
+from ._tables import shared_folder, table
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -169,8 +169,11 @@ def web13_classify_urls(spark, d):
     SELECT page_id, pos, title, follow, CASE WHEN length(a) < 3 THEN url ELSE url || CASE WHEN contains(url, '#') THEN '' ELSE '#' END || ':~:text=' || replace(url_encode(a), '-', '%2D') ||
            CASE WHEN len(string_split(a, ' ')) <= 2 AND length(b) >= 12 AND lower(a) <> lower(b) THEN ',' || replace(url_encode(b), '-', '%2D') ELSE '' END END AS address FROM clipped""")
 def web14_heading_deep_links(spark, d):
-    pages = table(spark, d, "pages")
-    return P.heading_deep_links(P.page_headings(pages), P.page_text(pages), pages)
+    """Pages are parsed once, into lines in the shared folder, of which headings and text are views."""
+    pages, folder = table(spark, d, "pages"), shared_folder(spark, "web14")
+    P.page_lines(pages).write.parquet(folder)
+    lines = spark.read.parquet(folder)
+    return P.heading_deep_links(P.headings_of(lines), P.text_of(lines), pages)
 
 
 @query(r"""
