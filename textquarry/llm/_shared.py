@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import re
+import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH, BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 BROADCAST = 16 << 20  # bytes of a table that all executors may get
 
 
+@functools.cache
+def _own_dir(app: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share. Without it there is none, and no local one would do on a cluster."""
+    """The folder named in spark.checkpoint.dir, which driver and executors share. Where it is unset, a new local one if all runs in one process; on a cluster that would not be shared, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+        path = _own_dir(spark.sparkContext.applicationId)
     return path.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started within send Python workers at most BATCH bytes at once (a row at least), as well as the session's number of rows."""
+    before = spark.conf.get(BATCH_CONF, None)
+    spark.conf.set(BATCH_CONF, str(BATCH))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_CONF)
+        else:
+            spark.conf.set(BATCH_CONF, before)
+
+
 def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: lineage ends, sizes are known."""
     spark = df.sparkSession
@@ -25,7 +52,8 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with small_batches(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
