@@ -27,7 +27,7 @@ from ._shared import cut
 from ._words import batches, claim, remembers
 
 HUGE, CHUNK, OVERLAP, MARGIN, WIDEN = 1 << 15, 1 << 14, 1 << 10, 64, 16
-KNOWN, ENTRY = 48 << 20, 160  # bytes of what a worker remembers in each of two generations; of them, what an entry takes beside its key
+KNOWN, ENTRY = 32 << 20, 160  # bytes of what a worker remembers in each of two generations; of them, what an entry takes beside its key
 
 
 @functools.cache
