@@ -31,3 +31,14 @@ def test_standing_search(spark, tmp_path):
 def test_latest(spark):
     rows = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("j", 1, "c")], "key string, t int, v string")
     assert sorted(map(tuple, latest_per_key(rows, "key", "t", "v").collect())) == [("j", 1, "c"), ("k", 2, "b")]
+
+
+def test_latest_of_changed_keys(spark, tmp_path):
+    from textquarry.streaming import arrivals as A
+
+    schema = "key string, t long, v string"
+    for rows in ([("k", 1, "a"), ("j", 1, "x")], [("k", 2, "b")], [("k", 0, "old"), ("i", 5, "n")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = A.latest_stream(A.arrivals(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), "key", "t", "v")
+        A.latest_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/mark").awaitTermination()
+    assert sorted(map(tuple, A.latest_table(spark, f"{tmp_path}/out", "key").collect())) == [("i", 5, "n"), ("j", 1, "x"), ("k", 2, "b")]

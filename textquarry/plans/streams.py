@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..streaming import arrivals as A
-from ._tables import table
-
-
-def shared(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ._tables import shared_folder, table
 
 
 def finished(spark, rows, name):
     """All that a stream appends, when its source has no more."""
-    out = shared(spark, name)
+    out = shared_folder(spark, name)
     A.to_parquet(rows, out, f"{out}-checkpoint").awaitTermination()
     return spark.read.schema(rows.schema).parquet(out)
 
@@ -36,11 +29,9 @@ def str3_standing_search(spark, d):
 def str4_latest_stream(spark, d):
     events = table(spark, d, "events")
     rows = A.arrivals(spark, f"{d}/event[s].parquet", events.schema).select("user_id", "ts", "event_id", "event_type")
-    out = shared(spark, "latest")
-    query = A.latest_to_table(A.latest_stream(rows, "user_id", "ts", "event_id"), out, f"{out}-checkpoint")
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.parquet(f"{out}/batch={last}").select("user_id", "event_id", "event_type")
+    out = shared_folder(spark, "latest")
+    A.latest_to_table(A.latest_stream(rows, "user_id", "ts", "event_id"), out, f"{out}-checkpoint").awaitTermination()
+    return A.latest_table(spark, out, "user_id").select("user_id", "event_id", "event_type")
 
 
 QUERIES = {f.__name__: f for f in (str1_search_arrivals, str3_standing_search, str4_latest_stream)}

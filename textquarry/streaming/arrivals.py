@@ -48,9 +48,16 @@ def to_parquet(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def latest_to_table(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Every batch replaces the table of latest rows under `path`/batch=N, N the batch; the newest folder is the state."""
+    """Every batch writes the keys that it changed, as a folder `path`/batch=N, N the batch; a batch that is repeated replaces its own. `latest_table` reads the state."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return rows.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+    return rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+
+
+def latest_table(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The rows of the latest batch of each key below `path`."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
