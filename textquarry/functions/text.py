@@ -36,6 +36,11 @@ def ocr_fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(plain, "".join(CONFUSED), "".join(CONFUSED.values())), r"[^\p{L}\p{N}]+", "")
 
 
+def head_of(text: Column, most: int | None) -> Column:
+    """The first `most` characters, all of them for None."""
+    return text if most is None else F.substring(text, 1, most)
+
+
 def collapse_ws(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

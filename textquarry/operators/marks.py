@@ -14,11 +14,11 @@ from ..functions.text import collapse_ws
 HITS, CLOSE, PER_DOC, DOCS, EXCERPT = 12, 15, 100, 200, 90
 
 
-def place_of(text: Column, pos: Column, anchor: Column, prefix: Column) -> Column:
-    """Struct place, outcome: exact, found (of the first 12 occurrences: that behind the prefix, else the nearest), nearest (the old place) or empty."""
+def place_of(text: Column, pos: Column, anchor: Column, prefix: Column, most_hits: int = HITS) -> Column:
+    """Struct place, outcome: exact, found (of the first `most_hits` occurrences: that behind the prefix, else the nearest), nearest (the old place) or empty."""
     step = lambda acc, _: F.when(F.element_at(acc, -1) == 0, acc).otherwise(F.concat(acc, F.array(F.call_function("locate", anchor, text, F.element_at(acc, -1) + 1))))
     first = F.array(F.call_function("locate", anchor, text, F.lit(1)))
-    hits = F.filter(F.aggregate(F.sequence(F.lit(2), F.lit(HITS)), first, step), lambda x: x > 0)
+    hits = F.filter(F.aggregate(F.sequence(F.lit(2), F.lit(most_hits)), first, step), lambda x: x > 0)
     hits = F.transform(hits, lambda x: (x - 1).cast("int"))
     behind = F.filter(hits, lambda h: F.substring(text, F.greatest(h - F.char_length(prefix), F.lit(0)) + 1, F.least(h, F.char_length(prefix))) == prefix)
     nearest = F.array_min(F.transform(hits, lambda h: F.struct(F.abs(h - pos).alias("d"), h.alias("h"))))["h"]

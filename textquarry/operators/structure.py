@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import running
-from ..functions.text import collapse_ws
+from ..functions.text import collapse_ws, head_of
 
 INDEX_LINE = r"(?m)([^\n.][^\n]{0,58}?[^\n. ])\s*\.{2,}[. ]*\s*(\d{1,4})\b"
 HEAD = 120_000
@@ -31,9 +31,9 @@ def unique_names(files: DataFrame, order_col: str, style: str = "save") -> DataF
     return files.withColumn("file_name", F.concat("stem", F.when(n == 1, "").otherwise(suffix), F.col("ext"))).drop("__earlier")
 
 
-def outline_from_index(docs: DataFrame, doc: str, text_col: str = "text", pages: list[int] | None = None, most: int = 500) -> DataFrame:
-    """doc, pos, title, page of dotted index lines (`label .... page`), the first per page; a page filter that leaves under 3 is given up."""
-    head = F.substring(text_col, 1, HEAD)
+def outline_from_index(docs: DataFrame, doc: str, text_col: str = "text", pages: list[int] | None = None, most: int | None = 500, head_chars: int | None = HEAD) -> DataFrame:
+    """doc, pos, title, page of dotted index lines (`label .... page`), the first per page; a page filter that leaves under 3 is given up. At most `most` of them, in the first `head_chars` characters; None for no limit."""
+    head = head_of(F.col(text_col), head_chars)
     found = F.arrays_zip(F.regexp_extract_all(head, F.lit(INDEX_LINE), F.lit(1)).alias("label"), F.regexp_extract_all(head, F.lit(INDEX_LINE), F.lit(2)).alias("page"))
     rows = docs.select(doc, F.posexplode(found).alias("pos", "x")).select(doc, "pos", collapse_ws(F.col("x")["label"]).alias("label"), F.col("x")["page"].cast("int").alias("page"))
     rows = rows.where((F.char_length("label") >= 2) & ~F.col("label").rlike(r"^\d+$"))
@@ -41,7 +41,8 @@ def outline_from_index(docs: DataFrame, doc: str, text_col: str = "text", pages:
         chosen = F.col("page").isin(pages)
         rows = rows.withColumn("n", F.count_if(chosen).over(Window.partitionBy(doc))).where((F.col("n") < 3) | chosen).drop("n")
     first = rows.withColumn("turn", F.row_number().over(Window.partitionBy(doc, "page").orderBy("pos"))).where("turn = 1")
-    numbered = first.withColumn("n", F.row_number().over(Window.partitionBy(doc).orderBy("pos"))).where(F.col("n") <= most)
+    numbered = first.withColumn("n", F.row_number().over(Window.partitionBy(doc).orderBy("pos")))
+    numbered = numbered if most is None else numbered.where(F.col("n") <= most)
     return numbered.select(doc, F.col("n").alias("pos"), F.concat("label", F.lit(" (p. "), F.col("page").cast("string"), F.lit(")")).alias("title"), "page")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import kind_of
-from ..functions.text import format_clock, strip_ws
+from ..functions.text import format_clock, head_of, strip_ws
 from .search import split_lines
 
 CHUNK, LEAST_CHUNK = 1600, 200
@@ -149,17 +149,17 @@ def stem_of(path: Column) -> tuple[Column, Column]:
     return F.regexp_extract(path, r"^(.*?)[^/\\]*$", 1), F.lower(F.regexp_replace(F.regexp_extract(path, r"[^/\\]*$", 0), r"(?<=[^.])\.[^.]*$", ""))
 
 
-def pair_media_reports(media: DataFrame, reports: DataFrame, suffix: str = ".report.txt") -> DataFrame:
+def pair_media_reports(media: DataFrame, reports: DataFrame, suffix: str = ".report.txt", head_chars: int | None = 12_000) -> DataFrame:
     """media_path, report_path, both ways in one: `stem` before `name.ext`, each with the suffix; null media_path for an orphan report, null report_path for a medium without one.
 
     A report that names a medium's whole file goes to it; one of a stem alone
     goes to each medium of that stem, and of those only to the one whose name
-    its head mentions, if it mentions any.
+    its head (`head_chars` characters; None: all) mentions, if it mentions any.
     """
     folder, stem = stem_of(F.col("path"))
     m = media.select(F.col("path").alias("media_path"), folder.alias("folder"), stem.alias("stem"), F.lower(F.regexp_extract("path", r"[^/\\]*$", 0)).alias("name"), kind_of(F.col("path")).alias("kind"))
     own = F.lower(F.regexp_replace(F.regexp_extract("path", r"[^/\\]*$", 0), rf"(?i)\Q{suffix}\E$", ""))
-    r = reports.select(F.col("path").alias("report_path"), folder.alias("folder"), own.alias("key"), F.lower(F.substring("text", 1, 12_000)).alias("head"))
+    r = reports.select(F.col("path").alias("report_path"), folder.alias("folder"), own.alias("key"), F.lower(head_of(F.col("text"), head_chars)).alias("head"))
     pairs = r.join(m, (r["folder"] == m["folder"]) & ((r["key"] == m["stem"]) | (r["key"] == m["name"]))).drop(r["folder"])
     order = F.when(F.col("kind").isin("audio", "video"), 0).when(F.col("kind") == "image", 1).otherwise(2)
     named = F.col("head").contains(F.col("name"))
