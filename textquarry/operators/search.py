@@ -58,20 +58,22 @@ def transcript_hits(reports: DataFrame, doc: str, terms: list[str], text_col: st
     The snippet drops empty lines; the timestamp is the nearest one at a line's
     start, on this or one of the four lines before.
     """
-    lines = reports.select(doc, F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))
-    stamp = F.regexp_extract("line", r"^\s*\[((?:\d+:)?\d{1,2}:\d{2}(?:\.\d+)?)\]", 1)
-    order = Window.partitionBy(doc).orderBy("pos")
-    near = [F.lag("line", k).over(order) for k in (2, 1)] + [F.col("line")] + [F.lead("line", k).over(order) for k in (1, 2)]
-    parts = F.filter(F.transform(F.array(*near), strip_ws), lambda x: x != "")
-    looked = lines.select(
-        doc,
-        (F.col("pos") + 1).alias("line_number"),
-        "line",
-        F.array_join(parts, " ").alias("snippet"),
-        F.coalesce(F.last(F.nullif(stamp, F.lit("")), ignorenulls=True).over(order.rowsBetween(-4, 0)), F.lit("")).alias("timestamp"),
-    )
-    hits = looked.where(matcher(F.col("line"), terms)).drop("line")
-    hits = hits.withColumn("n", F.row_number().over(Window.partitionBy(doc).orderBy("line_number"))).where(F.col("n") <= max_hits).drop("n")
+    split = reports.select(doc, split_lines(F.col(text_col)).alias("lines"))
+    lines = F.col("lines")
+    places = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: matcher(F.get(lines, i - 1), terms))
+
+    def around(i: Column, before: int, after: int) -> Column:
+        first = F.greatest(F.lit(1), i - before)
+        return F.slice(lines, first, i + after + 1 - first)
+
+    def look(i: Column) -> Column:
+        parts = F.filter(F.transform(around(i, 2, 2), strip_ws), lambda x: x != "")
+        stamps = F.filter(F.transform(around(i, 4, 0), lambda x: F.regexp_extract(x, r"^\s*\[((?:\d+:)?\d{1,2}:\d{2}(?:\.\d+)?)\]", 1)), lambda x: x != "")
+        return F.struct(i.alias("line_number"), F.array_join(parts, " ").alias("snippet"), F.coalesce(F.try_element_at(stamps, F.lit(-1)), F.lit("")).alias("timestamp"))
+
+    # a report's hits are found and cut within its row: nothing is shuffled
+    found = F.transform(F.slice(places, F.lit(1), F.lit(max_hits)), look)
+    hits = split.where(F.size(lines) > 0).select(doc, F.inline(found))
     label = F.when(F.col("timestamp") != "", F.concat(F.lit("Trascrizione ["), "timestamp", F.lit("]"))).otherwise(F.concat(F.lit("Report media riga "), F.col("line_number").cast("string")))
     return hits.withColumn("location_label", label)
 
