@@ -162,10 +162,11 @@ def test_jaccard(docs, empty, monkeypatch):
 
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (7, 7)]
-    got = collections.defaultdict(set)
-    for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect():
-        got[r["comp"]].add(r["node"])
-    assert sorted(map(sorted, got.values())) == [list(range(61)), [100, 200, 300]]
+    for few in (0, 20, 1 << 18):  # all by contraction, the rest by one task, all by it
+        got = collections.defaultdict(set)
+        for r in jaccard.components(spark.createDataFrame(edges, "a long, b long"), few).collect():
+            got[r["comp"]].add(r["node"])
+        assert sorted(map(sorted, got.values())) == [list(range(61)), [100, 200, 300]]
 
 
 def test_line_dedup(docs, empty):

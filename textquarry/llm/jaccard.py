@@ -5,7 +5,7 @@ put in one order of all shingles (rare ones first, then by hash); two sets that
 link share a shingle within their prefixes. Documents with identical prefixes
 and size form a group, only groups enter the postings of prefix shingles, and
 groups that meet there are filtered by size and position, expanded to their
-distinct sets, and verified on whole texts.
+distinct sets, and verified on whole texts, word by word.
 
 What is asked for is which documents links connect, so not all pairs are
 needed. A first round verifies each group with the first one of its size band
@@ -14,6 +14,11 @@ the sets do not rule out, which joins the near copies of large groups; the last
 one verifies every remaining pair of sets that meet in a posting, can link, and
 are not connected yet. A pair left out is connected already, so no link between
 two components is lost, and no group's pairs are all emitted.
+
+Two things keep down the pairs that meet but do not link. The order counts
+shingles wherever prefixes come to lie, so copies that differ more than a link
+allows show their own shingles first and fail by position. And a bitmap has at
+least as many bits as its set has shingles, so it tells long sets apart too.
 """
 
 from __future__ import annotations
@@ -26,12 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import broadcast_if, cut, exchange_width, text_bytes
-from ._words import U, batches, lists, longs, mix, shingle_sets
+from ._words import U, batches, claim, lists, longs, mix, shingle_sets
 
 WORDS, PERCENT = 5, 80
 LEAST_FREQUENT, MOST_FREQUENT = 16, 1 << 21  # of the shingles put last in the order: rows of each, and how many
 POSTINGS = 1 << 20  # rows of postings a task holds
 LEAST_BITMAP = 1024
+FEW_EDGES = 1 << 18  # edges that one task unites
 PARTNERS = 4  # pairs a set takes part in, per posting, before large components have formed
 
 
@@ -57,6 +63,7 @@ def _count(n: int, percent: int, frequent=None):
         return s[p : p + 2 * late + 16] if 4 * late < p else s[p:]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         waiting: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
@@ -106,6 +113,7 @@ def frequent_shingles(docs: DataFrame, n: int, percent: int) -> np.ndarray:
 
 def _sign(frequent, n: int, percent: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         last = frequent.value
         known: set[int] = set()
         for batch in parts:
@@ -200,9 +208,10 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 
 
 def _post(percent: int):
-    """Postings that more than one group shares, each row with the first group of its size band (itself if they cannot link)."""
+    """Postings that more than one group shares, each row with the first group of its size band (itself if they cannot link), and whether just two groups meet there: then the first one leads whatever their bands, and their only pair is taken."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         token, group, n, pos = _table(parts, ["token", "group", "n", "pos"])
         order = np.lexsort((group, n, token))
         token, group, n, pos = token[order], group[order], n[order].astype(np.int64), pos[order].astype(np.int64)
@@ -210,13 +219,14 @@ def _post(percent: int):
         keep = np.repeat(lengths > 1, lengths)
         token, group, n, pos = token[keep], group[keep], n[keep], pos[keep]
         band = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent)).astype(np.int64) if percent < 100 else n
+        two = np.repeat(lengths[lengths > 1] == 2, lengths[lengths > 1])
         new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (band[1:] != band[:-1])
+        new[1:] = (token[1:] != token[:-1]) | (band[1:] != band[:-1]) & ~two[1:]
         head = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
         leader = np.where(may_link(n, pos, n[head], pos[head], percent), group[head], group)
         for i in range(0, len(token), 1 << 16):
             at = slice(i, i + (1 << 16))
-            yield pa.record_batch({"token": pa.array(token[at]), "group": pa.array(group[at]), "n": pa.array(n[at].astype(np.int32)), "pos": pa.array(pos[at].astype(np.int32)), "leader": pa.array(leader[at])})
+            yield pa.record_batch({"token": pa.array(token[at]), "group": pa.array(group[at]), "n": pa.array(n[at].astype(np.int32)), "pos": pa.array(pos[at].astype(np.int32)), "leader": pa.array(leader[at]), "two": pa.array(two[at])})
 
     return run
 
@@ -225,6 +235,7 @@ def _cross(percent: int, partners: int | None):
     """Distinct pairs of unconnected nodes that meet in a posting and can link by size, position and bitmap; with `partners`, each node takes part as the smaller one in at most so many per posting."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         found = list(parts)
         token, node, n, pos, comp = _table(iter(found), ["token", "node", "n", "pos", "comp"])
         order = np.lexsort((node, n, token))
@@ -278,25 +289,34 @@ def exact_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     every = np.ascontiguousarray(np.concatenate([*rows, np.empty((0, n), np.int32)]))
     _, rank = np.unique(every.view(np.dtype((np.void, 4 * n))).ravel(), return_inverse=True)
     pairs = np.unique(np.concatenate([*owners, np.empty(0, np.int64)]).astype(np.int64) << 32 | rank)
-    return np.split(pairs & 0xFFFFFFFF, np.searchsorted(pairs >> 32, np.arange(1, len(texts))))
+    return np.split(pairs & 0xFFFFFFFF, np.searchsorted(pairs >> 32, np.arange(1, len(texts)))) if texts else []
+
+
+def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sets (sorted, distinct) share `percent` of their union."""
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return shared > 0 and 100 * shared >= percent * (len(s) + len(t) - shared)
 
 
 def _verify(n: int, percent: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         for batch in parts:
-            for part, _ in batches(batch, "text_a", 1 << 21):
+            for part, _ in batches(batch, "text_a"):
                 a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
                 texts: dict[int, bytes] = {}
                 for ids, column in ((a, part.column(2)), (b, part.column(3))):
                     texts |= zip(ids.tolist(), column.cast(pa.binary()).to_pylist(), strict=True)
-                sets = dict(zip(texts, exact_sets(list(texts.values()), n), strict=True))
-                linked = []
-                for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                    s, t = sets[x], sets[y]
-                    shared = len(np.intersect1d(s, t, assume_unique=True)) if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) else 0
-                    linked.append(shared > 0 and 100 * shared >= percent * (len(s) + len(t) - shared))
-                linked = np.array(linked, bool)
-                yield pa.record_batch({"a": pa.array(a[linked]), "b": pa.array(b[linked])})
+                pairs = list(zip(a.tolist(), b.tolist(), strict=True))
+                # hashes tell pairs that are far from linking, words decide on the rest
+                hashed = dict(zip(texts, shingle_sets(list(texts.values()), n), strict=True))
+                close = [linked(hashed[x], hashed[y], percent - 5) for x, y in pairs]
+                needed = {k: texts[k] for near, pair in zip(close, pairs, strict=True) if near for k in pair}
+                sets = dict(zip(needed, exact_sets(list(needed.values()), n), strict=True))
+                keep = np.array([near and linked(sets[x], sets[y], percent) for near, (x, y) in zip(close, pairs, strict=True)], bool)
+                yield pa.record_batch({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
 
     return run
 
@@ -313,30 +333,56 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perc
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, percent), "a long, b long"), "jaccard-links")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _united(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, comp of the components of a task's edges (a, b)."""
+    claim("jaccard")
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in parts:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    nodes = list(parent)
+    yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "comp": pa.array([root(x) for x in nodes], pa.int64())})
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """Connected components: node, comp, for every node of the edges (a, b).
 
     Each round every node takes the neighbour of least random rank, if below
     its own, as parent, and edges contract to the parents of parents; a fixed
-    share of nodes is expected to vanish each round, whatever the shape.
+    share of nodes is expected to vanish each round, whatever the shape. Once
+    at most `few` edges are left, one task unites them.
     """
     edges = cut(edges.where("a <> b").distinct(), "components-edges")
-    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("comp", F.col("node"))
-    rounds = 0
-    while not edges.isEmpty():
+    labels, rounds = None, 0
+    while edges.count() > few:
         def rank(c: str, salt: int = rounds) -> Column:
             return F.struct(F.xxhash64(F.lit(salt), c), F.col(c))
 
+        if labels is None:
+            labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("comp", F.col("node"))
         around = edges.union(edges.select("b", "a"))
         least = around.groupBy("a").agg(F.min(rank("b")).alias("least"))
-        parents = cut(least.select(F.col("a").alias("node"), F.when(F.col("least")["b"] == F.col("a"), F.col("a")).when(F.struct(F.col("least")["col1"], F.col("least")["b"]) < rank("a"), F.col("least")["b"]).otherwise(F.col("a")).alias("parent")), "components-parents")
+        parents = cut(least.select(F.col("a").alias("node"), F.when(F.struct(F.col("least")["col1"], F.col("least")["b"]) < rank("a"), F.col("least")["b"]).otherwise(F.col("a")).alias("parent")), "components-parents")
         grand = parents.select("node", "parent").join(parents.select(F.col("node").alias("parent"), F.col("parent").alias("top")), "parent").select("node", "top")
         grand = cut(grand, "components-tops")
         labels = cut(labels.join(grand.select(F.col("node").alias("comp"), "top"), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "components-labels")
         edges = edges.join(grand.select(F.col("node").alias("a"), F.col("top").alias("top_a")), "a").join(grand.select(F.col("node").alias("b"), F.col("top").alias("top_b")), "b")
         edges = cut(edges.where("top_a <> top_b").select(F.least("top_a", "top_b").alias("a"), F.greatest("top_a", "top_b").alias("b")).distinct(), "components-edges")
         rounds += 1
-    return labels
+    united = cut(edges.coalesce(1).mapInArrow(_united, "node long, comp long"), "components-united")
+    if labels is None:
+        return united
+    return cut(labels.join(united.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "components-labels")
 
 
 def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
@@ -389,7 +435,7 @@ def components_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
     groups = signed.where(F.size("prefix") > 0).groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = groups.select("group", "n", F.posexplode("prefix").alias("pos", "token"))
     width = exchange_width(spark, text_bytes(docs) // 30, POSTINGS)
-    postings = entries.repartition(width, "token").mapInArrow(_post(percent), "token long, group long, n int, pos int, leader long")
+    postings = entries.repartition(width, "token").mapInArrow(_post(percent), "token long, group long, n int, pos int, leader long, two boolean")
     postings = cut(postings, "jaccard-postings")
 
     leads = classes.groupBy("group").agg(F.min("node").alias("lead"))
@@ -400,6 +446,11 @@ def components_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
     alike = of_id.select("a", F.explode("all").alias("b")).where("a <> b")
     first = components(verified(stars.union(inside), classes, docs, n, percent).union(alike))
 
+    # where two groups of one set each meet, their pair was in the first round
+    several = cut(classes.groupBy("group").count().where("count > 1").select("group"), "jaccard-several")
+    again = postings.where("two").join(several, "group", "left_semi").select("token").distinct()
+    postings = postings.where("NOT two").unionByName(postings.where("two").join(again, "token", "left_semi"))
+
     labels = _relabelled(classes.select("node", F.col("node").alias("comp")).distinct(), first)
     for partners in (PARTNERS, None):
         crossed = _meeting(postings, classes, labels, width).mapInArrow(_cross(percent, partners), "a long, b long")
