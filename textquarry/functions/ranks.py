@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 CELL = 10_000  # values of the order that a cell spans
 
 
 def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, cell: int = CELL) -> DataFrame:
-    """Adds `name`: the sum of `value` over the rows of the same keys that come before, by the integer `order` (ties in any order).
+    """Adds `name`: the sum of `value` over the rows of the same keys that come before, by `order` (ties in any order).
 
     Rows of a group are summed within cells, each a stretch of the order; cells
     of a group are prefix-summed as a small table. So a group of any size is
     spread over tasks, and none ranks more than a cell's rows or a group's cells.
-    Null orders are one cell, the first.
+    Null orders are one cell, the first. An order that is no whole number has no
+    stretches: then a group is one cell.
     """
-    at = F.coalesce(F.floor(F.col(order) / cell).cast("long"), F.lit(-(2**62)))
+    whole = isinstance(df.schema[order].dataType, IntegralType)
+    at = F.lit(0).cast("long") if not whole else F.coalesce(F.floor(F.col(order) / cell).cast("long"), F.lit(-(2**62)))
     split = df.withColumn("__cell", at).withColumn("__value", value)
     names = [F.coalesce(F.col(k).cast("string"), F.lit("\x01")).alias(f"__key{i}") for i, k in enumerate(keys)]
     split = split.select("*", *names)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import kind_of
+from ..functions.ranks import running
 from ..functions.text import format_clock, head_of, strip_ws
 from .search import split_lines
 
@@ -173,11 +174,11 @@ def pair_media_reports(media: DataFrame, reports: DataFrame, suffix: str = ".rep
 
 
 def apply_quotas(files: DataFrame, folder: str, order: str, max_files: int = 5, max_sec: float = 1200) -> DataFrame:
-    """Adds status: unknown, too_long, kept, or over_limit beyond the first `max_files` of a folder."""
+    """Adds status: unknown, too_long, kept, or over_limit beyond the first `max_files` of a folder, in the order of an integer column."""
     usable = (F.col("duration_sec") > 0) & (F.col("duration_sec") <= max_sec)
-    turn = F.row_number().over(Window.partitionBy(folder, usable).orderBy(order))
-    state = F.when(F.coalesce("duration_sec", F.lit(0.0)) <= 0, "unknown").when(F.col("duration_sec") > max_sec, "too_long").when(F.col("__turn") <= max_files, "kept").otherwise("over_limit")
-    return files.withColumn("__turn", turn).withColumn("status", state).drop("__turn")
+    files = running(files.withColumn("__usable", usable), [folder, "__usable"], order, F.lit(1), "__earlier")
+    state = F.when(F.coalesce("duration_sec", F.lit(0.0)) <= 0, "unknown").when(F.col("duration_sec") > max_sec, "too_long").when(F.col("__earlier") < max_files, "kept").otherwise("over_limit")
+    return files.withColumn("status", state).drop("__usable", "__earlier")
 
 
 def clip_segments(segments: DataFrame, start: str, end: str, duration: str, mode: str) -> DataFrame:
