@@ -415,7 +415,7 @@ def fed9_entry_chapters(spark, d):
     return rows.select(doc_of("guid._VALUE"), F.posexplode(E.entry_chapters(rows)).alias("pos", "c")).select("doc_id", "pos", "c.start_sec", "c.title")
 
 
-@query("""SELECT doc_id, 'http://m.example/' || doc_id AS url, (doc_id % 700)::INT AS width, lang AS credit, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS explicit, doc_id % 2 = 0 AS block,
+@query("""SELECT doc_id, 'http://m.example/' || doc_id AS url, (doc_id % 700)::INT AS width, lang AS credit, CASE doc_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END AS explicit, doc_id % 2 = 0 AS block,
     (doc_id % 60 + 3600)::DOUBLE AS duration_sec FROM documents""")
 def fed10_entry_media(spark, d):
     doc = F.col("doc_id").cast("string")
@@ -427,7 +427,7 @@ def fed10_entry_media(spark, d):
     )
     found = E.entry_media(rows)
     first = lambda c: F.get(c, F.lit(0))
-    return found.select(doc_of(), first("media_content")["url"].alias("url"), first("media_content")["width"].alias("width"), first("media_credit")["content"].alias("credit"), "explicit", "block", "duration_sec")
+    return found.select(doc_of(), first("media_content")["url"].alias("url"), first("media_content")["width"].alias("width"), first("media_credit")["content"].alias("credit"), F.coalesce(F.col("explicit").cast("string"), F.lit("")).alias("explicit"), "block", "duration_sec")
 
 
 @query(f"""WITH {LINES} SELECT doc_id, 'Titolo ' || doc_id AS name, {WHEN} AS date, count(*) FILTER (WHERE contains(lower(line), 'the') AND contains(lower(line), 'and')) AS n_raw FROM numbered
