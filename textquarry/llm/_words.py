@@ -44,6 +44,13 @@ def remembers(clear: Callable[[], None]) -> None:
     _memory.append(clear)
 
 
+def _forget_powers() -> None:
+    _powers[:] = [np.empty(0, U), np.empty(0, U)]
+
+
+remembers(_forget_powers)
+
+
 def claim(owner: str) -> None:
     """To be called first in a task: a worker that served another operator before forgets what it remembered for it."""
     if _owner != [owner]:
