@@ -29,6 +29,7 @@ from .tokens import Memo, tokenizer
 
 SIZE, GROUP = 2048, 1 << 21
 BATCH = 512  # documents tokenized at a time
+REMEMBERED = 96 << 20  # bytes of units that a worker remembers in each of two generations
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 WHITE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the blank before it, or white space up to that blank: each holds whole pre-tokens of a byte-level BPE.
@@ -38,8 +39,8 @@ PIECE_SCHEMA = pa.schema({"doc_id": pa.int64(), "start": pa.int64(), "length": p
 
 
 @functools.cache
-def known_units(path: str) -> Memo:
-    return Memo()
+def known_units(path: str, most: int) -> Memo:
+    return Memo(most)
 
 
 remembers(known_units.cache_clear)
@@ -71,11 +72,11 @@ def encode_units(path: str, units: list[str]) -> list[bytes]:
     return [out[u] for u in units]
 
 
-def token_ids(path: str, texts: list[str]) -> list[bytes]:
+def token_ids(path: str, texts: list[str], remembered: int) -> list[bytes]:
     """Token ids of each text as little-endian 32-bit numbers. A worker encodes a unit once; texts with special strings are encoded whole."""
     special = special_strings(path)
     units = [None if any(s in t for s in special) else UNITS.findall(t) for t in texts]
-    known = known_units(path).learn(set().union(*(found for found in units if found)), functools.partial(encode_units, path))
+    known = known_units(path, remembered).learn(set().union(*(found for found in units if found)), functools.partial(encode_units, path))
     return [packed_ids(tokenizer(path).encode(t, add_special_tokens=False).ids) if found is None else b"".join(map(known.__getitem__, found)) for t, found in zip(texts, units, strict=True)]
 
 
@@ -106,7 +107,7 @@ def assign(lengths: list[int], size: int = SIZE, linear: float = LINEAR, quadrat
     return pieces
 
 
-def _pack(path: str, end_id: int, size: int, group: int, linear: float, quadratic: float):
+def _pack(path: str, end_id: int, size: int, group: int, linear: float, quadratic: float, remembered: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("packing")
         base, counter = TaskContext.get().partitionId() << 32, 0
@@ -136,7 +137,7 @@ def _pack(path: str, end_id: int, size: int, group: int, linear: float, quadrati
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 docs, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(docs, token_ids(path, texts), strict=True):
+                for doc, ids in zip(docs, token_ids(path, texts, remembered), strict=True):
                     ids += packed_ids([end_id])
                     total = len(ids) // 4
                     full = total // size * size
@@ -155,14 +156,15 @@ def _pack(path: str, end_id: int, size: int, group: int, linear: float, quadrati
     return run
 
 
-def pack_sequences(docs: DataFrame, path: str, end_id: int = 1, size: int = SIZE, group: int = GROUP, linear: float = LINEAR, quadratic: float = QUADRATIC) -> DataFrame:
+def pack_sequences(docs: DataFrame, path: str, end_id: int = 1, size: int = SIZE, group: int = GROUP, linear: float = LINEAR, quadratic: float = QUADRATIC, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its token ids and `end_id`. Each id lies in exactly one piece;
     a sequence's pieces are gapless from 0 and hold `size` tokens or a power of
     two below it. Null or empty text is `end_id` alone; repeated rows and rows
     without an id are packed row by row; an empty table has no pieces; other
-    columns are ignored.
+    columns are ignored. A worker remembers the ids of `remembered` bytes of
+    words, and of as many before those; less takes more time, not other ids.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_pack(path, end_id, size, group, linear, quadratic), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(_pack(path, end_id, size, group, linear, quadratic, remembered), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
