@@ -50,7 +50,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences; null and empty texts are the end mark alone, null ids and rows alike are packed row by row."""
-    return pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # the executors' heaps are full of what earlier stages left, so workers remember a third
+    return pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=32 << 20)
 
 
 STAGES = [
