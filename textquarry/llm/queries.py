@@ -17,6 +17,8 @@ from .mixing import mix_sources
 from .packing import pack_sequences
 from .quality import score_quality
 from .scoring import backoff_scores
+from .sketching import sketch_components
+from .spelling import spelling_variants
 from .tokens import token_counts
 from .toxicity import score_toxicity
 
@@ -81,6 +83,14 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op11_sketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_components(documents(spark, sf_dir), n=3, percent=85)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir), letters=6, least=5, ratio=5, slip=199)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), group=5, heads=9)
 
@@ -96,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_lm_scores": op10_lm_scores,
+    "op11_sketch_near_duplicates": op11_sketch_near_duplicates,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -179,4 +191,28 @@ ORACLE_SQL: dict[str, str] = {
                round(sum(s) / nullif(count(s), 0), 6) AS mean_log_score
         FROM documents LEFT JOIN scored USING (doc_id) GROUP BY doc_id
     """,
+    "op11_sketch_near_duplicates": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s
+            FROM words
+        ), sizes AS (
+            SELECT doc_id, count(s) AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
+        ), shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+            FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared s JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+            WHERE 100 * s.n >= 85 * (p.n + q.n - s.n)
+        ), reach AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+        )
+        SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+    """,
 }
