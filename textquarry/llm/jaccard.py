@@ -18,7 +18,9 @@ two components is lost, and no group's pairs are all emitted.
 Two things keep down the pairs that meet but do not link. The order counts
 shingles wherever prefixes come to lie, so copies that differ more than a link
 allows show their own shingles first and fail by position. And a bitmap has at
-least as many bits as its set has shingles, so it tells long sets apart too.
+least as many bits as its set has shingles, up to a bound, so it tells long sets
+apart too. Rows that meet are narrow; bitmaps go once to each task that needs
+them, and a posting of many rows is cut into blocks that meet in pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,8 @@ from ._words import U, batches, claim, lists, longs, mix, shingle_sets
 WORDS, PERCENT = 5, 80
 LEAST_FREQUENT, MOST_FREQUENT = 16, 1 << 21  # of the shingles put last in the order: rows of each, and how many
 POSTINGS = 1 << 20  # rows of postings a task holds
-LEAST_BITMAP = 1024
+LEAST_BITMAP, MOST_BITMAP = 1 << 10, 1 << 15  # bits
+MEETING = 1024  # sets of a token that meet in one block
 FEW_EDGES = 1 << 18  # edges that one task unites
 PARTNERS = 4  # pairs a set takes part in, per posting, before large components have formed
 
@@ -147,8 +151,8 @@ def _sign(frequent, n: int, percent: int):
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A set's parity bitmap, of at least as many bits as elements: each element flips one bit. Two bitmaps of one length differ in at most as many bits as the sets in elements."""
-    size = max(LEAST_BITMAP, 1 << (len(s) - 1).bit_length() if len(s) else 1)
+    """A set's parity bitmap, of at least as many bits as elements up to MOST_BITMAP: each element flips one bit. Two bitmaps of one length differ in at most as many bits as the sets in elements."""
+    size = min(MOST_BITMAP, max(LEAST_BITMAP, 1 << (len(s) - 1).bit_length() if len(s) else 1))
     flips = np.bincount((s & U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
@@ -232,21 +236,29 @@ def _post(percent: int):
 
 
 def _cross(percent: int, partners: int | None):
-    """Distinct pairs of unconnected nodes that meet in a posting and can link by size, position and bitmap; with `partners`, each node takes part as the smaller one in at most so many per posting."""
+    """Distinct pairs of unconnected nodes that meet in a unit (see `dealt`) and can link by size, position and bitmap; with `partners`, each node takes part as the smaller one in at most so many per unit."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("jaccard")
-        found = list(parts)
-        token, node, n, pos, comp = _table(iter(found), ["token", "node", "n", "pos", "comp"])
-        order = np.lexsort((node, n, token))
-        maps = [m for b in found for m in b.column(5).to_pylist()]
+        found, maps = [], {}
+        for batch in parts:
+            bits = batch.column(7)
+            held = bits.is_valid()
+            mapped = batch.filter(held)
+            maps |= zip(mapped.column(2).to_pylist(), mapped.column(7).to_pylist(), strict=True)
+            found.append(batch.filter(pc.invert(held)))
+        unit, node, n, pos, comp, role = _table(iter(found), ["unit", "node", "n", "pos", "comp", "role"])
         found.clear()
-        bits = Bitmaps([maps[k] for k in order.tolist()])
-        del maps
-        token, node, n, pos, comp = token[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order]
-        starts = _starts(token)
+        order = np.lexsort((node, n, unit))
+        unit, node, n, pos, comp, role = unit[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order], role[order]
+        names, row = np.unique(node, return_inverse=True)
+        bits = Bitmaps([maps[k] for k in names.tolist()])
+        maps.clear()
+        starts = _starts(unit)
         ends = np.repeat(starts[1:], np.diff(starts))
-        left, taken = np.arange(len(token)), np.zeros(len(token), np.int64)
+        left, taken = np.arange(len(unit)), np.zeros(len(unit), np.int64)
+        size_of = np.zeros(len(names), np.int64)
+        size_of[row] = n
         pairs: list[np.ndarray] = []
         size = step = 0
 
@@ -255,15 +267,15 @@ def _cross(percent: int, partners: int | None):
             pairs.clear()
             return pa.record_batch({"a": pa.array(once[0]), "b": pa.array(once[1])})
 
-        while len(left):  # every row with the row `step` behind it in its posting, while that one is not too large
+        while len(left):  # every row with the row `step` behind it in its unit, while that one is not too large
             step += 1
             left = left[left + step < ends[left]]
             left = left[percent * n[left + step] <= 100 * n[left]]
             if partners is not None:
                 left = left[taken[left] < partners]
-            i = left[comp[left] != comp[left + step]]
+            i = left[(comp[left] != comp[left + step]) & ((role[left] == 2) | (role[left] != role[left + step]))]
             i = i[may_link(n[i], pos[i], n[i + step], pos[i + step], percent)]
-            i = i[bits.near(n, i, i + step, percent)]
+            i = i[bits.near(size_of, row[i], row[i + step], percent)]
             if len(i):
                 taken[i] += 1
                 pairs.append(np.stack([np.minimum(node[i], node[i + step]), np.maximum(node[i], node[i + step])]))
@@ -276,6 +288,23 @@ def _cross(percent: int, partners: int | None):
     return run
 
 
+def dealt(rows: DataFrame, bits: DataFrame, width: int, block: int) -> DataFrame:
+    """Rows (token, node, n, pos, comp) for `_cross`: those of a token are a unit; more than `block` of them are cut into blocks by hash, and each block with itself and each two blocks are units, so that no task holds more than two. Bitmaps (node, bits) go along as rows of their own, once per node and slot of units."""
+    role = lambda i, j, r: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(r).alias("role"))
+    rows = cut(rows, "jaccard-rows")
+    large = rows.groupBy("token").count().where(F.col("count") > block).select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    split = rows.join(broadcast_if(cut(large, "jaccard-large")), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    split = split.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
+    own = F.col("own")
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.when(k == own, role(own, own, 2)).when(k < own, role(k, own, 1)).otherwise(role(own, k, 0)))
+    units = split.withColumn("met", F.explode(met)).withColumn("unit", F.xxhash64("token", "met.i", "met.j"))
+    units = units.select(F.pmod("unit", F.lit(width)).cast("int").alias("slot"), "unit", "node", "n", "pos", "comp", "met.role")
+    units = cut(units, "jaccard-units")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    maps = units.select("slot", "node").distinct().join(bits.select("node", "bits"), "node").select("slot", none("unit", "long"), "node", none("n", "int"), none("pos", "int"), none("comp", "long"), none("role", "int"), "bits")
+    return units.withColumn("bits", F.lit(None).cast("binary")).unionByName(maps).repartition(width, "slot")
+
+
 def exact_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Per text its distinct shingles as ascending ranks of the shingles themselves, no hashes: words are numbered by their bytes."""
     numbers: dict[bytes, int] = {}
@@ -391,9 +420,9 @@ def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
     return cut(found.select("node", F.coalesce("top", "comp").alias("comp")), "jaccard-labels")
 
 
-def _meeting(postings: DataFrame, classes: DataFrame, labels: DataFrame, width: int) -> DataFrame:
-    """Rows token, node, n, pos, comp, bits of postings, and of groups of several sets, where different components meet; dealt by token."""
-    nodes = classes.join(labels, "node")
+def _meeting(postings: DataFrame, classes: DataFrame, labels: DataFrame, width: int, block: int) -> DataFrame:
+    """`dealt` rows of postings, and of groups of several sets, where different components meet."""
+    nodes = classes.select("group", "node", "n").join(labels, "node")
     own = nodes.select(F.col("group").alias("token"), "group", F.lit(0).alias("pos"), "comp")
     met = postings.select("token", "group", "pos").join(nodes.select("group", "comp").distinct(), "group").select("token", "group", "pos", "comp")
     narrow = met.union(own.select("token", "group", "pos", "comp"))
@@ -401,10 +430,10 @@ def _meeting(postings: DataFrame, classes: DataFrame, labels: DataFrame, width:
     mixed = cut(mixed, "jaccard-mixed")
     entries = postings.select("token", "group", "pos").union(classes.select(F.col("group").alias("token"), "group", F.lit(0).alias("pos")).distinct())
     entries = entries.join(broadcast_if(mixed), "token", "left_semi")
-    return entries.join(nodes.select("group", "node", "n", "comp", "bits"), "group").select("token", "node", "n", "pos", "comp", "bits").repartition(width, "token")
+    return dealt(entries.join(nodes, "group").select("token", "node", "n", "pos", "comp"), classes, width, block)
 
 
-def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, block: int = MEETING) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a set holds the distinct
@@ -412,14 +441,15 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     link when 100 * intersection >= percent * union; component_id is the least
     doc_id that links reach. Null or empty text, or white space alone, has no
     shingles and links with nothing, not even its like: component_id is its own
-    id. Rows with one doc_id but different texts are one document with several
+    id. Equal sets are told by two 64-bit hashes, links between different ones
+    by their words. Rows with one doc_id but different texts are one document with several
     sets. Rows without an id link by text, but give components no name: null if
     no other does. An empty table gives an empty result; other columns are ignored.
     """
-    return components_of(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+    return components_of(docs, n, percent, block).select("doc_id", "n_shingles", "component_id")
 
 
-def components_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def components_of(docs: DataFrame, n: int, percent: int, block: int = MEETING) -> DataFrame:
     """`jaccard_components` with text_hash and stays: whether the row is the one (or like the one) that stays of its component."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -453,7 +483,7 @@ def components_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     labels = _relabelled(classes.select("node", F.col("node").alias("comp")).distinct(), first)
     for partners in (PARTNERS, None):
-        crossed = _meeting(postings, classes, labels, width).mapInArrow(_cross(percent, partners), "a long, b long")
+        crossed = _meeting(postings, classes, labels, width, block).mapInArrow(_cross(percent, partners), "a long, b long")
         links = verified(crossed, classes, docs, n, percent)
         over = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("comp_b")), "b")
         labels = _relabelled(labels, components(over.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))))

@@ -28,13 +28,12 @@ from pyspark.sql import functions as F
 
 from ._shared import broadcast_if, cut, exchange_width
 from ._words import U, batches, claim, lists, longs, mix, shingle_sets
-from .jaccard import PARTNERS, Bitmaps, bitmap, components, verified
+from .jaccard import MEETING, PARTNERS, Bitmaps, _cross, bitmap, components, dealt, verified
 
 WORDS, PERCENT = 3, 85
 SIZE, ROWS = 128, 4  # coordinates of a sketch, and of a band
 KNOWN = 1 << 20  # sets of which a task remembers that it has sent their bands
-MEETING = 4096  # sets of a band key that meet in one block
-PAIRS = 1 << 20  # rows that a task crosses
+ROWS_A_TASK = 1 << 17  # rows of band keys that a task crosses
 
 
 def sketches(sets: list[np.ndarray], size: int = SIZE) -> np.ndarray:
@@ -118,60 +117,6 @@ def _may_link(percent: int):
     return run
 
 
-def _cross(percent: int, partners: int | None):
-    """Distinct pairs of unconnected sets that meet in a unit and may link; a set of role 0 meets those of role 1, of role 2 all. With `partners`, each takes part as the smaller one in at most so many per unit."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("sketching")
-        found = list(parts)
-        columns = [np.concatenate([b.column(k).to_numpy() for b in found]) if found else np.empty(0, np.int64) for k in range(5)]
-        maps = [m for b in found for m in b.column(5).to_pylist()]
-        found.clear()
-        order = np.lexsort((columns[1], columns[2], columns[0]))
-        unit, node, n, comp, role = (c[order] for c in columns)
-        n = n.astype(np.int64)
-        bits = Bitmaps([maps[k] for k in order.tolist()])
-        del maps
-        last = np.flatnonzero(np.append(unit[1:] != unit[:-1], True)) + 1 if len(unit) else np.empty(0, np.int64)
-        ends = np.repeat(last, np.diff(last, prepend=0))
-        left, taken = np.arange(len(unit)), np.zeros(len(unit), np.int64)
-        pairs: list[np.ndarray] = []
-        step = size = 0
-
-        def out() -> pa.RecordBatch:
-            once = np.unique(np.concatenate([*pairs, np.empty((2, 0), np.int64)], axis=1), axis=1)
-            pairs.clear()
-            return pa.record_batch({"a": pa.array(once[0]), "b": pa.array(once[1])})
-
-        while len(left):  # every row with the row `step` behind it in its unit, while that one is not too large
-            step += 1
-            left = left[left + step < ends[left]]
-            left = left[percent * n[left + step] <= 100 * n[left]]
-            if partners is not None:
-                left = left[taken[left] < partners]
-            i = left[(comp[left] != comp[left + step]) & ((role[left] == 2) | (role[left] != role[left + step]))]
-            i = i[bits.near(n, i, i + step, percent)]
-            if len(i):
-                taken[i] += 1
-                pairs.append(np.stack([np.minimum(node[i], node[i + step]), np.maximum(node[i], node[i + step])]))
-                size += len(i)
-            if size > PAIRS:
-                yield out()
-                size = 0
-        yield out()
-
-    return run
-
-
-def _units(postings: DataFrame, block: int) -> DataFrame:
-    """postings (token, node, held: rows of the token) as rows unit, node, role: a token's rows in blocks of about `block`, each block with itself and with every other."""
-    role = lambda i, j, r: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(r).alias("role"))
-    own, blocks = F.col("own"), F.ceil(F.col("held") / block).cast("int")
-    dealt = postings.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.when(k == own, role(own, own, 2)).when(k < own, role(k, own, 1)).otherwise(role(own, k, 0)))
-    return dealt.withColumn("met", F.explode(met)).select(F.xxhash64("token", "met.i", "met.j").alias("unit"), "node", "met.role")
-
-
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, comp) once links (a, b) of nodes unite components."""
     over = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("comp_b")), "b")
@@ -218,15 +163,14 @@ def sketch_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, s
     labels = _relabelled(labels, verified(stars, classes, docs, n, percent).union(alike))
 
     # the pair of two sets that meet alone was in the first round
-    postings = postings.where("held > 2").select("token", "node", "held")
+    postings = postings.where("held > 2").select("token", "node", "n")
     for partners in (PARTNERS, None):
         owned = postings.join(labels, "node")
         mixed = cut(owned.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "sketch-mixed")
         postings = cut(postings.join(broadcast_if(mixed), "token", "left_semi"), "sketch-left")
-        units = cut(_units(postings, block), "sketch-units")
-        width = exchange_width(spark, units.count(), PAIRS // 8)
-        known = classes.select("node", "n", "bits").join(labels, "node")
-        crossed = units.join(known, "node").select("unit", "node", "n", "comp", "role", "bits").repartition(width, "unit").mapInArrow(_cross(percent, partners), "a long, b long")
+        rows = postings.join(labels, "node").select("token", "node", "n", F.lit(0).alias("pos"), "comp")
+        width = exchange_width(spark, postings.count(), ROWS_A_TASK)
+        crossed = dealt(rows, classes, width, block).mapInArrow(_cross(percent, partners), "a long, b long")
         labels = _relabelled(labels, verified(crossed, classes, docs, n, percent))
 
     final = classes.join(labels, "node").withColumnRenamed("comp", "top")
