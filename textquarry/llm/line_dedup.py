@@ -1,13 +1,14 @@
-"""Line dedup with two Bloom filters.
-
-A first pass marks the hash of each document's lines in a filter for lines seen
-once and one for lines seen twice; tasks send only slices that they touched,
-and slices of all tasks merge by OR, with AND of two once-slices adding to
-twice. A second pass sends on only lines that the twice filter suspects. Their
-keys are grouped as text, which confirms repeats exactly and gives the first
-document; the filter's errors only add suspects. Documents without a suspect
-stay where they are read; only those with one are shuffled, to meet their list
-of lines to drop.
+"""Line dedup with two Bloom filters, partitioned by slices of the hashes.
+
+Documents are dealt into blocks. A block sends the hashes of its lines, packed,
+to the owners of their slices. An owner marks them in a filter for lines seen
+once and one for lines seen twice, and answers each block which of its hashes
+the twice filter holds. A filter is as large as the hashes that its owner gets
+ask for; more lines make more slices, so the filters never fill up, and nobody
+holds all of them. Only lines that the answers suspect are sent on: their keys
+are grouped as text, which confirms repeats exactly and gives the first
+document; the filters' errors only add suspects. The numbers of the lines to
+drop then meet the documents.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import cut, exchange_width, text_bytes
-from ._words import batches, claim
+from ._words import U, claim
+from .scoring import pack_keys, unpack_keys
 
+BLOCK_BYTES, SLICE_BYTES = 8 << 20, 32 << 20  # of texts whose lines a block holds, or a slice's owner marks
+BITS_PER_KEY, LEAST_BITS = 16, 1 << 12
 SPACE = b" \t\n\r\x0b\x0c"
-SLICE_BITS = 1 << 16
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
 def line_keys(text: bytes, least: int) -> list[bytes | None]:
@@ -48,84 +50,67 @@ def put(filter_: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(filter_, at.ravel() >> 3, np.uint8(1) << (at.ravel() & 7).astype(np.uint8))
 
 
-def _mark(bits: int, least: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def block_keys(table: pa.Table, least: int) -> tuple[list[list[bytes | None]], np.ndarray, np.ndarray]:
+    """Line keys of each text of a block, the distinct hashes of them all, ascending, and whether more than one document holds each."""
+    keys = [line_keys(text or b"", least) for text in table.column("text").cast(pa.binary()).to_pylist()]
+    found = [xxhash.xxh3_64_intdigest(k) for own in keys for k in {*own} if k is not None]
+    hashes, n = np.unique(np.array(found, U), return_counts=True)
+    return keys, hashes, n > 1
+
+
+ASKED = pa.schema({"slice": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "often": pa.binary()})
+ANSWERED = pa.schema({"slice": pa.int32(), "block": pa.int64(), "twice": pa.binary()})
+SUSPECTED = pa.schema({"line_doc": pa.int64(), "line_text": pa.int64(), "line_no": pa.int32(), "line_key": pa.string()})
+
+
+def _ask(bits: int, least: int):
+    """A block's hashes for the owners of 2**bits slices."""
+
+    def run(table: pa.Table) -> pa.Table:
         claim("lines")
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in parts:
-            for _, texts in batches(batch):
-                found = [xxhash.xxh3_64_intdigest(k) for text in texts for k in {*line_keys(text, least)} if k is not None]
-                hashes, n = np.unique(np.array(found, np.uint64), return_counts=True)
-                at = positions(hashes, bits)
-                put(twice, at[:, (n > 1) | held(once, at)])
-                put(once, at)
-        width = SLICE_BITS // 8
-        used = np.flatnonzero(once.reshape(-1, width).any(axis=1)).tolist()
-        for i in range(0, len(used), 64):
-            some = used[i : i + 64]
-            yield pa.record_batch({"slice": pa.array(some, pa.int32()), "once": pa.array([once[k * width : (k + 1) * width].tobytes() for k in some], pa.binary()), "twice": pa.array([twice[k * width : (k + 1) * width].tobytes() for k in some], pa.binary())})
+        _, hashes, often = block_keys(table, least)
+        part = (hashes >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        block = table.column("block")[0].as_py()
+        rows = [(int(part[a]), block, pack_keys(hashes[a:b]), np.packbits(often[a:b]).tobytes()) for a, b in zip(starts, np.append(starts[1:], len(hashes)), strict=True)]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 4, ASKED, strict=True)], schema=ASKED)
 
     return run
 
 
-def _merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    merged: dict[int, list[np.ndarray]] = {}
-    for batch in parts:
-        for k, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            once, twice = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-            if k in merged:
-                own = merged[k]
-                own[1] |= twice | (own[0] & once)
-                own[0] |= once
-            else:
-                merged[k] = [once.copy(), twice.copy()]
-    for k, (_, twice) in merged.items():
-        if twice.any():
-            yield pa.record_batch({"slice": pa.array([k], pa.int32()), "twice": pa.array([twice.tobytes()], pa.binary())})
-
+def _answer(size: int | None):
+    """A slice's owner: both filters, and for each block which of its hashes are held twice."""
 
-def _suspect(filter_, bits: int, least: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
         claim("lines")
-        twice = np.frombuffer(filter_.value, np.uint8)
-        for batch in parts:
-            for part, texts in batches(batch):
-                rows = [(i, no, k) for i, text in enumerate(texts) for no, k in enumerate(line_keys(text, least)) if k is not None]
-                hashes = np.array([xxhash.xxh3_64_intdigest(k) for _, _, k in rows], np.uint64)
-                hit = np.flatnonzero(held(twice, positions(hashes, bits))).tolist() if rows else []
-                own = np.array([rows[j][0] for j in hit], np.int64)
-                yield pa.record_batch(
-                    {
-                        "line_doc": part.column("line_doc").take(pa.array(own)),
-                        "line_text": part.column("line_text").take(pa.array(own)),
-                        "line_no": pa.array([rows[j][1] for j in hit], pa.int32()),
-                        "line_key": pa.array([rows[j][2] for j in hit], pa.binary()).cast(pa.string()),
-                    }
-                )
+        keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
+        bits = size or max(LEAST_BITS, 1 << (BITS_PER_KEY * sum(map(len, keys)) - 1).bit_length())
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        for own, often in zip(keys, table.column("often").to_pylist(), strict=True):
+            at = positions(own, bits)
+            put(twice, at[:, np.unpackbits(np.frombuffer(often, np.uint8))[: len(own)].astype(bool) | held(once, at)])
+            put(once, at)
+        told = [np.packbits(held(twice, positions(own, bits))).tobytes() for own in keys]
+        return pa.table([table.column("slice"), table.column("block"), pa.array(told, pa.binary())], schema=ANSWERED)
 
     return run
 
 
-def _parted(filter_, bits: int, least: int, suspected: bool):
-    """Rows of which a line is suspected (or none is). Rows without one get n_lines and n_dropped."""
+def _suspect(bits: int, least: int):
+    """The lines of a block that the answers to it suspect."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         claim("lines")
-        twice = np.frombuffer(filter_.value, np.uint8)
-        for batch in parts:
-            for part, texts in batches(batch):
-                keys = [{*line_keys(text, least)} - {None} for text in texts]
-                owner = np.repeat(np.arange(len(texts)), [len(k) for k in keys])
-                hashes = np.array([xxhash.xxh3_64_intdigest(k) for own in keys for k in own], np.uint64)
-                hit = np.zeros(len(texts), bool)
-                if len(hashes):
-                    hit[owner[held(twice, positions(hashes, bits))]] = True
-                rows = np.flatnonzero(hit == suspected)
-                part = part.take(pa.array(rows))
-                if not suspected:
-                    part = part.append_column("n_lines", pa.array([texts[i].count(b"\n") + 1 for i in rows.tolist()], pa.int64()))
-                    part = part.append_column("n_dropped", pa.array(np.zeros(len(rows), np.int64)))
-                yield part
+        keys, hashes, _ = block_keys(docs, least)
+        told = answers.sort_by("slice")
+        part = (hashes >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+        sizes = np.bincount(part, minlength=1 << bits)
+        flags = [np.unpackbits(np.frombuffer(t, np.uint8))[: sizes[k]] for k, t in zip(told.column("slice").to_pylist(), told.column("twice").to_pylist(), strict=True)]
+        twice = {*hashes[np.concatenate([*flags, np.empty(0, np.uint8)]).astype(bool)].tolist()}
+        rows = [(i, no, k) for i, own in enumerate(keys) for no, k in enumerate(own) if k is not None and xxhash.xxh3_64_intdigest(k) in twice] if twice else []
+        at = pa.array([r[0] for r in rows], pa.int64())
+        found = [docs.column("line_doc").take(at), docs.column("line_text").take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())]
+        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in found], schema=SUSPECTED)
 
     return run
 
@@ -152,21 +137,23 @@ def _apply(text_at: int, drop_at: int):
     return run
 
 
-def twice_filter(docs: DataFrame, least: int, bits: int | None):
-    """The filter of lines seen twice, as a broadcast, and its bits: at most MOST_BITS, whatever the input."""
-    spark = docs.sparkSession
-    bits = bits or min(MOST_BITS, max(LEAST_BITS, 1 << (text_bytes(docs) // 32).bit_length()))
-    marks = docs.select("text").mapInArrow(_mark(bits, least), "slice int, once binary, twice binary")
-    merged = marks.repartition(exchange_width(spark, bits // SLICE_BITS, 256), "slice").mapInArrow(_merge, "slice int, twice binary")
-    twice = bytearray(bits // 8)
-    for k, part in merged.collect():
-        twice[k * len(part) : (k + 1) * len(part)] = part
-    return spark.sparkContext.broadcast(bytes(twice)), bits
+def suspected_lines(rows: DataFrame, least: int, bits: int | None = None) -> DataFrame:
+    """Lines of rows (line_doc, line_text, text) that more than one document may hold: line_doc, line_text, line_no, line_key."""
+    spark = rows.sparkSession
+    size = text_bytes(rows)
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    slices = max(0, (-(-size // SLICE_BYTES) - 1).bit_length())
+    # rows alike are spread as they are read
+    block = F.pmod(F.xxhash64("line_doc", "line_text", F.spark_partition_id()), F.lit(blocks))
+    dealt = rows.withColumn("block", block).repartition(exchange_width(spark, size, BLOCK_BYTES), "block")
+    asked = dealt.groupBy("block").applyInArrow(_ask(slices, least), "slice int, block long, keys binary, often binary")
+    answered = asked.groupBy("slice").applyInArrow(_answer(bits), "slice int, block long, twice binary")
+    suspects = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_suspect(slices, least), "line_doc long, line_text long, line_no int, line_key string")
+    return cut(suspects, "line-suspects")
 
 
-def repeated_lines(rows: DataFrame, filter_, bits: int, least: int) -> DataFrame:
-    """Lines to drop of rows (line_doc, line_text, text): line_doc, line_text (hash of the text), drop (their numbers)."""
-    suspects = rows.mapInArrow(_suspect(filter_, bits, least), "line_doc long, line_text long, line_no int, line_key string")
+def repeated_lines(suspects: DataFrame) -> DataFrame:
+    """Lines to drop among suspected ones: line_doc, line_text (hash of the text), drop (their numbers)."""
     ends = suspects.groupBy("line_key").agg(F.min("line_doc").alias("first_doc"), F.max("line_doc").alias("last_doc"))
     # a table of its own, so that the rows of a very common line may be split over tasks
     ends = cut(ends.where("first_doc < last_doc").drop("last_doc"), "line-repeats")
@@ -182,18 +169,16 @@ def dedup_lines(docs: DataFrame, least: int = 10, bits: int | None = None) -> Da
     stay. Null or empty text is one empty line. Rows with one doc_id count as
     one document; rows without one as one that comes last. An empty table gives
     an empty result; columns named n_lines or n_dropped are replaced, those that
-    start with `__line` left out.
+    start with `__line` left out. `bits` sets the size of each slice's filters,
+    for tests.
     """
     docs = docs.drop("n_lines", "n_dropped", *[c for c in docs.columns if c.startswith("__line")])
-    filter_, bits = twice_filter(docs, least, bits)
     keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64("text"))
     rows = docs.select(keys[0].alias("line_doc"), keys[1].alias("line_text"), "text")
-    drops = repeated_lines(rows, filter_, bits, least).toDF("__line_doc", "__line_text", "__line_drop")
+    drops = repeated_lines(suspected_lines(rows, least, bits)).toDF("__line_doc", "__line_text", "__line_drop")
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    clean = docs.mapInArrow(_parted(filter_, bits, least, False), f"{fields}, n_lines long, n_dropped long")
-    suspected = docs.mapInArrow(_parted(filter_, bits, least, True), fields)
-    keyed = suspected.withColumn("__line_doc", keys[0]).withColumn("__line_text", keys[1])
+    keyed = docs.withColumn("__line_doc", keys[0]).withColumn("__line_text", keys[1])
     joined = keyed.join(drops, ["__line_doc", "__line_text"], "left").select(*docs.columns, "__line_drop")
     told = joined.mapInArrow(_apply(docs.columns.index("text"), len(docs.columns)), f"{fields}, n_lines long, n_dropped long")
-    return clean.unionByName(told).withColumn("text", F.coalesce("text", F.lit("")))
+    return told.withColumn("text", F.coalesce("text", F.lit("")))
