@@ -1,29 +1,11 @@
-"""Tables of a folder, and the folder that driver and executors share."""
+"""Tables of a folder."""
 
 from __future__ import annotations
 
-import functools
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shared_folder as shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@functools.cache
-def _own_folder(app: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, for files that a query writes and reads back. Where that is unset, a local one if all runs in one process; on a cluster it is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
-        base = _own_folder(spark.sparkContext.applicationId)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_feed_date
@@ -24,6 +26,7 @@ from ..operators import search as S
 from ..sources import feeds as R
 from ..sources import files as X
 from ..sources import writers as W
+from ..sources.containers import RULES, unlimited
 from ._tables import shared_folder, table
 from .search import ORACLE_SQL as SEARCH_SQL
 
@@ -82,6 +85,18 @@ def src2_decode_html(spark, d):
     return X.decode_html(files, "content", "header").select("page_id", F.md5("text").alias("text_md5"))
 
 
+@query("SELECT doc_id, i - 1 AS i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")
+def src1_read_text_lines(spark, d):
+    """Documents in the order of their ids as large text files, a line for each of theirs, read back line by line from splits: numbers run through each document without a gap."""
+    folder = shared_folder(spark, "src1-lines")
+    docs = table(spark, d, "documents").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+    tagged = docs.select(F.explode(F.transform(F.split("text", "\n"), lambda x: F.concat(F.col("doc_id").cast("string"), F.lit(" "), x))).alias("value"))
+    tagged.write.text(folder)
+    lines = X.read_text_lines(spark, folder).select("line_number", F.substring_index("line", " ", 1).cast("long").alias("doc_id"), F.regexp_replace("line", r"^\d+ ", "").alias("line"))
+    first = lines.groupBy("doc_id").agg(F.min("line_number").alias("first"))
+    return lines.join(first, "doc_id").select("doc_id", (F.col("line_number") - F.col("first")).alias("i"), "line")
+
+
 NAMES = "'Doc' || doc_id || (ARRAY['.TXT', '.jpg', '.Mp3', '.mkv', '.pdf', '', '.tar.gz', '.epub', '.PNG', '.html'])[doc_id % 10 + 1]"
 
 
@@ -133,6 +148,91 @@ def src5_read_archive_members(spark, d):
     return X.read_archive_members(files).select("path", "member", "pos", F.md5("text").alias("text_md5"))
 
 
+HELD = 2000  # documents of an archive
+
+
+def _archived(folder: str):
+    def run(key, rows):
+        """A group of documents as one archive, written into the folder."""
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for i, text in sorted(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True)):
+                z.writestr(f"d/{i}.txt", (text or "").encode(), zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED)
+                z.writestr(f"d/{i}.bin", b"no")
+        path = f"{folder}/{key[0].as_py()}.zip"
+        store, at = pyarrow.fs.FileSystem.from_uri(path)
+        store.create_dir(at.rpartition("/")[0])
+        with store.open_output_stream(at) as out:
+            out.write(held.getvalue())
+        return pa.table({"path": [path]})
+
+    return run
+
+
+@query(f"""SELECT doc_id // {HELD} || '.zip' AS archive, 'd/' || doc_id || '.txt' AS member, row_number() OVER (PARTITION BY doc_id // {HELD} ORDER BY doc_id) AS pos, md5(text) AS text_md5 FROM documents""")
+def src5_read_archives(spark, d):
+    """Documents in archives of some thousand members, each read by many tasks by the ranges of its members."""
+    folder = shared_folder(spark, "src5")
+    docs = table(spark, d, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / HELD).alias("archive"))
+    docs.groupBy("archive").applyInArrow(_archived(folder), "path string").write.format("noop").mode("overwrite").save()
+    rows = X.read_archives(spark, folder, unlimited(RULES))
+    return rows.select(F.regexp_extract("path", r"[^/]*$", 0).alias("archive"), "member", "pos", F.md5("text").alias("text_md5"))
+
+
+def _structured(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each document as a word file, an open document, a book with a table of contents or one with headings alone: its lines are titles of levels 1 to 3, each with a place and a link to it."""
+    for pdf in parts:
+        paths, contents = [], []
+        for i, text in zip(pdf["doc_id"], pdf["text"].fillna(""), strict=True):
+            titles = [(k, 1 + k % 3, escape(x[:30])) for k, x in enumerate(text.split("\n"))]
+            kind = ("docx", "odt", "epub", "epub")[i % 4]
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                if kind == "docx":
+                    body = "".join(f'<w:p><w:pPr><w:pStyle w:val="Heading{n}"/></w:pPr><w:bookmarkStart w:id="{k}" w:name="b{k}"/><w:r><w:t>{x}</w:t></w:r></w:p><w:p><w:hyperlink w:anchor="b{k}"><w:r><w:t>v {x}</w:t></w:r></w:hyperlink></w:p>' for k, n, x in titles)
+                    z.writestr("word/document.xml", f"<w:document><w:body>{body}</w:body></w:document>")
+                elif kind == "odt":
+                    z.writestr("content.xml", "".join(f'<text:h text:outline-level="{n}"><text:bookmark text:name="b{k}"/>{x}</text:h><text:p><text:a xlink:href="#b{k}">v {x}</text:a></text:p>' for k, n, x in titles))
+                else:
+                    if i % 4 == 2:
+                        points = ""
+                        for k, n, x in titles:
+                            points += "</navPoint>" * (3 if k and n == 1 else 0) + f'<navPoint id="n{k}"><navLabel><text>{x}</text></navLabel><content src="a.xhtml#b{k}"/>'
+                        z.writestr("toc.ncx", f"<ncx><docTitle><text>no</text></docTitle><navMap>{points}{'</navPoint>' * ((len(titles) - 1) % 3 + 1)}</navMap></ncx>")
+                    z.writestr("a.xhtml", "<body>" + "".join(f'<h{n} id="b{k}">{x}</h{n}><p><a href="#b{k}">v {x}</a></p>' for k, n, x in titles) + "</body>")
+            paths.append(f"/s/{i}.{kind}")
+            contents.append(held.getvalue())
+        yield pd.DataFrame({"path": paths, "content": contents})
+
+
+def structure(spark, d):
+    files = table(spark, d, "documents").select("doc_id", "text").mapInPandas(_structured, "path string, content binary")
+    return X.packaged_structure(files, unlimited(RULES), most=None)
+
+
+def doc_path():
+    return F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("doc_id")
+
+
+TITLES = f"""titles AS (SELECT doc_id, i - 1 AS k, {FLAT.format('left(l, 30)')} AS title
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"""
+
+
+@query(f"""WITH {TITLES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n, (1 + k % 3)::INT AS level, title, CASE WHEN doc_id % 4 = 2 THEN 'a.xhtml#b' ELSE 'b' END || k AS anchor FROM titles WHERE title <> ''""")
+def src6_outline(spark, d):
+    outline, _, _ = structure(spark, d)
+    n = F.row_number().over(S.Window.partitionBy("path").orderBy("pos"))
+    return outline.select(doc_path(), n.alias("n"), "level", "title", "anchor")
+
+
+@query(f"""WITH {TITLES} SELECT doc_id, k AS pos, trim('v ' || title) AS text, '#b' || k AS href, CASE WHEN doc_id % 4 < 2 THEN title END AS marked FROM titles""")
+def src6_links(spark, d):
+    """Links, with the paragraphs of their bookmarks where the format has such."""
+    _, links, bookmarks = structure(spark, d)
+    marked = bookmarks.select("path", F.concat(F.lit("#"), "anchor").alias("href"), F.col("title").alias("marked"))
+    return links.join(marked, ["path", "href"], "left").select(doc_path(), "pos", "text", "href", "marked")
+
+
 def _office(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each document as a word file, an open document, a book or a sheet."""
     for pdf in parts:
@@ -200,16 +300,17 @@ def src10_read_transcript_json(spark, d):
     return X.transcript_rows(json_files(spark, d))
 
 
-@query("SELECT conv_id::VARCHAR AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, 'user' AS role, md5(text) AS text_md5 FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id::VARCHAR AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, CASE role WHEN 'assistant' THEN 'model' ELSE role END AS role, md5(text) AS text_md5 FROM conversations WHERE role IN ('user', 'assistant')")
 def src11_read_conversations(spark, d):
-    """Conversations as JSON, one in a line, read back: the turns of users, numbered anew (the readers keep roles user and model alone)."""
+    """Conversations as JSON, one in a line, the assistant as the model, read back: the turns of people and model, numbered anew (other roles are left out by the readers)."""
     folder = shared_folder(spark, "src11")
-    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    role = lambda t: F.when(t["role"] == "assistant", "model").otherwise(t["role"])
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(role(t).alias("role"), t["text"].alias("text")))
     whole = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select(F.lit(1).alias("v"), F.lit("chat").alias("kind"), F.col("conv_id").cast("string").alias("title"), "turns")
     whole.write.json(folder)
     _, rows = X.read_conversations(spark, folder, multi_line=False)
     n = F.row_number().over(S.Window.partitionBy("conv_id").orderBy("turn")) - 1
-    return rows.where("role = 'user'").select("conv_id", n.alias("turn"), "role", F.md5("text").alias("text_md5"))
+    return rows.select("conv_id", n.alias("turn"), "role", F.md5("text").alias("text_md5"))
 
 
 # ---------------------------------------------------------------- results

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import email
 import email.policy
-import io
-import posixpath
 import re
-import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,15 +16,13 @@ from pyspark.sql.types import StringType
 from ..functions.kinds import KINDS, kind_of
 from ..functions.markup import strip_html
 from ..functions.text import extension, strip_ws
+from .containers import ARCHIVE_CAP, MEMBER_CAP, MEMBERS, RULES, Rule, members_of, read_members
+from .shared import written
 
-ARCHIVE_CAP, MEMBER_CAP, MEMBERS = 80 << 20, 4 << 20, 400
 TEXT_CAP, PDF_CAP = 40 << 20, 80 << 20
+OUTLINE, LINKS = 500, 500
+SPLITS = 10_000  # splits of files of which every task may hold the numbers
 CHAPTERS, PARAGRAPHS, PAYLOAD = 80, 8000, 2 << 20
-#: Extensions of archive members that are text.
-TEXT_EXTS = (
-    "txt", "log", "csv", "md", "rtf", "html", "htm", "xml", "json", "jsonl", "yml", "yaml", "ini", "cfg", "conf", "tsv", "py", "js", "ts", "css", "sql", "bat", "ps1", "sh", "tex", "bib",
-)
-
 
 def roots_of(paths: str, separators: str = ";") -> list[str]:
     """Roots of a text like `a;b`, blanks around them dropped."""
@@ -123,43 +119,39 @@ def size_policy(files: DataFrame, caps: dict[str, int] | None = None, default: i
     return files.withColumn("searched", F.when(F.col(size_col) > cap, "name").otherwise("content"))
 
 
-def _members(wanted: Callable[[str], bool], most: int, cap: int):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except (zipfile.BadZipFile, OSError):
-                    continue
-                taken = 0
-                for info in archive.infolist():
-                    name = info.filename.replace("\\", "/")
-                    base = posixpath.basename(name)
-                    if info.is_dir() or not base or base.startswith(".") or info.file_size > cap or not wanted(name):
-                        continue
-                    taken += 1
-                    if taken > most:
-                        break
-                    try:
-                        raw = archive.read(info)
-                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError):
-                        continue
-                    yield pd.DataFrame({"path": [path], "member": [name], "pos": [taken], "raw": [raw]})
+def text_members(members: DataFrame) -> DataFrame:
+    """path, member, pos, text of the text members of `.zip` files, of containers (path, content) or of members as `containers` reads them."""
+    found = _members_of(members, "zip")
+    return found.select("path", "member", "pos", decode_text(F.col("raw")).alias("text"))
 
-    return run
 
+def read_archive_members(files: DataFrame, most: int | None = MEMBERS, cap: int | None = MEMBER_CAP, archive_cap: int | None = ARCHIVE_CAP) -> DataFrame:
+    """path, member, pos, text of the text members of `.zip` files (path, content): at most `most` of an archive, none above `cap` bytes, of archives up to `archive_cap` bytes; None for no limit."""
+    return text_members(members_of(files, {"zip": replace(RULES["zip"], most=most, cap=cap, container_cap=archive_cap)}))
 
-def archive_members(files: DataFrame, wanted: Callable[[str], bool], most: int = MEMBERS, cap: int = MEMBER_CAP, archive_cap: int = ARCHIVE_CAP) -> DataFrame:
-    """path, member, pos, raw of wanted members of zip containers; one row at a time leaves a container."""
-    small = files.where((F.length("content") > 0) & (F.length("content") <= archive_cap))
-    return small.select("path", "content").mapInPandas(_members(wanted, most, cap), "path string, member string, pos int, raw binary")
 
+def read_archives(spark: SparkSession, paths: str, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """path, member, pos, text of the text members of all `.zip` files below the roots; large archives are read by many tasks."""
+    return text_members(read_members(spark, roots_of(paths), {"zip": (rules or RULES)["zip"]}))
 
-def read_archive_members(files: DataFrame) -> DataFrame:
-    """path, member, pos, text of the text members of `.zip` files."""
-    exts = tuple("." + e for e in TEXT_EXTS)
-    found = archive_members(files.where(F.lower("path").endswith(".zip")), lambda n: n.lower().endswith(exts))
-    return found.select("path", "member", "pos", decode_text(F.col("raw")).alias("text"))
+
+def read_text_lines(spark: SparkSession, paths: str, separators: str = ";") -> DataFrame:
+    """path, line_number, line of text files of any size, which are split over tasks at line breaks.
+
+    Lines end at `\\n`, a `\\r` before it goes; each is UTF-8, else Latin-1, and
+    loses its NULs. (UTF-16 has no line breaks that can be seen without its
+    mark: `read_text_corpus` reads it.) Lines are numbered by where each split
+    starts, so texts cross no exchange.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(roots_of(paths, separators))
+    meta = F.col("_metadata")
+    rows = raw.select(meta["file_path"].alias("path"), meta["file_block_start"].alias("__start"), F.monotonically_increasing_id().alias("__id"), F.col("value").cast("binary").alias("raw"))
+    splits = rows.groupBy("path", "__start").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("path", "__start", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    numbered = rows.join(F.broadcast(splits), ["path", "__start"]) if splits.limit(SPLITS + 1).count() <= SPLITS else rows.join(splits, ["path", "__start"])
+    line = F.regexp_replace(decode_text(F.col("raw")), r"\r$", "")
+    return numbered.select("path", (F.col("__id") - F.col("__first") + F.col("__before") + 1).alias("line_number"), line.alias("line"))
 
 
 # ------------------------------------------------------------ packaged documents
@@ -170,10 +162,16 @@ def xml_text(xml: Column) -> Column:
     return strip_html(xml, blocks=False)
 
 
-def epub_paragraphs(files: DataFrame, chapters: int = CHAPTERS, paragraphs: int = PARAGRAPHS) -> DataFrame:
-    """path, chapter, pos, member, text of e-books: paragraphs in the order of the spine, else of all (x)html members."""
-    parts = archive_members(files.where(F.lower("path").endswith(".epub")), lambda n: n.lower().endswith((".opf", ".xhtml", ".html", ".htm")), most=10_000)
-    parts = parts.withColumn("xml", decode_text(F.col("raw"))).drop("raw")
+def _members_of(files: DataFrame, *kinds: str) -> DataFrame:
+    """Members of some kinds of containers: as they were read, or unpacked here from rows of path and content."""
+    if "raw" in files.columns:
+        return files.where(F.col("kind").isin(*kinds))
+    return members_of(files, {k: RULES[k] for k in kinds})
+
+
+def epub_chapters(files: DataFrame, chapters: int | None = CHAPTERS) -> DataFrame:
+    """path, chapter, member, xml of e-books in the order of the spine, else of all (x)html members; at most `chapters` of a book, all if it is None."""
+    parts = _members_of(files, "epub").withColumn("xml", decode_text(F.col("raw"))).drop("raw")
     opf = parts.where(F.lower("member").endswith(".opf")).groupBy("path").agg(F.min_by(F.struct("member", "xml"), "pos").alias("o")).select("path", "o.*")
     folder = F.regexp_extract("member", r"^(.*/)?[^/]*$", 1)
     items = opf.select("path", folder.alias("folder"), F.explode(F.regexp_extract_all("xml", F.lit(r"(?is)<(?:\w+:)?item\b([^>]*)>"), F.lit(1))).alias("t"))
@@ -181,20 +179,62 @@ def epub_paragraphs(files: DataFrame, chapters: int = CHAPTERS, paragraphs: int
     items = items.select("path", attr("t", "id").alias("id"), F.concat("folder", F.coalesce(F.try_url_decode(attr("t", "href")), attr("t", "href"))).alias("member"))
     spine = opf.select("path", F.posexplode(F.regexp_extract_all("xml", F.lit(r"""(?is)<(?:\w+:)?itemref\b[^>]*\bidref\s*=\s*["']([^"']*)["']"""), F.lit(1))).alias("at", "id"))
     ordered = spine.join(items, ["path", "id"]).select("path", "member", "at")
-    html = parts.where(~F.lower("member").endswith(".opf")).join(ordered, ["path", "member"], "left")
+    html = parts.where(F.lower("member").rlike(r"\.x?html?$")).join(ordered, ["path", "member"], "left")
     has = F.max(F.col("at").isNotNull()).over(Window.partitionBy("path"))
     html = html.withColumn("has", has).where("NOT has OR at IS NOT NULL")
-    html = html.withColumn("chapter", F.row_number().over(Window.partitionBy("path").orderBy(F.coalesce("at", "pos")))).where(F.col("chapter") <= chapters)
+    html = html.withColumn("chapter", F.row_number().over(Window.partitionBy("path").orderBy(F.coalesce("at", "pos"))))
+    html = html if chapters is None else html.where(F.col("chapter") <= chapters)
+    return html.select("path", "chapter", "member", "xml")
+
+
+def epub_paragraphs(files: DataFrame, chapters: int | None = CHAPTERS, paragraphs: int | None = PARAGRAPHS) -> DataFrame:
+    """path, chapter, pos, member, text of e-books: the paragraphs of their chapters, at most `paragraphs` of a book, all if it is None."""
+    html = epub_chapters(files, chapters)
     body = F.regexp_replace("xml", r"(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
     blocks = F.split(F.regexp_replace(body, r"(?i)<br\s*/?>|</?(?:p|div|h[1-6]|li|tr|section|blockquote)\b[^>]*>", "\x01"), "\x01")
     rows = html.select("path", "chapter", "member", F.posexplode(blocks).alias("i", "part")).withColumn("text", xml_text(F.col("part"))).where("text <> ''")
     rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("chapter", "i")))
-    return rows.where(F.col("pos") <= paragraphs).select("path", "chapter", "pos", "member", "text")
+    rows = rows if paragraphs is None else rows.where(F.col("pos") <= paragraphs)
+    return rows.select("path", "chapter", "pos", "member", "text")
+
+
+def epub_outline(files: DataFrame, most: int | None = OUTLINE, chapters: int | None = CHAPTERS) -> DataFrame:
+    """path, pos, level, title, anchor of e-books: the entries of the table of contents (`.ncx`, then a navigation page, whose links are all of level 1), else the headings of the chapters. The anchor is where an entry leads to, or a heading's id."""
+    parts = _members_of(files, "epub").withColumn("xml", decode_text(F.col("raw"))).drop("raw")
+    first = parts.where(F.lower("member").endswith(".ncx")).groupBy("path").agg(F.min_by("xml", "pos").alias("xml"))
+    points = first.select("path", F.posexplode(F.split(F.regexp_extract("xml", r"(?is)<(?:\w+:)?navMap\b.*", 0), r"(?i)<(?:\w+:)?navPoint\b")).alias("i", "part"))
+    closed = F.sum(F.regexp_count("part", F.lit(r"(?i)</(?:\w+:)?navPoint\s*>"))).over(Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    label = xml_text(F.regexp_extract("part", r"(?is)<(?:\w+:)?navLabel\b[^>]*>(.*?)</(?:\w+:)?navLabel>", 1))
+    source = F.regexp_extract("part", r"""(?is)<(?:\w+:)?content\b[^>]*\bsrc\s*=\s*["']([^"']*)["']""", 1)
+    ncx = points.withColumn("closed", F.coalesce(closed, F.lit(0))).where("i > 0").select("path", F.lit(0).alias("rank"), F.struct(F.lit(0).alias("chapter"), "i").alias("at"), (F.col("i") - F.col("closed")).cast("int").alias("level"), label.alias("title"), source.alias("anchor"))
+    html = epub_chapters(files, chapters)
+    nav = parts.where(F.lower("member").rlike(r"\.x?html?$") & F.col("xml").rlike(r"""(?i)<nav\b[^>]*epub:type\s*=\s*["']toc"""))
+    nav = nav.groupBy("path").agg(F.min_by("xml", "pos").alias("xml")).select("path", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))).alias("i", "part"))
+    nav = nav.select("path", F.lit(1).alias("rank"), F.struct(F.lit(0).alias("chapter"), "i").alias("at"), F.lit(1).alias("level"), xml_text(F.col("part")).alias("title"), F.regexp_extract("part", r"""(?i)\bhref\s*=\s*["']([^"']*)["']""", 1).alias("anchor"))
+    heads = html.select("path", "chapter", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>"), F.lit(0))).alias("i", "part"))
+    heads = heads.select("path", F.lit(2).alias("rank"), F.struct("chapter", "i").alias("at"), F.substring("part", 3, 1).cast("int").alias("level"), xml_text(F.col("part")).alias("title"), F.regexp_extract("part", r"""(?is)^<h\d\b[^>]*\bid\s*=\s*["']([^"']*)["']""", 1).alias("anchor"))
+    every = ncx.union(nav).union(heads).where("title <> ''")
+    best = every.withColumn("best", F.min("rank").over(Window.partitionBy("path"))).where("rank = best")
+    rows = best.withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1)
+    rows = rows if most is None else rows.where(F.col("pos") < most)
+    return rows.select("path", "pos", "level", "title", "anchor")
+
+
+def epub_links(files: DataFrame, most: int | None = LINKS, chapters: int | None = CHAPTERS) -> DataFrame:
+    """path, pos, text, href of the links of e-books in reading order: text, or else the address; no scripts, and no places within a chapter without a text."""
+    found = F.regexp_extract_all("xml", F.lit(r"""(?is)<a\b[^>]*\bhref\s*=\s*["'][^"']*["'][^>]*>.*?</a>"""), F.lit(0))
+    rows = epub_chapters(files, chapters).select("path", "chapter", F.posexplode(found).alias("i", "part"))
+    href = F.trim(F.regexp_extract("part", r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1))
+    rows = rows.select("path", "chapter", "i", xml_text(F.col("part")).alias("text"), F.coalesce(F.try_url_decode(F.replace(href, F.lit("+"), F.lit("%2B"))), href).alias("href"))
+    rows = rows.where(~((F.col("text") == "") & F.col("href").startswith("#")) & ~F.lower("href").startswith("javascript:"))
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("chapter", "i")) - 1)
+    rows = rows if most is None else rows.where(F.col("pos") < most)
+    return rows.select("path", "pos", F.coalesce(F.nullif("text", F.lit("")), "href").alias("text"), "href")
 
 
 def office_blocks(files: DataFrame) -> DataFrame:
     """path, pos, level (0 for text), text, raw of paragraphs of `.docx` and `.odt` files; headings by style or outline level."""
-    parts = archive_members(files.where(F.lower("path").rlike(r"\.(docx|odt)$")), lambda n: n in ("word/document.xml", "content.xml"), cap=25 << 20)
+    parts = _members_of(files, "docx", "odt").where("member NOT LIKE '%.rels'")
     xml = parts.select("path", decode_text(F.col("raw")).alias("xml"))
     found = F.regexp_extract_all("xml", F.lit(r"(?s)<(?:w:p|text:p|text:h)\b[^>]*?(?:/>|>.*?</(?:w:p|text:p|text:h)>)"), F.lit(0))
     rows = xml.select("path", F.posexplode(found).alias("pos", "raw"))
@@ -220,8 +260,7 @@ def office_outline(files: DataFrame) -> DataFrame:
 
 def office_links(files: DataFrame) -> DataFrame:
     """path, pos, text, href of links: external ones by their relation, internal ones as `#anchor`."""
-    parts = archive_members(files.where(F.lower("path").rlike(r"\.(docx|odt)$")), lambda n: n in ("word/document.xml", "word/_rels/document.xml.rels", "content.xml"), cap=25 << 20)
-    parts = parts.select("path", "member", decode_text(F.col("raw")).alias("xml"))
+    parts = _members_of(files, "docx", "odt").select("path", "member", decode_text(F.col("raw")).alias("xml"))
     rels = parts.where("member LIKE '%.rels'").select("path", F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<Relationship\b([^>]*)>"), F.lit(1))).alias("t"))
     rels = rels.select("path", F.regexp_extract("t", r'\bId="([^"]*)"', 1).alias("rid"), F.regexp_extract("t", r'\bTarget="([^"]*)"', 1).alias("target"))
     found = F.regexp_extract_all("xml", F.lit(r"(?s)<(?:w:hyperlink|text:a)\b[^>]*>.*?</(?:w:hyperlink|text:a)>"), F.lit(0))
@@ -233,8 +272,7 @@ def office_links(files: DataFrame) -> DataFrame:
 
 def sheet_rows(files: DataFrame) -> DataFrame:
     """path, sheet, row, text: rows of `.xlsx` sheets, cells joined by tabs."""
-    parts = archive_members(files.where(F.lower("path").endswith(".xlsx")), lambda n: n == "xl/workbook.xml" or n == "xl/sharedStrings.xml" or n.startswith("xl/worksheets/sheet"), cap=25 << 20)
-    parts = parts.select("path", "member", decode_text(F.col("raw")).alias("xml"))
+    parts = _members_of(files, "xlsx").select("path", "member", decode_text(F.col("raw")).alias("xml"))
     strings = parts.where("member = 'xl/sharedStrings.xml'").select("path", F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<si\b[^>]*>(.*?)</si>"), F.lit(1)), xml_text).alias("shared"))
     names = parts.where("member = 'xl/workbook.xml'").select("path", F.posexplode(F.regexp_extract_all("xml", F.lit(r'<sheet\b[^>]*\bname="([^"]*)"'), F.lit(1))).alias("i", "sheet"))
     sheets = parts.where("member LIKE 'xl/worksheets/%'").select("path", (F.regexp_extract("member", r"(\d+)\.xml$", 1).cast("int") - 1).alias("i"), F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<row\b[^>]*>.*?</row>"), F.lit(0))).alias("raw"))
@@ -245,28 +283,48 @@ def sheet_rows(files: DataFrame) -> DataFrame:
     return rows.select("path", "sheet", F.regexp_extract("raw", r'^<row\b[^>]*\br="(\d+)"', 1).try_cast("int").alias("row"), text.alias("text")).where("text <> ''")
 
 
-#: Readers of packaged documents by extension; add to it to read more.
+def office_bookmarks(files: DataFrame) -> DataFrame:
+    """path, pos, anchor, title: the bookmarks of `.docx` and `.odt` files, each with the paragraph that it stands in."""
+    names = F.regexp_extract_all("raw", F.lit(r'<(?:w:bookmarkStart\b[^>]*w:name|text:bookmark(?:-start)?\b[^>]*text:name)="([^"]*)"'), F.lit(1))
+    return office_blocks(files).select("path", "pos", F.explode(F.array_distinct(names)).alias("anchor"), F.col("text").alias("title")).where("anchor NOT IN ('', '_GoBack')")
+
+
+#: Readers of packaged documents by extension, from members (path, kind, member, pos, raw); add to it, and to the rules of `containers`, to read more.
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "epub": lambda f: epub_paragraphs(f).select("path", "pos", "text"),
-    "docx": lambda f: office_text(f.where(F.lower("path").endswith(".docx"))).select("path", "pos", F.col("line").alias("text")),
-    "odt": lambda f: office_text(f.where(F.lower("path").endswith(".odt"))).select("path", "pos", F.col("line").alias("text")),
-    "xlsx": lambda f: sheet_rows(f).select("path", F.col("row").alias("pos"), "text"),
-    "zip": lambda f: read_archive_members(f).select("path", "pos", "text"),
+    "epub": lambda m: epub_paragraphs(m).select("path", "pos", "text"),
+    "docx": lambda m: office_text(m.where("kind = 'docx'")).select("path", "pos", F.col("line").alias("text")),
+    "odt": lambda m: office_text(m.where("kind = 'odt'")).select("path", "pos", F.col("line").alias("text")),
+    "xlsx": lambda m: sheet_rows(m).select("path", F.col("row").alias("pos"), "text"),
+    "zip": lambda m: text_members(m).select("path", "pos", "text"),
 }
 
 
-def packaged_docs(files: DataFrame) -> DataFrame:
-    """path, pos, text of those of the files (path, content) whose extension has a reader."""
+def packaged_docs(files: DataFrame, rules: dict[str, Rule] | None = None, extractors: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """path, pos, text of those of the files (path, content; or members as `containers` reads them) whose extension has a reader. Each container is unpacked once; its members are written as a table that the readers share."""
+    members = files if "raw" in files.columns else written(members_of(files, rules), "members")
     out = None
-    for reader in EXTRACTORS.values():
-        rows = reader(files)
+    for reader in (extractors or EXTRACTORS).values():
+        rows = reader(members)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def read_packaged_docs(spark: SparkSession, paths: str) -> DataFrame:
-    """path, pos, text of all documents whose extension has a reader."""
-    return packaged_docs(read_files(spark, paths))
+def read_packaged_docs(spark: SparkSession, paths: str, rules: dict[str, Rule] | None = None, extractors: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """path, pos, text of all documents below the roots whose extension has a reader."""
+    return packaged_docs(written(read_members(spark, roots_of(paths), rules), "members"), extractors=extractors)
+
+
+def packaged_structure(files: DataFrame, rules: dict[str, Rule] | None = None, most: int | None = OUTLINE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Outline (path, pos, level, title, anchor), links (path, pos, text, href) and bookmarks (path, pos, anchor, title) of the packaged documents among the files, in one read; at most `most` entries and links of a document, all if it is None. `resolve_internal_links` joins the three by path."""
+    members = files if "raw" in files.columns else written(members_of(files, rules), "members")
+
+    def first(rows: DataFrame) -> DataFrame:
+        if most is None:
+            return rows
+        return rows.withColumn("__n", F.row_number().over(Window.partitionBy("path").orderBy("pos"))).where(F.col("__n") <= most).drop("__n")
+
+    outline = first(office_outline(members)).unionByName(epub_outline(members, most))
+    return outline, first(office_links(members)).unionByName(epub_links(members, most)), office_bookmarks(members)
 
 
 # -------------------------------------------------------------------- mailboxes
