@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import running
 from ..functions.text import collapse_ws, head_of
+from ..functions.windows import key_length, key_of, windows
+from .strings import BLOCK, strings_held
 
 INDEX_LINE = r"(?m)([^\n.][^\n]{0,58}?[^\n. ])\s*\.{2,}[. ]*\s*(\d{1,4})\b"
 HEAD = 120_000
@@ -54,19 +59,13 @@ def restore_spaces(text: Column, phrases: list[str]) -> Column:
     return text
 
 
-def phrase_hits(docs: DataFrame, phrases: DataFrame, text_col: str = "text", block: int = 1000) -> DataFrame:
-    """docs with `phrases`: those of the table's `phrase` column whose letters stand in the text without its blanks; the rest cannot change it.
-
-    The table goes to tasks in blocks of about `block` phrases, each met by every text.
-    """
-    bare = F.array_distinct(F.array(F.regexp_replace("phrase", " ", ""), F.regexp_replace("phrase", r"(?U)[\s\x1c-\x1f]+", "")))
-    own = phrases.where("phrase <> ''").select("phrase").distinct().withColumn("bare", bare)
-    number = F.floor((F.row_number().over(Window.orderBy("phrase")) - 1) / block)
-    blocks = own.withColumn("__block", number).groupBy("__block").agg(F.collect_list(F.struct("phrase", "bare")).alias("__phrases"))
-    texts = docs.select(F.md5(text_col).alias("__text"), F.regexp_replace(text_col, r"\s+", "").alias("__bare")).dropDuplicates(["__text"])
-    held = F.filter("__phrases", lambda p: F.exists(p["bare"], lambda b: F.col("__bare").contains(b)))
-    hits = texts.crossJoin(F.broadcast(blocks)).select("__text", F.transform(held, lambda p: p["phrase"]).alias("p")).where(F.size("p") > 0)
-    lists = hits.groupBy("__text").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("phrases"))
+def phrase_hits(docs: DataFrame, phrases: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """docs with `phrases`: those of the table's `phrase` column whose letters stand in the text without its blanks, in order; the rest cannot change it, nor can phrases of blanks alone. What a text costs does not grow with the number of phrases (see `strings_held`)."""
+    forms = F.array_distinct(F.array(F.regexp_replace("phrase", " ", ""), F.regexp_replace("phrase", r"(?U)[\s\x1c-\x1f]+", "")))
+    bare = phrases.where("phrase <> ''").select("phrase").distinct().select("phrase", F.explode(forms).alias("string")).where("string <> ''")
+    texts = docs.select(F.md5(text_col).alias("__text"), F.regexp_replace(text_col, r"\s+", "").alias("bare"))
+    hits = strings_held(texts, bare.select("string"), block).withColumnRenamed("id", "__text")
+    lists = hits.join(bare, "string").groupBy("__text").agg(F.array_sort(F.collect_set("phrase")).alias("phrases"))
     return docs.withColumn("__text", F.md5(text_col)).join(lists, "__text", "left").drop("__text").withColumn("phrases", F.coalesce("phrases", F.array().cast("array<string>")))
 
 
@@ -87,39 +86,116 @@ def restore_listed(text: Column, phrases: Column) -> Column:
     return F.aggregate(F.array_sort(several), text, put)
 
 
+def _without_blanks(text: str) -> tuple[str, np.ndarray]:
+    """The signs of a text that are no white space, and their places."""
+    kept = np.fromiter((not c.isspace() for c in text), bool, len(text))
+    return "".join(text.split()), np.flatnonzero(kept)
+
+
+class Titles:
+    """Where the titles of a document stand in it, with or without its blanks, found in one pass over its letters."""
+
+    def __init__(self, text: str, titles: list[str]) -> None:
+        self.text = text
+        letters, self.place = _without_blanks(text)
+        glued = {t: "".join(t.split()) for t in titles}
+        by_key: dict[int, dict[int, set[str]]] = {}
+        for g in {*glued.values()} - {""}:
+            by_key.setdefault(key_of(_codes(g)), {}).setdefault(len(g), set()).add(g)
+        keys = np.sort(np.array([*by_key], np.uint64))
+        self.at: dict[str, list[int]] = {}
+        for start, hashes in windows(_codes(letters), sorted({key_length(len(g)) for g in glued.values() if g})):
+            near = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            for k in np.flatnonzero(keys[near] == hashes).tolist():
+                for n, names in by_key[int(hashes[k])].items():
+                    g = letters[start + k : start + k + n]
+                    if g in names:
+                        self.at.setdefault(g, []).append(start + k)
+        self.glued = glued
+        self.exact: dict[str, list[tuple[int, int]]] = {}
+        self.loose: dict[str, list[tuple[int, int]]] = {}
+        self.lines: dict[tuple[int, int], bool] = {}
+
+    def places(self, title: str, exact: bool) -> list[tuple[int, int]]:
+        """Occurrences, the first of those that overlap, the last one first; callers pop those that they have seen."""
+        known = self.exact if exact else self.loose
+        if title not in known:
+            g = self.glued[title]
+            lead = len(title) - len(title.lstrip())
+            found: list[tuple[int, int]] = []
+            for k in sorted(self.at.get(g, ())):
+                a, b = int(self.place[k]), int(self.place[k + len(g) - 1]) + 1
+                if exact:
+                    a, b = a - lead, a - lead + len(title)
+                    if a < 0 or self.text[a:b] != title:
+                        continue
+                if not found or a >= found[-1][1]:
+                    found.append((a, b))
+            known[title] = found[::-1]
+        return known[title]
+
+    def in_index(self, a: int, b: int) -> bool:
+        """Whether the line ends with dots and a page number."""
+        end = self.text.find("\n", b)
+        end = len(self.text) if end < 0 else end
+        line = self.text.rfind("\n", 0, a) + 1, end
+        if line not in self.lines:
+            self.lines[line] = re.search(r"\.{2,}\s*\d{1,4}\s*$", self.text[line[0] : end]) is not None
+        return self.lines[line]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _annotated(text: str, titles: list[dict]) -> str:
+    """A text with its titles in place: in their order, each at its first place that no index line and no title before it has."""
+    known = Titles(text, [t["title"] for t in titles])
+    starts: list[int] = []  # of taken places, in order, and their ends
+    ends: list[int] = []
+    marks = []
+    for t in titles:
+        done = False
+        for exact in (True, False):
+            places = known.places(t["title"], exact)
+            while places and not done:
+                a, b = places.pop()  # who is turned away once is for good
+                k = bisect.bisect_right(starts, a)
+                free = (k == 0 or ends[k - 1] <= a) and (k == len(starts) or starts[k] >= b)
+                if free and not known.in_index(a, b):
+                    starts.insert(k, a)
+                    ends.insert(k, b)
+                    marks.append((a, b, f"\n\n[H{t['level']}] {t['title']}\n\n"))
+                    done = True
+    out, end = [], len(text)
+    skip = False  # the blanks behind a mark go
+    for a, b, mark in sorted(marks, reverse=True):
+        part = text[b:end]
+        out += [part.rstrip(" ") if skip else part, mark]
+        out[-2] = out[-2].lstrip(" ")
+        end, skip = a, True
+    out.append(text[:end].rstrip(" ") if skip else text[:end])
+    return "".join(reversed(out)).strip("\n") if marks else text
+
+
 def annotate_headings(docs: DataFrame, outline: DataFrame, doc: str, text_col: str = "text") -> DataFrame:
-    """doc, text with `[Hn] title` on a paragraph of its own at each title's first place in the body, not on index lines, not over another."""
-    titles = outline.where(F.char_length("title") >= 3).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title"))).alias("titles"))
-    joined = docs.select(doc, F.col(text_col).alias("text")).join(titles, doc, "left")
-
-    def place(text: str, title: str, used: list[tuple[int, int]]) -> tuple[int, int] | None:
-        import re
-
-        glued = r"\s*".join(re.escape(c) for c in title if not c.isspace())
-        for pattern in (re.escape(title), glued):
-            for m in re.finditer(pattern, text):
-                line = text[text.rfind("\n", 0, m.start()) + 1 : (text.find("\n", m.end()) + 1 or len(text) + 1) - 1]
-                if not re.search(r"\.{2,}\s*\d{1,4}\s*$", line) and all(m.end() <= a or m.start() >= b for a, b in used):
-                    return m.start(), m.end()
-        return None
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            out = []
-            for text, own in zip(pdf["text"].fillna(""), pdf["titles"], strict=True):
-                used: list[tuple[int, int]] = []
-                marks = []
-                for t in own if own is not None else ():
-                    at = place(text, t["title"], used)
-                    if at:
-                        used.append(at)
-                        marks.append((*at, f"\n\n[H{t['level']}] {t['title']}\n\n"))
-                for a, b, mark in sorted(marks, reverse=True):
-                    text = text[:a].rstrip(" ") + mark + text[b:].lstrip(" ")
-                out.append(text.strip("\n") if marks else text)
-            yield pdf[[doc]].assign(text=out)
-
-    return joined.mapInPandas(run, f"{doc} {docs.schema[doc].dataType.simpleString()}, text string")
+    """doc, text with `[Hn] title` on a paragraph of its own at each title's first place in the body, not on index lines, not over another; titles are taken in their order, as they stand, else without blanks.
+
+    A document's titles are looked for together, in one pass over its letters.
+    Titles of fewer than 3 characters, or of blanks alone, have no place. Null
+    text counts as empty.
+    """
+    titles = outline.where((F.char_length("title") >= 3) & ~F.col("title").rlike(r"^(?U)[\s\x1c-\x1f]*$")).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title"))).alias("titles"))
+    joined = docs.select(doc, F.coalesce(text_col, F.lit("")).alias("text")).join(titles, doc, "left")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                texts = [_annotated(text, own) if own else text for text, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], [doc, "text"])
+
+    return joined.mapInArrow(run, f"{doc} {docs.schema[doc].dataType.simpleString()}, text string")
 
 
 def title_keys(text: Column) -> Column:
