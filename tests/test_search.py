@@ -87,3 +87,44 @@ def test_merge_profiles_again_changes_nothing(spark):
     merged = S.merge_profiles(base, extra)
     assert {r["name"] for r in merged.collect()} == {"a", "A, altra copia"}
     assert S.merge_profiles(merged, extra).count() == 2
+
+
+def test_hits_in_long_documents(spark):
+    """The text is split once, so that 16,000 lines take a moment, and None lifts the number of hits."""
+    import time
+
+    from textquarry.streaming import arrivals as A
+
+    def long(n, word):
+        return spark.createDataFrame([("a", 1, "\n".join(f"{word} riga {k}" for k in range(n)))], "archive string, member int, text string").cache()
+
+    none, every = long(16_000, "altra"), long(16_000, "zeta")
+    for docs in (none, every):
+        docs.count()
+    S.line_hits(every, "archive", "member", ["zeta"]).collect()
+    start = time.perf_counter()
+    assert S.line_hits(none, "archive", "member", ["altra", "15999"]).first()["line_number"] == 16_000
+    assert S.line_hits(none, "archive", "member", ["15998", "15999"]).count() == 0
+    assert [r["line_number"] for r in A.search_arrivals(every, ["zeta"], ["member"]).collect()] == [1]
+    assert S.line_hits(none, "archive", "member", ["zeta"]).count() == 0
+    assert time.perf_counter() - start < 6
+    assert S.transcript_hits(every, "member", ["zeta"], max_hits=None).count() == 16_000
+    assert S.transcript_hits(every, "member", ["zeta"]).count() == 30
+    many = spark.range(100).selectExpr("'a' AS archive", "id AS member", "'zeta' AS text")
+    assert S.line_hits(many, "archive", "member", ["zeta"], max_hits=None).count() == 100
+    assert S.line_hits(many, "archive", "member", ["zeta"]).count() == 40
+
+
+def test_transcripts_with_a_glossary(spark):
+    docs = spark.createDataFrame([(1, "[00:01] Parla Vlahović\n\n bene"), (2, "[00:02] Woltemade solo")], "doc int, text string")
+    rules = spark.createDataFrame([(1, "vlahovic", "Woltemade")], "n int, find string, replace string")
+    hits = S.transcript_hits(S.with_glossary(docs, "text", rules, "n"), "doc", ["woltemade"], glossary_col="mapping").orderBy("doc").collect()
+    assert [(r["snippet"], r["location_label"]) for r in hits] == [("[00:01] Parla Woltemade bene", "Trascrizione [00:01] (glossario)"), ("[00:02] Woltemade solo", "Trascrizione [00:02]")]
+
+
+def test_profiles_by_folder_kind_and_extension(spark):
+    docs = spark.createDataFrame([(1, "/r/a/uno.TXT", "parola zeta", "it"), (2, "/r/a/due.pdf", "parola", "it"), (3, "/r/ab/tre.mp3", None, "it"), (4, "/r/a/b/quattro.txt", "zeta", "en")], "doc_id int, path string, text string, lang string")
+    schema = "name string, terms array<string>, profile_path string, profile_kind string, profile_ext string"
+    rows = [("tutto", ["parola"], None, None, None), ("txt", ["ZETA"], "/r/a/", None, "*.txt; md"), ("audio", [], None, "audio", None), ("cartella", None, "/r/a", None, "*"), ("pdf", [], "/r/", "document", "PDF"), ("nulla", [], None, None, ""), ("fuori", ["parola"], "/x", None, None)]
+    got = sorted((r["name"], r["doc_id"]) for r in S.run_profiles(docs, spark.createDataFrame(rows, schema), path_col="path").collect())
+    assert got == [("audio", 3), ("cartella", 1), ("cartella", 2), ("cartella", 4), ("pdf", 2), ("tutto", 1), ("tutto", 2), ("txt", 1), ("txt", 4)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from ..functions.text import collapse_ws, contains_all, fold, ocr_fold, strip_ws
+from ..functions.kinds import kind_of
+from ..functions.text import collapse_ws, contains_all, extension, fold, ocr_fold, strip_ws
+from ..functions.urls import let
+from ..sources.shared import written
+from .strings import BLOCK, strings_held
 
 Matcher = Callable[[Column, list[str]], Column]
 
@@ -28,20 +33,43 @@ def match_terms_folded(df: DataFrame, text_col: str, terms: list[str]) -> DataFr
     return df.where(found)
 
 
-def line_hits(docs: DataFrame, archive: str, member: str, terms: list[str], text_col: str = "text", max_hits: int = 40, matcher: Matcher = contains_all) -> DataFrame:
-    """First line of each member that holds every term: archive, member, line_number, snippet; at most `max_hits` per archive in member order.
+def _holding(docs: DataFrame, text_col: str, terms: list[str], matcher: Matcher) -> DataFrame:
+    """docs of which a line can match: a line that holds every term is in a text that does. Of another matcher nothing is known."""
+    return docs.where(matcher(F.col(text_col), terms)) if matcher is contains_all else docs
+
+
+def first_line_hit(text: Column, terms: list[str], matcher: Matcher = contains_all) -> Column:
+    """The first line that matches, as an array of at most one struct line_number, snippet: two lines before and after with it, each stripped, empty ones kept as blanks.
+
+    The text is split once; a filter on what comes out must not be pushed
+    between, so callers inline the array.
+    """
+
+    def found(lines: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: matcher(F.get(lines, i - 1), terms))
+
+        def cut(i: Column) -> Column:
+            first = F.greatest(F.lit(1), i - 2)
+            around = F.slice(lines, first, i + 3 - first)
+            return F.struct(i.alias("line_number"), strip_ws(F.array_join(F.transform(around, strip_ws), " ")).alias("snippet"))
+
+        return F.transform(F.slice(places, F.lit(1), F.lit(1)), cut)
+
+    return let(F.split(text, "\n"), found)
+
+
+def line_hits(docs: DataFrame, archive: str, member: str, terms: list[str], text_col: str = "text", max_hits: int | None = 40, matcher: Matcher = contains_all) -> DataFrame:
+    """First line of each member that holds every term: archive, member, line_number, snippet; at most `max_hits` per archive in member order, all if it is None.
 
     The snippet is the two lines before and after with it, each stripped, and
     empty ones kept as blanks.
     """
-    lines = docs.select(F.col(archive), F.col(member), F.split(text_col, "\n").alias("lines"))
-    hit = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: matcher(F.get(F.col("lines"), i - 1), terms))
-    found = lines.withColumn("line_number", F.try_element_at(hit, F.lit(1))).where("line_number IS NOT NULL")
-    first = F.greatest(F.lit(1), F.col("line_number") - 2)
-    around = F.slice("lines", first, F.col("line_number") + 3 - first)
-    snippet = strip_ws(F.array_join(F.transform(around, strip_ws), " "))
+    held = _holding(docs, text_col, terms, matcher)
+    found = held.select(archive, member, F.inline(first_line_hit(F.col(text_col), terms, matcher)))
+    if max_hits is None:
+        return found
     order = Window.partitionBy(archive).orderBy(member)
-    return found.select(archive, member, "line_number", snippet.alias("snippet")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_hits).drop("n")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_hits).drop("n")
 
 
 BREAKS = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
@@ -52,15 +80,26 @@ def split_lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, rf"({BREAKS})\z", ""), BREAKS)
 
 
-def transcript_hits(reports: DataFrame, doc: str, terms: list[str], text_col: str = "text", max_hits: int = 30, matcher: Matcher = contains_all) -> DataFrame:
-    """All lines that hold every term, at most `max_hits` per report: doc, line_number, snippet, timestamp, location_label.
+def transcript_hits(reports: DataFrame, doc: str, terms: list[str], text_col: str = "text", max_hits: int | None = 30, matcher: Matcher = contains_all, glossary_col: str | None = None) -> DataFrame:
+    """All lines that hold every term, at most `max_hits` per report (all if it is None): doc, line_number, snippet, timestamp, location_label.
 
     The snippet drops empty lines; the timestamp is the nearest one at a line's
-    start, on this or one of the four lines before.
+    start, on this or one of the four lines before. `glossary_col` is a column of
+    rules as `with_glossary` finds them: a line matches as it is or after them,
+    the snippet has them applied, and the label tells if that changed it.
     """
-    split = reports.select(doc, split_lines(F.col(text_col)).alias("lines"))
+    rules = F.col(glossary_col) if glossary_col else None
+    held = _holding(reports, text_col, terms, matcher) if rules is None else reports
+    split = held.select(doc, split_lines(F.col(text_col)).alias("lines"), *([rules.alias("rules")] if glossary_col else []))
     lines = F.col("lines")
-    places = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: matcher(F.get(lines, i - 1), terms))
+
+    def corrected(text: Column) -> Column:
+        return text if rules is None else F.when(F.col("rules").isNull(), text).otherwise(apply_glossary(text, F.col("rules")))
+
+    def matches(line: Column) -> Column:
+        return matcher(line, terms) if rules is None else matcher(line, terms) | (F.col("rules").isNotNull() & matcher(corrected(line), terms))
+
+    places = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: matches(F.get(lines, i - 1)))
 
     def around(i: Column, before: int, after: int) -> Column:
         first = F.greatest(F.lit(1), i - before)
@@ -69,13 +108,16 @@ def transcript_hits(reports: DataFrame, doc: str, terms: list[str], text_col: st
     def look(i: Column) -> Column:
         parts = F.filter(F.transform(around(i, 2, 2), strip_ws), lambda x: x != "")
         stamps = F.filter(F.transform(around(i, 4, 0), lambda x: F.regexp_extract(x, r"^\s*\[((?:\d+:)?\d{1,2}:\d{2}(?:\.\d+)?)\]", 1)), lambda x: x != "")
-        return F.struct(i.alias("line_number"), F.array_join(parts, " ").alias("snippet"), F.coalesce(F.try_element_at(stamps, F.lit(-1)), F.lit("")).alias("timestamp"))
+        raw = F.array_join(parts, " ")
+        return F.struct(i.alias("line_number"), corrected(raw).alias("snippet"), F.coalesce(F.try_element_at(stamps, F.lit(-1)), F.lit("")).alias("timestamp"), (raw if rules is not None else F.lit("")).alias("raw"))
 
     # a report's hits are found and cut within its row: nothing is shuffled
-    found = F.transform(F.slice(places, F.lit(1), F.lit(max_hits)), look)
+    found = F.transform(places if max_hits is None else F.slice(places, F.lit(1), F.lit(max_hits)), look)
     hits = split.where(F.size(lines) > 0).select(doc, F.inline(found))
     label = F.when(F.col("timestamp") != "", F.concat(F.lit("Trascrizione ["), "timestamp", F.lit("]"))).otherwise(F.concat(F.lit("Report media riga "), F.col("line_number").cast("string")))
-    return hits.withColumn("location_label", label)
+    if rules is not None:
+        label = F.concat(label, F.when(F.col("snippet") != F.col("raw"), " (glossario)").otherwise(""))
+    return hits.withColumn("location_label", label).drop("raw")
 
 
 def normalize_glossary(rules: DataFrame, order_col: str) -> DataFrame:
@@ -211,10 +253,70 @@ def match_profiles(docs: DataFrame, profiles: DataFrame, text_col: str, most: in
     return docs.join(profiles.limit(0)) if out is None else out
 
 
-def run_profiles(docs: DataFrame, profiles: DataFrame, text_col: str = "text", most: int = 1000) -> DataFrame:
-    """Every document with every profile (name, terms, lang or null) that it matches; any number of profiles, in blocks of at most `most`."""
-    found = match_profiles(docs, profiles, text_col, most)
-    return found.where(F.col("profile_lang").isNull() | (F.col("profile_lang") == F.col("lang")))
+FILTERS = ("path", "kind", "ext")  # what a profile may ask of a document's path, besides its terms
+
+
+def filtered(rows: DataFrame, profiles: DataFrame, path_col: str | None) -> Column:
+    """Whether a row of a document and a profile agrees in what the profile asks: `profile_lang`, and `profile_path` (below which the document lies), `profile_kind` and `profile_ext` of its path."""
+    keep = F.lit(True)
+    if "profile_lang" in profiles.columns:
+        keep = keep & (F.col("profile_lang").isNull() | (F.col("profile_lang") == F.col("lang")))
+    if path_col is not None:
+        path = F.col(path_col)
+        below = F.concat(F.regexp_replace("profile_path", r"/+$", ""), F.lit("/"))
+        asked = {"path": path.startswith(below), "kind": kind_of(path) == F.col("profile_kind"), "ext": F.array_contains(F.transform(F.split("profile_ext", r"[;,]"), lambda e: F.lower(F.regexp_replace(e, r"^[\s*.]+|\s+$", ""))), extension(path))}
+        for name, agrees in asked.items():
+            if f"profile_{name}" in profiles.columns:
+                own = F.col(f"profile_{name}")
+                keep = keep & (F.coalesce(own, F.lit("")).isin("", "*", "*.*") | agrees)
+    return F.coalesce(keep, F.lit(False))
+
+
+def run_profiles(docs: DataFrame, profiles: DataFrame, text_col: str = "text", path_col: str | None = None, most: int = BLOCK) -> DataFrame:
+    """Every document with every profile that it matches: all of its terms stand in the text, case aside, and language, folder, kind and extension agree (columns `profile_lang`, `profile_path`, `profile_kind`, `profile_ext`; null asks nothing). A profile without terms lists the documents that agree if it asks for a folder, kind or extension, else nothing.
+
+    The texts are read once for all terms of all profiles, of which there may be
+    any number (a filter holds about `most` terms). A document meets a profile by the profile's rarest term alone; the others are looked up in what
+    was found in the document.
+    """
+    clash = [c for c in profiles.columns if c in docs.columns]
+    if clash:
+        raise ValueError(f"columns of both: {clash}")
+    low = F.filter(F.array_distinct(F.transform("terms", F.lower)), lambda t: t != "")
+    own = written(profiles.select("*", F.monotonically_increasing_id().alias("__profile"), F.coalesce(low, F.array().cast("array<string>")).alias("__asked")), "profiles")
+    texts = docs.select(F.md5(text_col).alias("id"), F.lower(text_col).alias("text"))
+    pairs = written(strings_held(texts, own.select(F.explode("__asked")), most), "profile-terms")
+    often = pairs.groupBy("string").agg(F.count(F.lit(1)).alias("n"))
+    rare = own.select("__profile", F.explode("__asked").alias("string")).join(often, "string").groupBy("__profile").agg(F.min_by("string", F.struct("n", "string")).alias("string"))
+    found = pairs.groupBy("id").agg(F.collect_set("string").alias("__found"))
+    met = pairs.join(rare, "string").join(found, "id").join(own.where("size(terms) > 0"), "__profile")
+    met = met.where(F.size(F.array_except("__asked", "__found")) == 0).drop("string", "__found")
+    out = docs.withColumn("__id", F.md5(text_col)).join(met, F.col("__id") == F.col("id")).select(*docs.columns, *profiles.columns)
+    out = out.where(filtered(out, profiles, path_col))
+    asks = [f"coalesce(profile_{c}, '') NOT IN ('', '*', '*.*')" for c in FILTERS if path_col is not None and f"profile_{c}" in profiles.columns]
+    if not asks:
+        return out
+    listing = own.where("size(terms) = 0 OR terms IS NULL").where(" OR ".join(asks)).select(*profiles.columns)
+    return out.unionByName(_listed(docs, listing, profiles, path_col))
+
+
+def _listed(docs: DataFrame, listing: DataFrame, profiles: DataFrame, path_col: str) -> DataFrame:
+    """Documents with the profiles that list them: these meet by extension or kind where they ask for one, else by folder."""
+    ext = F.explode(F.filter(F.transform(F.split("profile_ext", r"[;,]"), lambda e: F.lower(F.regexp_replace(e, r"^[\s*.]+|\s+$", ""))), lambda e: e != "")) if "profile_ext" in profiles.columns else None
+    own = docs.withColumn("__ext", extension(F.col(path_col))).withColumn("__kind", kind_of(F.col(path_col)))
+    has = lambda c: F.coalesce(F.col(f"profile_{c}"), F.lit("")).isin("", "*", "*.*") if f"profile_{c}" in profiles.columns else F.lit(True)
+    parts = []
+    if ext is not None:
+        parts.append(listing.where(~has("ext")).withColumn("__ext", ext).join(own, "__ext"))
+    if "profile_kind" in profiles.columns:
+        parts.append(listing.where(has("ext") & ~has("kind")).withColumn("__kind", F.col("profile_kind")).join(own, "__kind"))
+    if "profile_path" in profiles.columns:  # every folder of a document's path is a key
+        at = F.col(path_col)
+        folders = F.transform(F.sequence(F.lit(1), F.size(F.split(at, "/"))), lambda k: F.call_function("substring_index", at, F.lit("/"), k.cast("int")))
+        below = listing.where(has("ext") & has("kind")).withColumn("__folder", F.regexp_replace("profile_path", r"/+$", ""))
+        parts.append(own.withColumn("__folder", F.explode(F.array_distinct(folders))).join(below, "__folder"))
+    rows = functools.reduce(DataFrame.unionByName, [p.select(*docs.columns, *profiles.columns) for p in parts])
+    return rows.where(filtered(rows, profiles, path_col))
 
 
 def merge_profiles(base: DataFrame, extra: DataFrame) -> DataFrame:

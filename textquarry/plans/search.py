@@ -122,6 +122,34 @@ def sea7_match_with_glossary(spark, d):
     return S.match_with_glossary(docs, "text", ["THAT", "the"], F.col("mapping")).drop("text", "mapping")
 
 
+@query("WITH " + GLOSSARY_SQL + ", " + TIMED_SQL + rf""", lines AS (
+        SELECT doc_id, unnest(CASE WHEN len(l) > 1 AND l[-1] = '' THEN l[:-2] ELSE l END) AS line,
+               generate_subscripts(CASE WHEN len(l) > 1 AND l[-1] = '' THEN l[:-2] ELSE l END, 1) AS line_number FROM timed),
+    tokens AS (
+        SELECT doc_id, line_number, unnest(t) AS token, generate_subscripts(t, 1) AS pos
+        FROM (SELECT doc_id, line_number, regexp_extract_all(trim(line), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS t FROM lines)),
+    changed AS (
+        SELECT doc_id, line_number, string_agg(coalesce(replace, token), '' ORDER BY pos) AS fixed FROM tokens
+        LEFT JOIN firsts ON key = translate(lower(token), '{FOLD_FROM}', '{FOLD_TO}') AND regexp_full_match(key, '[\p{{L}}\p{{N}}_]+') GROUP BY ALL),
+    both_ AS (SELECT l.*, coalesce(fixed, '') AS fixed FROM lines l LEFT JOIN changed USING (doc_id, line_number)),
+    near AS (
+        SELECT doc_id, line_number, line, fixed,
+               list_filter([{{'a': trim(lag(line, 2) OVER w), 'b': lag(fixed, 2) OVER w}}, {{'a': trim(lag(line) OVER w), 'b': lag(fixed) OVER w}}, {{'a': trim(line), 'b': fixed}}, {{'a': trim(lead(line) OVER w), 'b': lead(fixed) OVER w}}, {{'a': trim(lead(line, 2) OVER w), 'b': lead(fixed, 2) OVER w}}], lambda x: x.a <> '') AS parts,
+               last_value(nullif(regexp_extract(line, '^\s*\[((\d+:)?\d{{1,2}}:\d{{2}}(\.\d+)?)\]', 1), '') IGNORE NULLS)
+                   OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS timestamp
+        FROM both_ WINDOW w AS (PARTITION BY doc_id ORDER BY line_number)),
+    hits AS (SELECT * FROM near WHERE contains(lower(line), 'the') AND contains(lower(line), 'that') OR contains(lower(fixed), 'the') AND contains(lower(fixed), 'that')),
+    told AS (SELECT doc_id, line_number, array_to_string(list_transform(parts, lambda x: x.a), ' ') AS raw, array_to_string(list_transform(parts, lambda x: x.b), ' ') AS snippet, timestamp FROM hits)
+    SELECT doc_id, line_number::INT AS line_number, md5(snippet) AS snippet_md5,
+           CASE WHEN timestamp <> '' THEN 'Trascrizione [' || timestamp || ']' ELSE 'Report media riga ' || line_number END || CASE WHEN snippet <> raw THEN ' (glossario)' ELSE '' END AS location_label
+    FROM told""")
+def sea4_glossary_hits(spark, d):
+    """All lines of timed reports that hold the terms as they are or after the glossary."""
+    reports = S.with_glossary(timed_reports(spark, d), "text", glossary(spark, d), "item_id")
+    hits = S.transcript_hits(reports, "doc_id", ["the", "THAT"], max_hits=None, glossary_col="mapping")
+    return hits.select("doc_id", "line_number", F.md5("snippet").alias("snippet_md5"), "location_label")
+
+
 @query(rf"""
     WITH f AS (SELECT doc_id, lower(text) AS low, regexp_replace(translate(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}'), '0123456789|!l$@€', 'oizeasgtbgiiisae'), '[^\p{{L}}\p{{N}}]', '', 'g') AS sign FROM documents),
     forms AS (SELECT doc_id, unnest([low, reverse(low), sign, reverse(sign), regexp_replace(low, '\s+', '', 'g'), reverse(regexp_replace(low, '\s+', '', 'g'))]) AS form FROM f),

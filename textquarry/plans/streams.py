@@ -21,17 +21,23 @@ def str1_search_arrivals(spark, d):
 
 
 def str3_standing_search(spark, d):
+    """Saved profiles, a table that every batch reads anew, over arriving documents."""
     docs = A.arrivals(spark, f"{d}/document[s].parquet", table(spark, d, "documents").schema)
-    profiles = table(spark, d, "benchmark").select(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("name"), F.slice(F.split("text", " "), 1, 2).alias("terms"))
-    return finished(spark, A.standing_search(docs, profiles, ["doc_id"]), "standing")
+    out = shared_folder(spark, "standing")
+    table(spark, d, "benchmark").select(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("name"), F.slice(F.split("text", " "), 1, 2).alias("terms")).write.parquet(f"{out}-profiles")
+    A.standing_to_table(docs.select("doc_id", "text"), lambda s: s.read.parquet(f"{out}-profiles"), ["doc_id"], out, f"{out}-checkpoint").awaitTermination()
+    return spark.read.parquet(out).select("name", "doc_id")
 
 
 def str4_latest_stream(spark, d):
-    events = table(spark, d, "events")
-    rows = A.arrivals(spark, f"{d}/event[s].parquet", events.schema).select("user_id", "ts", "event_id", "event_type")
+    """Events in batches of a file each, as a log of newest rows."""
     out = shared_folder(spark, "latest")
-    A.latest_to_table(A.latest_stream(rows, "user_id", "ts", "event_id"), out, f"{out}-checkpoint").awaitTermination()
-    return A.latest_table(spark, out, "user_id").select("user_id", "event_id", "event_type")
+    columns = ["user_id", "ts", "event_id", "event_type"]
+    table(spark, d, "events").select(*columns).repartitionByRange(20, "ts").write.parquet(f"{out}-events")
+    schema = table(spark, d, "events").select(*columns).schema
+    rows = A.arrivals(spark, f"{out}-events", schema, files_per_batch=1)
+    A.latest_to_log(rows, "user_id", "ts", "event_id", out, f"{out}-checkpoint", fan=4).awaitTermination()
+    return A.latest_log(spark, out, schema, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
 QUERIES = {f.__name__: f for f in (str1_search_arrivals, str3_standing_search, str4_latest_stream)}
