@@ -136,3 +136,82 @@ def test_marks_of_media(spark):
     assert {r["id"]: r["name"] for r in named.collect()} == {"1": "nuovo", "2": "due", "3": "tre"}
     left = M.delete_media_marks(marks, spark.createDataFrame([("m", "1")], "media string, id string"))
     assert {r["id"]: r["is_resume"] for r in left.collect()} == {"2": True, "3": False}
+
+
+def plain_marks(rows):
+    """Marks after new ones, document by document, by the rules as they are written."""
+
+    def excerpt(text, at):
+        at = max(0, min(at, len(text)))
+        line = text[text.rfind("\n", 0, at) + 1 : at] + text[at:].split("\n", 1)[0]
+        if not line.split() and at < len(text):
+            line = text[at : at + 90]
+        flat = " ".join(line.split())
+        return flat[:89].rstrip() + "…" if len(flat) > 90 else flat
+
+    def place(text, pos, anchor, prefix):
+        if not text:
+            return 0
+        if text[pos : pos + len(anchor)] == anchor and pos <= len(text):
+            return pos
+        hits, at = [], text.find(anchor)
+        while at >= 0 and len(hits) < 12:
+            hits.append(at)
+            at = text.find(anchor, at + 1)
+        behind = [h for h in hits if prefix and text[max(h - len(prefix), 0) : h] == prefix]
+        return behind[0] if behind else min(hits, key=lambda h: (abs(h - pos), h)) if hits else max(0, min(pos, len(text)))
+
+    out = []
+    for doc, old in rows:
+        now = "Nuova riga.\n" + old if doc % 2 == 0 else old[::-1] if doc % 7 == 0 else old
+        pos = len(old) // 3
+        at = place(now, pos, old[pos : pos + 20], old[max(pos - 10, 0) : pos])
+        marks = [{"id": str(doc), "pos": pos, "place": at, "text": excerpt(now, at) if now else "", "resume": True, "status": "old"}]
+        for p in sorted([0, len(now) // 3, len(now) // 2]):
+            same = next((m for m in marks if m["text"] and m["text"] == excerpt(now, p) or abs(m["place"] - p) <= 15), None)
+            if same is None:
+                same = {"id": str(max(int(m["id"]) for m in marks) + 1), "pos": p, "place": p, "text": excerpt(now, p), "status": "added"}
+                marks.append(same)
+            elif same["status"] == "old":
+                same["status"] = "already"
+            for m in marks:
+                m["resume"] = m is same
+        out += [(str(doc), m["id"], m["pos"], m["place"], m["resume"], m["status"]) for m in marks]
+    return sorted(out)
+
+
+def test_added_marks_against_plain_ones(spark):
+    from textquarry import plans
+
+    d = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    got = plans.QUERIES["mrk3_add_marks"](spark, d).collect()
+    assert sorted((r["doc_key"], r["id"], r["pos"], r["place"], r["is_resume"], r["status"]) for r in got) == plain_marks(rows)
+
+
+def test_merging_marks_three_times(spark):
+    from textquarry.operators import marks as M
+
+    schema = "doc_key int, id string, pos int, anchor string, is_resume boolean"
+    store = lambda *rows: spark.createDataFrame([(1, i, p, "a", False) for i, p in rows], schema)
+    told = lambda df: sorted((r["id"], r["pos"]) for r in df.collect())
+    ours = store(("7", 10), ("7-altra-2", 15))
+    for pos in (20, 30, 40):
+        ours = spark.createDataFrame(M.merge_marks(ours, store(("7", pos))).collect(), schema)
+    want = [("7", 10), ("7-altra-1", 20), ("7-altra-2", 15), ("7-altra-3", 30), ("7-altra-4", 40)]
+    assert told(ours) == want
+    for again in (("7", 10), ("7", 30), ("7-altra-2", 15)):
+        assert told(M.merge_marks(ours, store(again))) == want
+    assert told(M.merge_marks(store(("7", 10)), store(("7", 20), ("7-altra-1", 50), ("8", 10)))) == [("7", 10), ("7-altra-1", 50), ("7-altra-2", 20), ("8", 10)]
+    assert told(M.merge_marks(store(*[(str(k), k) for k in range(150)]), store(("200", 999)), most=None)) == sorted([(str(k), k) for k in range(150)] + [("200", 999)])
+
+
+def test_digests_tell_files_and_chosen_titles_apart(spark):
+    from textquarry.operators import conversations as V
+
+    turns = spark.createDataFrame([(k, 0, "user", "ciao") for k in range(5)], "conv_id int, turn int, role string, text string")
+    headers = spark.createDataFrame([(k, "t", k == 1) for k in range(5)], "conv_id int, title string, title_custom boolean")
+    files = spark.createDataFrame([(2, 0, "a", "x"), (2, 1, "b", "y"), (3, 0, "b", "y"), (3, 1, "a", "x")], "conv_id int, pos int, path string, title string")
+    rows = {r["conv_id"]: r["digest"] for r in V.content_digest(turns, headers, files).collect()}
+    assert len({*rows.values()}) == 4 and rows[0] == rows[4]
+    assert len({r["digest"] for r in V.content_digest(turns, headers.drop("title_custom")).collect()}) == 1

@@ -16,7 +16,8 @@ def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str
     of a group are prefix-summed as a small table. So a group of any size is
     spread over tasks, and none ranks more than a cell's rows or a group's cells.
     Null orders are one cell, the first. An order that is no whole number has no
-    stretches: then a group is one cell.
+    stretches: then a group is one cell. All columns of `df` go through a window
+    and a join, so callers pass narrow rows and join texts back by their id.
     """
     whole = isinstance(df.schema[order].dataType, IntegralType)
     at = F.lit(0).cast("long") if not whole else F.coalesce(F.floor(F.col(order) / cell).cast("long"), F.lit(-(2**62)))

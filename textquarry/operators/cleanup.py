@@ -9,8 +9,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import collapse_ws, ocr_fold, strip_ws
 from .search import match_ocr_exactly
@@ -135,16 +137,45 @@ def reading_order(words: DataFrame) -> DataFrame:
     return words.groupBy("page_id").applyInPandas(_rows_of_page, "page_id long, line_no int, line string")
 
 
+#: The signs that Unicode counts as white space.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_WHITE = np.array([ord(c) for c in WHITE], np.uint32)
+
+
+def _reflowed(text: str) -> str:
+    """A text set one letter a line put back into words, by the places of its line breaks; other text as it is."""
+    codes = np.frombuffer(text.replace("\r\n", "\n").replace("\r", "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    breaks = np.flatnonzero(codes == 10)
+    lines = len(breaks) + 1
+    if lines < 4:
+        return text
+    inked = np.flatnonzero(~np.isin(codes, _WHITE))
+    line = np.searchsorted(breaks, inked)
+    first, last = np.zeros(lines, np.int64), np.full(lines, -1)
+    first[line[::-1]], last[line] = inked[::-1], inked
+    length = np.where(last >= 0, last - first + 1, 0)
+    full = np.count_nonzero(length)
+    if full < 4 or np.count_nonzero((length > 0) & (length <= 2)) < 0.55 * full:
+        return text
+    at = np.arange(len(codes))
+    own = np.searchsorted(breaks, at)
+    keep = (at >= first[own]) & (at <= last[own])
+    keep[breaks] = (length[:-1] != 1) | (length[1:] != 1)  # single letters lean on the line before them
+    out = codes[keep]
+    gaps = np.flatnonzero(out == 10)
+    begins = np.maximum.accumulate(np.where(np.diff(gaps, prepend=-2) > 1, np.arange(len(gaps)), 0))
+    out = np.delete(out, gaps[np.arange(len(gaps)) - begins > 1])
+    return out.tobytes().decode("utf-32-le", "surrogatepass").strip(WHITE) or text
+
+
+@F.arrow_udf(StringType())
+def _reflow(texts: pa.Array) -> pa.Array:
+    return pa.array([_reflowed(t) if t else "" for t in texts.to_pylist()], pa.string())
+
+
 def reflow_vertical(text: Column) -> Column:
-    """Text set one letter a line put back into words; other text is left as it is."""
-    lines = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), strip_ws)
-    full = F.filter(lines, lambda x: x != "")
-    short = F.size(F.filter(full, lambda x: F.char_length(x) <= 2))
-    # single letters lean on the line before them: mark their ends, join, and cut again
-    marked = F.array_join(F.transform(lines, lambda x: F.when(F.char_length(x) == 1, F.concat(F.lit("\x01"), x, F.lit("\x01"))).otherwise(x)), "\n")
-    joined = F.replace(F.regexp_replace(marked, "\x01\n\x01", ""), F.lit("\x01"), F.lit(""))
-    joined = strip_ws(F.regexp_replace(joined, "\n{3,}", "\n\n"))
-    return F.when((F.size(full) >= 4) & (short >= 0.55 * F.size(full)) & (joined != ""), joined).otherwise(F.coalesce(text, F.lit("")))
+    """Text set one letter a line put back into words; other text is left as it is, null is empty."""
+    return _reflow(text)
 
 
 def dedupe_lines(docs: DataFrame, doc: str, text_col: str = "text") -> DataFrame:

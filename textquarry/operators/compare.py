@@ -36,22 +36,39 @@ def explode_clauses(docs: DataFrame, keys: list[str], text_col: str = "text") ->
     return docs.select(*keys, F.posexplode(F.concat(envelope_ids(flat), clauses(body))).alias("pos", "clause"))
 
 
+def _hashed(exploded: DataFrame, group: str, doc: str) -> DataFrame:
+    """group, doc, a, b, pos: two 64-bit hashes of each distinct clause of a document, and its first place."""
+    narrow = exploded.select(group, doc, "pos", F.xxhash64("clause").alias("__a"), F.xxhash64(F.lit("clause"), "clause").alias("__b"))
+    return narrow.groupBy(group, doc, "__a", "__b").agg(F.min("pos").alias("pos"))
+
+
+def _readable(first: DataFrame, group: str, doc: str) -> DataFrame:
+    return first.select(group, doc).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("readable")).where("readable >= 2")
+
+
 def common_clauses(exploded: DataFrame, group: str, doc: str) -> DataFrame:
-    """group, clause of clauses in every readable document of a group of at least two."""
-    distinct = exploded.select(group, doc, "clause").distinct()
-    readable = distinct.select(group, doc).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("readable"))
-    held = distinct.groupBy(group, "clause").agg(F.count(F.lit(1)).alias("held"))
-    return held.join(readable, group).where("readable >= 2 AND held = readable").select(group, "clause")
-
-
-def text_differences(exploded: DataFrame, group: str, doc: str, max_parts: int = 80) -> DataFrame:
-    """group, doc, n, clause, hidden: each document's clauses that are not common, distinct, in first order, `max_parts` shown and the rest counted."""
-    readable = exploded.select(group, doc).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("readable")).where("readable >= 2")
-    first = exploded.groupBy(group, doc, "clause").agg(F.min("pos").alias("pos"))
-    differs = first.join(readable.select(group), group).join(common_clauses(exploded, group, doc), [group, "clause"], "left_anti")
+    """group, clause of clauses in every readable document of a group of at least two; clauses are counted by their hashes, and the text of the common ones alone is fetched."""
+    first = _hashed(exploded, group, doc)
+    held = first.groupBy(group, "__a", "__b").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(F.col(doc).alias("doc"), "pos")).alias("at"))
+    common = held.join(_readable(first, group, doc), group).where("held = readable").select(group, F.col("at.doc").alias(doc), F.col("at.pos").alias("pos"))
+    return exploded.join(common, [group, doc, "pos"], "left_semi").select(group, "clause")
+
+
+def text_differences(exploded: DataFrame, group: str, doc: str, max_parts: int | None = 80) -> DataFrame:
+    """group, doc, n, clause, hidden: each document's clauses that are not common, distinct, in first order, `max_parts` shown (all if it is None) and the rest counted.
+
+    Group sizes, common and differing clauses and ranks follow from hashes of
+    clauses and their places; the text of the clauses that are shown is fetched
+    by its place.
+    """
+    first = _hashed(exploded, group, doc)
+    held = first.groupBy(group, "__a", "__b").agg(F.count(F.lit(1)).alias("held"))
+    differs = first.join(held, [group, "__a", "__b"]).join(_readable(first, group, doc), group).where("held < readable")
     own = Window.partitionBy(group, doc)
-    ranked = differs.withColumn("n", F.row_number().over(own.orderBy("pos"))).withColumn("hidden", F.greatest(F.count(F.lit(1)).over(own) - max_parts, F.lit(0)))
-    return ranked.where(F.col("n") <= max_parts).select(group, doc, "n", "clause", "hidden")
+    over = F.lit(0).cast("long") if max_parts is None else F.greatest(F.count(F.lit(1)).over(own) - max_parts, F.lit(0))
+    ranked = differs.select(group, doc, "pos", F.row_number().over(own.orderBy("pos")).alias("n"), over.alias("hidden"))
+    shown = ranked if max_parts is None else ranked.where(F.col("n") <= max_parts)
+    return exploded.join(shown, [group, doc, "pos"]).select(group, doc, "n", "clause", "hidden")
 
 
 def fact_differences(facts: DataFrame, group: str, doc: str, fact_cols: dict[str, str], optional: str | None = None, absent: str = "non disponibile") -> DataFrame:

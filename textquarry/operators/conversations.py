@@ -16,7 +16,7 @@ ROOM, LEAST_ROOM = 60_000, 200
 
 
 def conversation_list(turns: DataFrame, headers: DataFrame, one: str = "scambio", several: str = "scambi") -> DataFrame:
-    """conv_id, title, updated, exchanges, label; conversations without an exchange are left out. Newest first by `place`."""
+    """conv_id, title, updated, exchanges, label; conversations without an exchange are left out. `newest_first` orders them."""
     counted = turns.groupBy("conv_id").agg(F.floor(F.count(F.lit(1)) / 2).alias("exchanges")).where("exchanges > 0")
     out = headers.join(counted, "conv_id")
     unit = F.when(F.col("exchanges") == 1, one).otherwise(several)
@@ -47,11 +47,17 @@ def clean_title(title: Column, limit: int = 60) -> Column:
     return F.substring(collapse_ws(title), 1, limit)
 
 
-def context_pack(docs: DataFrame, title: str, outline: str, text: str, sent: int = SENT, stored: int = STORED) -> DataFrame:
-    """Adds context: title, outline and text (of what is stored, as much as is sent) with a notice where it was cut."""
-    kept = F.substring(text, 1, stored)
+def context_pack(docs: DataFrame, title: str, outline: str, text: str, sent: int | None = SENT, stored: int | None = STORED, modified: str | None = None) -> DataFrame:
+    """Adds context: title, date of the last change (of the timestamp column `modified`), outline and text (of what is stored, as much as is sent) with a notice where it was cut; None as a cap keeps all."""
+    kept = F.col(text) if stored is None else F.substring(text, 1, stored)
+    parts = [F.nullif(F.col(title), F.lit(""))]
+    if modified is not None:
+        parts.append(F.concat(F.lit("Data di modifica del file: "), F.date_format(modified, "dd/MM/yyyy HH:mm")))
+    parts.append(F.nullif(F.col(outline), F.lit("")))
+    if sent is None:
+        return docs.withColumn("context", F.concat_ws("\n", *parts, kept))
     notice = F.when(F.char_length(kept) > sent, F.concat(F.lit("\n(Testo tagliato a "), F.lit(str(sent)), F.lit(" caratteri.)"))).otherwise("")
-    return docs.withColumn("context", F.concat_ws("\n", F.nullif(F.col(title), F.lit("")), F.nullif(F.col(outline), F.lit("")), F.concat(F.substring(kept, 1, sent), notice)))
+    return docs.withColumn("context", F.concat_ws("\n", *parts, F.concat(F.substring(kept, 1, sent), notice)))
 
 
 def attachment_budget(attachments: DataFrame, owner: str, order: str, text_col: str = "text", cap: int = ROOM) -> DataFrame:
@@ -99,11 +105,20 @@ def extract_links(turns: DataFrame) -> DataFrame:
     return kept.select("conv_id", pos.alias("pos"), "url", F.coalesce(F.nullif("label", F.lit("")), host).alias("label"))
 
 
-def content_digest(turns: DataFrame, headers: DataFrame) -> DataFrame:
-    """conv_id, digest: SHA-256 over the title and the turns of people and model, in order."""
-    kept = turns.where(F.col("role").isin("user", "model")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    body = F.to_json(F.struct("title", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")))
-    return headers.join(kept, "conv_id", "left").select("conv_id", F.sha2(body, 256).alias("digest"))
+def content_digest(turns: DataFrame, headers: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
+    """conv_id, digest: SHA-256 over the title, whether it was chosen (title_custom, false where headers lack it), the turns of people and model in order, and the attachments (conv_id, pos, path, title) in order. Missing texts count as empty."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    kept = turns.where(F.col("role").isin("user", "model")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", text(F.col("text")).alias("text")))).alias("turns"))
+    out = headers.join(kept, "conv_id", "left")
+    files = F.array().cast("array<struct<path: string, title: string>>")
+    if attachments is not None:
+        held = attachments.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", text(F.col("path")).alias("path"), text(F.col("title")).alias("title")))).alias("__files"))
+        out = out.join(held, "conv_id", "left")
+        files = F.coalesce(F.transform("__files", lambda a: F.struct(a["path"].alias("path"), a["title"].alias("title"))), files)
+    custom = F.coalesce(F.col("title_custom"), F.lit(False)) if "title_custom" in headers.columns else F.lit(False)
+    said = F.coalesce(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), F.array().cast("array<struct<role: string, text: string>>"))
+    body = F.to_json(F.struct(files.alias("attachments"), text(F.col("title")).alias("title"), custom.alias("title_custom"), said.alias("turns")))
+    return out.select("conv_id", F.sha2(body, 256).alias("digest"))
 
 
 def merge_stores(ours: DataFrame, theirs: DataFrame, base: DataFrame | None = None) -> DataFrame:
@@ -137,14 +152,15 @@ def message_key(path: Column, index: Column) -> Column:
 
 
 def render_transcript(turns: DataFrame, headers: DataFrame, speakers: dict[str, str] | None = None) -> DataFrame:
-    """conv_id, transcript: title, date, then a block per turn with its speaker, in order."""
+    """conv_id, transcript: title, date and, if turns have a column `model`, the model used last; then a block per turn with its speaker, in order."""
     names = speakers or {"user": "Tu", "model": "Gemini"}
     who = F.lit(None).cast("string")
     for role, name in names.items():
         who = F.when(F.col("role") == role, name).otherwise(who)
-    blocks = turns.withColumn("who", who).where("who IS NOT NULL").select("conv_id", F.struct("turn", F.concat("who", F.lit(":\n"), F.trim("text")).alias("block")).alias("b"))
-    joined = blocks.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["block"]), "\n\n").alias("blocks"))
-    head = F.concat_ws("\n", "title", F.date_format("updated", "dd/MM/yyyy HH:mm"))
+    model = F.when((F.col("role") == "model") & (F.col("model") != ""), F.struct("turn", "model")) if "model" in turns.columns else F.lit(None).cast("struct<turn: bigint, model: string>")
+    blocks = turns.withColumn("who", who).where("who IS NOT NULL").select("conv_id", F.struct("turn", F.concat("who", F.lit(":\n"), F.trim("text")).alias("block")).alias("b"), model.alias("m"))
+    joined = blocks.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["block"]), "\n\n").alias("blocks"), F.max("m").alias("m"))
+    head = F.concat_ws("\n", "title", F.date_format("updated", "dd/MM/yyyy HH:mm"), F.concat(F.lit("Modello: "), F.col("m.model")))
     return headers.join(joined, "conv_id").select("conv_id", F.concat_ws("\n\n", head, "blocks").alias("transcript"))
 
 

@@ -95,15 +95,32 @@ def add_marks(marks: DataFrame, new: DataFrame, docs: DataFrame) -> DataFrame:
     return every.withColumn("doc_key", F.col("doc_key").cast("string")).groupBy("doc_key").applyInPandas(take, schema)
 
 
-def merge_marks(ours: DataFrame, theirs: DataFrame, most: int = PER_DOC) -> DataFrame:
-    """doc_key, id, pos, anchor, is_resume of two stores: one mark per id and place; another place under the same id keeps both, theirs as `id-altra`; what a store already holds under any id is not added again, so a second merge changes nothing. Our resume point wins."""
+def merge_marks(ours: DataFrame, theirs: DataFrame, most: int | None = PER_DOC) -> DataFrame:
+    """doc_key, id, pos, anchor, is_resume of two stores, at most `most` a document (ours first), all if it is None.
+
+    One id with the same place and anchor is one mark; with another it keeps
+    both, theirs as `id-altra-N` with the least N that neither store has given
+    out for the id; a new id is added. A mark that ours holds as such a copy is
+    not added again, so merging twice changes nothing. Our resume point wins.
+    """
     spot = ["doc_key", "pos", "anchor"]
-    new = theirs.join(ours.select(*spot), spot, "left_anti")
-    held = ours.select("doc_key", "id").withColumn("held", F.lit(True))
-    new = new.join(held, ["doc_key", "id"], "left").withColumn("id", F.when(F.col("held"), F.concat("id", F.lit("-altra"))).otherwise(F.col("id")))
+    copy = r"-altra-\d+$"
+    held = ours.select(*[F.coalesce(F.col(c).cast("string"), F.lit("\x01")).alias(f"__{c}") for c in spot], F.col("id").alias("__id"), F.regexp_replace("id", copy, "").alias("__of"))
+    same = [F.coalesce(F.col(c).cast("string"), F.lit("\x01")) == F.col(f"__{c}") for c in spot]
+    new = theirs.join(held, [*same, (F.col("id") == F.col("__id")) | (F.col("id") == F.col("__of"))], "left_anti")
+    numbers = ours.select("doc_key", "id").union(theirs.select("doc_key", "id")).where(F.col("id").rlike(copy))
+    taken = numbers.groupBy("doc_key", F.regexp_replace("id", copy, "").alias("id")).agg(F.collect_set(F.regexp_extract("id", r"(\d+)$", 1).try_cast("long")).alias("taken"))
+    clash = new.join(ours.select("doc_key", "id").distinct(), ["doc_key", "id"], "left_semi").join(taken, ["doc_key", "id"], "left")
+    turn = F.row_number().over(Window.partitionBy("doc_key", "id").orderBy("pos", "anchor"))
+    none = F.array().cast("array<bigint>")
+    free = F.array_except(F.sequence(F.lit(1).cast("long"), F.size(F.coalesce("taken", none)) + F.col("turn")), F.coalesce("taken", none))
+    copies = clash.withColumn("turn", turn).withColumn("id", F.concat("id", F.lit("-altra-"), F.element_at(free, F.col("turn")).cast("string")))
+    new = new.join(ours.select("doc_key", "id"), ["doc_key", "id"], "left_anti").unionByName(copies.drop("taken", "turn"))
     has = ours.groupBy("doc_key").agg(F.max("is_resume").alias("has"))
     new = new.join(has, "doc_key", "left").withColumn("is_resume", F.col("is_resume") & ~F.coalesce("has", F.lit(False)))
     every = ours.select("doc_key", "id", "pos", "anchor", "is_resume", F.lit(0).alias("side")).unionByName(new.select("doc_key", "id", "pos", "anchor", "is_resume", F.lit(1).alias("side")))
+    if most is None:
+        return every.drop("side")
     n = F.row_number().over(Window.partitionBy("doc_key").orderBy("side", "pos", "id"))
     return every.withColumn("n", n).where(F.col("n") <= most).drop("n", "side")
 

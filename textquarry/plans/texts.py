@@ -34,8 +34,10 @@ def query(sql: str | None = None):
 
 def groups(spark, d):
     """All documents, in groups of at most 12 that begin alike: the first 40 characters, and the rank within them."""
-    docs = running(table(spark, d, "documents").withColumn("head", F.substring("text", 1, 40)), ["head"], "doc_id", F.lit(1), "n")
-    return docs.withColumn("grp", F.concat(F.md5("head"), F.lit("-"), F.floor(F.col("n") / 12).cast("string"))).select("grp", "doc_id", "text", "n_chars", "lang", "source")
+    docs = table(spark, d, "documents")
+    ranked = running(docs.select("doc_id", F.substring("text", 1, 40).alias("head")), ["head"], "doc_id", F.lit(1), "n")
+    ranked = ranked.select("doc_id", F.concat(F.md5("head"), F.lit("-"), F.floor(F.col("n") / 12).cast("string")).alias("grp"))
+    return docs.join(ranked, "doc_id").select("grp", "doc_id", "text", "n_chars", "lang", "source")
 
 
 GROUPS_SQL = r"""ranked AS (SELECT *, left(text, 40) AS head, row_number() OVER (PARTITION BY left(text, 40) ORDER BY doc_id) - 1 AS n FROM documents),
@@ -246,6 +248,23 @@ def trn4_split_sections(spark, d):
     return T.split_sections(table(spark, d, "documents").select("doc_id", report.alias("text")), "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), "title", F.md5("body").alias("body_md5"))
 
 
+def sectioned(spark, d):
+    """Reports of a summary, a transcript (missing or not available in two of three) and a translation."""
+    kind = F.col("doc_id") % 3
+    middle = F.when(kind == 0, "").when(kind == 1, "\n=== Trascrizione ===\n(Non disponibile)").otherwise(F.concat(F.lit("\n=== Trascrizione (con timestamp) ===\n"), "text"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("=== Riassunto ===\n"), "source", middle, F.lit("\n=== Traduzione automatica ===\naltro\n")).alias("text"))
+
+
+@query(r"""WITH r AS (SELECT doc_id, '=== Riassunto ===' || chr(10) || source || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || '=== Trascrizione ===' || chr(10) || '(Non disponibile)' ELSE chr(10) || '=== Trascrizione (con timestamp) ===' || chr(10) || text END AS t, text FROM documents)
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Trascrizione' ELSE 'Trascrizione (con timestamp)' END AS title,
+           CASE doc_id % 3 WHEN 0 THEN md5(t || chr(10) || '=== Traduzione automatica ===' || chr(10) || 'altro') WHEN 2 THEN md5(nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '')) END AS body_md5,
+           md5(regexp_replace(t, '\s+$', '')) AS without_md5 FROM r""")
+def trn4_portion_to_map(spark, d):
+    """What of a report is to be mapped, and the report without its translation."""
+    portion = T.portion_to_map(F.col("text"))
+    return sectioned(spark, d).select("doc_id", portion["title"].alias("title"), F.md5(portion["body"]).alias("body_md5"), F.md5(T.strip_section(F.col("text"), "Traduzione")).alias("without_md5"))
+
+
 @query(r"""
     WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents)
     SELECT doc_id, (i // 400)::INT AS pos, md5(substr(t, i + 1, 400)) AS chunk_md5 FROM (SELECT doc_id, t, unnest(range(0, greatest(length(t), 1), 400)) AS i FROM d WHERE t <> '')""")
@@ -365,9 +384,11 @@ def mrk2_excerpt_at(spark, d):
 
 @query()
 def mrk3_add_marks(spark, d):
+    """All marks after three new ones in each document, at its beginning, a third and half of it."""
     marks, now = marks_of(spark, d)
     new = now.select("doc_key", F.explode(F.array(F.lit(0), F.floor(F.char_length("text") / 3).cast("int"), F.floor(F.char_length("text") / 2).cast("int"))).alias("pos"), F.lit("2024-02-01").cast("timestamp").alias("saved"))
-    return M.add_marks(marks, new.withColumn("saved", F.timestamp_add("SECOND", F.col("pos"), "saved")), now).groupBy("status").count()
+    found = M.add_marks(marks, new.withColumn("saved", F.timestamp_add("SECOND", F.col("pos"), "saved")), now)
+    return found.select("doc_key", "id", "pos", "place", "is_resume", "status", F.md5("anchor").alias("anchor_md5"))
 
 
 def stores(spark, d):
@@ -382,14 +403,30 @@ STORES_SQL = r"""e AS (SELECT user_id AS doc_key, (event_id % 40)::VARCHAR AS id
 
 
 @query("WITH " + STORES_SQL + r""",
-    new AS (SELECT t.* FROM theirs t ANTI JOIN ours o USING (doc_key, pos, anchor)),
+    ours2 AS (SELECT doc_key, id, pos, anchor, is_resume FROM ours UNION ALL SELECT doc_key, id || '-altra-' || (pos % 3 + 1), pos + 1000, anchor, false FROM ours WHERE id::INT % 3 = 0),
+    theirs2 AS (SELECT doc_key, id, pos, anchor, is_resume FROM theirs UNION ALL SELECT doc_key, id || '-altra-1', pos + 2000, anchor, false FROM theirs WHERE id::INT % 5 = 0
+                UNION ALL SELECT doc_key, id || '-nuovo', pos, anchor, false FROM theirs WHERE id::INT % 7 = 0),
+    ids AS (SELECT doc_key, id FROM ours2 UNION SELECT doc_key, id FROM theirs2),
+    new AS (SELECT t.* FROM theirs2 t WHERE NOT EXISTS (SELECT 1 FROM ours2 o WHERE o.doc_key = t.doc_key AND o.pos = t.pos AND o.anchor = t.anchor AND (o.id = t.id OR regexp_full_match(o.id, t.id || '-altra-[0-9]+')))),
+    clash AS (SELECT n.* FROM new n SEMI JOIN ours2 o USING (doc_key, id)),
+    free AS (SELECT doc_key, id, min(k) AS k FROM (SELECT doc_key, c.id, k FROM clash c, range(1, 9) r(k) ANTI JOIN ids i ON i.doc_key = c.doc_key AND i.id = c.id || '-altra-' || k) GROUP BY ALL),
+    resume AS (SELECT doc_key, bool_or(is_resume) AS has FROM ours2 GROUP BY 1),
     every AS (
-        SELECT doc_key, id, pos, anchor, is_resume, 0 AS side FROM ours UNION ALL
-        SELECT n.doc_key, CASE WHEN o.id IS NOT NULL THEN n.id || '-altra' ELSE n.id END, n.pos, n.anchor, n.is_resume AND NOT coalesce(h.has, false), 1
-        FROM new n LEFT JOIN ours o ON o.doc_key = n.doc_key AND o.id = n.id LEFT JOIN (SELECT doc_key, bool_or(is_resume) AS has FROM ours GROUP BY 1) h ON h.doc_key = n.doc_key)
+        SELECT doc_key, id, pos, anchor, is_resume, 0 AS side FROM ours2 UNION ALL
+        SELECT n.doc_key, CASE WHEN f.k IS NOT NULL THEN n.id || '-altra-' || f.k ELSE n.id END, n.pos, n.anchor, n.is_resume AND NOT coalesce(r.has, false), 1
+        FROM new n LEFT JOIN free f ON f.doc_key = n.doc_key AND f.id = n.id LEFT JOIN resume r ON r.doc_key = n.doc_key)
     SELECT doc_key, id, pos, anchor, is_resume FROM every QUALIFY row_number() OVER (PARTITION BY doc_key ORDER BY side, pos, id) <= 100""")
 def mrk4_merge_marks(spark, d):
-    return M.merge_marks(*stores(spark, d))
+    """Two stores, both with copies of earlier merges, and new marks at places that the other store knows."""
+    ours, theirs = (x.select("doc_key", "id", "pos", "anchor", "is_resume") for x in stores(spark, d))
+    number = F.col("id").cast("int")
+
+    def more(df, keep, name, by):
+        return df.where(keep).select("doc_key", F.concat("id", name).alias("id"), (F.col("pos") + by).alias("pos"), "anchor", F.lit(False).alias("is_resume"))
+
+    ours = ours.union(more(ours, number % 3 == 0, F.concat(F.lit("-altra-"), (F.col("pos") % 3 + 1).cast("string")), 1000))
+    theirs = theirs.union(more(theirs, number % 5 == 0, F.lit("-altra-1"), 2000)).union(more(theirs, number % 7 == 0, F.lit("-nuovo"), 0))
+    return M.merge_marks(ours, theirs)
 
 
 @query("WITH " + STORES_SQL + r""",
@@ -418,6 +455,24 @@ def mrk8_media_marks(spark, d):
     return M.media_marks(marks).select("media", "id", "place_no", "last")
 
 
+@query("WITH " + STORES_SQL + " SELECT doc_key AS media, id, CASE id::INT % 4 WHEN 0 THEN 'Nome ' || id ELSE anchor END AS name FROM ours")
+def mrk8_rename_media_mark(spark, d):
+    """Every fourth mark gets a name, the next one a blank one, which changes nothing."""
+    marks = stores(spark, d)[0].select(F.col("doc_key").alias("media"), "id", F.col("anchor").alias("name"))
+    kind = F.col("id").cast("int") % 4
+    names = marks.where(kind < 2).select("media", "id", F.when(kind == 0, F.concat(F.lit(" Nome "), "id")).otherwise("  ").alias("new_name"))
+    return M.rename_media_mark(marks, names)
+
+
+@query("WITH " + STORES_SQL + r""",
+    gone AS (SELECT * FROM ours WHERE is_resume OR id::INT % 5 = 0), lost AS (SELECT doc_key FROM gone WHERE is_resume),
+    kept AS (SELECT o.*, l.doc_key IS NOT NULL AS lost FROM ours o ANTI JOIN gone g USING (doc_key, id) LEFT JOIN lost l ON l.doc_key = o.doc_key)
+    SELECT doc_key AS media, id, CASE WHEN lost THEN row_number() OVER (PARTITION BY doc_key ORDER BY pos DESC, id DESC) = 1 ELSE is_resume END AS is_resume FROM kept""")
+def mrk8_delete_media_marks(spark, d):
+    marks = stores(spark, d)[0].select(F.col("doc_key").alias("media"), "id", F.col("pos").cast("double").alias("sec"), "is_resume")
+    return M.delete_media_marks(marks, marks.where(F.col("is_resume") | (F.col("id").cast("int") % 5 == 0)).select("media", "id")).drop("sec")
+
+
 # ---------------------------------------------------------------- conversations
 
 
@@ -449,9 +504,13 @@ def cnv3_conversation_title(spark, d):
     return V.conversation_title(chats(spark, d)[0])
 
 
-@query(r"""SELECT doc_id, md5(source || chr(10) || lang || chr(10) || left(left(text, 4000), 2000) || CASE WHEN length(left(text, 4000)) > 2000 THEN chr(10) || '(Testo tagliato a 2000 caratteri.)' ELSE '' END) AS context_md5 FROM documents""")
+@query(r"""SELECT doc_id, md5(source || chr(10) || 'Data di modifica del file: ' || strftime(TIMESTAMP '2024-01-01' + to_minutes((doc_id * 7919 % 100000)::INT), '%d/%m/%Y %H:%M') || chr(10) || lang || chr(10) || left(left(text, 4000), 2000) || CASE WHEN length(left(text, 4000)) > 2000 THEN chr(10) || '(Testo tagliato a 2000 caratteri.)' ELSE '' END) AS context_md5,
+    md5(source || chr(10) || lang || chr(10) || text) AS whole_md5 FROM documents""")
 def cnv4_context_pack(spark, d):
-    return V.context_pack(table(spark, d, "documents"), "source", "lang", "text", 2000, 4000).select("doc_id", F.md5("context").alias("context_md5"))
+    """Contexts with a date and caps, and whole ones."""
+    dated = table(spark, d, "documents").withColumn("modified", F.timestamp_add("MINUTE", (F.col("doc_id") * 7919 % 100000).cast("int"), F.lit("2024-01-01").cast("timestamp")))
+    cut = V.context_pack(dated, "source", "lang", "text", 2000, 4000, "modified").withColumnRenamed("context", "cut")
+    return V.context_pack(cut, "source", "lang", "text", None, None).select("doc_id", F.md5("cut").alias("context_md5"), F.md5("context").alias("whole_md5"))
 
 
 @query(r"""
@@ -481,9 +540,16 @@ def cnv7_extract_links(spark, d):
     return V.extract_links(turns)
 
 
-@query()
+@query("WITH " + CHATS_SQL + r""",
+    t AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS turns FROM turns WHERE role IN ('user', 'model') GROUP BY conv_id),
+    a AS (SELECT conv_id, list({'path': 'c:/' || turn || '.pdf', 'title': left(text, 9)} ORDER BY turn) AS files FROM turns WHERE turn % 3 = 1 GROUP BY conv_id)
+    SELECT h.conv_id, sha256(to_json({'attachments': coalesce(files, []), 'title': h.title, 'title_custom': h.conv_id % 4 = 0, 'turns': coalesce(turns, [])})::VARCHAR) AS digest
+    FROM headers h LEFT JOIN t USING (conv_id) LEFT JOIN a USING (conv_id)""")
 def cnv8_content_digest(spark, d):
-    return V.content_digest(*chats(spark, d))
+    """Digests of conversations of which every fourth has a chosen title, and every third turn brings a file."""
+    turns, headers = chats(spark, d)
+    files = turns.where("turn % 3 = 1").select("conv_id", F.col("turn").alias("pos"), F.concat(F.lit("c:/"), F.col("turn").cast("string"), F.lit(".pdf")).alias("path"), F.substring("text", 1, 9).alias("title"))
+    return V.content_digest(turns, headers.withColumn("title_custom", F.col("conv_id") % 4 == 0), files)
 
 
 def digests(spark, d):
@@ -511,10 +577,14 @@ def cnv10_stable_keys(spark, d):
     return table(spark, d, "pages").select("page_id", key.alias("key"), V.message_key(path, F.col("page_id") % 5).alias("message_key"))
 
 
-@query("WITH " + CHATS_SQL + r""", b AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'Tu' ELSE 'Gemini' END || ':' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn) AS b FROM turns GROUP BY conv_id)
-    SELECT conv_id, md5(title || chr(10) || strftime(updated, '%d/%m/%Y %H:%M') || chr(10) || chr(10) || b) AS transcript_md5 FROM headers JOIN b USING (conv_id)""")
+@query("WITH " + CHATS_SQL + r""", b AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'Tu' ELSE 'Gemini' END || ':' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn) AS b,
+        arg_max('m' || turn % 5, turn) FILTER (WHERE role = 'model' AND turn % 4 <> 3) AS model FROM turns GROUP BY conv_id)
+    SELECT conv_id, md5(title || chr(10) || strftime(updated, '%d/%m/%Y %H:%M') || coalesce(chr(10) || 'Modello: ' || model, '') || chr(10) || chr(10) || b) AS transcript_md5 FROM headers JOIN b USING (conv_id)""")
 def cnv11_render_transcript(spark, d):
-    return V.render_transcript(*chats(spark, d)).select("conv_id", F.md5("transcript").alias("transcript_md5"))
+    """Transcripts of turns of which some tell their model."""
+    turns, headers = chats(spark, d)
+    model = F.when(F.col("turn") % 4 == 3, "").otherwise(F.concat(F.lit("m"), (F.col("turn") % 5).cast("string")))
+    return V.render_transcript(turns.withColumn("model", model), headers).select("conv_id", F.md5("transcript").alias("transcript_md5"))
 
 
 @query("WITH " + CHATS_SQL + r""" SELECT conv_id::VARCHAR || '/' || t AS name, first_value(conv_id) OVER (PARTITION BY lower(t) ORDER BY conv_id % 4 = 0 DESC, updated DESC, conv_id) AS conv_id
