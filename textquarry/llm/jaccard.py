@@ -288,15 +288,16 @@ def _cross(percent: int, partners: int | None):
     return run
 
 
-def dealt(rows: DataFrame, bits: DataFrame, width: int, block: int) -> DataFrame:
-    """Rows (token, node, n, pos, comp) for `_cross`: those of a token are a unit; more than `block` of them are cut into blocks by hash, and each block with itself and each two blocks are units, so that no task holds more than two. Bitmaps (node, bits) go along as rows of their own, once per node and slot of units."""
+def dealt(rows: DataFrame, bits: DataFrame, width: int, block: int, every: bool = True) -> DataFrame:
+    """Rows (token, node, n, pos, comp) for `_cross`: those of a token are a unit; more than `block` of them are cut into blocks by hash, and each block with itself and each two blocks are units, so that no task holds more than two; blocks meet themselves alone unless `every`. Bitmaps (node, bits) go along as rows of their own, once per node and slot of units."""
     role = lambda i, j, r: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(r).alias("role"))
     rows = cut(rows, "jaccard-rows")
     large = rows.groupBy("token").count().where(F.col("count") > block).select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     split = rows.join(broadcast_if(cut(large, "jaccard-large")), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     split = split.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
     own = F.col("own")
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.when(k == own, role(own, own, 2)).when(k < own, role(k, own, 1)).otherwise(role(own, k, 0)))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1) if every else F.array(own)
+    met = F.transform(others, lambda k: F.when(k == own, role(own, own, 2)).when(k < own, role(k, own, 1)).otherwise(role(own, k, 0)))
     units = split.withColumn("met", F.explode(met)).withColumn("unit", F.xxhash64("token", "met.i", "met.j"))
     units = units.select(F.pmod("unit", F.lit(width)).cast("int").alias("slot"), "unit", "node", "n", "pos", "comp", "met.role")
     units = cut(units, "jaccard-units")
@@ -420,7 +421,7 @@ def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
     return cut(found.select("node", F.coalesce("top", "comp").alias("comp")), "jaccard-labels")
 
 
-def _meeting(postings: DataFrame, classes: DataFrame, labels: DataFrame, width: int, block: int) -> DataFrame:
+def _meeting(postings: DataFrame, classes: DataFrame, labels: DataFrame, width: int, block: int, every: bool) -> DataFrame:
     """`dealt` rows of postings, and of groups of several sets, where different components meet."""
     nodes = classes.select("group", "node", "n").join(labels, "node")
     own = nodes.select(F.col("group").alias("token"), "group", F.lit(0).alias("pos"), "comp")
@@ -430,7 +431,7 @@ def _meeting(postings: DataFrame, classes: DataFrame, labels: DataFrame, width:
     mixed = cut(mixed, "jaccard-mixed")
     entries = postings.select("token", "group", "pos").union(classes.select(F.col("group").alias("token"), "group", F.lit(0).alias("pos")).distinct())
     entries = entries.join(broadcast_if(mixed), "token", "left_semi")
-    return dealt(entries.join(nodes, "group").select("token", "node", "n", "pos", "comp"), classes, width, block)
+    return dealt(entries.join(nodes, "group").select("token", "node", "n", "pos", "comp"), classes, width, block, every)
 
 
 def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, block: int = MEETING) -> DataFrame:
@@ -483,7 +484,7 @@ def components_of(docs: DataFrame, n: int, percent: int, block: int = MEETING) -
 
     labels = _relabelled(classes.select("node", F.col("node").alias("comp")).distinct(), first)
     for partners in (PARTNERS, None):
-        crossed = _meeting(postings, classes, labels, width, block).mapInArrow(_cross(percent, partners), "a long, b long")
+        crossed = _meeting(postings, classes, labels, width, block, partners is None).mapInArrow(_cross(percent, partners), "a long, b long")
         links = verified(crossed, classes, docs, n, percent)
         over = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("comp_b")), "b")
         labels = _relabelled(labels, components(over.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))))

@@ -168,9 +168,11 @@ def sketch_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, s
         owned = postings.join(labels, "node")
         mixed = cut(owned.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "sketch-mixed")
         postings = cut(postings.join(broadcast_if(mixed), "token", "left_semi"), "sketch-left")
-        rows = postings.join(labels, "node").select("token", "node", "n", F.lit(0).alias("pos"), "comp")
+        # partners are looked for under a quarter of the keys, which is enough for large groups to form
+        asked = postings if partners is None else postings.where(F.pmod(F.xxhash64("token"), F.lit(4)) == 0)
+        rows = asked.join(labels, "node").select("token", "node", "n", F.lit(0).alias("pos"), "comp")
         width = exchange_width(spark, postings.count(), ROWS_A_TASK)
-        crossed = dealt(rows, classes, width, block).mapInArrow(_cross(percent, partners), "a long, b long")
+        crossed = dealt(rows, classes, width, block, partners is None).mapInArrow(_cross(percent, partners), "a long, b long")
         labels = _relabelled(labels, verified(crossed, classes, docs, n, percent))
 
     final = classes.join(labels, "node").withColumnRenamed("comp", "top")
