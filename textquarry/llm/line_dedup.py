@@ -59,10 +59,15 @@ def block_keys(table: pa.Table, least: int) -> tuple[list[list[bytes | None]], n
 
 
 ASKED = pa.schema({"slice": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "often": pa.binary()})
-ANSWERED = pa.schema({"slice": pa.int32(), "block": pa.int64(), "twice": pa.binary()})
+ANSWERED = pa.schema({"slice": pa.int32(), "block": pa.int64(), "twice": pa.binary(), "sign": pa.int64()})
 SUSPECTED = pa.schema({"line_doc": pa.int64(), "line_text": pa.int64(), "line_no": pa.int32(), "line_key": pa.string()})
 
 
+def signs(keys: list[np.ndarray]) -> np.ndarray:
+    """A number for each set of keys, by which both ends of an answer know that they mean the same ones."""
+    return np.array([np.bitwise_xor.reduce(k, initial=U(len(k))) for k in keys], U).view(np.int64)
+
+
 def _ask(bits: int, least: int):
     """A block's hashes for the owners of 2**bits slices."""
 
@@ -91,7 +96,7 @@ def _answer(size: int | None):
             put(twice, at[:, np.unpackbits(np.frombuffer(often, np.uint8))[: len(own)].astype(bool) | held(once, at)])
             put(once, at)
         told = [np.packbits(held(twice, positions(own, bits))).tobytes() for own in keys]
-        return pa.table([table.column("slice"), table.column("block"), pa.array(told, pa.binary())], schema=ANSWERED)
+        return pa.table([table.column("slice"), table.column("block"), pa.array(told, pa.binary()), pa.array(signs(keys))], schema=ANSWERED)
 
     return run
 
@@ -105,6 +110,9 @@ def _suspect(bits: int, least: int):
         told = answers.sort_by("slice")
         part = (hashes >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
         sizes = np.bincount(part, minlength=1 << bits)
+        own = [x for x in np.split(hashes, np.cumsum(sizes)[:-1]) if len(x)]
+        if signs(own).tolist() != told.column("sign").to_pylist():
+            raise RuntimeError("the rows of a block are not those that asked: its documents must not change between reads")
         flags = [np.unpackbits(np.frombuffer(t, np.uint8))[: sizes[k]] for k, t in zip(told.column("slice").to_pylist(), told.column("twice").to_pylist(), strict=True)]
         twice = {*hashes[np.concatenate([*flags, np.empty(0, np.uint8)]).astype(bool)].tolist()}
         rows = [(i, no, k) for i, own in enumerate(keys) for no, k in enumerate(own) if k is not None and xxhash.xxh3_64_intdigest(k) in twice] if twice else []
@@ -147,7 +155,7 @@ def suspected_lines(rows: DataFrame, least: int, bits: int | None = None) -> Dat
     block = F.pmod(F.xxhash64("line_doc", "line_text", F.spark_partition_id()), F.lit(blocks))
     dealt = rows.withColumn("block", block).repartition(exchange_width(spark, size, BLOCK_BYTES), "block")
     asked = dealt.groupBy("block").applyInArrow(_ask(slices, least), "slice int, block long, keys binary, often binary")
-    answered = asked.groupBy("slice").applyInArrow(_answer(bits), "slice int, block long, twice binary")
+    answered = asked.groupBy("slice").applyInArrow(_answer(bits), "slice int, block long, twice binary, sign long")
     suspects = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_suspect(slices, least), "line_doc long, line_text long, line_no int, line_key string")
     return cut(suspects, "line-suspects")
 
