@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,32 @@ def test_pipeline_on_odd_rows(spark, tmp_path, odd, labels):
     assert {p["doc_id"] for p in pieces} >= {0, 10, 11, None}
     assert math.fsum(p["length"] for p in pieces) > 0
 
+
+
+def test_runs_of_combining_marks_are_no_place_to_splice(spark):
+    """Marks that normalisation reorders over more than the margin: the overlap widens past them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    run = "".join("̣́"[k % 2] for k in range(150))
+    texts = [("a" + run + " parola ") * 6 + "fine", "parola corta " * 90 + "b" + run + " fine " * 80, "semplice parola " * 100]
+    assert tokens.long_run_of_marks(texts[0]) and not tokens.long_run_of_marks("á" * 100)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(table, path, huge=200, chunk=600, overlap=160).collect()}
+    assert got == dict(enumerate(tokens.count_whole(path, [t.encode() for t in texts])))
+
+
+def test_portions_follow_bytes_and_rows():
+    texts = ["x" * n for n in (5, 1, 1, 20, 1, 1, 1, 1, 9)] + [None, ""]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())})
+    parts = [p.column(1).to_pylist() for p in packing.portions(batch, most=3, size=10)]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(len(t or "") for t in p) <= 10) for p in parts) and len(parts) == 5
+
+
+def test_many_rows_alike_are_dealt_to_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(line_dedup, "BLOCK_BYTES", 2000)
+    table = spark.createDataFrame([(1, "una riga che si ripete\nun'altra che resta")] * 400 + [(2, "una riga che si ripete")], "doc_id long, text string").repartition(4).cache()
+    scores = {(r["doc_id"], round(r["log_score"], 6)) for r in scoring.backoff_scores(table).collect()}
+    assert len(scores) == 2
+    lines = [(r["doc_id"], r["n_dropped"]) for r in line_dedup.dedup_lines(table).collect()]
+    assert sorted(lines) == [(1, 0)] * 400 + [(2, 1)]

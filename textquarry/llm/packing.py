@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from ._words import claim, remembers
 from .tokens import Memo, tokenizer
 
 SIZE, GROUP = 2048, 1 << 21
-BATCH = 512  # documents tokenized at a time
+BATCH, BATCH_BYTES = 512, 8 << 20  # documents tokenized at a time, and about how many bytes of text
 REMEMBERED = 96 << 20  # bytes of units that a worker remembers in each of two generations
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 WHITE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -107,6 +108,18 @@ def assign(lengths: list[int], size: int = SIZE, linear: float = LINEAR, quadrat
     return pieces
 
 
+def portions(batch: pa.RecordBatch, most: int = BATCH, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch (doc_id, text) of at most `most` rows and about `size` bytes of text, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        over = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        end = min(at + most, max(over, at + 1))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _pack(path: str, end_id: int, size: int, group: int, linear: float, quadratic: float, remembered: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("packing")
@@ -134,8 +147,7 @@ def _pack(path: str, end_id: int, size: int, group: int, linear: float, quadrati
                 rows.clear()
 
         for batch in parts:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
+            for part in portions(batch):
                 docs, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(docs, token_ids(path, texts, remembered), strict=True):
                     ids += packed_ids([end_id])

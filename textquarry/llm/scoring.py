@@ -1,6 +1,6 @@
 """Language-model scores by stupid backoff.
 
-Documents are dealt into blocks by a hash. A block explodes its texts into
+Documents are dealt into blocks by a hash, rows alike as they are read. A block explodes its texts into
 n-grams and asks for the counts of its distinct ones: one row per block, order
 and range of hashes, the hashes and the block's own counts as packed columns.
 Grouped by range, the rows are the n-gram count table of that range; summing
@@ -84,7 +84,7 @@ def _ask(order: int, bits: int):
 
 
 ASKED = pa.schema({"gram": pa.int32(), "part": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "counts": pa.binary()})
-ANSWERED = pa.schema({"gram": pa.int32(), "part": pa.int32(), "block": pa.int64(), "counts": pa.binary()})
+ANSWERED = pa.schema({"gram": pa.int32(), "part": pa.int32(), "block": pa.int64(), "counts": pa.binary(), "sign": pa.int64()})
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -93,7 +93,8 @@ def _answer(table: pa.Table) -> pa.Table:
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, weights=own).astype(np.int64)[at]
     parts = np.split(total, np.cumsum([len(k) for k in keys])[:-1])
-    return pa.table([table.column("gram"), table.column("part"), table.column("block"), pa.array([pack_counts(p) for p in parts], pa.binary())], schema=ANSWERED)
+    sign = np.array([np.bitwise_xor.reduce(k) for k in keys], U).view(np.int64)
+    return pa.table([table.column("gram"), table.column("part"), table.column("block"), pa.array([pack_counts(p) for p in parts], pa.binary()), pa.array(sign)], schema=ANSWERED)
 
 
 SCORED = pa.schema({"doc_id": pa.int64(), "n_words": pa.int64(), "log_score": pa.float64()})
@@ -105,15 +106,21 @@ def _score(order: int, backoff: float, least: int, total: int):
         words, counts = hash_words(texts_of(docs))
         order_rows = answers.sort_by([("gram", "ascending"), ("part", "ascending")])
         by_gram: dict[int, list[np.ndarray]] = {}
-        for k, c in zip(order_rows.column("gram").to_pylist(), order_rows.column("counts").to_pylist(), strict=True):
+        signs: dict[int, int] = {}
+        for k, c, sign in zip(*(order_rows.column(x).to_pylist() for x in ("gram", "counts", "sign")), strict=True):
             by_gram.setdefault(k, []).append(unpack_counts(c))
+            signs[k] = signs.get(k, 0) ^ sign
         held = np.zeros((order, len(words)))  # count of the k-gram that ends at each word
         score = np.empty(0)
         for k in range(1, order + 1):
             keys, last = grams(words, counts, k)
             if not len(keys):
                 continue
-            held[k - 1, last] = np.concatenate(by_gram[k])[np.unique(keys, return_inverse=True)[1]]
+            distinct, at = np.unique(keys, return_inverse=True)
+            counted = np.concatenate(by_gram[k])
+            if len(counted) != len(distinct) or int(np.bitwise_xor.reduce(distinct).view(np.int64)) != signs[k]:
+                raise RuntimeError("the rows of a block are not those that asked: its documents must not change between reads")
+            held[k - 1, last] = counted[at]
             if k == 1:
                 score = np.log(held[0] / total)
                 continue
@@ -143,10 +150,10 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     size = text_bytes(docs)
     blocks = max(1, -(-size // BLOCK_BYTES))
     bits = max(0, (-(-size // RANGE_BYTES) - 1).bit_length())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).alias("block"))
     dealt = rows.repartition(exchange_width(spark, size, BLOCK_BYTES), "block")
     asked = dealt.groupBy("block").applyInArrow(_ask(order, bits), "gram int, part int, block long, keys binary, counts binary")
-    answered = asked.groupBy("part", "gram").applyInArrow(_answer, "gram int, part int, block long, counts binary")
+    answered = asked.groupBy("part", "gram").applyInArrow(_answer, "gram int, part int, block long, counts binary, sign long")
     total = docs.agg(F.sum(word_count(F.col("text")))).first()[0] or 1
     scored = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(order, backoff, least, total), "doc_id long, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.col("log_score") / F.nullif("n_words", F.lit(0)))

@@ -7,7 +7,9 @@ the same place in their overlap, MARGIN away from either end. Such a place is
 proven stable: the tokenizer's pattern reads left to right without looking
 back, and nothing that it looks ahead for (or a special string) is longer than
 MARGIN, so before it the left chunk, and after it the right chunk, hold the
-tokens of the whole text. Documents whose chunks share no such place (a word
+tokens of the whole text. Normalisation may reorder combining marks within a run
+of them, however long, so an overlap with a run of more than half of MARGIN has
+no stable place. Documents whose chunks share no such place (a word
 longer than the overlap) are cut anew with an overlap 16 times as wide, until
 the whole document is one chunk.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -111,6 +114,18 @@ CHUNK_SCHEMA = pa.schema({"id": pa.int64(), "hash": pa.int64(), "no": pa.int32()
 ZONES = "left_at array<long>, left_n array<int>, right_at array<long>, right_n array<int>"
 
 
+def long_run_of_marks(zone: str) -> bool:
+    """Whether more than MARGIN / 2 combining marks follow one another."""
+    if zone.isascii():
+        return False
+    run = 0
+    for c in zone:
+        run = run + 1 if unicodedata.combining(c) else 0
+        if run > MARGIN // 2:
+            return True
+    return False
+
+
 def _encode(path: str, overlap: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("tokens")
@@ -120,7 +135,7 @@ def _encode(path: str, overlap: int):
                 words, starts = np.array(found.word_ids, object), np.array([a for a, _ in found.offsets], np.int64)
                 first = np.flatnonzero(words[1:] != words[:-1]) + 1  # tokens that start a pre-token
                 n = len(row["text"])
-                zones = [first[(starts[first] >= lo + MARGIN) & (starts[first] <= lo + overlap - MARGIN)] for lo in (0, n - overlap)]
+                zones = [first[(starts[first] >= lo + MARGIN) & (starts[first] <= lo + overlap - MARGIN)] if not long_run_of_marks(row["text"][max(lo, 0) : max(lo + overlap, 0)]) else first[:0] for lo in (0, n - overlap)]
                 left, right = (zones[0] if row["no"] else zones[0][:0]), (zones[1][:0] if row["last"] else zones[1])
                 at = row.pop("at")
                 row.pop("text")
