@@ -1,8 +1,8 @@
 """Rolling hashes of the windows of a text, to find many strings in one pass.
 
-A string is keyed by its first 2, 4, 8 or 16 signs (as many as it has; one for
-a string of one sign), so that a text has windows of five lengths at most, however many
-strings there are and however long they are.
+A string is keyed by its first signs, up to 16, so that a text has windows of 16
+lengths at most, however many strings there are and however long they are; the
+hash of a window grows out of that of the window one sign shorter.
 """
 
 from __future__ import annotations
@@ -29,29 +29,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def key_length(n: int) -> int:
     """How many first signs key a string of n signs."""
-    return min(LONGEST, 1 << (n.bit_length() - 1))
+    return min(LONGEST, n)
 
 
-def window_hashes(codes: np.ndarray, length: int) -> np.ndarray:
-    """The hash of each window of `length` signs; none if there are fewer."""
-    n = len(codes) - length + 1
-    if n < 1:
-        return np.empty(0, U)
-    values = mix(codes.astype(U) + U(1))
-    out = np.zeros(n, U)
-    for k in range(length):
-        out = out * U(_BASE) + values[k : k + n]
-    return mix(out + U(length))
+def windows(codes: np.ndarray, lengths: set[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each piece of a text and each length: the length, where the piece starts, and the hashes of the windows that begin in it."""
+    for at in range(0, len(codes), PIECE):
+        values = mix(codes[at : at + PIECE + LONGEST - 1].astype(U) + U(1))
+        found = np.zeros(min(PIECE, len(codes) - at), U)
+        for k in range(max(lengths, default=0)):
+            found = found[: len(values) - k]
+            found = found * U(_BASE) + values[k : k + len(found)]
+            if k + 1 in lengths and len(found):
+                yield k + 1, at, mix(found + U(k + 1))
 
 
 def key_of(codes: np.ndarray) -> int:
     """The key of a string that is not empty."""
     length = key_length(len(codes))
-    return int(window_hashes(codes[:length], length)[0])
-
-
-def windows(codes: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """Starts of pieces of a text, and the hashes of the windows that begin in each, for every length."""
-    for length in lengths:
-        for at in range(0, max(1, len(codes) - length + 1), PIECE):
-            yield at, window_hashes(codes[at : at + PIECE + length - 1], length)
+    return int(next(windows(codes[:length], {length}))[2][0])

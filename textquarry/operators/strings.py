@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import key_length, key_of, windows
+from ..functions.windows import LONGEST, key_length, key_of, windows
 from ..sources.shared import written
 
 BLOCK = 1 << 20  # strings of a filter
@@ -29,8 +29,8 @@ def _bits(keys: np.ndarray, size: int) -> np.ndarray:
     return np.stack([keys & np.uint64(size - 1), (keys >> np.uint64(32)) & np.uint64(size - 1)]).astype(np.int64)
 
 
-def _suspects(filter_, size: int, lengths: list[int], longest: int):
-    """Windows of texts whose key the filter holds, with what follows: id, key, tail; of a batch each once."""
+def _suspects(filter_, size: int, lengths: set[int], longest: int):
+    """Windows of texts whose key the filter holds, with what follows: id, key, tail; of a batch each once. A key of less than LONGEST signs is the whole string, so its first place in a text is enough."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.unpackbits(np.frombuffer(filter_.value, np.uint8), bitorder="little").astype(bool)
@@ -45,10 +45,16 @@ def _suspects(filter_, size: int, lengths: list[int], longest: int):
             weight = 0
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 text = text or b""
-                for at, keys in windows(np.frombuffer(text, np.uint8), lengths):
-                    for k in np.flatnonzero(held[_bits(keys, size)].all(axis=0)).tolist():
-                        tail = text[at + k : at + k + longest]
-                        rows.add((name, int(keys[k : k + 1].view(np.int64)[0]), tail))
+                for length, at, keys in windows(np.frombuffer(text, np.uint8), lengths):
+                    first, second = _bits(keys, size)
+                    hits = np.flatnonzero(held[first])
+                    hits = hits[held[second[hits]]]
+                    reach = longest if length == LONGEST else length
+                    if length < LONGEST:
+                        hits = hits[np.unique(keys[hits], return_index=True)[1]]
+                    for k, key in zip(hits.tolist(), keys[hits].view(np.int64).tolist(), strict=True):
+                        tail = text[at + k : at + k + reach]
+                        rows.add((name, key, tail))
                         weight += len(tail) + 60
                     if weight > WEIGHT:
                         yield out()
@@ -81,7 +87,7 @@ def strings_held(texts: DataFrame, strings: DataFrame, block: int = BLOCK) -> Da
         bits = np.zeros(size, bool)
         bits[_bits(keys, size).ravel()] = True
         filter_ = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
-        met = texts.mapInArrow(_suspects(filter_, size, sorted(facts["lengths"]), facts["longest"]), "id string, key long, tail binary").join(part, "key")
+        met = texts.mapInArrow(_suspects(filter_, size, {*facts["lengths"]}, facts["longest"]), "id string, key long, tail binary").join(part, "key")
         found = met.where(F.startswith("tail", F.col("bytes"))).select("id", "string")
         out = found if out is None else out.union(found)
     return texts.select("id", F.col("text").alias("string")).limit(0) if out is None else out.distinct()

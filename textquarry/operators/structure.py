@@ -104,7 +104,7 @@ class Titles:
             by_key.setdefault(key_of(_codes(g)), {}).setdefault(len(g), set()).add(g)
         keys = np.sort(np.array([*by_key], np.uint64))
         self.at: dict[str, list[int]] = {}
-        for start, hashes in windows(_codes(letters), sorted({key_length(len(g)) for g in glued.values() if g})):
+        for _, start, hashes in windows(_codes(letters), {key_length(len(g)) for g in glued.values() if g}):
             near = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
             for k in np.flatnonzero(keys[near] == hashes).tolist():
                 for n, names in by_key[int(hashes[k])].items():
