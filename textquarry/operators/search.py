@@ -288,9 +288,11 @@ def run_profiles(docs: DataFrame, profiles: DataFrame, text_col: str = "text", p
     pairs = written(strings_held(texts, own.select(F.explode("__asked")), most), "profile-terms")
     often = pairs.groupBy("string").agg(F.count(F.lit(1)).alias("n"))
     rare = own.select("__profile", F.explode("__asked").alias("string")).join(often, "string").groupBy("__profile").agg(F.min_by("string", F.struct("n", "string")).alias("string"))
-    found = pairs.groupBy("id").agg(F.collect_set("string").alias("__found"))
-    met = pairs.join(rare, "string").join(found, "id").join(own.where("size(terms) > 0"), "__profile")
-    met = met.where(F.size(F.array_except("__asked", "__found")) == 0).drop("string", "__found")
+    met = pairs.join(rare, "string").select("id", "__profile", F.col("string").alias("__rare"))
+    rest = own.join(rare, "__profile").select("__profile", F.explode(F.filter("__asked", lambda t: t != F.col("string"))).alias("string"), (F.size("__asked") - 1).alias("__n"))
+    held = met.join(rest, "__profile").join(pairs, ["id", "string"]).groupBy("id", "__profile").agg(F.count(F.lit(1)).alias("held"), F.first("__n").alias("__n")).where("held = __n")
+    alone = met.join(own.where(F.size("__asked") == 1).select("__profile"), "__profile", "left_semi")
+    met = alone.select("id", "__profile").union(held.select("id", "__profile")).join(own.where("size(terms) > 0"), "__profile")
     out = docs.withColumn("__id", F.md5(text_col)).join(met, F.col("__id") == F.col("id")).select(*docs.columns, *profiles.columns)
     out = out.where(filtered(out, profiles, path_col))
     asks = [f"coalesce(profile_{c}, '') NOT IN ('', '*', '*.*')" for c in FILTERS if path_col is not None and f"profile_{c}" in profiles.columns]

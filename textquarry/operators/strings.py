@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import LONGEST, key_length, key_of, windows
+from ..functions.windows import LONGEST, KeyFilter, key_length, key_of, windows
 from ..sources.shared import written
 
 BLOCK = 1 << 20  # strings of a filter
@@ -24,16 +24,11 @@ def _keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bare, pa.binary()), pa.array(keys, pa.int64()), pa.array([key_length(len(b)) for b in bare], pa.int32())], ["string", "bytes", "key", "length"])
 
 
-def _bits(keys: np.ndarray, size: int) -> np.ndarray:
-    """Two places of each key in a filter of a power of two of bits."""
-    return np.stack([keys & np.uint64(size - 1), (keys >> np.uint64(32)) & np.uint64(size - 1)]).astype(np.int64)
-
-
-def _suspects(filter_, size: int, lengths: set[int], longest: int):
+def _suspects(filter_, lengths: set[int], longest: int):
     """Windows of texts whose key the filter holds, with what follows: id, key, tail; of a batch each once. A key of less than LONGEST signs is the whole string, so its first place in a text is enough."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(np.frombuffer(filter_.value, np.uint8), bitorder="little").astype(bool)
+        held = KeyFilter.unpacked(*filter_.value)
         rows: set[tuple[str, int, bytes]] = set()
 
         def out() -> pa.RecordBatch:
@@ -46,9 +41,9 @@ def _suspects(filter_, size: int, lengths: set[int], longest: int):
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 text = text or b""
                 for length, at, keys in windows(np.frombuffer(text, np.uint8), lengths):
-                    first, second = _bits(keys, size)
-                    hits = np.flatnonzero(held[first])
-                    hits = hits[held[second[hits]]]
+                    hits = held.among(keys)
+                    if not len(hits):
+                        continue
                     reach = longest if length == LONGEST else length
                     if length < LONGEST:
                         hits = hits[np.unique(keys[hits], return_index=True)[1]]
@@ -70,7 +65,7 @@ def strings_held(texts: DataFrame, strings: DataFrame, block: int = BLOCK) -> Da
     Strings are keyed by a rolling hash of their first signs. Texts send on only
     windows whose hash is in a Bloom filter of the keys, with the signs that
     follow; these meet the strings by key and are compared. A filter is for
-    about `block` strings (2 MB); more take further filters and passes over the
+    about `block` strings (4 MB); more take further filters and passes over the
     texts. Null and empty strings stand in nothing.
     """
     spark = texts.sparkSession
@@ -83,11 +78,8 @@ def strings_held(texts: DataFrame, strings: DataFrame, block: int = BLOCK) -> Da
     for k in range(blocks):
         part = keyed.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k)
         keys = np.ascontiguousarray(part.select("key").distinct().toArrow().column("key").to_numpy()).view(np.uint64)
-        size = 1 << max(10, (16 * len(keys)).bit_length())
-        bits = np.zeros(size, bool)
-        bits[_bits(keys, size).ravel()] = True
-        filter_ = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
-        met = texts.mapInArrow(_suspects(filter_, size, {*facts["lengths"]}, facts["longest"]), "id string, key long, tail binary").join(part, "key")
+        filter_ = spark.sparkContext.broadcast(KeyFilter(keys).packed())
+        met = texts.mapInArrow(_suspects(filter_, {*facts["lengths"]}, facts["longest"]), "id string, key long, tail binary").join(part, "key")
         found = met.where(F.startswith("tail", F.col("bytes"))).select("id", "string")
         out = found if out is None else out.union(found)
     return texts.select("id", F.col("text").alias("string")).limit(0) if out is None else out.distinct()

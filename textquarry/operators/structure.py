@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import running
 from ..functions.text import collapse_ws, head_of
-from ..functions.windows import key_length, key_of, windows
+from ..functions.windows import KeyFilter, key_length, key_of, windows
 from .strings import BLOCK, strings_held
 
 INDEX_LINE = r"(?m)([^\n.][^\n]{0,58}?[^\n. ])\s*\.{2,}[. ]*\s*(\d{1,4})\b"
@@ -102,12 +102,12 @@ class Titles:
         by_key: dict[int, dict[int, set[str]]] = {}
         for g in {*glued.values()} - {""}:
             by_key.setdefault(key_of(_codes(g)), {}).setdefault(len(g), set()).add(g)
-        keys = np.sort(np.array([*by_key], np.uint64))
+        held = KeyFilter(np.array([*by_key], np.uint64))
         self.at: dict[str, list[int]] = {}
         for _, start, hashes in windows(_codes(letters), {key_length(len(g)) for g in glued.values() if g}):
-            near = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            for k in np.flatnonzero(keys[near] == hashes).tolist():
-                for n, names in by_key[int(hashes[k])].items():
+            hits = held.among(hashes)
+            for k, key in zip(hits.tolist(), hashes[hits].tolist(), strict=True):
+                for n, names in by_key.get(key, {}).items():
                     g = letters[start + k : start + k + n]
                     if g in names:
                         self.at.setdefault(g, []).append(start + k)
