@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.windows import LONGEST, KeyFilter, key_length, key_of, windows
 from ..sources.shared import written
 
-BLOCK = 1 << 20  # strings of a filter
+BLOCK = 1 << 19  # strings of a filter
 WEIGHT = 8 << 20
 
 
@@ -65,7 +65,7 @@ def strings_held(texts: DataFrame, strings: DataFrame, block: int = BLOCK) -> Da
     Strings are keyed by a rolling hash of their first signs. Texts send on only
     windows whose hash is in a Bloom filter of the keys, with the signs that
     follow; these meet the strings by key and are compared. A filter is for
-    about `block` strings (4 MB); more take further filters and passes over the
+    about `block` strings (4 MB at most); more take further filters and passes over the
     texts. Null and empty strings stand in nothing.
     """
     spark = texts.sparkSession
