@@ -212,17 +212,6 @@ def test_pipeline_on_odd_rows(spark, tmp_path, odd, labels):
 
 
 
-def test_runs_of_combining_marks_are_no_place_to_splice(spark):
-    """Marks that normalisation reorders over more than the margin: the overlap widens past them."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    run = "".join("̣́"[k % 2] for k in range(150))
-    texts = [("a" + run + " parola ") * 6 + "fine", "parola corta " * 90 + "b" + run + " fine " * 80, "semplice parola " * 100]
-    assert tokens.long_run_of_marks(texts[0]) and not tokens.long_run_of_marks("á" * 100)
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(table, path, huge=200, chunk=600, overlap=160).collect()}
-    assert got == dict(enumerate(tokens.count_whole(path, [t.encode() for t in texts])))
-
-
 def test_portions_follow_bytes_and_rows():
     texts = ["x" * n for n in (5, 1, 1, 20, 1, 1, 1, 1, 9)] + [None, ""]
     batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())})
