@@ -32,14 +32,15 @@ def _suspects(filter_, lengths: set[int], longest: int):
         rows: set[tuple[str, int, bytes]] = set()
 
         def out() -> pa.RecordBatch:
-            names, keys, tails = zip(*rows, strict=True) if rows else [()] * 3
+            ids, keys, tails = zip(*rows, strict=True) if rows else [()] * 3
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.int64()), pa.array(tails, pa.binary())], ["id", "key", "tail"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.int64()), pa.array(tails, pa.binary())], ["id", "key", "tail"])
 
         for batch in parts:
             weight = 0
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                text = text or b""
+            names, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            for row in range(batch.num_rows):
+                name, text = names[row].as_py(), texts[row].as_py() or b""
                 for length, at, keys in windows(np.frombuffer(text, np.uint8), lengths):
                     hits = held.among(keys)
                     if not len(hits):

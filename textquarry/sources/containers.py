@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import batches, rows_of
+
 ARCHIVE_CAP, MEMBER_CAP, OFFICE_CAP, MEMBERS = 80 << 20, 4 << 20, 25 << 20, 400
 STRETCH = 16 << 20  # bytes of a container that one task reads in a row
-BATCH = 8 << 20
 #: Extensions of archive members that are text.
 TEXT_EXTS = (
     "txt", "log", "csv", "md", "rtf", "html", "htm", "xml", "json", "jsonl", "yml", "yaml", "ini", "cfg", "conf", "tsv", "py", "js", "ts", "css", "sql", "bat", "ps1", "sh", "tex", "bib",
@@ -76,40 +77,26 @@ def _wanted(archive: zipfile.ZipFile, rule: Rule) -> Iterator[tuple[int, str, zi
         yield taken, name, info
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows whose last field is bytes, in batches of about BATCH bytes."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row[-1]) + 200
-        if size > BATCH:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-
-
 MEMBER_SCHEMA = pa.schema({"path": pa.string(), "kind": pa.string(), "member": pa.string(), "pos": pa.int32(), "raw": pa.binary()})
 BAD = (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError, ValueError, zlib.error, struct.error, EOFError)
 
 
 def _unpack(rules: dict[str, Rule]):
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in parts:
-            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kind = kind_of_path(path)
+        for path, content in rows_of(parts):
+            kind = kind_of_path(path)
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(content))
+            except BAD:
+                continue
+            for pos, name, info in _wanted(archive, rules[kind]):
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
+                    yield path, kind, name, pos, archive.read(info)
                 except BAD:
                     continue
-                for pos, name, info in _wanted(archive, rules[kind]):
-                    try:
-                        yield path, kind, name, pos, archive.read(info)
-                    except BAD:
-                        continue
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(rows(parts), MEMBER_SCHEMA)
+        yield from batches(rows(parts), MEMBER_SCHEMA)
 
     return run
 
@@ -207,7 +194,7 @@ def _read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if file is not None:
                 file.close()
 
-    yield from _batches(rows(), MEMBER_SCHEMA)
+    yield from batches(rows(), MEMBER_SCHEMA)
 
 
 def read_members(spark: SparkSession, paths: list[str], rules: dict[str, Rule] | None = None, stretch: int = STRETCH) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -17,7 +18,7 @@ from ..functions.kinds import KINDS, kind_of
 from ..functions.markup import strip_html
 from ..functions.text import extension, strip_ws
 from .containers import ARCHIVE_CAP, MEMBER_CAP, MEMBERS, RULES, Rule, members_of, read_members
-from .shared import written
+from .shared import batches, rows_of, written
 
 TEXT_CAP, PDF_CAP = 40 << 20, 80 << 20
 OUTLINE, LINKS = 500, 500
@@ -340,29 +341,36 @@ def _decoded(payload: bytes, charset: str | None) -> str:
         return payload.decode("latin-1")
 
 
+MESSAGE = pa.schema(
+    {"path": pa.string(), "pos": pa.int64(), "subject": pa.string(), "sender": pa.string(), "date": pa.string(), "text": pa.string(), "html": pa.string(), "attachments": pa.list_(pa.string()), "n_pdf": pa.int32()}
+)
+
+
+def _message(path: str, pos: int, raw: bytes, payload_cap: int | None) -> tuple:
+    message = email.message_from_bytes(raw, policy=email.policy.default)
+    texts, attached, pdfs = [], [], 0
+    for part in message.walk():
+        if part.is_multipart():
+            continue
+        try:
+            payload = (part.get_payload(decode=True) or b"")[:payload_cap]
+        except (LookupError, ValueError):
+            payload = b""
+        name = part.get_filename()
+        if name or part.get_content_disposition() == "attachment":
+            attached.append(name or "")
+            pdfs += payload.startswith(b"%PDF")
+        elif part.get_content_maintype() == "text" and not payload.startswith(b"%PDF") and b"\0" not in payload:
+            texts.append((part.get_content_subtype(), _decoded(payload, part.get_content_charset())))
+    get = lambda h: str(message[h]) if message[h] is not None else ""
+    return path, pos, get("subject"), get("from"), get("date"), "\n".join(t for k, t in texts if k != "html"), "\n".join(t for k, t in texts if k == "html"), attached, pdfs
+
+
 def _mime(payload_cap: int | None):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for path, pos, raw in zip(pdf["path"], pdf["pos"], pdf["raw"], strict=True):
-                message = email.message_from_bytes(raw, policy=email.policy.default)
-                texts, attached, pdfs = [], [], 0
-                for part in message.walk():
-                    if part.is_multipart():
-                        continue
-                    try:
-                        payload = (part.get_payload(decode=True) or b"")[:payload_cap]
-                    except (LookupError, ValueError):
-                        payload = b""
-                    name = part.get_filename()
-                    if name or part.get_content_disposition() == "attachment":
-                        attached.append(name or "")
-                        pdfs += payload.startswith(b"%PDF")
-                    elif part.get_content_maintype() == "text" and not payload.startswith(b"%PDF") and b"\0" not in payload:
-                        texts.append((part.get_content_subtype(), _decoded(payload, part.get_content_charset())))
-                get = lambda h: str(message[h]) if message[h] is not None else ""  # noqa: E731, B023
-                rows.append((path, pos, get("subject"), get("from"), get("date"), "\n".join(t for k, t in texts if k != "html"), "\n".join(t for k, t in texts if k == "html"), attached, pdfs))
-            yield pd.DataFrame(rows, columns=["path", "pos", "subject", "sender", "date", "text", "html", "attachments", "n_pdf"])
+    """Messages one at a time, handed on by a few megabytes."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches((_message(*row, payload_cap) for row in rows_of(parts)), MESSAGE, MESSAGE.names.index("text"))
 
     return run
 
@@ -382,7 +390,7 @@ def read_mailbox(spark: SparkSession, path: str, payload_cap: int | None = PAYLO
         at = F.position(F.lit(b"\n"), F.col("raw"))
         rest = F.substring("raw", at + 1, F.length("raw"))
         raw = lines.withColumn("pos", F.monotonically_increasing_id()).where(at > 0).select("path", "pos", rest.alias("raw")).where(F.length("raw") > 0)
-    return raw.mapInPandas(_mime(payload_cap), "path string, pos long, subject string, sender string, date string, text string, html string, attachments array<string>, n_pdf int")
+    return raw.mapInArrow(_mime(payload_cap), "path string, pos long, subject string, sender string, date string, text string, html string, attachments array<string>, n_pdf int")
 
 
 # --------------------------------------------------------------- JSON documents
