@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -109,32 +110,77 @@ def match_labels(df: DataFrame, labels_col: str, terms: list[str]) -> DataFrame:
     return match_ocr_tolerant(joined, "__labels", terms).drop("__labels")
 
 
-def _rows_of_page(page: pd.DataFrame) -> pd.DataFrame:
-    """Lines of one page: words by (y, x), a new row where y leaves the running mean of the row."""
-    words = page[page["t"].fillna("").str.strip() != ""].sort_values(["y", "x"], kind="stable")
-    heights = sorted(h for h in words["h"].dropna() if h > 0)
-    if heights:
+def _lines_of_page(words: list[str], x: np.ndarray, y: np.ndarray, h: np.ndarray) -> list[str]:
+    """Lines of one page of words by (y, x): a new row where y leaves the running mean of the row."""
+    heights = np.sort(h[h > 0])
+    if len(heights):
         height = heights[len(heights) // 2]
     else:  # guessed from the gaps between the distinct places of words
-        gaps = np.sort(np.diff(np.unique(words["y"].round(1))))
+        gaps = np.sort(np.diff(np.unique(y[~np.isnan(y)].round(1))))
         height = 0.7 * gaps[len(gaps) // 2] if len(gaps) else 20.0
-    slack = max(8.0, 0.65 * height)
-    rows: list[list[tuple[float, str]]] = []
-    mean, held = 0.0, 0
-    for t, x, y in zip(words["t"], words["x"], words["y"], strict=True):
-        if held and abs(y - mean) <= slack:
-            rows[-1].append((x, t))
-            mean, held = (mean * held + y) / (held + 1), held + 1
+    slack = max(8.0, 0.65 * float(height))
+    row, mean, held = [], 0.0, 0
+    at = -1
+    for v in y.tolist():
+        if held and abs(v - mean) <= slack:
+            mean, held = (mean * held + v) / (held + 1), held + 1
         else:
-            rows.append([(x, t)])
-            mean, held = y, 1
-    lines = [" ".join(t.strip() for _, t in sorted(r, key=lambda w: w[0])) for r in rows]
-    return pd.DataFrame({"page_id": [page["page_id"].iloc[0]] * len(lines), "line_no": range(1, len(lines) + 1), "line": lines})
+            at += 1
+            mean, held = v, 1
+        row.append(at)
+    row = np.array(row)
+    order = np.lexsort((x, row)).tolist()
+    ends = np.cumsum(np.bincount(row)).tolist()
+    words = [words[i] for i in order]
+    return [" ".join(words[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+LINE_SCHEMA = pa.schema({"page_id": pa.int64(), "line_no": pa.int32(), "line": pa.string()})
+
+
+def _pages(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of pages whose words come one page after another; a page may go on in the next batch."""
+    def lines(table: pa.Table) -> pa.RecordBatch:
+        words = [(t or "").strip() for t in table.column("t").to_pylist()]
+        inked = np.flatnonzero([t != "" for t in words])
+        page, (x, y, h) = table.column("page_id").combine_chunks(), (table.column(c).cast(pa.float64()).to_numpy() for c in "xyh")
+        known = page.is_valid().to_numpy(zero_copy_only=False)[inked]
+        ids = page.fill_null(0).to_numpy()[inked]
+        order = np.lexsort((x[inked], y[inked], ids, known))
+        inked, ids, known = inked[order], ids[order], known[order]
+        starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (known[1:] != known[:-1])]).tolist() if len(ids) else []
+        pages, numbers, out = [], [], []
+        for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
+            own = inked[a:b]
+            found = _lines_of_page([words[i] for i in own.tolist()], x[own], y[own], h[own])
+            pages += [int(ids[a]) if known[a] else None] * len(found)
+            numbers += range(1, len(found) + 1)
+            out += found
+        return pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(numbers, pa.int32()), pa.array(out, pa.string())], schema=LINE_SCHEMA)
+
+    held: list[pa.Table] = []
+    for batch in parts:
+        if not batch.num_rows:
+            continue
+        page, last = batch.column("page_id"), batch.column("page_id")[-1].as_py()
+        if held and held[-1].column("page_id")[-1].as_py() == last and page[0].as_py() == last:
+            held.append(pa.Table.from_batches([batch]))
+            continue
+        same = (pc.equal(page, last) if last is not None else page.is_null()).fill_null(False).to_numpy(zero_copy_only=False)
+        begin = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        whole = pa.concat_tables([*held, pa.Table.from_batches([batch.slice(0, begin)])])
+        held = [pa.Table.from_batches([batch.slice(begin)])]
+        if whole.num_rows:
+            yield lines(whole)
+    if held:
+        yield lines(pa.concat_tables(held))
 
 
 def reading_order(words: DataFrame) -> DataFrame:
-    """page_id, line_no, line of word boxes (page_id, t, x, y, w, h)."""
-    return words.groupBy("page_id").applyInPandas(_rows_of_page, "page_id long, line_no int, line string")
+    """page_id, line_no, line of word boxes (page_id, t, x, y, w, h). Words are dealt by page and cross to Python in batches of many pages; a page's words must fit in memory."""
+    narrow = words.select(F.col("page_id").cast("long").alias("page_id"), "t", "x", "y", "h")
+    dealt = narrow.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id").sortWithinPartitions("page_id")
+    return dealt.mapInArrow(_pages, "page_id long, line_no int, line string")
 
 
 #: The signs that Unicode counts as white space.
