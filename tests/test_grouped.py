@@ -16,3 +16,14 @@ def test_a_page_goes_on_in_the_next_batch():
     for size in range(1, 9):
         parts = [words.slice(k, size) for k in range(0, 8, size)]
         assert [tuple(r.values()) for b in K._pages(iter(parts)) for r in b.to_pylist()] == want
+
+
+def test_marks_are_taken_many_documents_at_once(spark):
+    docs = spark.createDataFrame([(1, "uno\ndue\ntre" * 9), (2, "x")], "doc_key long, text string")
+    marks = spark.createDataFrame([(1, "1", 0, "uno", "", None, "", True)], "doc_key long, id string, pos int, anchor string, prefix string, saved timestamp, excerpt string, is_resume boolean")
+    new = docs.select("doc_key", F.explode(F.array(F.lit(3), F.lit(50))).alias("pos"), F.lit("2024-02-01").cast("timestamp").alias("saved")).where("doc_key = 1")
+    found = M.add_marks(marks, new, docs)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    rows = found.orderBy("place").collect()
+    assert [(r["id"], r["status"], r["saved"] is None) for r in rows] == [("1", "already", True), ("2", "added", False)]
+    assert found.schema["saved"].dataType.simpleString() == "timestamp"

@@ -5,7 +5,9 @@ A mark: doc_key, id, pos (0-based), anchor, prefix, saved, excerpt, is_resume.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +36,12 @@ def place_of(text: Column, pos: Column, anchor: Column, prefix: Column, most_hit
     )
 
 
-def resolve_marks(marks: DataFrame, docs: DataFrame, doc: str = "doc_key", text_col: str = "text") -> DataFrame:
-    """marks with place and outcome in the texts as they are now; a text that is gone counts as empty."""
+def resolve_marks(marks: DataFrame, docs: DataFrame, doc: str = "doc_key", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """marks with place and outcome in the texts as they are now, and these as `keep` if it is named; a text that is gone counts as empty."""
     joined = marks.join(docs.select(doc, F.col(text_col).alias("__text")), doc, "left")
     none = F.lit("")
     at = place_of(F.coalesce("__text", none), F.coalesce("pos", F.lit(0)).cast("int"), F.coalesce("anchor", none), F.coalesce("prefix", none))
-    return joined.withColumn("__at", at).select(*marks.columns, "__at.place", "__at.outcome")
+    return joined.withColumn("__at", at).select(*marks.columns, "__at.place", "__at.outcome", *([F.col("__text").alias(keep)] if keep else []))
 
 
 def excerpt_at(text: Column, pos: Column, limit: int = EXCERPT) -> Column:
@@ -62,7 +64,7 @@ def add_marks(marks: DataFrame, new: DataFrame, docs: DataFrame) -> DataFrame:
     marks are at most 100, so each is taken in turn in one group.
     """
     text = docs.select("doc_key", "text")
-    placed = resolve_marks(marks, docs).join(text, "doc_key", "left").withColumn("now", F.when(F.col("outcome") == "empty", "").otherwise(excerpt_at(F.coalesce("text", F.lit("")), F.col("place"))))
+    placed = resolve_marks(marks, docs, keep="text").withColumn("now", F.when(F.col("outcome") == "empty", "").otherwise(excerpt_at(F.coalesce("text", F.lit("")), F.col("place"))))
     placed = placed.withColumn("status", F.lit("old")).drop("outcome", "text")
     fresh = new.join(text, "doc_key")
     fresh = fresh.select(
@@ -72,11 +74,12 @@ def add_marks(marks: DataFrame, new: DataFrame, docs: DataFrame) -> DataFrame:
     )
     fields = ["doc_key", "id", "pos", "anchor", "prefix", "saved", "excerpt", "is_resume", "place", "status", "now"]
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[pdf["status"] == "old"].to_dict("records")
+    def take(every: list[dict]) -> list[dict]:
+        rows = [m for m in every if m["status"] == "old"]
         out = []
-        for m in pdf[pdf["status"] == "new"].sort_values("saved").to_dict("records"):
-            spot = next((r for r in rows if r["now"] and r["now"] == m["now"] or abs(r["place"] - m["pos"]) <= CLOSE), None)
+        close = lambda r, m: r["place"] is not None and m["pos"] is not None and abs(r["place"] - m["pos"]) <= CLOSE
+        for m in sorted((m for m in every if m["status"] == "new"), key=lambda m: (m["saved"] is None, m["saved"] or 0)):
+            spot = next((r for r in rows if r["now"] and r["now"] == m["now"] or close(r, m)), None)
             if spot is None and len(rows) >= PER_DOC:
                 out.append(m | {"status": "full"})
                 continue
@@ -88,11 +91,23 @@ def add_marks(marks: DataFrame, new: DataFrame, docs: DataFrame) -> DataFrame:
                 spot["status"] = "already"
             for r in rows:
                 r["is_resume"] = r is spot
-        return pd.DataFrame(rows + out, columns=fields)[fields[:-1]]
-
-    schema = "doc_key string, id string, pos int, anchor string, prefix string, saved timestamp, excerpt string, is_resume boolean, place int, status string"
-    every = placed.select(*fields).unionByName(fresh.select(*fields))
-    return every.withColumn("doc_key", F.col("doc_key").cast("string")).groupBy("doc_key").applyInPandas(take, schema)
+        return rows + out
+
+    own = fields[1:-1]
+    kinds = dict(id=pa.string(), pos=pa.int32(), anchor=pa.string(), prefix=pa.string(), saved=pa.int64(), excerpt=pa.string(), is_resume=pa.bool_(), place=pa.int32(), status=pa.string())
+    schema = pa.schema({"doc_key": pa.string()} | {c: kinds[c] for c in own})
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                rows = [{"doc_key": key} | m for key, every in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for m in take(every)]
+                yield pa.RecordBatch.from_pylist([{c: m[c] for c in schema.names} for m in rows], schema=schema)
+
+    every = placed.select(*fields).unionByName(fresh.select(*fields)).withColumn("saved", F.unix_micros("saved"))
+    grouped = every.groupBy(F.col("doc_key").cast("string").alias("doc_key")).agg(F.collect_list(F.struct(*fields[1:])).alias("marks"))
+    taken = grouped.mapInArrow(run, "doc_key string, id string, pos int, anchor string, prefix string, saved long, excerpt string, is_resume boolean, place int, status string")
+    return taken.withColumn("saved", F.timestamp_micros("saved"))
 
 
 def merge_marks(ours: DataFrame, theirs: DataFrame, most: int | None = PER_DOC) -> DataFrame:
