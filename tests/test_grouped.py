@@ -27,3 +27,11 @@ def test_marks_are_taken_many_documents_at_once(spark):
     rows = found.orderBy("place").collect()
     assert [(r["id"], r["status"], r["saved"] is None) for r in rows] == [("1", "already", True), ("2", "added", False)]
     assert found.schema["saved"].dataType.simpleString() == "timestamp"
+
+
+def test_only_lines_of_an_index_are_searched(spark):
+    text = "long prose without dots\nUno ....\n 3\nDue\n\n  ... 4\nTre .. 5 .. 6\nmore. prose 7\nend"
+    row = spark.range(1).select(F.lit(text).alias("text"), D.dotted(F.lit(text)).alias("left"))
+    assert row.first()["left"] == "-\nUno ....\n 3\nDue\n\n  ... 4\nTre .. 5 .. 6\nmore. prose 7\n-"
+    both = row.select(*[F.regexp_extract_all(c, F.lit(D.INDEX_LINE), F.lit(0)).alias(c) for c in ("text", "left")]).first()
+    assert both["text"] == both["left"] and len(both["text"]) == 3
