@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -15,93 +14,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.nearness import hold_nearly
 from ..functions.text import collapse_ws, ocr_fold, strip_ws
-from .search import match_ocr_exactly
+from .search import match_ocr_exactly, ocr_hits
 
-#: Letters that stylised print confuses, besides those equal after folding.
-ALIKE = {"a": "a4@w", "b": "b8", "e": "e3", "g": "g69", "i": "i1l|!", "o": "o0", "s": "s5$", "t": "t7", "u": "uv", "v": "vu", "w": "wa", "y": "yv", "z": "z2"}
 #: Words that stand for one another on greeting cards.
 SYNONYMS = {w: ("birthday", "compleanno", "happybirthday", "buoncompleanno") for w in ("birthday", "compleanno")}
-SLACK = ((6, 1, 1), (9, 2, 2))  # up to this length: edits allowed, slack of a window's length
-
-
-def alike(a: str, b: str) -> bool:
-    return a == b or a in ALIKE.get(b, b) or b in ALIKE.get(a, a)
-
-
-def near_prefix(window: str, term: str, lengths: range, most: int) -> bool:
-    """Whether a prefix of `window` with one of the lengths is within `most` edits of `term`; confusable letters are equal."""
-    row = list(range(len(term) + 1))
-    for i, c in enumerate(window, 1):
-        new = [i]
-        for j, t in enumerate(term, 1):
-            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (not alike(c, t))))
-        row = new
-        if i in lengths and row[-1] <= most:
-            return True
-        if min(row) > most:
-            return False
-    return False
-
-
-def letter_class(c: str) -> str:
-    """A pattern for all letters that are alike to c."""
-    return "[" + "".join(sorted(re.escape(x) for x in {*ALIKE.get(c, c), *(k for k, own in ALIKE.items() if c in own), c})) + "]"
-
-
-@functools.cache
-def pieces(term: str, edits: int) -> list[tuple[int, re.Pattern]]:
-    """The term in edits + 1 pieces and their places: of a text within that many edits at least one piece is whole."""
-    ends = [len(term) * k // (edits + 1) for k in range(edits + 2)]
-    return [(a, re.compile("(?=" + "".join(map(letter_class, term[a:b])) + ")")) for a, b in zip(ends, ends[1:], strict=False)]
-
-
-@functools.cache
-def shortened(term: str) -> re.Pattern:
-    """A pattern for the term with letters missing, either way round: at most 3 and 35 % of it, 5 left."""
-    n = len(term)
-    least = max(5, n - 3, int(n * 0.65))
-    forms = {"".join(w) for way in (term, term[::-1]) for w in itertools.combinations(way, least)}
-    return re.compile("|".join("".join(map(letter_class, f)) for f in sorted(forms)))
-
-
-def fuzzy_in(sign: str, term: str) -> bool:
-    """Second stage for one folded term: edit distance over windows, and pieces of the term with letters missing."""
-    n = len(term)
-    if n < 5:
-        return term in sign or term[::-1] in sign
-    edits, slack = next(((e, s) for top, e, s in SLACK if n <= top), (3, 2))
-    targets = [(term, edits)] + ([(term[:-1], min(1, edits))] if n >= 7 else [])
-    for target, most in targets:
-        lengths = range(max(4, len(target) - slack), len(target) + slack + 1)
-        starts = {i for at, piece in pieces(target, most) for m in piece.finditer(sign) for i in range(m.start() - at - most, m.start() - at + most + 1)}
-        for i in sorted(starts):
-            if 0 <= i < len(sign) and alike(sign[i], target[0]) and near_prefix(sign[i : i + lengths[-1]], target, lengths, most):
-                return True
-    return n >= 7 and shortened(term).search(sign) is not None
-
 
 def match_ocr_tolerant(df: DataFrame, text_col: str, terms: list[str], synonyms: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Rows whose recognised text holds every term, errors allowed; `stage` is 1 for an exact form and 2 for a fuzzy one.
 
-    Native forms decide first; only rows that they leave go to the windows in Python.
+    Native forms decide first, and texts are read once; only what they leave goes
+    to Python, where windows of many texts are compared side by side.
     """
     synonyms = SYNONYMS if synonyms is None else synonyms
     wanted = [[w for w in synonyms.get(t.lower(), (t.lower(),))] for t in terms if t]
-
-    @F.pandas_udf("boolean")
-    def fuzzy(sign: pd.Series, hits: pd.Series) -> pd.Series:
-        return pd.Series([all(h or any(fuzzy_in(s + s[::-1], w) for w in words) for h, words in zip(own, folded, strict=True)) for s, own in zip(sign, hits, strict=True)])
-
     table = str.maketrans({"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "|": "i", "!": "i", "l": "i", "$": "s", "@": "a"})
     folded = [["".join(c for c in w.translate(table) if c.isalnum()) for w in words] for words in wanted]
-    flags = [match_ocr_exactly(F.col(text_col), [t], synonyms) for t in terms if t]
-    if not flags:
+
+    def fuzzy(sign: pa.Array, hits: pa.Array) -> pa.Array:
+        left = sign.is_valid().to_numpy(zero_copy_only=False)  # null where all terms are held exactly
+        own = np.array([h or [True] * len(folded) for h in hits.to_pylist()], bool).reshape(len(sign), len(folded))
+        for k, words in enumerate(folded):
+            for word in words:
+                rows = np.flatnonzero(left & ~own[:, k])
+                signs = ((r, s + s[::-1]) for r, s in zip(rows.tolist(), sign.take(pa.array(rows)).to_pylist(), strict=True))
+                own[:, k] |= hold_nearly(signs, word, len(sign), mirrored=True)
+            left &= own[:, k]
+        return pa.array(left, pa.bool_())
+
+    # as if not deterministic, so that no filter is moved below and hits are worked out once a row
+    near = F.arrow_udf(fuzzy, "boolean").asNondeterministic()
+    if not wanted:
         return df.where(F.lit(False)).withColumn("stage", F.lit(1))
-    tried = df.withColumn("__hits", F.array(*flags))
-    exact = tried.where(F.forall("__hits", lambda h: h)).withColumn("stage", F.lit(1))
-    rest = tried.where(~F.forall("__hits", lambda h: h)).where(fuzzy(ocr_fold(F.col(text_col)), F.col("__hits"))).withColumn("stage", F.lit(2))
-    return exact.unionByName(rest).drop("__hits")
+    tried = df.withColumn("__hits", ocr_hits(F.col(text_col), [t for t in terms if t], synonyms))
+    exact = F.forall("__hits", lambda h: h)
+    tried = tried.withColumn("__near", near(F.when(~exact, ocr_fold(F.col(text_col))), F.col("__hits")))
+    return tried.where(exact | F.col("__near")).withColumn("stage", F.when(exact, 1).otherwise(2)).drop("__hits", "__near")
 
 
 def match_labels(df: DataFrame, labels_col: str, terms: list[str]) -> DataFrame:
@@ -255,7 +204,7 @@ def _hint_matcher(hints: list[str]) -> Callable[[str], str | None]:
         sign = fold(token)
         if len(sign) < LEAST_TOKEN:
             return None
-        return next((h for f, h in folded if sign in (f, f[::-1]) or abs(len(sign) - len(f)) <= 3 and fuzzy_in(sign, f)), None)
+        return next((h for f, h in folded if sign in (f, f[::-1]) or abs(len(sign) - len(f)) <= 3 and hold_nearly([(0, sign)], f, 1)[0]), None)
 
     return match
 
