@@ -7,6 +7,7 @@ import re
 import time
 
 from textquarry.functions import nearness as N
+from textquarry.operators import cleanup as K
 
 
 def near_prefix(window, term, lengths, most):
@@ -72,3 +73,14 @@ def test_long_text_is_read_in_linear_time():
     begun = time.monotonic()
     N.hold_nearly([(0, text)], "disgusting", 1)
     assert time.monotonic() - begun < 3
+
+
+def test_tokens_of_a_portion_are_matched_at_once():
+    """Some thousand distinct tokens against two hints."""
+    rng = random.Random(7)
+    tokens = list({"".join(rng.choices("trashwolei", k=rng.randrange(4, 13))) for _ in range(4000)})
+    found = K._hint_matcher(["trash", "worthless"])(tokens)
+    for token in tokens:
+        sign = token.replace("l", "i")
+        want = next((h for f, h in (("trash", "trash"), ("worthiess", "worthless")) if sign in (f, f[::-1]) or abs(len(sign) - len(f)) <= 3 and plain(sign, f)), None)
+        assert found.get(token) == want

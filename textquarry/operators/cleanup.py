@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.nearness import hold_nearly
+from ..functions.nearness import hold_nearly, words_nearly
 from ..functions.text import collapse_ws, ocr_fold, strip_ws
 from .search import match_ocr_exactly, ocr_hits
 
@@ -185,54 +183,85 @@ def dedupe_lines(docs: DataFrame, doc: str, text_col: str = "text") -> DataFrame
 
 
 TOKENS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
+LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9]")
+NO_SIGN = re.compile(r"[^\w\n]|_")
 LEAST_TOKEN = 4
+HINT_SLACK = 3  # letters that a token may have more or less than a hint
+TOKEN_PORTION = 1 << 19  # signs of texts whose tokens are matched at once
 
 
-def _hint_matcher(hints: list[str]) -> Callable[[str], str | None]:
-    """The hint that a token of LEAST_TOKEN or more folded letters is, as it stands, reversed, or with errors; the first of several."""
+def _hint_matcher(hints: list[str]) -> Callable[[list[str]], dict[str, str]]:
+    """Of many tokens, those of LEAST_TOKEN or more folded letters that a hint is, as it stands, reversed, or with errors, with the first such hint."""
     from ..functions.text import ACCENTED, CONFUSED, PLAIN
 
     table = str.maketrans(ACCENTED + "".join(CONFUSED), PLAIN + "".join(CONFUSED.values()))
 
-    def fold(t: str) -> str:
-        return "".join(c for c in t.lower().translate(table) if c.isalnum())
-
-    folded = [(fold(h), h) for h in hints if len(fold(h)) >= LEAST_TOKEN]
-
-    @functools.lru_cache(maxsize=1 << 16)
-    def match(token: str) -> str | None:
-        sign = fold(token)
-        if len(sign) < LEAST_TOKEN:
-            return None
-        return next((h for f, h in folded if sign in (f, f[::-1]) or abs(len(sign) - len(f)) <= 3 and hold_nearly([(0, sign)], f, 1)[0]), None)
-
+    def fold(tokens: list[str]) -> list[str]:
+        return NO_SIGN.sub("", "\n".join(tokens).lower().translate(table)).split("\n") if tokens else []
+
+    folded = [(f, h) for f, h in ((fold([h])[0], h) for h in hints) if len(f) >= LEAST_TOKEN]
+
+    def match(tokens: list[str]) -> dict[str, str]:
+        tokens = [*filter(str.isascii, tokens), *(t for t in tokens if not t.isascii())]  # a string of ASCII alone is translated much faster
+        plain = sum(map(str.isascii, tokens))
+        signs = fold(tokens[:plain]) + fold(tokens[plain:])
+        found: dict[str, str] = {}
+        for f, hint in folded:
+            same = {f, f[::-1]}
+            hits = [k for k in words_nearly(signs, f) if abs(len(signs[k]) - len(f)) <= HINT_SLACK] + [k for k, s in enumerate(signs) if s in same]
+            for k in hits:
+                if len(signs[k]) >= LEAST_TOKEN:
+                    found.setdefault(tokens[k], hint)
+        return found
+
+    match.reach = max((len(f) for f, _ in folded), default=0) + HINT_SLACK
     return match
 
 
 def repair_tokens(docs: DataFrame, doc: str, hints: list[str], text_col: str = "text") -> DataFrame:
-    """doc, text: tokens of 4 or more folded letters that match a hint, or else do so glued to the next token with white space between, become the hint in the token's case. A next token that matches by itself is not glued. All other signs stay as they are; null text is empty."""
+    """doc, text: tokens of 4 or more folded letters that match a hint, or else do so glued to the next token with white space between, become the hint in the token's case. A next token that matches by itself is not glued. All other signs stay as they are; null text is empty.
+
+    The distinct tokens and pairs of a portion of texts are matched at once.
+    """
 
     def styled(hint: str, token: str) -> str:
         return hint.upper() if token.isupper() else hint.capitalize() if token[:1].isupper() and token[1:].islower() else hint.lower()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = _hint_matcher(hints)
 
-        def mended(text: str) -> str:
-            tokens, out, i = TOKENS.findall(text), [], 0
+        def mended(tokens: list[str], found: dict[str, str]) -> str:
+            out, i = [], 0
             while i < len(tokens):
-                step, hint = 1, match(tokens[i]) if tokens[i].isalnum() else None
-                if not hint and tokens[i].isalnum() and i + 2 < len(tokens) and tokens[i + 1].strip() == "" and "\n" not in tokens[i + 1] and not match(tokens[i + 2]):
-                    hint = match(tokens[i] + tokens[i + 2])
+                step, hint = 1, found.get(tokens[i]) if tokens[i].isalnum() else None
+                if not hint and tokens[i].isalnum() and i + 2 < len(tokens) and tokens[i + 1].strip() == "" and "\n" not in tokens[i + 1] and tokens[i + 2] not in found:
+                    hint = found.get(tokens[i] + tokens[i + 2])
                     step = 3 if hint else 1
                 out.append(styled(hint, tokens[i]) if hint else tokens[i])
                 i += step
             return "".join(out)
 
-        for pdf in parts:
-            yield pdf.assign(text=pdf["text"].fillna("").map(mended))
-
-    return docs.select(doc, F.col(text_col).alias("text")).mapInPandas(run, f"{doc} {docs.schema[doc].dataType.simpleString()}, text string")
+        def portion(texts: list[str]) -> list[str]:
+            split = [TOKENS.findall(t) for t in texts]
+            pairs = ((t, t[0 if LETTER.match(t[0]) else 1 :: 2] if t else t) for t in split)  # every other token is of letters or digits
+            words = [[*t, *map(str.__add__, own, own[1:])] for t, own in pairs]
+            asked = [w for w in set().union(*words) if LEAST_TOKEN <= len(w) <= match.reach and w.isalnum()]
+            found = match(asked)
+            return [t if found.keys().isdisjoint(w) else mended(own, found) for t, own, w in zip(texts, split, words, strict=True)]
+
+        for batch in parts:
+            out, held, size = [], [], 0
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                held.append(text)
+                size += len(text)
+                if size > TOKEN_PORTION:
+                    out += portion(held)
+                    held, size = [], 0
+            out += portion(held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [doc, "text"])
+
+    return docs.select(doc, F.col(text_col).alias("text")).mapInArrow(run, f"{doc} {docs.schema[doc].dataType.simpleString()}, text string")
 
 
 def candidate_score(text: Column, hit: Column) -> Column:
