@@ -153,3 +153,14 @@ def test_exports(spark, tmp_path):
     assert [r["path"] for r in kept.collect()] == ["/x/other.txt"]
     html = spark.range(1).select(W.render_html(F.lit("Uno\ndue\n\nhttps://x.it & <3"))).first()[0]
     assert "<p>Uno<br>due</p>" in html and '<a href="https://x.it">https://x.it</a> &amp; &lt;3' in html
+
+
+def test_entries_are_read_once_and_no_line_becomes_a_row(spark):
+    """Texts of entries cross no exchange but the narrow hits of a search do; an article has one hit, lines of one page are in order."""
+    body = "<p>Uno <a href='/x'>forte</a> e così via, fino a quaranta lettere e oltre</p><p>due</p><h2>Tre</h2><p> </p>"
+    rows = [("f", "a", "T", None, None, "http://h.it/p", body, [body]), ("f", "b", "Forte", None, None, None, "testo", []), ("f", "c", None, None, None, None, "<p> </p>", [])]
+    entries = spark.createDataFrame(rows, "feed string, id string, title string, published timestamp, updated timestamp, link string, summary string, content array<string>")
+    texts = E.entry_text(entries, "id")
+    assert {r["id"]: r["text"] for r in texts.collect()} == {"a": "Uno forte e così via, fino a quaranta lettere e oltre http://h.it/x\ndue\n[H2] Tre", "b": "testo"}
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Union" not in plan
