@@ -164,3 +164,7 @@ def test_entries_are_read_once_and_no_line_becomes_a_row(spark):
     assert {r["id"]: r["text"] for r in texts.collect()} == {"a": "Uno forte e così via, fino a quaranta lettere e oltre http://h.it/x\ndue\n[H2] Tre", "b": "testo"}
     plan = texts._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Union" not in plan
+    hits = E.search_articles(entries, "id", ["forte"])
+    assert {(r["id"], r["n_raw"]) for r in hits.collect()} == {("a", 1), ("b", 0)}
+    assert "Join" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert [(r["id"], r["line_no"]) for r in E.search_articles(entries, "id", ["forte"], raw_lines=True).collect()] == [("a", 0)]
