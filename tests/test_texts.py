@@ -21,6 +21,19 @@ def test_compare(spark):
     assert C.comparison_summary(docs, differences, exploded, "grp", "doc").first()["differing"] == 3
 
 
+def test_texts_are_cut_into_clauses_once_for_what_is_counted(spark):
+    from textquarry import plans
+
+    docs = spark.createDataFrame([(1, 1, "Uno. Due. Tre. Due."), (1, 2, "Uno. Quattro."), (1, 3, None), (2, 4, "Solo.")], "grp int, doc int, text string")
+    places = C.clause_places(C.explode_clauses(docs, ["grp", "doc"]), "grp", "doc")
+    shown = C.difference_places(places, "grp", "doc", 1)
+    assert {(r["doc"], r["pos"], r["n"], r["hidden"]) for r in shown.collect()} == {(1, 1, 1, 1), (2, 1, 1, 0)}
+    summary = C.comparison_summary(docs, shown, places, "grp", "doc")
+    assert {(r["grp"], r["n_files"], r["differing"], r["hidden"], r["coincide"]) for r in summary.collect()} == {(1, 3, 3, 1, False), (2, 1, 0, 0, True)}
+    cut = lambda name: plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Generate")
+    assert (cut("cmp5_comparison_summary"), cut("cmp3_text_differences")) == (0, 1)
+
+
 def test_envelope(spark):
     docs = spark.createDataFrame([(1, "Docusign Envelope ID: 0a1b2c3d-4e5f-6071-8293-a4b5c6d7e8f9 Testo.")], "doc int, text string")
     rows = [r["clause"] for r in C.explode_clauses(docs, ["doc"]).orderBy("pos").collect()]

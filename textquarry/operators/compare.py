@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws
+from ..sources.shared import written
 
 ENVELOPE = r"(?i)docusign envelope id:\s*((?:[0-9a-f][\s-]*){32})"
 
@@ -54,6 +55,21 @@ def common_clauses(exploded: DataFrame, group: str, doc: str) -> DataFrame:
     return exploded.join(common, [group, doc, "pos"], "left_semi").select(group, "clause")
 
 
+def clause_places(exploded: DataFrame, group: str, doc: str) -> DataFrame:
+    """group, doc, pos and hashes of each distinct clause of a document at its first place, written once: texts are cut into clauses once for all that is counted."""
+    return written(_hashed(exploded, group, doc), "clause-places")
+
+
+def difference_places(places: DataFrame, group: str, doc: str, max_parts: int | None = 80) -> DataFrame:
+    """group, doc, pos, n, hidden: places of each document's clauses that are not common, in first order, `max_parts` shown (all if it is None) and the rest counted; from hashes and places alone."""
+    held = places.groupBy(group, "__a", "__b").agg(F.count(F.lit(1)).alias("held"))
+    differs = places.join(held, [group, "__a", "__b"]).join(_readable(places, group, doc), group).where("held < readable")
+    own = Window.partitionBy(group, doc)
+    over = F.lit(0).cast("long") if max_parts is None else F.greatest(F.count(F.lit(1)).over(own) - max_parts, F.lit(0))
+    ranked = differs.select(group, doc, "pos", F.row_number().over(own.orderBy("pos")).alias("n"), over.alias("hidden"))
+    return ranked if max_parts is None else ranked.where(F.col("n") <= max_parts)
+
+
 def text_differences(exploded: DataFrame, group: str, doc: str, max_parts: int | None = 80) -> DataFrame:
     """group, doc, n, clause, hidden: each document's clauses that are not common, distinct, in first order, `max_parts` shown (all if it is None) and the rest counted.
 
@@ -61,13 +77,7 @@ def text_differences(exploded: DataFrame, group: str, doc: str, max_parts: int |
     clauses and their places; the text of the clauses that are shown is fetched
     by its place.
     """
-    first = _hashed(exploded, group, doc)
-    held = first.groupBy(group, "__a", "__b").agg(F.count(F.lit(1)).alias("held"))
-    differs = first.join(held, [group, "__a", "__b"]).join(_readable(first, group, doc), group).where("held < readable")
-    own = Window.partitionBy(group, doc)
-    over = F.lit(0).cast("long") if max_parts is None else F.greatest(F.count(F.lit(1)).over(own) - max_parts, F.lit(0))
-    ranked = differs.select(group, doc, "pos", F.row_number().over(own.orderBy("pos")).alias("n"), over.alias("hidden"))
-    shown = ranked if max_parts is None else ranked.where(F.col("n") <= max_parts)
+    shown = difference_places(clause_places(exploded, group, doc), group, doc, max_parts)
     return exploded.join(shown, [group, doc, "pos"]).select(group, doc, "n", "clause", "hidden")
 
 
@@ -85,7 +95,7 @@ def fact_differences(facts: DataFrame, group: str, doc: str, fact_cols: dict[str
 
 
 def comparison_summary(docs: DataFrame, differences: DataFrame, exploded: DataFrame, group: str, doc: str, facts: DataFrame | None = None) -> DataFrame:
-    """group, n_files, differing (unreadable ones count), hidden, coincide."""
+    """group, n_files, differing (unreadable ones count), hidden, coincide. `differences` and `exploded` may be places without texts."""
     readable = exploded.select(group, doc).distinct().withColumn("readable", F.lit(True))
     shown = differences.groupBy(group, doc).agg(F.max("hidden").alias("hidden")).withColumn("differs", F.lit(True))
     out = docs.select(group, doc).join(readable, [group, doc], "left").join(shown, [group, doc], "left")
