@@ -128,3 +128,42 @@ def test_profiles_by_folder_kind_and_extension(spark):
     rows = [("tutto", ["parola"], None, None, None), ("txt", ["ZETA"], "/r/a/", None, "*.txt; md"), ("audio", [], None, "audio", None), ("cartella", None, "/r/a", None, "*"), ("pdf", [], "/r/", "document", "PDF"), ("nulla", [], None, None, ""), ("fuori", ["parola"], "/x", None, None)]
     got = sorted((r["name"], r["doc_id"]) for r in S.run_profiles(docs, spark.createDataFrame(rows, schema), path_col="path").collect())
     assert got == [("audio", 3), ("cartella", 1), ("cartella", 2), ("cartella", 4), ("pdf", 2), ("tutto", 1), ("tutto", 2), ("txt", 1), ("txt", 4)]
+
+
+def test_strings_of_any_kind_in_texts(monkeypatch):
+    """Pieces, portions and rows end anywhere: the strings found are those of a plain search."""
+    import random
+
+    import pyarrow as pa
+
+    from textquarry.operators import strings as K
+
+    rng = random.Random(25)
+    for _ in range(200):
+        for name, sizes in (("PIECE", (1, 3, 64, 1 << 18)), ("PAIRS", (1, 5, 1 << 20)), ("CELLS", (0, 1 << 22)), ("WEIGHT", (1, 50, 4 << 20))):
+            monkeypatch.setattr(K, name, rng.choice(sizes))
+        signs = rng.choice(["a", "ab", "abcé", "\0aß"])
+        strings = sorted({"".join(rng.choices(signs, k=rng.choice([1, 2, 3, 4, 5, 9, 10, 15, 16, 17, 40]))) for _ in range(rng.randint(0, 30))})
+        texts = [rng.choice([None, "", "".join(rng.choices(signs, k=rng.randint(0, 80)))]) for _ in range(rng.randint(0, 9))]
+        got, at, known = [], 0, K.Strings(pa.array(strings, pa.string()))
+        for part in K._portions(pa.array([None, *texts], pa.string()).slice(1)):
+            row, own = known.held(part)
+            got += [(at + i, strings[j]) for i, j in zip(row.tolist(), own.tolist(), strict=True)]
+            at += len(part)
+        assert at == len(texts)
+        assert got == [(i, s) for i, t in enumerate(texts) for s in strings if t and s in t]
+
+
+def test_profiles_are_met_where_the_documents_are(spark, tmp_path):
+    """Documents, copies among them, meet their profiles without a shuffle, and a text is searched once a pass."""
+    docs = [(i, "it" if i % 2 else None, t) for i, t in enumerate(["Uno due tre", "uno due tre", "uno due tre", "DUE", "", None, "e la strada che porta alla città", "una strada qualunque, é"])]
+    spark.createDataFrame(docs, "doc_id int, lang string, text string").write.parquet(f"{tmp_path}/docs")
+    asked = [("a", ["uno", "TRE"], None), ("b", ["due"], "it"), ("c", ["e", "", "strada che porta alla città"], None), ("d", ["manca", "uno"], None), ("e", ["É", "una strada qualunque"], None), ("f", [""], None), ("g", None, None)]
+    profiles = spark.createDataFrame(asked, "name string, terms array<string>, profile_lang string")
+    want = {(n, i) for n, terms, own in asked for i, lang, t in docs if t and any(terms or []) and all(x.lower() in t.lower() for x in terms) and own in (None, lang)}
+    for most in (1, 3, 1000):
+        found = S.run_profiles(spark.read.parquet(f"{tmp_path}/docs"), profiles, most=most)
+        rows = [(r["name"], r["doc_id"]) for r in found.collect()]
+        assert len(rows) == len(want) and {*rows} == want
+    plan = found.select("name", "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("ArrowEvalPython") == 1
