@@ -73,12 +73,3 @@ class KeyFilter:
             if len(hits):
                 hits = hits[self.table[keys[hits] * U(odd) >> U(64 - self.bits)]]
         return hits
-
-    def packed(self) -> tuple[int, bytes]:
-        return self.bits, np.packbits(self.table, bitorder="little").tobytes()
-
-    @classmethod
-    def unpacked(cls, bits: int, data: bytes) -> KeyFilter:
-        own = cls.__new__(cls)
-        own.bits, own.table = bits, np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").astype(bool)
-        return own

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.windows import _BASE, _BYTES, LONGEST, U
 from ..sources.shared import written
 
-BLOCK = 1 << 19  # strings of a block
-BLOCK_BYTES = 32 << 20
+BLOCK = 1 << 18  # strings of a block
+BLOCK_BYTES = 16 << 20
 PIECE = 1 << 18
 PAIRS = 1 << 20
 CELLS = 1 << 22
