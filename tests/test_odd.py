@@ -21,5 +21,9 @@ def same(spark, tmp_path, names):
         assert sorted(map(repr, got.fetchall())) == sorted(map(repr, want.fetchall())), name
 
 
+def test_entries_of_feeds(spark, tmp_path):
+    same(spark, tmp_path, ["fed1_normalize_entries", "src8_read_feed"])
+
+
 def test_notices(spark, tmp_path):
     same(spark, tmp_path, ["sea20_hit_notice"])
