@@ -27,3 +27,7 @@ LONG = "\n".join(f"riga {i} di un testo lungo" for i in range(60_000)) + "\nthe
 def test_articles(spark, tmp_path):
     assert len(LONG) > 1_500_000
     same(spark, tmp_path, ["fed11_search_articles"], documents=documents(spark, [LONG, "the and", "t\x01he and", "niente", "", None]))
+
+
+def test_texts_of_entries(spark, tmp_path):
+    same(spark, tmp_path, ["fed6_entry_text"], documents=documents(spark, [LONG, "a\x01b \ufffe & <b>", "  x\n\n y", "\n", "", None]))
