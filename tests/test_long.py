@@ -31,3 +31,9 @@ def test_articles(spark, tmp_path):
 
 def test_texts_of_entries(spark, tmp_path):
     same(spark, tmp_path, ["fed6_entry_text"], documents=documents(spark, [LONG, "a\x01b \ufffe & <b>", "  x\n\n y", "\n", "", None]))
+
+
+def test_packaged(spark, tmp_path):
+    """A word file, an open document, a book and a sheet of more paragraphs than a book's limit, and a book with a member above the limit of its size."""
+    many, wide = "\n".join(f"riga {i}" for i in range(8_100)), "\n".join(["x" * 2_200_000] * 2)
+    same(spark, tmp_path, ["src6_read_packaged_docs"], documents=documents(spark, [many, many, many, many, "uno", "due", "prima\n" + wide, "", "", None]))

@@ -290,18 +290,23 @@ def office_bookmarks(files: DataFrame) -> DataFrame:
     return office_blocks(files).select("path", "pos", F.explode(F.array_distinct(names)).alias("anchor"), F.col("text").alias("title")).where("anchor NOT IN ('', '_GoBack')")
 
 
-#: Readers of packaged documents by extension, from members (path, kind, member, pos, raw); add to it, and to the rules of `containers`, to read more.
-EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "epub": lambda m: epub_paragraphs(m).select("path", "pos", "text"),
-    "docx": lambda m: office_text(m.where("kind = 'docx'")).select("path", "pos", F.col("line").alias("text")),
-    "odt": lambda m: office_text(m.where("kind = 'odt'")).select("path", "pos", F.col("line").alias("text")),
-    "xlsx": lambda m: sheet_rows(m).select("path", F.col("row").alias("pos"), "text"),
-    "zip": lambda m: text_members(m).select("path", "pos", "text"),
-}
+def extractors(chapters: int | None = CHAPTERS, paragraphs: int | None = PARAGRAPHS) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Readers of packaged documents by extension, from members (path, kind, member, pos, raw); of a book at most `chapters` and `paragraphs`, all if they are None."""
+    return {
+        "epub": lambda m: epub_paragraphs(m, chapters, paragraphs).select("path", "pos", "text"),
+        "docx": lambda m: office_text(m.where("kind = 'docx'")).select("path", "pos", F.col("line").alias("text")),
+        "odt": lambda m: office_text(m.where("kind = 'odt'")).select("path", "pos", F.col("line").alias("text")),
+        "xlsx": lambda m: sheet_rows(m).select("path", F.col("row").alias("pos"), "text"),
+        "zip": lambda m: text_members(m).select("path", "pos", "text"),
+    }
+
+
+#: The readers in use; add to them, and to the rules of `containers`, to read more.
+EXTRACTORS = extractors()
 
 
 def packaged_docs(files: DataFrame, rules: dict[str, Rule] | None = None, extractors: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """path, pos, text of those of the files (path, content; or members as `containers` reads them) whose extension has a reader. Each container is unpacked once; its members are written as a table that the readers share."""
+    """path, pos, text of those of the files (path, content; or members as `containers` reads them) whose extension has a reader; `containers.unlimited` rules and `extractors(None, None)` read all of them. Each container is unpacked once; its members are written as a table that the readers share."""
     members = files if "raw" in files.columns else written(members_of(files, rules), "members")
     out = None
     for reader in (extractors or EXTRACTORS).values():
