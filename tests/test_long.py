@@ -37,3 +37,16 @@ def test_packaged(spark, tmp_path):
     """A word file, an open document, a book and a sheet of more paragraphs than a book's limit, and a book with a member above the limit of its size."""
     many, wide = "\n".join(f"riga {i}" for i in range(8_100)), "\n".join(["x" * 2_200_000] * 2)
     same(spark, tmp_path, ["src6_read_packaged_docs"], documents=documents(spark, [many, many, many, many, "uno", "due", "prima\n" + wide, "", "", None]))
+
+
+def pages(spark, *bodies):
+    return spark.createDataFrame([(i, f"https://p.example/{i}", f"<html><head><title>no</title></head><body>{b}</body></html>") for i, b in enumerate(bodies)], "page_id long, url string, html string")
+
+
+PAGE = "".join(f"<p>riga {i} di una pagina lunga</p>" for i in range(45_000)) + "<h2>Titolo in fondo</h2><p>La coda della pagina</p>"
+HEADS = "".join(f"<h{1 + i % 6}>Capitolo {i}</h{1 + i % 6}><p>testo</p>" for i in range(400))
+
+
+def test_deep_links(spark, tmp_path):
+    assert len(PAGE) > 1_500_000
+    same(spark, tmp_path, ["web14_heading_deep_links"], pages=pages(spark, PAGE, HEADS, ""))
