@@ -50,3 +50,7 @@ HEADS = "".join(f"<h{1 + i % 6}>Capitolo {i}</h{1 + i % 6}><p>testo</p>" for i i
 def test_deep_links(spark, tmp_path):
     assert len(PAGE) > 1_500_000
     same(spark, tmp_path, ["web14_heading_deep_links"], pages=pages(spark, PAGE, HEADS, ""))
+
+
+def test_lines_of_pages(spark, tmp_path):
+    same(spark, tmp_path, ["web1_page_text"], pages=pages(spark, PAGE, HEADS, ""))
